@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import byte_bpe, language_id, near_dedup
 from .common import documents
 
 
+def vocabulary() -> byte_bpe.Vocabulary:
+    return byte_bpe.Vocabulary.from_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digests(documents(spark, sf_dir), vocabulary())
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")
+    done = language_id.identify(docs, model).withColumn("held_out", language_id.held_out(4, 2))
+    return done.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op4_byte_bpe, op5_minhash_near_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
