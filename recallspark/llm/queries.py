@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, near_dedup
+from . import byte_bpe, language_id, mixing, near_dedup, sharding
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def vocabulary() -> byte_bpe.Vocabulary:
     return byte_bpe.Vocabulary.from_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(documents(spark, sf_dir), vocabulary())
 
@@ -29,8 +33,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "source", "tokens", "pass", "block")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe, op5_minhash_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op3_sharding, op4_byte_bpe, op5_minhash_near_dedup, op9_language_id, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
