@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, mixing, near_dedup, sharding
+from . import byte_bpe, language_id, mixing, near_dedup, pii, sharding
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def vocabulary() -> byte_bpe.Vocabulary:
     return byte_bpe.Vocabulary.from_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
@@ -38,7 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op4_byte_bpe, op5_minhash_near_dedup, op9_language_id, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op3_sharding, op4_byte_bpe, op5_minhash_near_dedup, op9_language_id, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
