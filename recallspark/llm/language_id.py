@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, held_out
 
 #: Labelled documents a language that the fit reads, at most about.
 SAMPLE_DOCS = 600
@@ -213,11 +213,6 @@ def predict(docs: DataFrame, pieces: tuple[str, ...], model: tuple[list[str], np
     return rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
 
 
-def held_out(folds: int, fold: int):  # noqa: ANN201
-    """Whether crc32 of the doc_id as text leaves ``fold``; a null id is the empty text."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == fold
-
-
 def identify(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc_id",), sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Fits on the documents outside the held-out fold and predicts for all."""
     pieces = public_pieces(model_file)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, mixing, near_dedup, pii, sharding
-from .common import documents
+from . import byte_bpe, fingerprints, hmm, language_id, mixing, near_dedup, pii, sharding
+from .common import documents, held_out
 
 
 def vocabulary() -> byte_bpe.Vocabulary:
@@ -31,9 +31,17 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(documents(spark, sf_dir).withColumn("held_out", held_out(7, 2)))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, model = documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")
-    done = language_id.identify(docs, model).withColumn("held_out", language_id.held_out(4, 2))
+    done = language_id.identify(docs, model).withColumn("held_out", held_out(4, 2))
     return done.select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -42,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_sharding, op4_byte_bpe, op5_minhash_near_dedup, op9_language_id, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op3_sharding, op4_byte_bpe, op5_minhash_near_dedup, op7_hmm_scoring, op8_fingerprints, op9_language_id, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
