@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of ``[^\x20\x09-\x0D]+`` after lower-casing A-Z only.
-WORD_BREAKS = "[\\x20\\x09-\\x0D]+"
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -49,10 +46,6 @@ def held_out(folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == fold
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:
     """(node, component) for each node of ``pairs``; component is the least node
     that links reach. Alternating large-star and small-star rounds: each is two
@@ -77,3 +70,44 @@ def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 40)
         raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select("v", "v")).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once, whatever lambdas read it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda a, v: a + v)
+
+
+def _ends(widths: Column) -> Column:
+    """Running sums, in blocks of about the root of the count: 1.5 powers of it."""
+
+    def blocked(w: Column) -> Column:
+        side = F.greatest(F.ceil(F.sqrt(F.size(w))).cast("int"), F.lit(1))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(w) - 1) / side).cast("int"))
+        return F.transform(numbers, lambda b: F.slice(w, b * side + 1, side))
+
+    def inner(block: Column, before: Column) -> Column:
+        return F.transform(block, lambda v, i: before + _sum(F.slice(block, 1, i + 1)))
+
+    def outer(blocks: Column) -> Column:
+        sums = F.transform(blocks, _sum)
+        return let(sums, lambda t: F.flatten(F.transform(blocks, lambda b, i: let(_sum(F.slice(t, 1, i)), lambda o: inner(b, o)))))
+
+    return F.when(F.size(widths) > 0, let(blocked(widths), outer)).otherwise(F.array().cast("array<int>"))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (start, end, value): the leftmost non-overlapping matches. The
+    positions come from the pieces between them, split by the same pattern."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.zip_with(found, F.split(text, pattern, -1), lambda m, b: F.struct(m.alias("value"), (F.length(b) + F.length(m)).alias("width")))
+
+    def spans(p: Column) -> Column:
+        ends = _ends(F.transform(p, lambda x: x["width"]))
+        span = lambda x, e: F.struct((e - F.length(x["value"])).alias("start"), e.alias("end"), x["value"].alias("value"))
+        return F.zip_with(p, ends, span)
+
+    return let(F.filter(pieces, lambda x: x["value"].isNotNull()), spans)
