@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, cover_tree, fingerprints, hmm, language_id, mixing, near_dedup, pii, sharding
+from . import byte_bpe, cover_tree, fingerprints, hmm, language_id, license_scan, mixing, near_dedup, pii, sharding
 from .common import documents, held_out
 
 
@@ -35,6 +35,16 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op7_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scored(documents(spark, sf_dir).withColumn("held_out", held_out(7, 2)))
 
@@ -54,8 +64,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_cover_tree, op3_sharding, op4_byte_bpe, op5_minhash_near_dedup, op7_hmm_scoring, op8_fingerprints, op9_language_id, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_cover_tree, op3_sharding, op4_byte_bpe, op5_minhash_near_dedup, op6_license_scan, op7_hmm_scoring, op8_fingerprints, op9_language_id, op10_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": license_scan.oracle()}
