@@ -182,7 +182,7 @@ SES = f"ses AS (SELECT conv_id, CASE role WHEN 'assistant' THEN 'model' ELSE rol
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 EVENTS = f"""ev AS (SELECT event_id, ts, user_id, floor(value) AS words, {K} % 4 AS entities, CASE WHEN event_type = 'error' THEN 'm' || ({K} % 5) END AS mood, CASE WHEN event_type = 'view' THEN 't' || ({K} % 7) END AS topic FROM events),
 st AS (SELECT *, least(3, (words > 3)::INT + (words > 20)::INT + (entities >= 2)::INT + coalesce((date_diff('second', date_trunc('second', lag(ts) OVER u), date_trunc('second', ts)) / 3600.0 > 6)::INT, 0)) AS gained FROM ev WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
-pr AS (SELECT *, sum(gained) OVER w AS xp, count(*) OVER w AS messages, last_value(mood IGNORE NULLS) OVER w AS lmood, last_value(topic IGNORE NULLS) OVER w AS ltopic FROM st WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""
+pr AS (SELECT *, CAST(sum(gained) OVER w AS BIGINT) AS xp, count(*) OVER w AS messages, last_value(mood IGNORE NULLS) OVER w AS lmood, last_value(topic IGNORE NULLS) OVER w AS ltopic FROM st WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""
 LEVEL = case([(f"xp >= {least}", n) for n, least in reversed(LEVELS)], "1")
 EXPECT = "ex AS (SELECT a.vec_id AS qid, d.doc_id FROM embeddings a JOIN embeddings b USING (label) JOIN documents d ON d.doc_id % (SELECT count(*) FROM embeddings) = b.vec_id WHERE a.vec_id < 10)"
 
