@@ -8,10 +8,11 @@ estimated from the packed bits (equal nibbles counted with ``bit_count``,
 corrected for the 1/16 of chance collisions), those far below the threshold go,
 and the rest are confirmed on full sets.
 
-Hot groups. Equal sets are one node before anything is paired. A bucket links
-its members to its least node only (a star). Only buckets whose members are
-then still in different components are looked at again, and only across
-components, so a large group of near copies costs about one pair a member.
+Hot groups. Equal sets are one node before anything is paired. A bucket pairs
+its members with its leader only (a star). Members of one leader that this
+leaves in different components are compared in a join on the leader whose
+condition is the exact similarity, from the differences to the leader's set: no
+link is lost, and only links come out, not a group's pairs.
 """
 
 from __future__ import annotations
@@ -136,39 +137,92 @@ def estimated_similarity(a: Column, b: Column) -> Column:
     return (1 - count / F.lit(float(HASHES)) - chance) / (1 - chance)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (lead, node) whose full sets reach the threshold.
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(lead, node, size, linked, delta) for each of ``pairs`` (lead, node, n),
+    from full sets; n is the leader's number of members. ``delta`` has what is
+    in one of the two sets only, where the leader has further members.
 
     A leader's text goes once to each chunk of its members and is the only set
     kept between rows; members stream past it."""
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK))
-    sized = pairs.join(pairs.groupBy("lead").agg(F.count("*").alias("n")), "lead").select("lead", "node", chunk.alias("chunk"))
-    leaders = sized.select("lead", "chunk").distinct().join(texts, F.col("lead") == texts.node).select("lead", "chunk", F.lit(None).cast("long").alias("member"), "text")
-    members = sized.join(texts, "node").select("lead", "chunk", F.col("node").alias("member"), "text")
+    sized = pairs.withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)))
+    leaders = sized.select("lead", "chunk").distinct().join(texts, F.col("lead") == texts.node)
+    leaders = leaders.select("lead", "chunk", F.lit(None).cast("long").alias("member"), "text", F.lit(0).cast("long").alias("n"))
+    members = sized.join(texts, "node").select("lead", "chunk", F.col("node").alias("member"), "text", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, at, own = _Words(), None, None
         for batch in batches:
-            lead, node = [], []
-            for row in zip(*(batch.column(i) for i in range(4)), strict=True):
+            rows = []
+            for row in zip(*(batch.column(i) for i in range(5)), strict=True):
                 k, c, member = (x.as_py() for x in row[:3])
                 s = shingle_hashes(row[3].as_py(), words, width)
                 if member is None:
                     at, own = (k, c), s
                     continue
                 assert at == (k, c), "a leader's text must come before its members"
-                small, large = (s, own) if len(s) < len(own) else (own, s)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[spot] == small).sum())
-                if 100 * both >= percent * (len(s) + len(own) - both):
-                    lead.append(k)
-                    node.append(member)
-            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(node, pa.int64())], ["lead", "node"])
+                apart = np.setxor1d(s, own, assume_unique=True)
+                both = len(s) + len(own)
+                linked = 100 * (both - len(apart)) >= percent * (both + len(apart))
+                rows.append((k, member, len(s), linked, apart.view(np.int64) if row[4].as_py() > 1 else None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["lead", "node", "size", "linked", "delta"])
 
     dealt = leaders.union(members).repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", F.col("member").asc_nulls_first())
-    return dealt.mapInArrow(run, "lead long, node long")
+    return dealt.mapInArrow(run, "lead long, node long, size long, linked boolean, delta array<long>")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component) for each row; component is null
+    for texts without words, else a number that linked rows share."""
+    signed = stored(signatures(docs, id_col, text_col, width))
+    nodes = stored(signed.where("node is not null").select("node", "bands", "bits").dropDuplicates(["node"]))
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = stored(banded.join(sizes, "bucket"))
+    # A bucket's leader is its node with most company in all: an unchanged
+    # original has more of it than its edited copies.
+    company = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+    leads = shared.join(company, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("lead"))
+    stars = stored(shared.join(leads, "bucket").where("node <> lead").select("lead", "node").distinct())
+    stars = stars.join(stars.groupBy("lead").agg(F.count("*").alias("n")), "lead")
+    # A leader with one member is compared only if the packed bits allow it.
+    mine = nodes.select("node", F.col("bits").alias("x"))
+    theirs = nodes.select(F.col("node").alias("lead"), F.col("bits").alias("y"))
+    estimate = estimated_similarity(F.col("x"), F.col("y"))
+    stars = stars.join(mine, "node").join(theirs, "lead").where((F.col("n") > 1) | (estimate >= percent / 100 - SLACK)).select("lead", "node", "n", "x")
+    stars = stored(stars)
+
+    # One text for each node that is compared.
+    wanted = stars.select("node").union(stars.select("lead")).distinct()
+    chosen = signed.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+    chosen = chosen.select("node", F.col("r.doc_id").alias("want"), F.col("r.text_key").alias("key"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = source.join(chosen, source.doc_id.eqNullSafe(chosen.want) & (F.xxhash64("text") == chosen.key))
+    texts = stored(texts.select("node", "text").dropDuplicates(["node"]))
+    compared = stored(_compared(stars.select("lead", "node", "n"), texts, width, percent))
+    links = compared.where("linked").select("lead", "node")
+    groups = cut(connected_components(links, "lead", "node"))
+
+    # Members of one leader that are still apart: their sets differ where their
+    # differences from the leader do, so the full sets are compared in the join
+    # condition, and only links come out of it.
+    where = compared.where("delta is not null").join(groups, "node", "left")
+    leading = groups.select(F.col("node").alias("lead"), F.col("component").alias("main"))
+    where = where.withColumn("component", F.coalesce("component", "node")).join(leading, "lead", "left")
+    where = where.join(stars.select("lead", "node", "x"), ["lead", "node"])
+    where = stored(where.select("lead", "node", "size", "delta", "component", F.coalesce("main", "lead").alias("main"), F.col("x").alias("bits")))
+    x, y = where.where("component <> main").alias("x"), where.alias("y")
+    nx, ny, total = F.size("x.delta"), F.size("y.delta"), F.col("x.size") + F.col("y.size")
+    most = total * (100 - percent) / (100 + percent)
+    rule = (F.col("x.lead") == F.col("y.lead")) & (F.col("x.component") != F.col("y.component")) & (F.abs(nx - ny) <= most)
+    rule = rule & (estimated_similarity(F.col("x.bits"), F.col("y.bits")) >= percent / 100 - SLACK)
+    rule = rule & (nx + ny - 2 * F.size(F.array_intersect("x.delta", "y.delta")) <= most)
+    more = x.join(y, rule).select(F.col("x.node").alias("lead"), F.col("y.node").alias("node"))
+    groups = connected_components(links.union(cut(more)), "lead", "node")
+
+    placed = signed.select("doc_id", "text_key", "n_shingles", "node").join(groups, "node", "left")
+    return placed.withColumn("component", F.coalesce("component", "node")).drop("node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
@@ -182,48 +236,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its group's id is the least non-null one, and null (not kept) if all are.
     An empty table gives an empty result; other columns are not read.
     """
-    signed = stored(signatures(docs, id_col, text_col, width))
-    nodes = stored(signed.where("node is not null").select("node", "bands", "bits").dropDuplicates(["node"]))
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    leads = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
-    shared = stored(banded.join(leads, "bucket"))
-    bits = nodes.select("node", "bits")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Candidate pairs whose estimate doesn't rule them out."""
-        mine, theirs = bits.select("node", F.col("bits").alias("x")), bits.select(F.col("node").alias("lead"), F.col("bits").alias("y"))
-        found = pairs.join(mine, "node").join(theirs, "lead")
-        return found.where(estimated_similarity(F.col("x"), F.col("y")) >= percent / 100 - SLACK).select("lead", "node")
-
-    # One text for each node that has company in some bucket.
-    company = shared.select("node").distinct()
-    chosen = signed.join(company, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
-    chosen = chosen.select("node", F.col("r.doc_id").alias("want"), F.col("r.text_key").alias("key"))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = source.join(chosen, source.doc_id.eqNullSafe(chosen.want) & (F.xxhash64("text") == chosen.key))
-    texts = stored(texts.select("node", "text").dropDuplicates(["node"]))
-
-    stars = likely(shared.where("node <> lead").select("lead", "node").distinct())
-    links = cut(_verify(stars, texts, width, percent))
-    groups = connected_components(links, "lead", "node")
-
-    # Buckets of three and more whose members are still apart.
-    where = shared.where("members > 2").join(cut(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    where = cut(where.select("bucket", "node", "lead", "component"))
-    main = F.max(F.when(F.col("node") == F.col("lead"), F.col("component"))).alias("main")
-    apart = where.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main).where("lo <> hi").select("bucket", "main")
-    open_rows = where.where("node <> lead").join(apart, "bucket").join(bits, "node")
-    # Those outside the leader's component against all others.
-    x, y = open_rows.where("component <> main").alias("x"), open_rows.alias("y")
-    rule = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
-    rule = rule & (estimated_similarity(F.col("x.bits"), F.col("y.bits")) >= percent / 100 - SLACK)
-    more = x.join(y, rule).select(F.least("x.node", "y.node").alias("lead"), F.greatest("x.node", "y.node").alias("node")).distinct()
-    links = links.union(cut(_verify(more, texts, width, percent)))
-    groups = connected_components(links, "lead", "node")
-
-    placed = signed.select("doc_id", "n_shingles", "node").join(groups, "node", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "node"))
+    placed = components(docs, id_col, text_col, width, percent)
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.where("component is not null").join(least, "component").select("doc_id", "n_shingles", "component_id")
     alone = placed.where("component is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def one_of_each(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) with the least doc_id of each
+    group, one row a group, and all rows whose texts have no words. Among rows
+    of one id and text any may stay."""
+    placed = stored(components(docs, width=width, percent=percent))
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"))
+    chosen = placed.where("component is not null").groupBy("component").agg(F.min(order).alias("r"))
+    chosen = chosen.select(F.col("r.b").alias("__id"), F.col("r.c").alias("__key"))
+    keyed = docs.withColumn("__own", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    picked = keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__own"]).drop("__own")
+    blank = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "")) == 0
+    return picked.union(docs.where(blank))
