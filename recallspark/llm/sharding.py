@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Ranges a shard, and samples a range: the sample is at most SHARDS * 64 * 16 pairs.
+#: Ranges a shard, and samples a range: the sample has about 16 shards * 64 * 16 pairs.
 RANGES_PER_SHARD, SAMPLES_PER_RANGE = 64, 16
 LAW = "bytes"
 _LEAST = -(2**63)
@@ -38,17 +38,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _sample(rows: DataFrame, n: int, seed: int) -> list[tuple[int, int, int]]:
-    """At most ``n`` (k1, k2, size), drawn with weight by size: the least
-    exponential waiting times, from a hash, so that a rerun draws the same."""
-    point = (F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.lit(2**40)) + 1) / float(2**40 + 1)
-    return [tuple(r) for r in rows.select("k1", "k2", "size", (-F.log(point) / F.col("size")).alias("w")).orderBy("w", "k1", "k2").drop("w").limit(n).collect()]
+def _sample(rows: DataFrame, n: int, seed: int) -> list[tuple[int, int]]:
+    """About ``n`` pairs (k1, k2), drawn with weight by size: each record by
+    itself, from a hash, so that a rerun draws the same."""
+    total = rows.agg(F.sum("size")).first()[0] or 1
+    point = F.pmod(F.xxhash64(F.lit(seed), "k1", "k2", "size"), F.lit(2**40)) / float(2**40)
+    drawn = rows.where(point < 1 - F.exp(-F.col("size") * F.lit(n / total)))
+    return [tuple(r) for r in drawn.select("k1", "k2").collect()]
 
 
-def _splitters(sample: list[tuple[int, int, int]], ranges: int) -> list[tuple[int, int]]:
+def _splitters(sample: list[tuple[int, int]], ranges: int) -> list[tuple[int, int]]:
     """Quantiles of the sample. A splitter moves to the start of its group of
     equal texts, unless the group holds further ones: it's cut at those."""
-    points = sorted((a, b) for a, b, _ in sample)
+    points = sorted(sample)
     picked = sorted({points[i * len(points) // ranges] for i in range(1, ranges)}) if points else []
     seen: set[int] = set()
     out = []
@@ -68,7 +70,7 @@ def _ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
         pair = [("a", np.int64), ("b", np.int64)]
         cuts = np.array(sent.value, pair)
         first, starts = np.unique(cuts["a"], return_index=True)
-        hot = {int(k): cuts["b"][s:e] for k, s, e in zip(first, starts, [*starts[1:], len(cuts)], strict=True) if e - s > 1}
+        hot = {int(k): cuts["b"][s:e] for k, s, e in zip(first, starts, [*starts[1:], len(cuts)], strict=False) if e - s > 1}
         for batch in batches:
             x, y = batch.column(a).to_numpy(), batch.column(b).to_numpy()
             at = np.searchsorted(cuts["a"], x, "right")  # right for all but groups that are cut
@@ -102,7 +104,7 @@ def shards(docs: DataFrame, count: int = 16, ranges_per_shard: int = RANGES_PER_
         if not over:
             break
         parts = _sample(placed.where(F.col("range").isin(over)), len(over) * samples_per_range * 4, seed)
-        finer = [(a, b) for a, b in sorted((a, b) for a, b, _ in parts)[:: samples_per_range // 2]]
+        finer = [(a, b) for a, b in sorted(parts)[:: samples_per_range // 2]]
         own = {a for a, _ in splitters}
         splitters = sorted({*splitters, *((a, b if a in own else _LEAST) for a, b in finer)})
     placed = stored(_ranged(rows, splitters))
