@@ -74,11 +74,12 @@ def _tempered(sources: DataFrame, entropy: float | None, repeats: float | None)
     z = sources.agg(F.sum(p).alias("z"))
     out = sources.join(F.broadcast(z)).withColumn("weight", p / F.col("z")).withColumn("exponent", F.lit(tau))
     if repeats is None:
-        out = out.withColumn("passes", F.col("weight") * F.col("total") / F.col("tokens"))
+        passes = F.col("weight") * F.col("total") / F.col("tokens")
     else:
         least = out.agg(F.min(F.col("weight") / F.col("tokens")).alias("least"))
-        out = out.join(F.broadcast(least)).withColumn("passes", F.col("weight") / F.col("tokens") / F.col("least"))
-    return out.select("__s", "docs", "tokens", "share", "exponent", "weight", "passes")
+        out, passes = out.join(F.broadcast(least)), F.col("weight") / F.col("tokens") / F.col("least")
+    # Rounded, so that one whole pass is exactly 1.
+    return out.withColumn("passes", F.round(passes, 9)).select("__s", "docs", "tokens", "share", "exponent", "weight", "passes")
 
 
 def _source_key() -> Column:
