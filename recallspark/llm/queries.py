@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, cover_tree, fingerprints, hmm, language_id, license_scan, mixing, near_dedup, pii, sharding
 from .common import documents, held_out
+from .oracles import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def vocabulary() -> byte_bpe.Vocabulary:
@@ -65,7 +68,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_cover_tree, op3_sharding, op4_byte_bpe, op5_minhash_near_dedup, op6_license_scan, op7_hmm_scoring, op8_fingerprints, op9_language_id, op10_mixing, pipeline)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_scan.oracle()}
