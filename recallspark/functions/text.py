@@ -173,3 +173,16 @@ def parsed_reply(raw: Column) -> Column:
         data["mood"].alias("mood"), data["new_concern"].alias("new_concern"), data["resolved_concern"].alias("remove_concern"), data["topic"].alias("topic"),
         F.coalesce(data["safe_haven"], F.lit(False)).alias("safe_haven"),
     )
+
+
+def ascii_folded(text: Column) -> Column:
+    """Lower case without the marks of decomposable letters; other non-ASCII
+    characters, such as the barred l, go."""
+    plain = F.translate(F.lower(text), "ąáàâäãåćçčęéèêëíìîïńñóòôöõśšúùûüýÿźżž", "aaaaaaaccceeeeeiiiinnooooossuuuuyyzzz")
+    return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
+
+
+def memory_line(ts: Column, as_of: Column) -> Column:
+    """One line of a prompt's memories, from source, entity_type, importance, text and final_score."""
+    head = F.concat(F.lit("- ["), F.col("source"), F.lit(", type:"), F.coalesce("entity_type", F.lit("")), F.lit(", importance:"), F.col("importance").cast("string"), F.lit("] "))
+    return F.concat(head, relative_age(ts, as_of), F.col("text"), F.lit(" (relevance: "), F.format_string("%.2f", F.round("final_score", 2)), F.lit(")"))

@@ -47,3 +47,15 @@ def merged(memories: DataFrame, key: list[str]) -> DataFrame:
 def stats(memories: DataFrame) -> DataFrame:
     """Total, active and archived memories."""
     return memories.agg(F.count("*").alias("total"), F.count_if("is_active").alias("active"), F.count_if(~F.col("is_active")).alias("archived"))
+
+
+def archived(memories: DataFrame, targets: DataFrame, reason: str) -> DataFrame:
+    """``memories`` with those of ``targets`` (doc_id) inactive and the reason noted."""
+    marked = targets.select("doc_id", F.lit(True).alias("__hit")).distinct()
+    rows = memories.join(marked, "doc_id", "left").withColumn("is_active", F.col("__hit").isNull())
+    return rows.withColumn("note", F.when(F.col("__hit"), F.to_json(F.struct(F.lit(reason).alias("archived_because"))))).drop("__hit")
+
+
+def inserted_if_absent(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``stored`` and those of ``new`` whose key it lacks, one row a key."""
+    return stored.unionByName(new.dropDuplicates([key]).join(stored.select(key), key, "left_anti"))

@@ -58,3 +58,17 @@ def recent_window(session: DataFrame, as_of: Column, hours: int = 48, n: int = 6
     own = session.where((F.col("role") == "user") & (F.col("ts") >= as_of - F.make_dt_interval(hours=F.lit(hours))))
     newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("seq"), F.desc("conv_id"))
     return own.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n)
+
+
+def since_label(ts: Column, as_of: Column) -> Column:
+    """How long ago a user was last seen, as a line of the state block."""
+    hours = F.timestamp_diff("SECOND", ts, as_of) / 3600
+    line = lambda n, unit: F.concat(F.lit("Ostatnia rozmowa: "), F.floor(n).cast("string"), F.lit(f" {unit} temu"))
+    return F.when(ts.isNull(), "").when(hours > 48, line(hours / 24, "dni")).when(hours > 1, line(hours, "godzin")).otherwise("Ostatnia rozmowa: w tej sesji")
+
+
+def insight_window(memories: DataFrame, as_of: Column, hours: int = 16, n: int = 3) -> DataFrame:
+    """A user's newest ``n`` night insights of the last ``hours``; without a time none."""
+    own = memories.where((F.col("source") == "night_insight") & (F.col("ts") >= as_of - F.make_dt_interval(hours=F.lit(hours))))
+    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), "doc_id")
+    return own.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)

@@ -24,3 +24,5 @@ GRID = (("current", 0.60, 0.25, 0.15), ("similar", 0.80, 0.10, 0.10), ("weighty"
 SCORES = (("ingestion", 8.0), ("retrieval", 7.5), ("reranker", 9.0), ("mmr", 6.0), ("e2e", 7.0))
 PENALTIES = (0.0, 0.2, 0.4, 0.6, 0.8)
 PERSONS = ("Anna jest bardzo pomocna. Marek kłamie w pracy!", "Zwykłe zdanie o pogodzie.", "Rozmawiałem z nią o tym. Ewa przyszła później.")
+FOLDED = ("Zażółć GĘŚLĄ jaźń", "łóżko", "naïve café", "plain", "漢字 x")
+SECTIONS = (("pipeline", 0.9), ("recall", 0.8), ("grounding", 1.0))

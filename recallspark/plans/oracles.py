@@ -267,6 +267,11 @@ def graded(asked: str, found: str) -> str:
       FROM (SELECT a.qid, count(f.distance) AS n, min(f.distance)::DOUBLE AS lo, avg(f.distance)::DOUBLE AS mean FROM {asked} a LEFT JOIN {found} f USING (qid) GROUP BY a.qid))"""
 
 
+HITS = f"""asked AS (SELECT qid, list_slice(list_sort({TOKENS}), 1, 4) AS kw FROM ask), tops AS (SELECT qid, lower(string_agg(text, ' ')) AS t, max(final_score) AS top_score FROM ranked WHERE rank <= 3 GROUP BY qid),
+hit AS (SELECT *, rate >= 0.5 AND top_score >= 0.4 AS passed FROM (SELECT qid, round(CASE WHEN len(kw) > 0 THEN len(list_filter(kw, lambda w: contains(coalesce(t, ''), w)))::DOUBLE / len(kw) ELSE 1.0 END, 6) AS rate, coalesce(top_score, 0.0)::DOUBLE AS top_score FROM asked LEFT JOIN tops USING (qid)))"""
+#: The label of an age in seconds, {s}.
+AGE = """CASE WHEN {s} IS NULL THEN '' WHEN {s} // 86400 > 30 THEN '[' || ({s} // 86400) // 30 || ' mies. temu] ' WHEN {s} // 86400 > 0 THEN '[' || {s} // 86400 || ' dni temu] ' WHEN {s} % 86400 > 3600 THEN '[' || ({s} % 86400) // 3600 || ' godz. temu] '
+ WHEN {s} % 86400 > 300 THEN '[' || ({s} % 86400) // 60 || ' min temu] ' ELSE '[przed chwilą] ' END"""
 GRID = values(X.GRID, "name, ws, wi, wr")
 COUNTS = f"""cnt AS (SELECT count(*) AS total, count(*) FILTER (length(text) < 50) AS short, count(*) FILTER (len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) < 5) AS noise,
  count(*) FILTER (importance <= 3 AND ts < {AS_OF} - INTERVAL 14 DAY) AS stale, count(*) FILTER (is_milestone) AS milestones, count(*) FILTER (source = 'chat') AS sessions, count(*) FILTER (source = 'enriched') AS enriched,
@@ -315,8 +320,7 @@ ORACLES = {
       SELECT doc_id, {case([(f"entity_type = {q(k)}", q(v)) for k, v in REINGEST_SOURCES.items()], "'enriched'")} AS new_source, entity_type IN ('MILESTONE', 'SHARED_THING') AS milestone, ts, md5({synthesized()}) AS digest FROM j""",
     "session_last_n": f"WITH {SES}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ts DESC, seq DESC) AS o FROM ses) WHERE o <= 10) SELECT conv_id, role, seq, row_number() OVER (PARTITION BY conv_id ORDER BY ts, seq) AS place FROM k",
     "raw_window_48h": f"WITH {SES} SELECT user_id, conv_id, seq, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC, conv_id DESC) AS place FROM ses WHERE role = 'user' AND ts >= {AS_OF} - INTERVAL 48 HOUR) WHERE place <= 6",
-    "relative_age": f"""SELECT id, CASE WHEN s IS NULL THEN '' WHEN s // 86400 > 30 THEN '[' || (s // 86400) // 30 || ' mies. temu] ' WHEN s // 86400 > 0 THEN '[' || s // 86400 || ' dni temu] ' WHEN s % 86400 > 3600 THEN '[' || (s % 86400) // 3600 || ' godz. temu] '
-      WHEN s % 86400 > 300 THEN '[' || (s % 86400) // 60 || ' min temu] ' ELSE '[przed chwilą] ' END AS label FROM {values(enumerate(X.AGES), 'id, s')}""",
+    "relative_age": f"SELECT id, {AGE.replace('{s}', 's')} AS label FROM {values(enumerate(X.AGES), 'id, s')}",
     "newest_five": f"WITH {MEM} SELECT doc_id, ts, left(text, 80) AS beginning FROM mem WHERE source <> 'chat' ORDER BY ts DESC, doc_id LIMIT 5",
     "source_distribution": f"WITH {MEM} SELECT source, count(*) AS n, round(100 * count(*)::DOUBLE / (SELECT count(*) FROM mem), 2) AS pct FROM mem GROUP BY source",
     "importance_histogram": f"WITH {MEM} SELECT i AS importance, (SELECT count(*) FROM mem WHERE importance = i) AS n FROM range(1, 11) r(i)",
@@ -353,4 +357,17 @@ ORACLES = {
       WHERE source NOT IN {inside((*EXCLUDED_SOURCES, 'night_insight', 'project_knowledge'))} AND ts >= {AS_OF} - INTERVAL 7 DAY) WHERE n >= 3 AND place <= 50""",
     "insight_parse": f"""SELECT id, r.text, r.confidence, CASE r.priority WHEN 'high' THEN 6 WHEN 'medium' THEN 5 ELSE 4 END AS importance FROM (SELECT id, unnest(from_json(text, '[{{"text": "VARCHAR", "confidence": "DOUBLE", "priority": "VARCHAR"}}]')) AS r
       FROM {values(enumerate(X.INSIGHTS), ID_TEXT)}) WHERE r.confidence >= 0.6 AND length(r.text) >= 10""",
+    "keyword_hit_rate": f"{POOL}, {HITS} SELECT * FROM hit",
+    "sanity_score": f"{POOL}, {HITS} SELECT passed, total, round(10 * passed::DOUBLE / greatest(total, 1), 2) AS score FROM (SELECT count(*) FILTER (top_score >= 0.5 AND rate >= 0.4) AS passed, count(*) AS total FROM hit)",
+    "ingestion_rule": f"""{PRE}, {ENT} SELECT doc_id, EXISTS (SELECT 1 FROM ent e WHERE e.doc_id = m.doc_id AND e.entity_type IN (m.entity_type, 'GOAL')) AND EXISTS (SELECT 1 FROM ent e WHERE e.doc_id = m.doc_id AND e.entity_subtype IN (m.entity_subtype, 'project', 'career'))
+      AND coalesce((SELECT max(confidence) FROM ent e WHERE e.doc_id = m.doc_id) >= 0.35, false) AS passed FROM mem m WHERE entity_type IS NOT NULL""",
+    "readiness": f"SELECT score, CASE WHEN score >= 0.85 THEN 'ready' WHEN score >= 0.65 THEN 'nearly' ELSE 'not ready' END AS band FROM (SELECT round(avg(s), 4)::DOUBLE AS score FROM {values(X.SECTIONS, 'name, s')})",
+    "memory_block": f"""{POOL} SELECT qid, md5(string_agg('- [' || source || ', type:' || coalesce(entity_type, '') || ', importance:' || importance || '] ' || {AGE.replace('{s}', f"date_diff('second', ts, {AS_OF})")} || text || ' (relevance: ' || printf('%.2f', round(final_score, 2)) || ')', chr(10) ORDER BY rank)) AS digest
+      FROM ranked WHERE rank <= 6 GROUP BY qid""",
+    "since_label": f"""WITH {SES} SELECT user_id, CASE WHEN h > 48 THEN 'Ostatnia rozmowa: ' || CAST(floor(h / 24) AS BIGINT) || ' dni temu' WHEN h > 1 THEN 'Ostatnia rozmowa: ' || CAST(floor(h) AS BIGINT) || ' godzin temu' ELSE 'Ostatnia rozmowa: w tej sesji' END AS label
+      FROM (SELECT user_id, date_diff('second', max(ts), {AS_OF}) / 3600.0 AS h FROM ses GROUP BY user_id)""",
+    "insight_window": f"WITH {MEM} SELECT user_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, doc_id) AS place FROM mem WHERE source = 'night_insight' AND ts >= {AS_OF} - INTERVAL 480 HOUR) WHERE place <= 3",
+    "soft_archive": f"WITH {MEM}, {LATEST} SELECT doc_id, doc_id IN (SELECT doc_id FROM lw) AS is_active, CASE WHEN doc_id NOT IN (SELECT doc_id FROM lw) THEN 'newer' END AS reason FROM mem",
+    "insert_if_absent": f"WITH {MEM} SELECT mem_id, min(user_id) AS user_id FROM mem GROUP BY mem_id",
+    "ascii_fold": "SELECT * FROM (VALUES (0, 'zazoc gesla jazn'), (1, 'ozko'), (2, 'naive cafe'), (3, 'plain'), (4, ' x')) v(id, folded)",
 }

@@ -406,6 +406,69 @@ def llm_json_parse(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, X.REPLIES).select("id", T.parsed_reply(F.col("text")).alias("r")).select("id", "r.response", "r.thought", "r.hint", "r.mood", "r.topic", "r.safe_haven")
 
 
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    wanted = views.queries(spark, d).select("qid", F.slice(F.array_sort(T.query_tokens(F.col("qtext"))), 1, 4).alias("keywords"))
+    return evaluate.keyword_hits(_pool(spark, d), wanted)
+
+
+@query
+def keyword_hit_rate(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(spark, d)
+
+
+@query
+def sanity_score(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.sanity_score(_hits(spark, d), 0.5)
+
+
+@query
+def ingestion_rule(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.memories(spark, d, False).where("entity_type is not null")
+    cases = rows.select("doc_id", F.array("entity_type", F.lit("GOAL")).alias("types"), F.array("entity_subtype", F.lit("project"), F.lit("career")).alias("subtypes"), F.lit(0.35).alias("least"))
+    return evaluate.ingestion(cases, _entities(spark, d))
+
+
+@query
+def readiness(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.readiness(spark.createDataFrame(list(X.SECTIONS), "name string, score double"))
+
+
+@query
+def memory_block(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pool(spark, d).where("rank <= 6").withColumn("line", T.memory_line(F.col("ts"), views.as_of()))
+    out = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
+    return out.select("qid", F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("digest"))
+
+
+@query
+def since_label(spark: SparkSession, d: str) -> DataFrame:
+    last = views.session(spark, d).groupBy("user_id").agg(F.max("ts").alias("ts"))
+    return last.select("user_id", state.since_label(F.col("ts"), views.as_of()).alias("label"))
+
+
+@query
+def insight_window(spark: SparkSession, d: str) -> DataFrame:
+    return state.insight_window(views.memories(spark, d, False), views.as_of(), 480).select("user_id", "doc_id", "place")
+
+
+@query
+def soft_archive(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.memories(spark, d, False)
+    old = rows.join(consolidate.latest_wins(rows).select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    return consolidate.archived(rows, old, "newer").select("doc_id", "is_active", F.get_json_object("note", "$.archived_because").alias("reason"))
+
+
+@query
+def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.memories(spark, d, False).select("mem_id", "user_id")
+    return consolidate.inserted_if_absent(rows.where("user_id <> 'u3'").dropDuplicates(["mem_id"]), rows, "mem_id")
+
+
+@query
+def ascii_fold(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, X.FOLDED).select("id", T.ascii_folded(F.col("text")).alias("folded"))
+
+
 @query
 def stream_xp(spark: SparkSession, d: str) -> DataFrame:
     """The stateful stream over the events table, run to its end."""
