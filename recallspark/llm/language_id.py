@@ -11,9 +11,8 @@ tasks and summed by (language, piece). Fitting takes a bounded sample of
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ ROUNDS = 2
 UNDETERMINED = "und"
 #: Probability of a character that no piece covers, and counts added to each piece.
 UNSEEN, PRIOR = 1e-7, 0.05
-_CACHE_WORDS = 300_000
+_CACHE_WORDS, _TEXTS = 300_000, 400
 
 
 def public_pieces(model_file: str) -> tuple[str, ...]:
@@ -40,73 +39,97 @@ def public_pieces(model_file: str) -> tuple[str, ...]:
     return tuple(sorted({p.lower().replace("▁", " ") for p in own}))
 
 
+_P = np.uint64(0x9E3779B97F4A7C15)
+_SLOTS = 1 << 20
+
+
 class Segmenter:
-    """Forward and backward sums over the segmentations of a word."""
+    """Sums over all segmentations of many words at once.
+
+    Words stand in one array of code points, with zeros between. Every substring
+    of up to the longest piece's length is looked up by a rolling hash, which a
+    table maps to piece numbers; the recursions then take one position of all
+    words at a time."""
 
     def __init__(self, pieces: tuple[str, ...], table: np.ndarray) -> None:
         """table: a row of probabilities (one a language) for each piece."""
-        self.rows = dict(zip(pieces, map(tuple, table.tolist()), strict=True))
         self.longest = max(map(len, pieces), default=1)
-        self.unseen = (UNSEEN,) * table.shape[1]
-        self.n = table.shape[1]
-
-    def spans(self, s: str, end: int) -> Iterator[tuple[int, tuple[float, ...]]]:
-        """Starts of the pieces that end here; an uncovered character stands alone."""
-        rows, found = self.rows, False
-        for j in range(end - 1, max(-1, end - 1 - self.longest), -1):
-            p = rows.get(s[j:end])
-            if p is not None:
-                found = found or j == end - 1
-                yield j, p
-        if not found:
-            yield end - 1, self.unseen
-
-    def forward(self, s: str) -> tuple[list[list[float]], list[float]]:
-        """Sums scaled to at most one at each position, and the logs of the scales."""
-        n, size = self.n, len(s)
-        a, log = [[1.0] * n], [0.0]
-        for i in range(1, size + 1):
-            now, base = [0.0] * n, log[-1]
-            for j, p in self.spans(s, i):
-                f = math.exp(max(-700.0, log[j] - base)) if log[j] != base else 1.0
-                x = a[j]
-                for k in range(n):
-                    now[k] += f * x[k] * p[k]
-            top = max(now)
-            a.append([x / top for x in now])
-            log.append(base + math.log(top))
-        return a, log
-
-    def log_likelihood(self, s: str) -> tuple[float, ...]:
-        if len(s) <= 40:  # no underflow: each character costs at most the unseen probability
-            a = [[1.0] * self.n]
-            for i in range(1, len(s) + 1):
-                now = [0.0] * self.n
-                for j, p in self.spans(s, i):
-                    now = [t + x * y for t, x, y in zip(now, a[j], p, strict=True)]
-                a.append(now)
-            return tuple(map(math.log, a[-1]))
-        a, log = self.forward(s)
-        return tuple(math.log(x) + log[-1] if x > 0 else -1e6 for x in a[-1])
-
-    def expected(self, s: str, k: int, weight: float, into: Counter) -> None:
-        """Adds the expected count of each piece in ``s`` for language ``k``."""
-        size = len(s)
-        a = [0.0] * (size + 1)
-        a[0] = 1.0
-        cover = [[(j, p[k]) for j, p in self.spans(s, i)] for i in range(1, size + 1)]
-        for i in range(1, size + 1):
-            a[i] = sum(a[j] * p for j, p in cover[i - 1])
-        if a[size] <= 0:
-            return
-        b = [0.0] * (size + 1)
-        b[size] = 1.0
-        for i in range(size, 0, -1):
-            for j, p in cover[i - 1]:
-                b[j] += b[i] * p
-                x = s[j:i]
-                if x in self.rows:
-                    into[x] += weight * a[j] * p * b[i] / a[size]
+        self.n, self.pieces = table.shape[1], len(pieces)
+        # After the pieces: an uncovered character, and no piece.
+        self.table = np.concatenate([table, np.full((1, self.n), UNSEEN), np.zeros((1, self.n))])
+        hashes = np.zeros(len(pieces), np.uint64)
+        for i, p in enumerate(pieces):
+            for c in p:
+                hashes[i : i + 1] = hashes[i : i + 1] * _P + np.uint64(ord(c) + 1)
+        order = np.argsort(hashes)
+        self.sorted, self.number = hashes[order], order
+        self.maybe = np.zeros(_SLOTS, bool)
+        self.maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def _found(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Starts and lengths of the words, and by length the piece at each place."""
+        flat = "\0".join(words) + "\0"
+        c = np.frombuffer(flat.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        sizes = np.array([len(w) for w in words])
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        code = np.where(c > 0, c + np.uint64(1), np.uint64(0))
+        clear = np.cumsum(c == 0)
+        found, h = [], np.zeros(len(c), np.uint64)
+        for size in range(1, self.longest + 1):
+            m = len(c) - size + 1
+            if m <= 0:
+                break
+            h = h[:m] * _P + code[size - 1 :]
+            at = np.full(len(c), self.pieces + 1)
+            may = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)] & (clear[:m] == clear[size - 1 :]) & (c[:m] > 0))
+            if len(may) and self.pieces:
+                spot = np.minimum(np.searchsorted(self.sorted, h[may]), self.pieces - 1)
+                hit = self.sorted[spot] == h[may]
+                at[may[hit]] = self.number[spot[hit]]
+            if size == 1:
+                at[(at > self.pieces) & (c > 0)] = self.pieces
+            found.append(at)
+        return starts, sizes, found
+
+    def _sums(self, starts: np.ndarray, sizes: np.ndarray, found: list[np.ndarray], table: np.ndarray, back: bool) -> np.ndarray:
+        """Forward sums at each place (before its character), or backward ones."""
+        out = np.zeros((len(found[0]) + 1, table.shape[1]))
+        out[starts + (sizes if back else 0)] = 1.0
+        for i in range(1, int(sizes.max()) + 1):
+            own = sizes >= i
+            s, e = starts[own], sizes[own]
+            here = s + (e - i if back else i)
+            for size in range(1, min(i, len(found)) + 1):
+                first = here if back else here - size
+                piece = found[size - 1][first]
+                use = np.flatnonzero(piece <= self.pieces)
+                if len(use):
+                    out[here[use]] += out[(here + size if back else first)[use]] * table[piece[use]]
+        return out
+
+    def log_likelihoods(self, words: list[str]) -> np.ndarray:
+        """A row a word, a column a language. Long words go in parts of 40, cut
+        where a fixed rule says, so that no sum can underflow."""
+        parts = [[w[i : i + 40] for i in range(0, len(w), 40)] for w in words]
+        flat = list(chain.from_iterable(parts))
+        starts, sizes, found = self._found(flat)
+        with np.errstate(divide="ignore"):
+            log = np.log(self._sums(starts, sizes, found, self.table, False)[starts + sizes])
+        return np.add.reduceat(log, np.cumsum([0, *map(len, parts)])[:-1], axis=0)
+
+    def expected(self, words: list[str], weights: np.ndarray, k: int) -> np.ndarray:
+        """Expected count of each piece in the words for language ``k``."""
+        starts, sizes, found = self._found(words)
+        own = np.ascontiguousarray(self.table[:, k : k + 1])
+        a, b = self._sums(starts, sizes, found, own, False), self._sums(starts, sizes, found, own, True)
+        z = np.zeros(len(a))
+        word = np.repeat(np.arange(len(words)), sizes + 1)
+        z[: len(word)] = (weights / a[starts + sizes, 0])[word]
+        out = np.zeros(self.pieces + 2)
+        for size, piece in enumerate(found, 1):
+            j = np.flatnonzero(piece <= self.pieces)
+            out += np.bincount(piece[j], weights=z[j] * a[j, 0] * own[piece[j], 0] * b[j + size, 0], minlength=len(out))
+        return out[: self.pieces]
 
 
 def letters(word: str) -> str:
@@ -115,15 +138,14 @@ def letters(word: str) -> str:
     return f" {own}" if own else ""
 
 
-def _table(pieces: tuple[str, ...], langs: list[str], counts: dict[tuple[str, str], float] | None) -> np.ndarray:
+def _table(pieces: tuple[str, ...], langs: list[str], counts: list[tuple[int, int, float]] | None) -> np.ndarray:
     """Row a piece, column a language; at first by length alone."""
     if counts is None:
         t = np.array([[0.05 ** len(p)] * len(langs) for p in pieces]).reshape(len(pieces), len(langs))
     else:
-        at = {p: i for i, p in enumerate(pieces)}
         t = np.full((len(pieces), len(langs)), PRIOR)
-        for (lang, piece), c in counts.items():
-            t[at[piece], langs.index(lang)] += c
+        for k, piece, n in counts:
+            t[piece, k] += n
     return t / t.sum(axis=0, keepdims=True)
 
 
@@ -148,16 +170,18 @@ def fit(labelled: DataFrame, pieces: tuple[str, ...], sample_docs: int = SAMPLE_
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces, langs, table = sent.value
-            seg, got = Segmenter(pieces, table), {x: Counter() for x in langs}
+            seg, got = Segmenter(pieces, table), np.zeros((len(langs), len(pieces)))
             for batch in batches:
-                for lang, w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (s := letters(w)) and len(s) <= 200:
-                        seg.expected(s, langs.index(lang), n, got[lang])
-            flat = [(x, p, c) for x, own in got.items() for p, c in own.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*flat) if flat else ((), (), ()), (pa.string(), pa.string(), pa.float64()), strict=True)], ["lang", "piece", "n"])
-
-        made = counts.mapInArrow(expect, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-        table = _table(pieces, langs, {(r["lang"], r["piece"]): r["n"] for r in made.collect()})
+                lang, words, n = (c.to_pylist() for c in batch.columns)
+                for k, x in enumerate(langs):
+                    own = [(s, c) for y, w, c in zip(lang, words, n, strict=True) if y == x and (s := letters(w)) and len(s) <= 40]
+                    if own:
+                        got[k] += seg.expected([s for s, _ in own], np.array([c for _, c in own], float), k)
+            k, piece = np.nonzero(got)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(got[k, piece])], ["lang", "piece", "n"])
+
+        made = counts.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        table = _table(pieces, langs, [tuple(r) for r in made.collect()])
     return langs, table, np.log([n / total for _, n in sizes])
 
 
@@ -172,33 +196,22 @@ def predict(docs: DataFrame, pieces: tuple[str, ...], model: tuple[list[str], np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, table, prior = sent.value
-        seg = Segmenter(pieces, table)
-        vectors = np.zeros((1024, len(langs)))
-
-        class Words(dict):
-            """Rows of the log likelihoods by word; row 0 is for words without letters."""
-
-            def __missing__(self, word: str) -> int:
-                nonlocal vectors
-                s = letters(word)
-                if not s:
-                    return 0
-                at = len(self) + 1
-                if at >= len(vectors):
-                    vectors = np.concatenate([vectors, np.zeros_like(vectors)])
-                vectors[at] = seg.log_likelihood(s)
-                self[word] = at
-                return at
-
-        known = Words()
-        for batch in batches:
+        seg, known = Segmenter(pieces, table), {}
+        vectors = np.zeros((1, len(langs)))  # row 0 is for words without letters
+        for batch in (x.slice(i, _TEXTS) for x in batches for i in range(0, len(x), _TEXTS)):
             lang, score = [], []
-            for value in batch.column(len(keep)):
-                if len(known) > _CACHE_WORDS:
-                    known.clear()
-                words = (value.as_py() or "").lower().split()
-                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                if not langs or not at.any():
+            texts = [(x or "").lower().split() for x in batch.column(len(keep)).to_pylist()]
+            if langs:
+                new = set(chain.from_iterable(texts)).difference(known)
+                if len(known) + len(new) > _CACHE_WORDS:
+                    known, vectors, new = {}, vectors[:1], set(chain.from_iterable(texts))
+                spelt = [(w, s) for w in new if (s := letters(w))]
+                known |= dict.fromkeys(new, 0) | {w: len(vectors) + i for i, (w, _) in enumerate(spelt)}
+                if spelt:
+                    vectors = np.concatenate([vectors, seg.log_likelihoods([s for _, s in spelt])])
+            for words in texts:
+                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words)) if langs else np.zeros(0, int)
+                if not at.any():
                     lang.append(UNDETERMINED)
                     score.append(0.0)
                     continue
