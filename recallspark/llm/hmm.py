@@ -31,7 +31,7 @@ WORDS, CLASSES, STATES, ROUNDS = 16384, 256, 6, 4
 #: Words held by a counting task before it passes its counts on.
 _COUNTER_WORDS = 500_000
 #: Tokens that one run of the recursions takes, unless one text has more.
-_CHUNK_TOKENS = 600_000
+_CHUNK_TOKENS = 300_000
 STAY, SMOOTH = 0.9, 200.0
 
 
@@ -144,24 +144,33 @@ class Model:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Rows and their symbols, longest first, in chunks of bounded tokens."""
-    rows, seqs, held = [], [], 0
-
-    def ordered() -> tuple[list, list[np.ndarray]]:
+    """Rows and their symbols, longest first, in chunks of bounded tokens. Each
+    chunk has texts of about one length, so that a long text doesn't make the
+    recursions of short ones run on."""
+    held: dict[int, tuple[list, list[np.ndarray]]] = {}
+    tokens: Counter = Counter()
+
+    def ordered(k: int) -> tuple[list, list[np.ndarray]]:
+        rows, seqs = held.pop(k)
+        tokens.pop(k)
         order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
         return [rows[i] for i in order], [seqs[i] for i in order]
 
     for batch in batches:
         others = [batch.column(i).to_pylist() for i in range(batch.num_columns) if i != column]
-        for i, x in enumerate(batch.column(column)):
+        lists = batch.column(column)
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        for i in range(len(lists)):
+            x = flat[ends[i] : ends[i + 1]].copy()
+            k = len(x).bit_length()
+            rows, seqs = held.setdefault(k, ([], []))
             rows.append(tuple(o[i] for o in others))
-            seqs.append(x.values.to_numpy())
-            held += len(seqs[-1])
-            if held >= _CHUNK_TOKENS:
-                yield ordered()
-                rows, seqs, held = [], [], 0
-    if rows:
-        yield ordered()
+            seqs.append(x)
+            tokens[k] += len(x)
+            if tokens[k] >= _CHUNK_TOKENS:
+                yield ordered(k)
+    for k in list(held):
+        yield ordered(k)
 
 
 def trained(table: DataFrame, share: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
