@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CACHE_PIECES, _LONG_PIECE = 200_000, 64
+_CACHE_PIECES, _LONG_PIECE, _TEXTS = 150_000, 64, 200
 
 
 def byte_table() -> dict[int, str]:
@@ -59,15 +59,17 @@ class Vocabulary:
 
 
 class _Pieces(dict):
-    """Ids of pieces. Emptied when full; long pieces are not kept."""
+    """Ids of pieces, by the model alone on their mapped bytes. Emptied when full;
+    long pieces are not kept."""
 
     def __init__(self, model: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_str(model).encode
+        self.model = Tokenizer.from_str(model).model
+        self.table = byte_table()
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.encode(piece, add_special_tokens=False).ids)
+    def __missing__(self, piece: str) -> list[int]:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
         if len(piece) <= _LONG_PIECE:
             if len(self) >= _CACHE_PIECES:
                 self.clear()
@@ -107,10 +109,10 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep:
 
         model, width, pattern = sent.value
         find, pieces = regex.compile(pattern).findall, _Pieces(model)
-        for batch in batches:
+        for batch in (x.slice(i, _TEXTS) for x in batches for i in range(0, len(x), _TEXTS)):
             ids, starts, ends, split = [], [], [], []
-            for value in batch.column(len(keep)):
-                text = value.as_py() or ""
+            texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
+            for text in texts:
                 own = np.fromiter(chain.from_iterable(map(pieces.__getitem__, find(text))), np.int32)
                 a, b, n = character_offsets(text.encode(), width[own])
                 ids.append(own)
@@ -138,23 +140,33 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataF
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = sent.value.__getitem__
-        for batch in batches:
+        pieces = sent.value
+        flat, width = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64)
+        start = np.cumsum(width) - width
+        for batch in (x.slice(i, _TEXTS) for x in batches for i in range(0, len(x), _TEXTS)):
             lists = batch.column(at)
-            done = [b"".join(map(piece, x.values.to_pylist())) if x.is_valid else b"" for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.binary())], names)
+            ids = lists.flatten().to_numpy()
+            sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+            ends = np.cumsum(width[ids])
+            # Each byte's place in the table: its token's start and its place in the token.
+            own = np.repeat(start[ids] - ends + width[ids], width[ids]) + np.arange(ends[-1] if len(ends) else 0)
+            borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+            done = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(borders.tobytes()), pa.py_buffer(flat[own].tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, done], names)
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
     return rows.mapInArrow(run, ", ".join([*kinds, "decoded binary"]))
 
 
-def round_trip_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_split) of encode and decode."""
-    done = decode(encode(docs, vocabulary), vocabulary)
+def round_trip_digests(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """``keep`` columns, n_tokens, ids_sha256, decoded_sha256 and n_split of
+    encoding and decoding again; with ``ids`` if asked."""
+    done = decode(encode(docs, vocabulary, keep=keep), vocabulary)
     return done.select(
-        "doc_id",
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         "n_split",
+        *(["ids"] if with_ids else []),
     )
