@@ -2,7 +2,7 @@
 
 Each language has a probability for each piece of a fixed public vocabulary. A
 word's likelihood is the sum over all its segmentations into pieces, by the
-forward recursion; a text's is the product over its words, as pieces do not
+scaled forward recursion, whatever its length; a text's is the product over its words, as pieces do not
 cross white space. Piece probabilities are fitted by expectation maximisation:
 expected piece counts of words (forward and backward) are computed in Spark
 tasks and summed by (language, piece). Fitting takes a bounded sample of
@@ -27,7 +27,9 @@ ROUNDS = 2
 UNDETERMINED = "und"
 #: Probability of a character that no piece covers, and counts added to each piece.
 UNSEEN, PRIOR = 1e-7, 0.05
-_CACHE_WORDS, _TEXTS = 300_000, 400
+_CACHE_WORDS, _CACHE_CHARS, _TEXTS = 300_000, 16_000_000, 400
+#: Places between two scalings, and characters that one run of the recursions takes, unless one word has more.
+_SCALE, _BLOCK = 16, 1 << 19
 
 
 def public_pieces(model_file: str) -> tuple[str, ...]:
@@ -91,44 +93,67 @@ class Segmenter:
             found.append(at)
         return starts, sizes, found
 
-    def _sums(self, starts: np.ndarray, sizes: np.ndarray, found: list[np.ndarray], table: np.ndarray, back: bool) -> np.ndarray:
-        """Forward sums at each place (before its character), or backward ones."""
+    def _sums(self, starts: np.ndarray, sizes: np.ndarray, found: list[np.ndarray], table: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Forward sums at each place (before its character), or backward ones,
+        as numbers and the logarithms of their scales. ``sizes`` must descend.
+        Every ``_SCALE`` places, the sums that later ones read are divided by
+        the newest, so that a word of any length is summed whole."""
         out = np.zeros((len(found[0]) + 1, table.shape[1]))
+        log, scale = np.zeros_like(out), np.zeros((len(sizes), table.shape[1]))
         out[starts + (sizes if back else 0)] = 1.0
         for i in range(1, int(sizes.max()) + 1):
-            own = sizes >= i
-            s, e = starts[own], sizes[own]
+            own = np.searchsorted(-sizes, -i, "right")
+            s, e = starts[:own], sizes[:own]
             here = s + (e - i if back else i)
+            log[here] = scale[:own]
             for size in range(1, min(i, len(found)) + 1):
                 first = here if back else here - size
                 piece = found[size - 1][first]
                 use = np.flatnonzero(piece <= self.pieces)
                 if len(use):
                     out[here[use]] += out[(here + size if back else first)[use]] * table[piece[use]]
-        return out
+            if i % _SCALE == 0:
+                read = here[:, None] + np.arange(min(i + 1, len(found))) * (1 if back else -1)
+                newest = out[here]
+                out[read] /= newest[:, None]
+                scale[:own] += np.log(newest)
+                log[read] = scale[:own, None]
+        return out, log
+
+    def _blocks(self, words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """The words in descending length, in blocks of about ``_BLOCK`` characters."""
+        sizes = np.array([len(w) for w in words])
+        order = np.argsort(-sizes, kind="stable")
+        block = np.cumsum(sizes[order]) // _BLOCK
+        for own in np.split(order, np.flatnonzero(np.diff(block)) + 1):
+            yield own, [words[i] for i in own]
 
     def log_likelihoods(self, words: list[str]) -> np.ndarray:
-        """A row a word, a column a language. Long words go in parts of 40, cut
-        where a fixed rule says, so that no sum can underflow."""
-        parts = [[w[i : i + 40] for i in range(0, len(w), 40)] for w in words]
-        flat = list(chain.from_iterable(parts))
-        starts, sizes, found = self._found(flat)
-        with np.errstate(divide="ignore"):
-            log = np.log(self._sums(starts, sizes, found, self.table, False)[starts + sizes])
-        return np.add.reduceat(log, np.cumsum([0, *map(len, parts)])[:-1], axis=0)
+        """A row a word of any length, a column a language."""
+        out = np.empty((len(words), self.n))
+        for own, block in self._blocks(words):
+            starts, sizes, found = self._found(block)
+            a, log = self._sums(starts, sizes, found, self.table, False)
+            with np.errstate(divide="ignore"):
+                out[own] = np.log(a[starts + sizes]) + log[starts + sizes]
+        return out
 
     def expected(self, words: list[str], weights: np.ndarray, k: int) -> np.ndarray:
         """Expected count of each piece in the words for language ``k``."""
-        starts, sizes, found = self._found(words)
         own = np.ascontiguousarray(self.table[:, k : k + 1])
-        a, b = self._sums(starts, sizes, found, own, False), self._sums(starts, sizes, found, own, True)
-        z = np.zeros(len(a))
-        word = np.repeat(np.arange(len(words)), sizes + 1)
-        z[: len(word)] = (weights / a[starts + sizes, 0])[word]
         out = np.zeros(self.pieces + 2)
-        for size, piece in enumerate(found, 1):
-            j = np.flatnonzero(piece <= self.pieces)
-            out += np.bincount(piece[j], weights=z[j] * a[j, 0] * own[piece[j], 0] * b[j + size, 0], minlength=len(out))
+        for chosen, block in self._blocks(words):
+            starts, sizes, found = self._found(block)
+            (a, at), (b, bt) = self._sums(starts, sizes, found, own, False), self._sums(starts, sizes, found, own, True)
+            end = starts + sizes
+            z, whole = np.zeros(len(a)), np.zeros(len(a))
+            word = np.repeat(np.arange(len(block)), sizes + 1)
+            z[: len(word)] = (weights[chosen] / a[end, 0])[word]
+            whole[: len(word)] = at[end, 0][word]
+            for size, piece in enumerate(found, 1):
+                j = np.flatnonzero(piece <= self.pieces)
+                scale = np.exp(at[j, 0] + bt[j + size, 0] - whole[j])
+                out += np.bincount(piece[j], weights=z[j] * (a[j, 0] * scale) * own[piece[j], 0] * b[j + size, 0], minlength=len(out))
         return out[: self.pieces]
 
 
@@ -174,7 +199,7 @@ def fit(labelled: DataFrame, pieces: tuple[str, ...], sample_docs: int = SAMPLE_
             for batch in batches:
                 lang, words, n = (c.to_pylist() for c in batch.columns)
                 for k, x in enumerate(langs):
-                    own = [(s, c) for y, w, c in zip(lang, words, n, strict=True) if y == x and (s := letters(w)) and len(s) <= 40]
+                    own = [(s, c) for y, w, c in zip(lang, words, n, strict=True) if y == x and (s := letters(w))]
                     if own:
                         got[k] += seg.expected([s for s, _ in own], np.array([c for _, c in own], float), k)
             k, piece = np.nonzero(got)
@@ -196,15 +221,16 @@ def predict(docs: DataFrame, pieces: tuple[str, ...], model: tuple[list[str], np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, table, prior = sent.value
-        seg, known = Segmenter(pieces, table), {}
+        seg, known, chars = Segmenter(pieces, table), {}, 0
         vectors = np.zeros((1, len(langs)))  # row 0 is for words without letters
         for batch in (x.slice(i, _TEXTS) for x in batches for i in range(0, len(x), _TEXTS)):
             lang, score = [], []
             texts = [(x or "").lower().split() for x in batch.column(len(keep)).to_pylist()]
             if langs:
                 new = set(chain.from_iterable(texts)).difference(known)
-                if len(known) + len(new) > _CACHE_WORDS:
-                    known, vectors, new = {}, vectors[:1], set(chain.from_iterable(texts))
+                if len(known) + len(new) > _CACHE_WORDS or chars > _CACHE_CHARS:
+                    known, vectors, new, chars = {}, vectors[:1], set(chain.from_iterable(texts)), 0
+                chars += sum(map(len, new))
                 spelt = [(w, s) for w in new if (s := letters(w))]
                 known |= dict.fromkeys(new, 0) | {w: len(vectors) + i for i, (w, _) in enumerate(spelt)}
                 if spelt:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -67,6 +68,41 @@ def test_segmentation_sums():
     assert math.isclose((seg.expected(words[:2], np.ones(2), 0) * [len(x) for x in pieces]).sum(), 8)
 
 
+def test_long_words_are_summed_whole():
+    pieces = ("a", "ab", "b", " ", " a", "ba", "abab", "bababababa")
+    table = np.array([[0.2, 0.1], [0.1, 0.3], [0.2, 0.1], [0.1, 0.1], [0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.3, 0.2]])
+    seg, p = language_id.Segmenter(pieces, table), [dict(zip(pieces, map(Fraction, c), strict=True)) for c in table.T]
+
+    def sums(s, p):
+        a = [Fraction(1)]
+        for i in range(1, len(s) + 1):
+            a.append(sum(a[i - n] * p[s[i - n : i]] for n in range(1, min(i, 10) + 1) if s[i - n : i] in p) + (0 if s[i - 1] in p else a[i - 1] * Fraction(language_id.UNSEEN)))
+        return a
+
+    def log(x):
+        return math.log(x.numerator) - math.log(x.denominator)
+
+    words = [" ba", " " + "ab" * 50, "abba" * 9 + "é" * 60 + "baba" * 20, "x" * 200, " " + "bababababaa" * 40, "aé"]
+    assert np.allclose(seg.log_likelihoods(words), [[log(sums(w, q)[-1]) for q in p] for w in words], rtol=1e-10)
+    # The expected counts of a word's pieces, from exact forward and backward sums.
+    for s in words[1:3]:
+        for k, q in enumerate(p):
+            turned = sums(s[::-1], {x[::-1]: v for x, v in q.items()})
+            a, b = sums(s, q), turned[::-1]
+            want = [float(sum(a[i] * q[x] * b[i + len(x)] for i in range(len(s)) if s.startswith(x, i)) / a[-1]) for x in pieces]
+            assert np.allclose(seg.expected([s, " ba"], np.array([1.0, 0.0]), k), want)
+    words.append("abba" * 5000)
+    whole = seg.expected(words, np.ones(len(words)), 0)
+    assert np.isfinite(whole).all() and math.isclose((whole * [len(x) for x in pieces]).sum(), sum(len(w) - w.count("é") - w.count("x") for w in words))
+
+
+def test_fit_reads_long_words(spark):
+    rows = [(i, ("ab" if i % 2 else "cd") * 100, "xx" if i % 2 else "yy") for i in range(6)]
+    pieces = (" ", "a", "b", "c", "d", "ab", "cd")
+    langs, table, _ = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), pieces)
+    assert langs == ["xx", "yy"] and table[5, 0] > 10 * table[6, 0] and table[6, 1] > 10 * table[5, 1]
+
+
 def test_language(spark, docs, empty):
     model = public_tokenizers.path("piece_bpe_32k.model")
     got = language_id.identify(docs, model).collect()
