@@ -3,14 +3,15 @@
 Patterns find e-mail and IP addresses, card and phone numbers in whole texts.
 The values found are protected entities. How strongly a term reveals one is
 estimated from the corpus: with N documents, n(t) of them holding term t, n(e)
-holding entity e, and n(e,t) holding t within ``WINDOW`` characters of e, the
-disclosure is PMI(e;t) / IC(e) = 1 - ln(n(t)/n(e,t)) / ln(N/n(e)): 0 for a term
-spread evenly, 1 for one found nowhere but beside e. A term near e that reaches
-``DISCLOSURE``, in at least ``SUPPORT`` documents, is a span too. Terms that
-always stand beside the value are removed, others generalised to their class.
-
-DataFrame functions only. Work on pairs is bounded by the text near values;
-equal contexts are counted once with their number, so copies cost nothing.
+holding entity e, and n(e,t) holding both, wherever they stand, the disclosure
+is PMI(e;t) / IC(e) = 1 - ln(n(t)/n(e,t)) / ln(N/n(e)): 0 for a term spread
+evenly, 1 for one found only in documents with e. A term that reaches
+``DISCLOSURE`` for a value, in at least ``SUPPORT`` documents with it, is a span
+wherever it occurs, in documents without the value too. Terms found only with
+the value are removed, others generalised to their class.
+
+DataFrame functions only. Pairs are formed of values and terms that can still
+reach both limits; equal texts with values are counted once with their number.
 """
 
 from __future__ import annotations
@@ -32,8 +33,12 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-WINDOW, DISCLOSURE, SUPPORT = 60, 0.85, 3
+DISCLOSURE, SUPPORT = 0.85, 3
 TERM = r"\p{L}[\p{L}\p{N}]{2,}"
+#: Stands for a letter or digit of a value, and terms with what runs into a value: a
+#: term inside a value's span is that value's part, not a term.
+_MARK = "\uffff"
+_OUTSIDE = rf"\p{{L}}[\p{{L}}\p{{N}}{_MARK}]{{2,}}"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -81,70 +86,75 @@ def base_string() -> Column:
 
 def _entities(kind: str) -> Column:
     name = F.lit(f"{kind}:")
-    return F.transform(F.col(f"__{kind}"), lambda s: F.struct(F.concat(name, s["value"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(F.col(f"__{kind}"), lambda s: F.concat(name, s["value"]))
 
 
-def term_spans(docs: DataFrame, window: int = WINDOW, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(text_key, terms): for each text with protected values, the spans
-    (start, end, value, sure) of terms that disclose one of them. ``sure``
-    marks those found nowhere else. Texts without such terms have no row."""
+def _masked() -> Column:
+    """The text with the letters and digits of its values as ``_MARK``; places stay."""
+    text = F.translate(F.col("text"), _MARK, " ")
+    spans = F.array_sort(F.concat(*(F.col(f"__{k}") for k in KINDS)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        between = F.substr(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+        own = F.substr(F.regexp_replace(s["value"], r"[\p{L}\p{N}]", _MARK), F.greatest(a["at"] - s["start"], F.lit(0)) + 1)
+        return F.when(s["end"] > a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(between, own)).alias("out"))).otherwise(a)
+
+    new = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)))
+    return F.when(F.size(spans) > 0, new).otherwise(text)
+
+
+def _terms(text: Column, pattern: str = TERM) -> Column:
+    """The distinct terms of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
+
+
+def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(term, sure): the terms that disclose a value. ``sure`` marks those found
+    in no document but the value's."""
     spanned = with_base_spans(docs.select("text").where("text is not null"))
-    values = F.concat(*map(_entities, KINDS))
-    held = spanned.select(F.sha2("text", 256).alias("text_key"), "text", values.alias("values")).where(F.size("values") > 0)
-    # The text near each value, without the words that the window's edge cuts.
-    left_at = lambda v: F.greatest(v["start"] - window, F.lit(0))
-    near = lambda v: F.struct(
-        v["entity"].alias("entity"), v["start"].alias("start"), v["end"].alias("end"),
-        F.substring(F.col("text"), left_at(v) + 1, v["start"] - left_at(v)).alias("left"),
-        F.substring(F.col("text"), v["end"] + 1, F.lit(window)).alias("right"),
-        (F.length("text") - v["end"] > window).alias("more"),
-    )
-    held = held.select("text_key", F.transform("values", near).alias("near"))
+    values = F.array_distinct(F.concat(*map(_entities, KINDS)))
+    held = spanned.where(F.size(F.concat(*(F.col(f"__{k}") for k in KINDS))) > 0)
+    held = held.select(F.sha2("text", 256).alias("text_key"), values.alias("entities"), F.filter(_terms(_masked(), _OUTSIDE), lambda x: ~F.contains(x, F.lit(_MARK))).alias("terms"))
     # Copies of a text are one row with their number.
-    held = stored(held.groupBy("text_key", "near").agg(F.count("*").alias("copies")))
-
-    sided = held.select("text_key", "copies", F.explode("near").alias("v"))
-    cut_left = F.when((F.col("v.start") > window), F.regexp_extract("v.left", r"^[\p{L}\p{N}]*", 0)).otherwise("")
-    cut_right = F.when(F.col("v.more"), F.regexp_extract("v.right", r"[\p{L}\p{N}]*$", 0)).otherwise("")
-    side = sided.select(
-        "text_key", "copies", "v.entity",
-        F.inline(F.array(
-            F.struct((F.col("v.start") - F.length("v.left") + F.length(cut_left)).alias("at"), F.substr("v.left", F.length(cut_left) + 1).alias("part")),
-            F.struct(F.col("v.end").alias("at"), F.left("v.right", F.length("v.right") - F.length(cut_right)).alias("part")),
-        )),
-    )
-    words = side.select("text_key", "copies", "entity", "at", F.inline(matches(F.col("part"), TERM)))
-    words = words.select("text_key", "copies", "entity", F.lower("value").alias("term"), "value", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
-    # A term inside another value's span is that value's part, not a term. Both
-    # are matched by stretches of 256 characters, so that a text with very many
-    # values isn't compared with itself.
-    near_by = F.sequence(F.floor((F.col("o.start") - window) / 256), F.floor((F.col("o.end") - 1) / 256))
-    inside = held.select("text_key", F.explode("near").alias("o")).select("text_key", F.col("o.start").alias("os"), F.col("o.end").alias("oe"), F.explode(near_by).alias("stretch"))
-    same = (words.text_key == inside.text_key) & (F.floor(words.start / 256) == inside.stretch) & (words.start < inside.oe) & (words.end > inside.os)
-    words = stored(words.join(inside, same, "left_anti"))
-
-    pairs = words.select("text_key", "copies", "entity", "term").distinct().groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).where(F.col("n_et") >= support)
-    entities = sided.select("text_key", "copies", "v.entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    all_terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = all_terms.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("total"))
-    risk = pairs.join(entities, "entity").join(n_t, "term").join(F.broadcast(total))
-    score = F.when(F.col("total") > F.col("n_e"), 1 - F.log(F.col("n_t") / F.col("n_et")) / F.log(F.col("total") / F.col("n_e"))).otherwise(0.0)
-    risk = risk.where(score >= disclosure).select("entity", "term", (F.col("n_t") == F.col("n_et")).alias("sure"))
-    spans = words.join(risk, ["entity", "term"]).groupBy("text_key", "start", "end", "value").agg(F.max("sure").alias("sure"))
-    return spans.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "sure"))).alias("terms"))
+    held = stored(held.groupBy("text_key", "entities", "terms").agg(F.count("*").alias("copies")))
+
+    # Neither entities nor terms of fewer documents than ``support`` can reach
+    # it, and as n(e,t) <= n(e), a term of more than n(e)^d N^(1-d) documents
+    # can't reach the disclosure d: leaving them out changes nothing.
+    own = held.select("text_key", "copies", F.explode("entities").alias("entity"))
+    entities = stored(own.groupBy("entity").agg(F.sum("copies").alias("n_e")).where(F.col("n_e") >= support))
+    total, most = docs.count(), entities.agg(F.max("n_e")).first()[0] or 0
+    bound = lambda n: F.pow(n, F.lit(disclosure)) * float(total) ** (1 - disclosure) * (1 + 1e-9)
+    n_t = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = n_t.where((F.col("n_t") >= support) & (F.col("n_t") <= bound(F.lit(most))))
+    own = own.join(entities, "entity")
+    terms = held.join(own.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode("terms").alias("term")).join(n_t, "term")
+    pairs = own.join(terms, (own.text_key == terms.text_key) & (F.col("n_t") <= bound(F.col("n_e"))))
+    risk = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("copies").alias("n_et")).where(F.col("n_et") >= support)
+    score = F.when(F.lit(total) > F.col("n_e"), 1 - F.log(F.col("n_t") / F.col("n_et")) / F.log(F.lit(total) / F.col("n_e"))).otherwise(0.0)
+    return risk.where(score >= disclosure).groupBy("term").agg(F.max(F.col("n_t") == F.col("n_et")).alias("sure"))
+
+
+def hits(docs: DataFrame, **limits: float) -> DataFrame:
+    """(text_key, terms): for each text, with a value or without, the disclosing
+    terms (term, sure) that it holds. Texts without such terms have no row."""
+    risk = stored(disclosing(docs, **limits))
+    texts = docs.select(F.sha2("text", 256).alias("text_key"), F.explode(_terms(F.col("text"))).alias("term"))
+    held = texts.join(risk, "term").groupBy("text_key")
+    return held.agg(F.collect_set(F.struct("term", "sure")).alias("terms"))
 
 
 def _with_all_spans(docs: DataFrame, **limits: float) -> DataFrame:
-    """``docs`` with base spans and __terms. Only documents that hold a value
-    are joined to the terms; the others go round the join."""
-    spanned = with_base_spans(docs)
-    holds = F.greatest(*(F.size(f"__{k}") for k in KINDS)) > 0
+    """``docs`` with base spans and __terms: the spans (start, end, value, sure)
+    of all occurrences of disclosing terms."""
     kind = "array<struct<start:int,end:int,value:string,sure:boolean>>"
-    terms = term_spans(docs, **limits).withColumnRenamed("text_key", "__key").withColumnRenamed("terms", "__terms")
-    with_values = spanned.where(holds).withColumn("__key", F.sha2("text", 256)).join(terms, "__key", "left").drop("__key")
-    with_values = with_values.withColumn("__terms", F.coalesce("__terms", F.array().cast(kind)))
-    return with_values.unionByName(spanned.where(~holds).withColumn("__terms", F.array().cast(kind)))
+    held = stored(hits(docs, **limits)).select(F.col("text_key").alias("__key"), F.map_from_entries("terms").alias("__hits"))
+    found = with_base_spans(docs.withColumn("__key", F.sha2("text", 256)).join(held.hint("merge"), "__key", "left").drop("__key"))
+    sure = lambda s: F.element_at("__hits", F.lower(s["value"]))
+    words = F.filter(matches(_masked(), _OUTSIDE), lambda s: sure(s).isNotNull())
+    spans = F.transform(words, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), sure(s).alias("sure")))
+    return found.withColumn("__terms", F.when(F.col("__hits").isNotNull(), spans).otherwise(F.array().cast(kind))).drop("__hits")
 
 
 def find(docs: DataFrame, **limits: float) -> DataFrame:

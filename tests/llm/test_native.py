@@ -58,6 +58,19 @@ def test_disclosing_terms(spark):
     assert clean[100] == rows[8][1] and clean[200] is None and len(clean) == len(rows)
 
 
+def test_disclosing_terms_wherever_they_stand(spark):
+    far = " and so on" * 30
+    rows = [(i, f"dear zorblat{far} write to zed@mail.org or quuxen") for i in range(6)] + [(6, "ask Zorblat, said zorblat and zorblaten"), (7, f"Zorblat{far} 10.0.0.1 zorblat")]
+    rows += [(100 + i, f"the mail is fine {far}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    at = rows[0][1].index("quuxen")
+    assert len(got) == len(rows) and "term:5:12," in got[0].spans and got[0].spans.endswith(f"term:{at}:{at + 6}")
+    assert got[6].spans == ",term:4:11,term:18:25" and got[7].spans.endswith(f"term:0:7,term:{len(rows[7][1]) - 7}:{len(rows[7][1])}") and got[100].n_terms == 0
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert clean[6] == "ask <term>, said <term> and zorblaten" and "quuxen" not in clean[0] and clean[0].startswith(" <term> and") and clean[100] == rows[8][1]
+
+
 def test_pii_keeps_rows(docs, empty):
     assert pii.sanitised(docs).count() == docs.count() and pii.sanitised(docs).columns == docs.columns
     assert pii.find(empty).count() == 0
