@@ -44,6 +44,16 @@ def test_one_of_each(docs, rows):
     assert N.one_of_each(docs).columns == docs.columns
 
 
+def test_the_stage_takes_five_words(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(40)]
+    one, other = " ".join(words), " ".join([*words[:20], "changed", *words[21:]])  # 33 of 41 shingles of four words, 31 of 41 of five
+    df = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 2]
+    assert [r.doc_id for r in N.one_of_each(df).collect()] == [1]
+
+
 def test_empty(empty):
     assert N.near_duplicates(empty).count() == 0
 
