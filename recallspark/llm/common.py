@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -16,11 +21,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) a temporary
-    folder takes its place.
+    Only where ``spark.checkpoint.dir`` is unset and Spark runs in one process
+    a folder below Spark's own temporary one takes its place; on a cluster the
+    setting must be there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="recallspark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -41,6 +49,30 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores before it until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def key128(value: str | Column) -> Column:
+    """A binary key of 128 bits, from two hashes with seeds of their own."""
+    halves = (F.lpad(F.hex(F.xxhash64(F.lit(seed), value)), 16, "0") for seed in (1, 2))
+    return F.unhex(F.concat(*halves))
+
+
+def arrow_slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes in one column, or one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = (np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist()
+        for s, e in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+            if e > s:
+                yield batch.slice(s, e - s)
+
+
 def held_out(folds: int, fold: int) -> Column:
     """Whether crc32 of the doc_id as text leaves ``fold``; a null id is the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == fold

@@ -162,18 +162,96 @@ def test_hmm(docs, rows, empty):
     assert len(alone) == len(rows) and all(r.score == r.base_score for r in alone)
 
 
-def test_forward_is_exact():
+def test_forward_is_exact(monkeypatch):
     rng = np.random.default_rng(1)
     m = hmm.Model.initial(rng.random(7), 3)
     seqs = [rng.integers(0, 7, n) for n in (9, 4, 4, 1)]
-    for s, x in zip(seqs, m.forward(seqs)[0], strict=True):
-        a = m.start * m.emit[s[0]]
-        for k in s[1:]:
-            a = (a @ m.move) * m.emit[k]
-        assert math.isclose(math.log(a.sum()), x, rel_tol=1e-9)
-    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))
-    m.expected(seqs, start, move, emit)
-    assert math.isclose(start.sum(), 4) and math.isclose(move.sum(), 14) and math.isclose(emit.sum(), 18)
-    before = m.forward(seqs)[0].sum()
+    sums = []
+    for size in (1_000_000, 5, 1):  # one segment, some, one a time
+        monkeypatch.setattr(hmm, "_SEGMENT_TOKENS", size)
+        for s, x in zip(seqs, m.likelihoods(seqs), strict=True):
+            a = m.start * m.emit[s[0]]
+            for k in s[1:]:
+                a = (a @ m.move) * m.emit[k]
+            assert math.isclose(math.log(a.sum()), x, rel_tol=1e-9)
+        start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))
+        m.expected(seqs, start, move, emit)
+        assert math.isclose(start.sum(), 4) and math.isclose(move.sum(), 14) and math.isclose(emit.sum(), 18)
+        sums.append(np.concatenate([start, move.ravel(), emit.ravel()]))
+    assert np.allclose(sums[0], sums[1]) and np.allclose(sums[0], sums[2])
+    before = m.likelihoods(seqs).sum()
     better = hmm.Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-    assert better.forward(seqs)[0].sum() > before
+    assert better.likelihoods(seqs).sum() > before
+
+
+def brute_hmm(rows, words, states, rounds):
+    """Scores of (text, held out) by plain loops in double precision."""
+    own = [(t or "").encode().lower().split() for t, _ in rows]
+    counts, ends = Counter(w for x, (_, held) in zip(own, rows, strict=True) if not held for w in x), sum(not held for _, held in rows)
+    by = sorted(Counter(math.floor(math.log2(n) * 16) for n in counts.values()).items(), reverse=True)
+    total, border = 0, math.inf
+    for k, n in by:
+        if total + n > words:
+            break
+        total, border = total + n, k
+    top = sorted((w for w, n in counts.items() if math.floor(math.log2(n) * 16) >= border), key=lambda w: (-counts[w], w))
+    of = {w: i for i, w in enumerate(top)}
+    tokens, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        if w not in of:
+            tokens[hmm.word_class(w)] += n
+            kinds[hmm.word_class(w)] += 1
+    share = np.array([*(counts[w] for w in top), ends + 1, *(tokens[c] + 1 for c in range(hmm.CLASSES))], float)
+    share /= share.sum()
+    seqs = [[*(of.get(w, len(top) + 1 + hmm.word_class(w)) for w in x), len(top)] for x in own]
+    m = hmm.Model.initial(share, states)
+
+    def alphas(s):
+        a = [m.start * m.emit[s[0]]]
+        for k in s[1:]:
+            a.append((a[-1] @ m.move) * m.emit[k])
+        return a
+
+    for _ in range(rounds):
+        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(m.emit)
+        for s, (_, held) in zip(seqs, rows, strict=True):
+            if held:
+                continue
+            a, b = alphas(s), [np.ones(states)]
+            for k in s[:0:-1]:
+                b.append(m.move @ (m.emit[k] * b[-1]))
+            b.reverse()
+            z = a[-1].sum()
+            start += a[0] * b[0] / z
+            for t, k in enumerate(s):
+                emit[k] += a[t] * b[t] / z
+                if t:
+                    move += np.outer(a[t - 1], m.emit[k] * b[t]) * m.move / z
+        emit = (emit + hmm.SMOOTH * share[:, None]) / (emit.sum(axis=0) + hmm.SMOOTH)
+        move, start = move + 0.1, start + 0.1
+        m = hmm.Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
+    out = []
+    for s, x in zip(seqs, own, strict=True):
+        inside = sum(math.log10((counts[w] + 1) / (tokens[hmm.word_class(w)] + kinds[hmm.word_class(w)] + 1)) for w in x if w not in of)
+        out.append(math.log10(alphas(s)[-1].sum()) + inside)
+    return out
+
+
+def test_scores_by_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    word = lambda k: rng.choice(("ab", "cd", "ef")) + rng.choice("xyz")[: k % 2 + 1] + rng.choice("pqrst") * rng.randint(1, 3)
+    rows = [(" ".join(word(i) for _ in range(rng.randint(1, 25))), i % 5 == 0) for i in range(60)] + [(None, False), ("", True), ("neverseen abxp abxp", True)]
+    df = spark.createDataFrame([(i, t, h, 3, "s") for i, (t, h) in enumerate(rows)], "doc_id long, text string, held_out boolean, chunk int, symbols string").repartition(3)
+    want = brute_hmm(rows, 12, 3, 2)
+    for most in (hmm.CHUNK_WORDS, 7):  # many chunks a task too
+        monkeypatch.setattr(hmm, "CHUNK_WORDS", most)
+        got = {r.doc_id: r.score for r in hmm.scored(df, words=12, states=3, rounds=2).collect()}
+        assert len(got) == len(rows) and all(math.isclose(got[i], x, rel_tol=1e-4) for i, x in enumerate(want))
+
+
+def test_hmm_gains_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", held_out(7, 2))
+    gain = hmm.scored(docs).where("held_out").agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()[0]
+    assert gain > 0.1
