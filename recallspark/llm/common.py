@@ -63,6 +63,18 @@ def key128(value: str | Column) -> Column:
     return F.unhex(F.concat(*halves))
 
 
+def id_label(number: str, key: str) -> Column:
+    """A binary label of a row that sorts by its id, null last, and then its key."""
+    shifted = F.lpad(F.hex(F.col(number).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.when(F.col(number).isNull(), F.concat(F.unhex(F.lit("FF" * 9)), F.col(key))).otherwise(F.concat(F.unhex(F.concat(F.lit("00"), shifted)), F.col(key)))
+
+
+def decoded_id(label: Column) -> Column:
+    """The id in a label of :func:`id_label`."""
+    number = F.conv(F.hex(F.substring(label, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")
+    return F.when(F.substring(label, 1, 1) == F.unhex(F.lit("00")), number.cast("long"))
+
+
 def arrow_slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes in one column, or one row."""
     for batch in batches:

@@ -33,10 +33,12 @@ WORDS, CLASSES, STATES, ROUNDS = 65_536, 1024, 6, 3
 #: Bytes of a word's ending that give its class.
 ENDING = 3
 #: Words held by a counting task before it passes its counts on; rarer words of a chunk, but for its last text.
-_COUNTER_WORDS, CHUNK_WORDS = 500_000, 400_000
+_COUNTER_WORDS, CHUNK_WORDS = 250_000, 250_000
 #: Tokens that one run of the recursions takes, unless one text has more, and
 #: tokens whose forward values are kept at a time.
-_CHUNK_TOKENS, _SEGMENT_TOKENS = 500_000, 1_000_000
+_CHUNK_TOKENS, _SEGMENT_TOKENS = 250_000, 500_000
+#: Bits of a word's count where its place and count are one number.
+_COUNT_BITS = 42
 STAY, SMOOTH = 0.9, 200.0
 
 
@@ -360,38 +362,40 @@ def scored(docs: DataFrame, words: int = WORDS, states: int = STATES, rounds: in
 
     part = table.where("symbols is not null").select("chunk", "doc_id", "held_out", "symbols", "rare").mapInArrow(score, f"chunk long, {schema}, rare array<int>")
 
-    # A chunk's counts of its rarer words come before its texts.
-    lexicon = table.where("words is not null").select("chunk", F.posexplode("words").alias("i", "word")).join(counts, "word").select("chunk", F.lit(0).alias("kind"), "i", "n")
-    both = lexicon.unionByName(part.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    both = both.select("chunk", "kind", "i", "n", *kinds_of, "rare").repartition("chunk").sortWithinPartitions("chunk", "kind")
+    # A chunk's counts of its rarer words come before its texts: one sort by one
+    # number. A word's place and count are one number too, as most rows are these.
+    lexicon = table.where("words is not null").select("chunk", F.posexplode("words").alias("i", "word")).join(counts, "word")
+    lexicon = lexicon.select((F.col("chunk") * 2).alias("key"), F.expr(f"shiftleft(cast(i as bigint), {_COUNT_BITS}) + n").alias("pair"))
+    text = part.select((F.col("chunk") * 2 + 1).alias("key"), F.struct(*kinds_of, "rare").alias("r"))
+    both = lexicon.unionByName(text, allowMissingColumns=True).repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, logs = None, [], None
         for batch in batches:
-            chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = (np.flatnonzero((np.diff(chunk) != 0) | (np.diff(kind) != 0)) + 1).tolist()
-            for s, e in zip([0, *cuts], [*cuts, len(chunk)], strict=True):
+            key = batch.column(0).to_numpy()
+            cuts = (np.flatnonzero(np.diff(key) != 0) + 1).tolist()
+            for s, e in zip([0, *cuts], [*cuts, len(key)], strict=True):
                 if s == e:
                     continue
-                own = batch.slice(s, e - s)
-                if chunk[s] != at:
-                    at, held, logs = chunk[s], [], np.zeros(0)
-                if kind[s] == 0:
-                    held.append((own.column(2).to_numpy(), own.column(3).to_numpy()))
+                if key[s] >> 1 != at:
+                    at, held, logs = key[s] >> 1, [], np.zeros(0)
+                if key[s] % 2 == 0:
+                    held.append(batch.column(1).slice(s, e - s).to_numpy())
                     continue
-                lists = own.column(10)
+                own = batch.column(2).slice(s, e - s).flatten()
+                lists = own[-1]
                 ends = lists.offsets.to_numpy()
                 flat = lists.values.to_numpy()[ends[0] : ends[-1]]
                 if held:
-                    i, n = (np.concatenate(x) for x in zip(*held, strict=True))
-                    logs, held = np.zeros(i.max() + 1), []
-                    logs[i] = np.log10(n + 1.0)
+                    pairs, held = np.concatenate(held), []
+                    logs = np.zeros((pairs >> _COUNT_BITS).max() + 1)
+                    logs[pairs >> _COUNT_BITS] = np.log10((pairs & ((1 << _COUNT_BITS) - 1)) + 1.0)
                 if len(flat) and flat.max() >= len(logs):  # words that training has not
                     logs = np.concatenate([logs, np.zeros(flat.max() + 1 - len(logs))])
                 whose, own_logs = np.repeat(np.arange(len(lists)), np.diff(ends)), logs[flat]
                 more = np.bincount(whose, weights=own_logs, minlength=len(lists))
                 found = np.bincount(whose, weights=own_logs > 0, minlength=len(lists)).astype(np.int64)
-                made = [own.column(k) for k in (4, 5, 6)] + [pa.array(own.column(7).to_numpy() + found), *(pa.array(own.column(k).to_numpy() + more) for k in (8, 9))]
+                made = [*own[:3], pa.array(own[3].to_numpy() + found), *(pa.array(x.to_numpy() + more) for x in own[4:6])]
                 yield pa.RecordBatch.from_arrays(made, list(kinds_of))
 
     done = both.mapInArrow(finish, schema)

@@ -42,10 +42,67 @@ def test_against_brute_force(spark):
     assert C.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_covering():
-    x = np.random.default_rng(4).normal(size=(300, 5)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    path = C.build(x)
-    for k, r in enumerate(C.RADII):
-        child = path[:, k + 1] if k + 1 < len(C.RADII) else np.arange(300)
-        assert (np.linalg.norm(x[child] - x[path[:, k]], axis=1) <= r + 1e-3).all()
+def tree(x, weight=None):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return C.Tree(x, np.ones(len(x), np.int64) if weight is None else weight)
+
+
+def test_levels_cover():
+    t = tree(np.random.default_rng(4).normal(size=(300, 5)))
+    below = None
+    for r, level in zip(reversed(C.RADII), reversed(t.levels), strict=True):
+        assert (level.radius <= 2 * r).all() and len(level.children) == (300 if below is None else len(below.centres))
+        assert (np.linalg.norm(t.x - t.x[level.centres[level.node]], axis=1) <= level.radius[level.node] + 1e-7).all()
+        assert below is None or set(level.centres) <= set(below.centres)  # nested
+        below = level
+
+
+def pairs_of(a, b, same):
+    hit = a.x @ b.x.T >= 0.95
+    if same:
+        np.fill_diagonal(hit, False)
+    return hit
+
+
+def test_dual_counts_all_links_and_connects_no_others():
+    rng = np.random.default_rng(6)
+    near = lambda k, n, s: np.repeat(rng.normal(size=(k, 16)), n, axis=0) + rng.normal(size=(k * n, 16)) * s
+    x = np.concatenate([near(5, 60, 0.02), near(5, 60, 0.15), near(20, 3, 0.25)])
+    y = np.concatenate([x[::3] + rng.normal(size=x[::3].shape) * 0.01, rng.normal(size=(50, 16))])
+    a, b = tree(x, rng.integers(1, 5, len(x))), tree(y, rng.integers(1, 5, len(y)))
+    for p, q in ((a, a), (a, b)):
+        found, hit = C.dual(p, q, 0.95), pairs_of(p, q, p is q)
+        want = hit @ q.weight if p is q else np.concatenate([hit @ q.weight, p.weight @ hit])
+        assert (found.weight == want).all()
+        shift = 0 if p is q else len(p.x)
+        label = C.roots(shift + len(q.x), np.concatenate(found.edges, axis=1))
+        assert (label == C.roots(shift + len(q.x), np.stack(np.nonzero(hit)) + np.array([[0], [shift]]))).all()
+
+
+def test_dense_groups_cost_their_nodes():
+    rng = np.random.default_rng(1)
+    t = tree(rng.normal(size=16) + rng.normal(size=(3000, 16)) * 0.01)
+    found = C.dual(t, t, 0.95)
+    assert (found.weight == 2999).all() and found.compared < 10
+
+
+def test_unstructured_vectors_meet_no_pair_of_points():
+    t = tree(np.random.default_rng(2).normal(size=(4000, 64)))
+    found = C.dual(t, t, 0.95)
+    tops = len(t.levels[0].centres)
+    assert found.weight.sum() == 0 and found.compared <= tops * (tops + 2) // 2
+
+
+def test_cells_prune_visits(spark):
+    """Tight groups far apart: no vector visits another cell's block."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(8, 32)), 50, axis=0) + rng.normal(size=(400, 32)) * 0.03
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = C.near_duplicates(df, block=50).collect()
+    assert len(got) == 400 and all(r.n_links == 49 and r.component_id == r.vec_id // 50 * 50 for r in got)
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-300, 1e-300]), (3, [1.0, -1.0]), (None, [3.0, 3.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in C.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), None: (2, 1)}
