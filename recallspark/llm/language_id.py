@@ -2,8 +2,8 @@
 
 Each language has a probability for each piece of a fixed public vocabulary. A
 word's likelihood is the sum over all its segmentations into pieces, by the
-scaled forward recursion, whatever its length; a text's is the product over its words, as pieces do not
-cross white space. Piece probabilities are fitted by expectation maximisation:
+scaled forward recursion, whatever its length; a text's is the product over its
+words, as pieces do not cross white space. Piece probabilities are fitted by expectation maximisation:
 expected piece counts of words (forward and backward) are computed in Spark
 tasks and summed by (language, piece). Fitting takes a bounded sample of
 ``SAMPLE_DOCS`` labelled documents a language, chosen by hash.
@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import cut, held_out
+from .common import arrow_slices, cut, free_name, held_out
 
 #: Labelled documents a language that the fit reads, at most about.
 SAMPLE_DOCS = 600
@@ -27,9 +28,9 @@ ROUNDS = 2
 UNDETERMINED = "und"
 #: Probability of a character that no piece covers, and counts added to each piece.
 UNSEEN, PRIOR = 1e-7, 0.05
-_CACHE_WORDS, _CACHE_CHARS, _TEXTS = 300_000, 16_000_000, 400
+_CACHE_WORDS, _CACHE_CHARS = 200_000, 8_000_000
 #: Places between two scalings, and characters that one run of the recursions takes, unless one word has more.
-_SCALE, _BLOCK = 16, 1 << 19
+_SCALE, _BLOCK = 16, 1 << 17
 
 
 def public_pieces(model_file: str) -> tuple[str, ...]:
@@ -82,7 +83,7 @@ class Segmenter:
             if m <= 0:
                 break
             h = h[:m] * _P + code[size - 1 :]
-            at = np.full(len(c), self.pieces + 1)
+            at = np.full(len(c), self.pieces + 1, np.int32)
             may = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)] & (clear[:m] == clear[size - 1 :]) & (c[:m] > 0))
             if len(may) and self.pieces:
                 spot = np.minimum(np.searchsorted(self.sorted, h[may]), self.pieces - 1)
@@ -210,22 +211,26 @@ def fit(labelled: DataFrame, pieces: tuple[str, ...], sample_docs: int = SAMPLE_
     return langs, table, np.log([n / total for _, n in sizes])
 
 
-def predict(docs: DataFrame, pieces: tuple[str, ...], model: tuple[list[str], np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score``, from whole texts alone.
+def predict(docs: DataFrame, pieces: tuple[str, ...], model: tuple[list[str], np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns and the two of ``names``: language and score, from whole
+    texts alone. ``keep`` may have no column of those names.
 
-    ``score`` is the posterior probability of the language. A text that is null
+    The score is the posterior probability of the language. A text that is null
     or has no letter, or any text when nothing was learned, is ``und`` with
-    score 0. Ties go to the language first in the alphabet.
+    score 0. Ties go to the language first in the alphabet. Rows are
+    independent, so repeats need no care; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast((pieces, *model))
+    rows = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias(free_name(keep, "text"))]))
+    at = rows.columns.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, table, prior = sent.value
         seg, known, chars = Segmenter(pieces, table), {}, 0
         vectors = np.zeros((1, len(langs)))  # row 0 is for words without letters
-        for batch in (x.slice(i, _TEXTS) for x in batches for i in range(0, len(x), _TEXTS)):
+        for batch in arrow_slices(batches, at, 1 << 20):
             lang, score = [], []
-            texts = [(x or "").lower().split() for x in batch.column(len(keep)).to_pylist()]
+            texts = [(x or "").lower().split() for x in batch.column(at).to_pylist()]
             if langs:
                 new = set(chain.from_iterable(texts)).difference(known)
                 if len(known) + len(new) > _CACHE_WORDS or chars > _CACHE_CHARS:
@@ -236,24 +241,24 @@ def predict(docs: DataFrame, pieces: tuple[str, ...], model: tuple[list[str], np
                 if spelt:
                     vectors = np.concatenate([vectors, seg.log_likelihoods([s for _, s in spelt])])
             for words in texts:
-                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words)) if langs else np.zeros(0, int)
-                if not at.any():
+                own = np.fromiter(map(known.__getitem__, words), np.int64, len(words)) if langs else np.zeros(0, int)
+                if not own.any():
                     lang.append(UNDETERMINED)
                     score.append(0.0)
                     continue
-                x = vectors[at].sum(axis=0) + prior
+                x = vectors[own].sum(axis=0) + prior
                 best = int(x.argmax())
                 lang.append(langs[best])
                 score.append(float(1 / np.exp(x - x[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    kinds = StructType([*rows.schema.fields[: len(keep)], StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return rows.mapInArrow(run, kinds)
 
 
-def identify(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc_id",), sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Fits on the documents outside the held-out fold and predicts for all."""
+def identify(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc_id",), sample_docs: int = SAMPLE_DOCS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Fits on the documents outside the held-out fold and predicts for all, as
+    :func:`predict`. Repeated rows and null ids are rows like others."""
     pieces = public_pieces(model_file)
     model = fit(docs.select("doc_id", "text", "lang").where(~held_out(4, 2)), pieces, sample_docs)
-    return predict(docs, pieces, model, keep)
+    return predict(docs, pieces, model, keep, names)

@@ -82,9 +82,9 @@ def _tempered(sources: DataFrame, entropy: float | None, repeats: float | None)
     return out.withColumn("passes", F.round(passes, 9)).select("__s", "docs", "tokens", "share", "exponent", "weight", "passes")
 
 
-def _source_key() -> Column:
+def _source_key(column: str = "source") -> Column:
     """The source as a key that is never null."""
-    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    return F.coalesce(F.concat(F.lit("s"), F.col(column)), F.lit("n"))
 
 
 def source_weights(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = None) -> DataFrame:
@@ -97,20 +97,24 @@ def source_weights(docs: DataFrame, entropy: float | None = ENTROPY, repeats: fl
     return out.select(F.when(F.col("__s") != "n", F.substring("__s", 2, 2**31 - 1)).alias("source"), *out.columns[1:])
 
 
-def mixed(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = None, blocks: int = BLOCKS) -> DataFrame:
-    """The rows of ``docs``, once for each copy, with ``tokens``, ``pass`` (from
-    0) and ``block``.
+def mixed(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = None, blocks: int = BLOCKS, names: tuple[str, str, str] = ("tokens", "pass", "block")) -> DataFrame:
+    """The rows of ``docs``, once for each copy, with the columns of ``names``:
+    tokens, pass (from 0) and block.
 
     A copy in a whole pass is always there. In the last, partial pass a
     document is there if it begins before the budget in the source's hash
     order. A source with fewer tokens than its part of the budget repeats, one
     with more is cut to it. Null and empty texts count one token. Repeated rows
     are documents of their own, one after the other. An empty table gives an
-    empty result. Columns named tokens, pass or block are replaced.
+    empty result. Columns named as one of ``names`` are replaced.
     """
-    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    kept = docs.drop(*names).columns
+    # Columns are numbered, so that no name of theirs is one of these.
+    own = {c: f"c{i}" for i, c in enumerate(kept)}
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(own["doc_id"]).cast("string"), F.lit("")), F.coalesce(own["text"], F.lit(""))))
     key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-    rows = docs.drop("tokens", "pass", "block").withColumns({"tokens": token_count(F.col("text")), "__s": _source_key(), "__key": key})
+    rows = docs.select(*kept).toDF(*own.values())
+    rows = rows.withColumns({"tokens": token_count(F.col(own["text"])), "__s": _source_key(own["source"]), "__key": key})
     rows = rows.withColumn("__b", F.pmod(F.col("__key"), F.lit(BUCKETS)).cast("int"))
 
     # Documents and tokens of each hash range of a source, and tokens before it.
@@ -128,4 +132,4 @@ def mixed(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | Non
     copies = whole + F.when(F.col("__at") < F.col("passes") - whole, 1).otherwise(0)
     dealt = placed.withColumn("__copies", copies).where("__copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     block = F.least(F.floor((F.col("pass") + F.col("__at")) / F.col("passes") * blocks), F.lit(blocks - 1)).cast("int")
-    return dealt.withColumn("block", block).select(*docs.drop("tokens", "pass", "block").columns, "tokens", "pass", "block")
+    return dealt.select(*own.values(), "tokens", "pass", block.alias("block")).toDF(*kept, *names)

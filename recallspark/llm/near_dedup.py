@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, stored
+from .common import connected_components, cut, decoded_id, free_name, id_label, stored
 
 HASHES, ROWS, LOW_BITS = 128, 4, 4
 BANDS = HASHES // ROWS
@@ -94,8 +94,8 @@ def packed_bits(m: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, text_key, n_shingles, node, bands, bits): ``node`` is equal for
-    equal shingle sets and null for a text without words."""
+    """(doc_id, text_key, n_shingles, node, bands, bits): ``node``, of 128 bits,
+    is equal for equal shingle sets and null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n.append(len(s))
                 if len(s):
                     m = minima(s)
-                    node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63)
+                    node.append(xxhash.xxh3_128_digest(s.tobytes()))
                     bands.append(band_keys(m))
                     bits.append(packed_bits(m))
                 else:
@@ -114,12 +114,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         x.append(None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, longs), pa.array(bits, longs)],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, longs), pa.array(bits, longs)],
                 ["doc_id", "text_key", "n_shingles", "node", "bands", "bits"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, bands array<long>, bits array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node binary, bands array<long>, bits array<long>")
 
 
 def estimated_similarity(a: Column, b: Column) -> Column:
@@ -146,7 +146,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     kept between rows; members stream past it."""
     sized = pairs.withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)))
     leaders = sized.select("lead", "chunk").distinct().join(texts, F.col("lead") == texts.node)
-    leaders = leaders.select("lead", "chunk", F.lit(None).cast("long").alias("member"), "text", F.lit(0).cast("long").alias("n"))
+    leaders = leaders.select("lead", "chunk", F.lit(None).cast("binary").alias("member"), "text", F.lit(0).cast("long").alias("n"))
     members = sized.join(texts, "node").select("lead", "chunk", F.col("node").alias("member"), "text", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,19 +164,23 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 both = len(s) + len(own)
                 linked = 100 * (both - len(apart)) >= percent * (both + len(apart))
                 rows.append((k, member, len(s), linked, apart.view(np.int64) if row[4].as_py() > 1 else None))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["lead", "node", "size", "linked", "delta"])
 
     dealt = leaders.union(members).repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", F.col("member").asc_nulls_first())
-    return dealt.mapInArrow(run, "lead long, node long, size long, linked boolean, delta array<long>")
+    return dealt.mapInArrow(run, "lead binary, node binary, size long, linked boolean, delta array<long>")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
     """(doc_id, text_key, n_shingles, component) for each row; component is null
-    for texts without words, else a number that linked rows share."""
+    for texts without words, else a label (of :func:`id_label`) that linked rows
+    share, with the least doc_id of them."""
     signed = stored(signatures(docs, id_col, text_col, width))
-    nodes = stored(signed.where("node is not null").select("node", "bands", "bits").dropDuplicates(["node"]))
+    # From here on a node is a label that sorts by its least doc_id, so that the
+    # least label of a component gives the component's id.
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    nodes = stored(nodes.select(F.col("node").alias("key"), id_label("id", "node").alias("node"), "bands", "bits"))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     shared = stored(banded.join(sizes, "bucket"))
@@ -194,8 +198,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = stored(stars)
 
     # One text for each node that is compared.
-    wanted = stars.select("node").union(stars.select("lead")).distinct()
-    chosen = signed.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+    wanted = stars.select("node").union(stars.select("lead")).distinct().join(nodes.select("node", "key"), "node")
+    chosen = signed.select("doc_id", "text_key", F.col("node").alias("key")).join(wanted, "key").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
     chosen = chosen.select("node", F.col("r.doc_id").alias("want"), F.col("r.text_key").alias("key"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = source.join(chosen, source.doc_id.eqNullSafe(chosen.want) & (F.xxhash64("text") == chosen.key))
@@ -221,8 +225,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = x.join(y, rule).select(F.col("x.node").alias("lead"), F.col("y.node").alias("node"))
     groups = connected_components(links.union(cut(more)), "lead", "node")
 
-    placed = signed.select("doc_id", "text_key", "n_shingles", "node").join(groups, "node", "left")
-    return placed.withColumn("component", F.coalesce("component", "node")).drop("node")
+    known = nodes.select("key", "node").join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    placed = signed.select("doc_id", "text_key", "n_shingles", F.col("node").alias("key"))
+    return placed.join(known, "key", "left").drop("key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
@@ -237,22 +242,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result; other columns are not read.
     """
     placed = components(docs, id_col, text_col, width, percent)
-    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = placed.where("component is not null").join(least, "component").select("doc_id", "n_shingles", "component_id")
-    alone = placed.where("component is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    own = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(decoded_id(F.col("component")))
+    out = placed.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def one_of_each(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) with the least doc_id of each
-    group, one row a group, and all rows whose texts have no words. Among rows
-    of one id and text any may stay."""
+    group, one row a group, and all rows whose texts have no words, null ones
+    too. Ids that are null come last; among rows of one id and text any may
+    stay. Columns of any name pass; an empty table gives an empty result."""
     placed = stored(components(docs, width=width, percent=percent))
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"))
     chosen = placed.where("component is not null").groupBy("component").agg(F.min(order).alias("r"))
-    chosen = chosen.select(F.col("r.b").alias("__id"), F.col("r.c").alias("__key"))
-    keyed = docs.withColumn("__own", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
-    picked = keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__own"]).drop("__own")
+    name = free_name(docs.columns, "key")
+    chosen = chosen.select(F.col("r.b").alias("id"), F.col("r.c").alias("text_key"))
+    keyed = docs.withColumn(name, F.xxhash64("text"))
+    same = keyed["doc_id"].cast("long").eqNullSafe(chosen["id"]) & (keyed[name] == chosen["text_key"])
+    picked = keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)
     blank = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "")) == 0
     return picked.union(docs.where(blank))
