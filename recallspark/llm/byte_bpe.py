@@ -11,16 +11,21 @@ The rank file is read on the driver; its fixed size bounds what is sent.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-_CACHE_PIECES, _LONG_PIECE, _TEXTS = 150_000, 64, 200
+from .common import arrow_slices, free_name
+
+#: Pieces whose ids a task keeps, and those not kept; bytes encoded and rows decoded at a time.
+_CACHE_PIECES, _LONG_PIECE, _SLICE, _ROWS = 100_000, 64, 1 << 20, 200
 
 
 def byte_table() -> dict[int, str]:
@@ -94,27 +99,21 @@ def character_offsets(data: bytes, widths: np.ndarray) -> tuple[np.ndarray, np.n
     return char[ends - widths], char[ends - 1] + 1, int((~lead[ends[:-1]]).sum())
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = False) -> DataFrame:
-    """``keep`` columns, ``ids`` (array<int>), ``n_split`` (token borders inside a
-    character) and, if asked, ``starts`` and ``ends`` in characters.
-
-    Whole texts, without special tokens. Null is the empty text: no ids. Rows
-    are independent, so ties, repeats and other columns need no care; an empty
-    table gives an empty result.
-    """
-    sent = df.sparkSession.sparkContext.broadcast((vocabulary.model, np.array([len(p) for p in vocabulary.pieces], np.int64), vocabulary.pattern))
+def _encoder(sent: Broadcast, keep: list[str], at: int, offsets: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of the kept columns and a text in column ``at`` to those with ids."""
+    names = [*keep, "ids", "n_split", *(["starts", "ends"] if offsets else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        model, width, pattern = sent.value
-        find, pieces = regex.compile(pattern).findall, _Pieces(model)
-        for batch in (x.slice(i, _TEXTS) for x in batches for i in range(0, len(x), _TEXTS)):
+        vocabulary = sent.value
+        width = np.array([len(p) for p in vocabulary.pieces], np.int64)
+        find, pieces = regex.compile(vocabulary.pattern).findall, _Pieces(vocabulary.model)
+        for batch in arrow_slices(batches, at, _SLICE):
             ids, starts, ends, split = [], [], [], []
-            texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
-            for text in texts:
-                own = np.fromiter(chain.from_iterable(map(pieces.__getitem__, find(text))), np.int32)
-                a, b, n = character_offsets(text.encode(), width[own])
+            for text in batch.column(at).to_pylist():
+                own = np.fromiter(chain.from_iterable(map(pieces.__getitem__, find(text or ""))), np.int32)
+                a, b, n = character_offsets((text or "").encode(), width[own])
                 ids.append(own)
                 split.append(n)
                 if offsets:
@@ -123,45 +122,73 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep:
             made = [_lists(ids), pa.array(split, pa.int64()), *([_lists(starts), _lists(ends)] if offsets else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names)
 
-    names = [*keep, "ids", "n_split", *(["starts", "ends"] if offsets else [])]
-    rows = df.select(*keep, F.col(text_col).alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "ids array<int>", "n_split long", *(["starts array<int>", "ends array<int>"] if offsets else [])]))
+    return run
 
 
-def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
-    """All columns of ``df`` with ``decoded`` (binary) in place of any of that
-    name: the bytes of the ids one after the other. Tokens that hold parts of a
-    character are joined as bytes first, so a split character comes back whole.
-    Null ids give no bytes."""
-    sent = df.sparkSession.sparkContext.broadcast(vocabulary.pieces)
-    rows = df.drop("decoded")
-    names = [*rows.columns, "decoded"]
-    at = names.index(ids_col)
+def _decoder(sent: Broadcast, names: list[str], at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with ids in column ``at`` to those with ``decoded`` at their end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = sent.value
+        pieces = sent.value.pieces
         flat, width = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64)
         start = np.cumsum(width) - width
-        for batch in (x.slice(i, _TEXTS) for x in batches for i in range(0, len(x), _TEXTS)):
+        for batch in (x.slice(i, _ROWS) for x in batches for i in range(0, len(x), _ROWS)):
             lists = batch.column(at)
             ids = lists.flatten().to_numpy()
             sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
             ends = np.cumsum(width[ids])
             # Each byte's place in the table: its token's start and its place in the token.
             own = np.repeat(start[ids] - ends + width[ids], width[ids]) + np.arange(ends[-1] if len(ends) else 0)
-            borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
-            done = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(borders.tobytes()), pa.py_buffer(flat[own].tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, done], names)
+            borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+            done = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(borders.tobytes()), pa.py_buffer(flat[own].tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, done.cast(pa.binary())], [*names, "decoded"])
+
+    return run
+
+
+def _with_text(df: DataFrame, keep: tuple[str, ...], text_col: str) -> tuple[DataFrame, int]:
+    """The kept columns and the text, once, and the text's place."""
+    if text_col in keep:
+        return df.select(*keep), keep.index(text_col)
+    return df.select(*keep, F.col(text_col).alias(free_name(keep, "text"))), len(keep)
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return rows.mapInArrow(run, ", ".join([*kinds, "decoded binary"]))
+
+_IDS = [StructField("ids", ArrayType(IntegerType())), StructField("n_split", LongType())]
+_PLACES = [StructField(x, ArrayType(IntegerType())) for x in ("starts", "ends")]
+_DECODED = StructField("decoded", BinaryType())
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = False) -> DataFrame:
+    """``keep`` columns, ``ids`` (array<int>), ``n_split`` (token borders inside a
+    character) and, if asked, ``starts`` and ``ends`` in characters.
+
+    Whole texts, without special tokens. Null is the empty text: no ids. Rows
+    are independent, so ties, repeats and other columns need no care; an empty
+    table gives an empty result.
+    """
+    rows, at = _with_text(df, keep, text_col)
+    sent = df.sparkSession.sparkContext.broadcast(vocabulary)
+    kinds = [*rows.schema.fields[: len(keep)], *_IDS, *(_PLACES if offsets else [])]
+    return rows.mapInArrow(_encoder(sent, list(keep), at, offsets), StructType(kinds))
+
+
+def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
+    """All columns of ``df`` with ``decoded`` (binary) in place of any of that
+    name: the bytes of the ids one after the other. Tokens that hold parts of a
+    character are joined as bytes first, so a split character comes back whole.
+    Null ids give no bytes."""
+    rows = df.drop("decoded")
+    sent = df.sparkSession.sparkContext.broadcast(vocabulary)
+    return rows.mapInArrow(_decoder(sent, rows.columns, rows.columns.index(ids_col)), StructType([*rows.schema.fields, _DECODED]))
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """``keep`` columns, n_tokens, ids_sha256, decoded_sha256 and n_split of
-    encoding and decoding again; with ``ids`` if asked."""
-    done = decode(encode(docs, vocabulary, keep=keep), vocabulary)
+    encoding and decoding again, both in one task; with ``ids`` if asked."""
+    rows, at = _with_text(docs, keep, "text")
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    there, back = _encoder(sent, list(keep), at, False), _decoder(sent, [*keep, "ids", "n_split"], len(keep))
+    done = rows.mapInArrow(lambda batches: back(there(batches)), StructType([*rows.schema.fields[: len(keep)], *_IDS, _DECODED]))
     return done.select(
         *keep,
         F.size("ids").cast("long").alias("n_tokens"),
