@@ -62,6 +62,10 @@ class Vocabulary:
             pieces[r] = t
         return Vocabulary(own.to_str(), tuple(pieces), pattern)
 
+    def parts(self) -> tuple[str, tuple[bytes, ...], str]:
+        """What tasks get: plain values, which need no import there."""
+        return self.model, self.pieces, self.pattern
+
 
 class _Pieces(dict):
     """Ids of pieces, by the model alone on their mapped bytes. Emptied when full;
@@ -106,9 +110,9 @@ def _encoder(sent: Broadcast, keep: list[str], at: int, offsets: bool) -> Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        vocabulary = sent.value
-        width = np.array([len(p) for p in vocabulary.pieces], np.int64)
-        find, pieces = regex.compile(vocabulary.pattern).findall, _Pieces(vocabulary.model)
+        model, tokens, pattern = sent.value
+        width = np.array([len(p) for p in tokens], np.int64)
+        find, pieces = regex.compile(pattern).findall, _Pieces(model)
         for batch in arrow_slices(batches, at, _SLICE):
             ids, starts, ends, split = [], [], [], []
             for text in batch.column(at).to_pylist():
@@ -129,7 +133,7 @@ def _decoder(sent: Broadcast, names: list[str], at: int) -> Callable[[Iterator[p
     """Batches with ids in column ``at`` to those with ``decoded`` at their end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = sent.value.pieces
+        _, pieces, _ = sent.value
         flat, width = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64)
         start = np.cumsum(width) - width
         for batch in (x.slice(i, _ROWS) for x in batches for i in range(0, len(x), _ROWS)):
@@ -167,7 +171,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep:
     table gives an empty result.
     """
     rows, at = _with_text(df, keep, text_col)
-    sent = df.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = df.sparkSession.sparkContext.broadcast(vocabulary.parts())
     kinds = [*rows.schema.fields[: len(keep)], *_IDS, *(_PLACES if offsets else [])]
     return rows.mapInArrow(_encoder(sent, list(keep), at, offsets), StructType(kinds))
 
@@ -178,7 +182,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataF
     character are joined as bytes first, so a split character comes back whole.
     Null ids give no bytes."""
     rows = df.drop("decoded")
-    sent = df.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = df.sparkSession.sparkContext.broadcast(vocabulary.parts())
     return rows.mapInArrow(_decoder(sent, rows.columns, rows.columns.index(ids_col)), StructType([*rows.schema.fields, _DECODED]))
 
 
@@ -186,7 +190,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str,
     """``keep`` columns, n_tokens, ids_sha256, decoded_sha256 and n_split of
     encoding and decoding again, both in one task; with ``ids`` if asked."""
     rows, at = _with_text(docs, keep, "text")
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary.parts())
     there, back = _encoder(sent, list(keep), at, False), _decoder(sent, [*keep, "ids", "n_split"], len(keep))
     done = rows.mapInArrow(lambda batches: back(there(batches)), StructType([*rows.schema.fields[: len(keep)], *_IDS, _DECODED]))
     return done.select(

@@ -180,6 +180,20 @@ def test_shards(spark, docs, empty):
     assert sharding.shards(empty).count() == 0 and sharding.shards(docs).count() == docs.count()
 
 
+def test_shards_of_repeated_rows(spark):
+    import zlib
+
+    df = spark.range(20_000).select(F.lit(7).alias("doc_id"), F.lit("one and the same").alias("text"))
+    more = spark.range(6000).select((F.col("id") % 5000).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    for rows in (df, df.unionByName(more), df.unionByName(df.limit(0)).unionByName(more.limit(1))):
+        got, want = sharding.shards(rows, 16).toPandas(), rows.toPandas()
+        key = ["doc_id", "size", "text_crc32"]
+        want = want.assign(size=want.text.str.len() + 1, text_crc32=[zlib.crc32(t.encode()) for t in want.text])
+        assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, want[key].values))
+        by = got.groupby("shard").agg(b=("size", "sum"), n=("slot", "count"), top=("slot", "max"), u=("slot", "nunique"))
+        assert len(by) == 16 and (by.top + 1 == by.n).all() and (by.u == by.n).all() and by.b.max() <= 1.05 * by.b.mean() and by.b.min() >= 0.95 * by.b.mean()
+
+
 def test_pipeline(spark, tmp_path, docs, rows):
     import corpus_pipeline
 
