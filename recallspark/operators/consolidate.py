@@ -24,14 +24,24 @@ def latest_wins(memories: DataFrame) -> DataFrame:
     return kept.unionByName(memories.where(~listed))
 
 
-def actions(near: DataFrame, merge_from: float = 0.85) -> DataFrame:
-    """(doc_id, action, target_id) from each new memory's nearest stored ones
-    (doc_id, entity_subtype, other_id, similarity): a superseding topic comes
-    first, then a merge with the most similar, else a creation."""
-    best = near.groupBy("doc_id", "entity_subtype").agg(F.max(F.struct("similarity", (-F.col("other_id")).alias("o"))).alias("b"))
-    merged = F.coalesce(F.col("b.similarity") >= merge_from, F.lit(False))
-    what = F.when(topic().isNotNull(), "supersede").when(merged, "merge").otherwise("create")
-    return best.withColumn("action", what).select("doc_id", "action", F.when(F.col("action") == "merge", -F.col("b.o")).alias("target_id"))
+def actions(new: DataFrame, near: DataFrame, merge_from: float = 0.85, archive_from: float = 0.70) -> DataFrame:
+    """(doc_id, action, target_id, archived) of each new memory (doc_id,
+    entity_subtype). ``near`` has the stored ones looked up for it (doc_id,
+    other_id, other_subtype, similarity, rank), a bounded number each. One with
+    a topic supersedes: those of its topic from ``archive_from`` on are to be
+    archived. Else it merges with the first in rank that is similar enough, or
+    is created."""
+    own = topic()
+    theirs = F.lit(None).cast("string")
+    for subtype, name in SUPERSEDES.items():
+        theirs = F.when(F.col("other_subtype") == subtype, name).otherwise(theirs)
+    rows = new.select("doc_id", own.alias("topic")).join(near.withColumn("other_topic", theirs), "doc_id", "left")
+    old = F.when((F.col("topic") == F.col("other_topic")) & (F.col("similarity") >= archive_from), F.col("other_id"))
+    first = F.min(F.when(F.col("similarity") >= merge_from, F.struct("rank", "other_id")))["other_id"]
+    out = rows.groupBy("doc_id", "topic").agg(F.array_sort(F.collect_set(old)).alias("old"), first.alias("first"))
+    what = F.when(F.col("topic").isNotNull(), "supersede").when(F.col("first").isNotNull(), "merge").otherwise("create")
+    target = F.when(F.col("topic").isNull(), F.col("first"))
+    return out.select("doc_id", what.alias("action"), target.alias("target_id"), F.array_join("old", ",").alias("archived"))
 
 
 def merged(memories: DataFrame, key: list[str]) -> DataFrame:

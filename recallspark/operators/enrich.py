@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..config import (
     CORRECTION_PHRASES,
@@ -18,8 +23,7 @@ from ..config import (
     TEMPORAL,
     TYPE_THRESHOLDS,
 )
-from ..functions.text import contains_any
-from ..functions.vectors import cosine
+from ..functions.text import contains_any, word_count
 
 
 def centroids(prototypes: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,28 +37,54 @@ def as_vectors(parts: DataFrame, keys: list[str]) -> DataFrame:
     return listed.select(*keys, F.transform("l", lambda x: x["value"]).alias("centroid"))
 
 
+def cosines(messages: DataFrame, centroids: list[list[float]], least: float | None = None) -> DataFrame:
+    """(the other columns of ``messages``, pos, cosine): the cosine of each
+    message's embedding and each centroid, one matrix product a batch; with
+    ``least`` only from there on. Centroids are a small fixed table. Null
+    vectors and vectors of another length have no rows."""
+    points = np.array(centroids, float).reshape(len(centroids), -1)
+    points = points / np.linalg.norm(points, axis=1, keepdims=True)
+    rows = messages.where(F.size("embedding") == points.shape[1])
+    others = [f for f in rows.schema.fields if f.name != "embedding"]
+    rows = rows.select(*(f.name for f in others), "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(len(others)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
+            found = (x @ points.T) / np.linalg.norm(x, axis=1, keepdims=True)
+            i, pos = np.nonzero(np.ones(found.shape, bool) if least is None else found >= least)
+            kept = [c.take(pa.array(i)) for c in batch.columns[: len(others)]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(pos.astype(np.int32)), pa.array(found[i, pos])], [*(f.name for f in others), "pos", "cosine"])
+
+    return rows.mapInArrow(run, StructType([*others, StructField("pos", IntegerType()), StructField("cosine", DoubleType())]))
+
+
 def classified(messages: DataFrame, classes: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, entity_type, entity_subtype, confidence) of all classes that reach
-    their threshold. Classes are a small fixed table and are broadcast."""
+    their threshold. What the text decides is decided once a message."""
+    own = classes.orderBy("entity_type", "entity_subtype").collect()
     lowered = F.lower("text")
-    limit = F.lit(least)
+    words = [F.when(contains_any(lowered, found), F.lit(subtype)) for subtype, found in MILESTONE_KEYWORDS.items()]
+    said = messages.where(F.length("text") >= 5).select("doc_id", contains_any(lowered, CORRECTION_PHRASES).alias("vetoed"), F.array_compact(F.array(*words)).alias("said"), "embedding")
+    lowest = min(least, MILESTONE_KEYWORD_THRESHOLD, *TYPE_THRESHOLDS.values())
+    found = cosines(said, [r["centroid"] for r in own], lowest - 0.001)
+    names = F.array(*(F.struct(F.lit(r["entity_type"]).alias("t"), F.lit(r["entity_subtype"]).alias("s")) for r in own))[F.col("pos")]
+    found = found.withColumns({"entity_type": names["t"], "entity_subtype": names["s"], "confidence": F.round("cosine", 3)})
+    limit, milestone = F.lit(least), F.col("entity_type") == "MILESTONE"
     for kind, value in TYPE_THRESHOLDS.items():
         limit = F.when(F.col("entity_type") == kind, value).otherwise(limit)
-    for subtype, found in MILESTONE_KEYWORDS.items():
-        own = (F.col("entity_type") == "MILESTONE") & (F.col("entity_subtype") == subtype) & contains_any(lowered, found)
-        limit = F.when(own, MILESTONE_KEYWORD_THRESHOLD).otherwise(limit)
-    vetoed = (F.col("entity_type") == "MILESTONE") & contains_any(lowered, CORRECTION_PHRASES)
-    pairs = messages.where(F.length("text") >= 5).crossJoin(F.broadcast(classes))
-    scored = pairs.withColumn("confidence", F.round(cosine(F.col("embedding"), F.col("centroid")), 3))
-    return scored.where((F.col("confidence") >= limit) & ~vetoed).select("doc_id", "entity_type", "entity_subtype", "confidence")
+    limit = F.when(milestone & F.array_contains("said", F.col("entity_subtype")), MILESTONE_KEYWORD_THRESHOLD).otherwise(limit)
+    return found.where((F.col("confidence") >= limit) & ~(milestone & F.col("vetoed"))).select("doc_id", "entity_type", "entity_subtype", "confidence")
 
 
 def best_class(messages: DataFrame, classes: DataFrame, floor: float, default: str) -> DataFrame:
     """(doc_id, label, score): the class of the greatest score over ``floor``, the
     first in order among equals, else the default."""
-    scored = messages.crossJoin(F.broadcast(classes)).withColumn("score", F.round(cosine(F.col("embedding"), F.col("centroid")), 6))
-    best = scored.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("o"), "name")).alias("b"))
-    return best.select("doc_id", F.when(F.col("b.score") > floor, F.col("b.name")).otherwise(default).alias("label"), F.col("b.score").alias("score"))
+    own = classes.orderBy("ordinal").collect()
+    scored = cosines(messages.select("doc_id", "embedding"), [r["centroid"] for r in own]).withColumn("score", F.round("cosine", 6))
+    best = scored.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("pos")).alias("o"))).alias("b"))
+    name = F.array(*(F.lit(r["name"]) for r in own))[-F.col("b.o")]
+    return best.select("doc_id", F.when(F.col("b.score") > floor, name).otherwise(default).alias("label"), F.col("b.score").alias("score"))
 
 
 def top_per(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -118,3 +148,18 @@ def synthesized(date_value: Column | None = None) -> Column:
         .when(kind.isin("EMOTION", "FACT", "PERSON", "MEDICATION", "MEASUREMENT", "FINANCIAL", "GOAL"), F.concat(head(kind), short))
         .otherwise(F.concat(F.lit("["), kind, F.lit("] "), short))
     )
+
+
+def remembered(messages: DataFrame, classes: DataFrame, least: float = 0.5) -> DataFrame:
+    """A row for each memory that messages (doc_id, text, embedding) give: the
+    message's columns but the vector, entity_type, entity_subtype, confidence,
+    the enrichment and the short text ``memory``. Messages of under 10
+    characters or 4 words give none, nor do shared things under 0.55, more
+    than two milestones, and short texts of under five words."""
+    said = messages.where((F.length("text") >= 10) & (word_count(F.col("text")) >= 4))
+    found = classified(said, classes, least).where((F.col("entity_type") != "SHARED_THING") | (F.col("confidence") >= 0.55))
+    kinds = found.withColumn("great", F.col("entity_type") == "MILESTONE")
+    order = Window.partitionBy("doc_id", "great").orderBy(F.desc("confidence"), "entity_subtype")
+    found = kinds.withColumn("place", F.row_number().over(order)).where(~F.col("great") | (F.col("place") <= 2)).drop("great", "place")
+    rows = enriched(said.drop("embedding").join(found, "doc_id")).withColumn("memory", synthesized())
+    return rows.where(word_count(F.col("memory")) >= 5)

@@ -13,39 +13,60 @@ from ..config import EXCLUDED_SOURCES, RankConfig
 from ..functions.text import overlap, overlap_tokens, query_tokens
 from ..functions.vectors import similarity
 
-#: Queries that one search takes; a larger set goes in several searches.
-MAX_QUERIES = 10_000
+#: Queries that one pass over the memories takes; more go in several passes.
+MAX_QUERIES = 4096
 
 
-def knn(memories: DataFrame, queries: DataFrame, k: int, own_user: bool = False) -> DataFrame:
-    """(qid, doc_id, distance, knn_rank): the ``k`` nearest memories of each query
-    by squared distance (six decimals), ties by doc_id; with ``own_user`` among
-    the user's own. Query vectors, a bounded set, go to every task; each task
-    passes on its ``k`` best a query, so the shuffle has k rows a query and task."""
-    asked = queries.select("qid", "user_id", "embedding").limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"a search takes at most {MAX_QUERIES} queries")
-    ids, users = np.array([r["qid"] for r in asked], np.int64), np.array([r["user_id"] for r in asked], object)
-    points = np.array([r["embedding"] for r in asked], float)
+def _nearest(memories: DataFrame, asked: list, k: int, own_user: bool) -> DataFrame:
+    """The ``k`` nearest of each task for each of the queries (qid, user_id, embedding)."""
+    sets: dict[tuple[int, str | None], list] = {}
+    for r in asked:
+        sets.setdefault((len(r["embedding"]), r["user_id"] if own_user else None), []).append(r)
+    groups = [(*key, np.array([r["qid"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], float)) for key, rows in sets.items()]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            x = np.array(batch.column(2).to_pylist(), float)
-            doc, user = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
-            for i, p in enumerate(points):
-                own = np.flatnonzero(user == users[i]) if own_user else np.arange(len(doc))
-                d = np.round(((x[own] - p) ** 2).sum(axis=1), 6)
-                d, n = np.concatenate([held[i][0], d]), np.concatenate([held[i][1], doc[own]])
-                best = np.lexsort((n, d))[:k]
-                held[i] = d[best], n[best]
-        q = np.repeat(ids, [len(h[0]) for h in held]) if len(ids) else ids
-        d, n = (np.concatenate([h[j] for h in held]) if len(ids) else np.empty(0) for j in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(n.astype(np.int64)), pa.array(d, pa.float64())], ["qid", "doc_id", "distance"])
-
-    found = memories.select("doc_id", "user_id", "embedding").mapInArrow(near, "qid long, doc_id long, distance double")
+            doc, vectors = batch.column(0).to_numpy(), batch.column(2)
+            size, user = np.diff(vectors.offsets.to_numpy()), np.array(batch.column(1).to_pylist(), object)
+            for dim, name, ids, points in groups:
+                own = np.flatnonzero((size == dim) & ((user == name) if own_user else True))
+                if not len(own):
+                    continue
+                x = vectors.take(pa.array(own)).flatten().to_numpy().reshape(len(own), dim).astype(float)
+                d = (points**2).sum(axis=1)[:, None] - 2 * (points @ x.T) + (x**2).sum(axis=1)[None, :]
+                d = np.round(np.maximum(d, 0.0), 6)
+                last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(own) else np.full(len(ids), np.inf)
+                for i, q in enumerate(ids.tolist()):
+                    few = np.flatnonzero(d[i] <= last[i])
+                    at, n = d[i, few], doc[own[few]]
+                    if q in held:
+                        at, n = np.concatenate([held[q][0], at]), np.concatenate([held[q][1], n])
+                    best = np.lexsort((n, at))[:k]
+                    held[q] = at[best], n[best]
+        q = np.repeat(np.array(list(held), np.int64), [len(x[0]) for x in held.values()])
+        d, n = (np.concatenate([*(x[j] for x in held.values()), np.empty(0)]) for j in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(n.astype(np.int64)), pa.array(d)], ["qid", "doc_id", "distance"])
+
+    return memories.mapInArrow(near, "qid long, doc_id long, distance double")
+
+
+def knn(memories: DataFrame, queries: DataFrame, k: int, own_user: bool = False) -> DataFrame:
+    """(qid, doc_id, distance, knn_rank): the ``k`` nearest memories of each query
+    by squared distance (six decimals), ties by doc_id; with ``own_user`` among
+    the user's own. Queries go to every task in sets of about ``MAX_QUERIES``,
+    one pass over the memories each; a task passes on its ``k`` best a query.
+    Vectors that are null, hold nulls, or have another length than the query's
+    are no neighbours; a query without a vector has none."""
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    rows = memories.where(whole).select("doc_id", "user_id", "embedding")
+    asked = queries.where(whole).select("qid", "user_id", "embedding")
+    passes = max(1, -(-asked.count() // MAX_QUERIES))
+    found = None
+    for i in range(passes):
+        own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i).collect()
+        some = _nearest(rows, own, k, own_user)
+        found = some if found is None else found.union(some)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "doc_id"))
     return found.withColumn("knn_rank", rank).where(F.col("knn_rank") <= k)
 
@@ -68,8 +89,9 @@ def recency(cfg: RankConfig, as_of: Column) -> Column:
 
 def keyword_share(tokens: Column, text: Column) -> Column:
     """The share of the query's tokens that the text holds."""
-    found = F.size(F.filter(tokens, lambda w: F.contains(F.lower(text), w)))
-    return F.when(F.size(tokens) == 0, 0.0).otherwise(found / F.size(tokens))
+    # Lower-cased once, not once a token; likewise the tokens.
+    share = lambda x: F.when(F.size(x["w"]) == 0, 0.0).otherwise(F.size(F.filter(x["w"], lambda w: F.contains(x["t"], w))) / F.size(x["w"]))
+    return F.transform(F.array(F.struct(F.lower(text).alias("t"), tokens.alias("w"))), share)[0]
 
 
 def within_cutoff(cfg: RankConfig, as_of: Column) -> Column:
@@ -156,3 +178,22 @@ def three_channels(memories: DataFrame, queries: DataFrame, as_of: Column, cfg:
     every = every.withColumn("n", F.row_number().over(first)).where("n = 1")
     order = Window.partitionBy("qid").orderBy(F.desc("final_score"), "channel", "place")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.limit).select("qid", "doc_id", "channel", "final_score", "rank")
+
+
+def resolved(results: DataFrame, documents: DataFrame, size: int = 50) -> DataFrame:
+    """(result_id, doc_id): for each of ``results`` (result_id, text) the first
+    of ``documents`` (doc_id, text) whose beginning of ``size`` characters it
+    holds, or which holds its beginning. A beginning meets the places where it
+    can stand by a hash of as many characters, and is then compared."""
+
+    def holding(texts: DataFrame, beginnings: DataFrame) -> DataFrame:
+        short = F.left("text", F.lit(size))
+        own = beginnings.where(F.length("text") > 0).select(F.col("id").alias("b_id"), short.alias("b"), F.length(short).alias("n"))
+        sizes = F.broadcast(own.select("n").distinct())  # at most ``size`` numbers
+        places = texts.select(F.col("id").alias("t_id"), "text").join(sizes, F.length("text") >= F.col("n"))
+        places = places.select("t_id", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substr("text", i, F.col("n"))))).alias("b"))
+        return places.join(own, ["n", "b"]).select("t_id", "b_id")
+
+    found, own = results.select(F.col("result_id").alias("id"), "text"), documents.select(F.col("doc_id").alias("id"), "text")
+    both = holding(found, own).select(F.col("t_id").alias("result_id"), F.col("b_id").alias("doc_id")).union(holding(own, found).select("b_id", "t_id"))
+    return both.groupBy("result_id").agg(F.min("doc_id").alias("doc_id"))

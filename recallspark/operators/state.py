@@ -72,3 +72,44 @@ def insight_window(memories: DataFrame, as_of: Column, hours: int = 16, n: int =
     own = memories.where((F.col("source") == "night_insight") & (F.col("ts") >= as_of - F.make_dt_interval(hours=F.lit(hours))))
     order = Window.partitionBy("user_id").orderBy(F.desc("ts"), "doc_id")
     return own.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+#: The companion's state as it is kept; keys that are not here are ignored.
+STATE = "user_id long, xp long, level int, messages long, mood string, vibe string, topic string, concerns array<string>"
+
+
+def updated(events: DataFrame) -> DataFrame:
+    """(user_id, event_id, vibe, topic, mood) after each message: the subtype of
+    its last emotion, the topic a reply names or else its first entity gives
+    (facts, goals, dates and milestones do), and the last mood. Needs
+    entity_type, entity_subtype, reply_topic and mood; "null" counts as null."""
+    some = lambda x: F.when(F.col(x) != "null", F.col(x))
+    vibe = F.when(F.col("entity_type") == "EMOTION", F.col("entity_subtype"))
+    named = F.when(F.col("entity_type").isin("FACT", "GOAL", "DATE", "MILESTONE"), F.concat_ws(":", "entity_type", "entity_subtype"))
+    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda x: F.last(x, True).over(so_far)
+    return events.select("user_id", "event_id", last(vibe).alias("vibe"), last(F.coalesce(some("reply_topic"), named)).alias("topic"), last(some("mood")).alias("mood"))
+
+
+def saved(states: DataFrame) -> DataFrame:
+    """(value): each state as one JSON line, ready for ``write.text``."""
+    return states.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def loaded(lines: DataFrame) -> DataFrame:
+    """States of JSON lines (value): unknown keys are ignored, missing ones get
+    a new state's values, and a broken line is left out."""
+    rows = lines.select(F.from_json("value", STATE).alias("s")).where("s.user_id is not null").select("s.*")
+    return rows.select("user_id", F.coalesce("xp", F.lit(0)).alias("xp"), F.coalesce("level", F.lit(1)).alias("level"), F.coalesce("messages", F.lit(0)).alias("messages"), "mood", "vibe", "topic", F.coalesce("concerns", F.array().cast("array<string>")).alias("concerns"))
+
+
+def reset(states: DataFrame) -> DataFrame:
+    """New states of the same users."""
+    return loaded(states.select(F.to_json(F.struct("user_id")).alias("value")))
+
+
+def read_once(states: DataFrame) -> DataFrame:
+    """``states`` (message, shown) with ``message`` only where it was not shown
+    yet, and ``shown`` set where there is one now."""
+    due = F.col("message").isNotNull() & ~F.coalesce("shown", F.lit(False))
+    return states.withColumns({"shown": F.coalesce("shown", F.lit(False)) | due, "message": F.when(due, F.col("message"))})

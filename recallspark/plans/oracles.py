@@ -31,6 +31,7 @@ from ..config import (
     WEEKDAYS,
     RankConfig,
 )
+from ..operators.evaluate import ADVICE
 from ..sources.views import SOURCES
 from . import fixtures as X
 
@@ -67,7 +68,7 @@ mem1 AS (SELECT *, CASE WHEN source LIKE 'extracted\\_%' ESCAPE '\\' THEN upper(
 mem AS (SELECT *, ({SUBS})[((doc_id // 20) % len({SUBS})) + 1] AS entity_subtype, CASE WHEN is_milestone THEN 10 ELSE 1 + (doc_id // 3) % 10 END AS importance,
   {AS_OF} - to_hours(CAST((doc_id * 37) % 2160 AS INT)) AS ts, substr(sha256('s0:' || user_id || ':' || text), 1, 32) AS mem_id FROM mem1)"""
 VEC = "vec AS (SELECT m.*, e.embedding FROM mem m JOIN embeddings e ON m.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id)"
-ASK = "ask AS (SELECT e.vec_id AS qid, 'u' || (e.vec_id % 10) AS quser, left(d.text, 200) AS qtext, e.embedding AS qvec FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id < 10)"
+ASK = "ask AS (SELECT e.vec_id AS qid, 'u' || ((e.vec_id // 20) % 10) AS quser, d.text AS qtext, e.embedding AS qvec FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 20 = 0)"
 DIST = "round(power(list_distance(embedding::DOUBLE[], qvec::DOUBLE[]), 2), 6)"
 
 
@@ -184,7 +185,7 @@ EVENTS = f"""ev AS (SELECT event_id, ts, user_id, floor(value) AS words, {K} % 4
 st AS (SELECT *, least(3, (words > 3)::INT + (words > 20)::INT + (entities >= 2)::INT + coalesce((date_diff('second', date_trunc('second', lag(ts) OVER u), date_trunc('second', ts)) / 3600.0 > 6)::INT, 0)) AS gained FROM ev WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
 pr AS (SELECT *, CAST(sum(gained) OVER w AS BIGINT) AS xp, count(*) OVER w AS messages, last_value(mood IGNORE NULLS) OVER w AS lmood, last_value(topic IGNORE NULLS) OVER w AS ltopic FROM st WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""
 LEVEL = case([(f"xp >= {least}", n) for n, least in reversed(LEVELS)], "1")
-EXPECT = "ex AS (SELECT a.vec_id AS qid, d.doc_id FROM embeddings a JOIN embeddings b USING (label) JOIN documents d ON d.doc_id % (SELECT count(*) FROM embeddings) = b.vec_id WHERE a.vec_id < 10)"
+EXPECT = "ex AS (SELECT a.vec_id AS qid, d.doc_id FROM embeddings a JOIN embeddings b USING (label) JOIN documents d ON d.doc_id % (SELECT count(*) FROM embeddings) = b.vec_id WHERE a.vec_id % 20 = 0)"
 
 
 def hits(kind: str) -> str:
@@ -272,7 +273,16 @@ hit AS (SELECT *, rate >= 0.5 AND top_score >= 0.4 AS passed FROM (SELECT qid, r
 #: The label of an age in seconds, {s}.
 AGE = """CASE WHEN {s} IS NULL THEN '' WHEN {s} // 86400 > 30 THEN '[' || ({s} // 86400) // 30 || ' mies. temu] ' WHEN {s} // 86400 > 0 THEN '[' || {s} // 86400 || ' dni temu] ' WHEN {s} % 86400 > 3600 THEN '[' || ({s} % 86400) // 3600 || ' godz. temu] '
  WHEN {s} % 86400 > 300 THEN '[' || ({s} % 86400) // 60 || ' min temu] ' ELSE '[przed chwilą] ' END"""
-GRID = values(X.GRID, "name, ws, wi, wr")
+GRID = values([(i, *x) for i, x in enumerate(X.GRID)], "number, name, ws, wi, wr")
+LABELS = "xc AS (SELECT qid, ex.doc_id FROM ex JOIN mem USING (doc_id) WHERE source = 'chat')"
+#: Means and shares over queries q with found, hits, kept and bad.
+MEASURES = """avg(CASE WHEN (SELECT count(*) FROM ex WHERE qid = q) = 0 THEN CASE WHEN coalesce(found, 0) = 0 THEN 1.0 ELSE 0.0 END ELSE coalesce(hits, 0)::DOUBLE / least(3, (SELECT count(*) FROM ex WHERE qid = q)) END) AS p,
+  sum(coalesce(kept, 0))::DOUBLE / count(*) AS mi, CASE WHEN (SELECT count(*) FROM xc) = 0 THEN 0.0 ELSE sum(coalesce(bad, 0))::DOUBLE / (SELECT count(*) FROM xc) END AS v"""
+SAID = f"len(list_filter(string_split(trim(regexp_replace({synthesized()}, '\\s+', ' ', 'g')), ' '), lambda x: x <> ''))"
+TURNS = f"""WITH {SES}, turns AS (SELECT s.*, e.embedding FROM (SELECT conv_id * 1000 + seq AS doc_id, content AS text, ts FROM ses WHERE role = 'user') s JOIN embeddings e ON s.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id),
+vec AS (SELECT * FROM turns WHERE length(text) >= 10 AND len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) >= 4), {ENT},
+kept AS (SELECT v.text, v.ts, e.* EXCLUDE (o) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type = 'MILESTONE' ORDER BY confidence DESC, entity_subtype) AS o FROM ent WHERE entity_type <> 'SHARED_THING' OR confidence >= 0.55) e
+  JOIN vec v USING (doc_id) WHERE entity_type <> 'MILESTONE' OR o <= 2)"""
 COUNTS = f"""cnt AS (SELECT count(*) AS total, count(*) FILTER (length(text) < 50) AS short, count(*) FILTER (len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) < 5) AS noise,
  count(*) FILTER (importance <= 3 AND ts < {AS_OF} - INTERVAL 14 DAY) AS stale, count(*) FILTER (is_milestone) AS milestones, count(*) FILTER (source = 'chat') AS sessions, count(*) FILTER (source = 'enriched') AS enriched,
  CAST((SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM mem GROUP BY md5(text))) AS BIGINT) AS extra FROM mem)"""
@@ -308,16 +318,17 @@ ORACLES = {
       SELECT mem_id, doc_id, importance, substr(sha256('s0:' || user_id), 1, 16) AS user_hash FROM (SELECT *, row_number() OVER (PARTITION BY mem_id ORDER BY doc_id DESC) AS o FROM w) WHERE o = 1""",
     "delete_superseded": f"WITH {MEM} SELECT source, count(*) AS n FROM mem WHERE NOT coalesce(entity_type = 'DATE' AND entity_subtype = 'deadline', false) GROUP BY source",
     "latest_wins": f"WITH {MEM}, {LATEST} SELECT doc_id, user_id, source, entity_subtype FROM lw",
-    "consolidate_action": f"""{PRE}, {near('k', 5, 'v.doc_id >= 10')}, b AS (SELECT qid AS doc_id, first(doc_id ORDER BY s DESC, doc_id) AS other, max(s) AS s FROM (SELECT qid, doc_id, round(1 - distance / 2, 6) AS s FROM k) GROUP BY qid),
-      a AS (SELECT b.doc_id, other, CASE WHEN ({TOPIC}) IS NOT NULL THEN 'supersede' WHEN s >= 0.5 THEN 'merge' ELSE 'create' END AS action FROM b JOIN mem USING (doc_id))
-      SELECT doc_id, action, CASE WHEN action = 'merge' THEN other END AS target_id FROM a""",
+    "consolidate_action": f"""{PRE}, {near('k', 25, 'v.user_id = quser AND v.doc_id % 20 <> 0')}, {ranked('kr', 'k', CFG)}, five AS (SELECT qid, doc_id AS other, rank, round(1 - distance / 2, 6) AS s, ({TOPIC}) AS their FROM kr WHERE rank <= 5),
+      n AS (SELECT doc_id, ({TOPIC}) AS own FROM mem WHERE doc_id IN (SELECT qid FROM ask)),
+      g AS (SELECT n.doc_id, own, min_by(other, rank) FILTER (s >= 0.85) AS first, coalesce(string_agg(other, ',' ORDER BY other) FILTER (s >= 0.70 AND their = own), '') AS archived FROM n LEFT JOIN five ON five.qid = n.doc_id GROUP BY n.doc_id, own)
+      SELECT doc_id, CASE WHEN own IS NOT NULL THEN 'supersede' WHEN first IS NOT NULL THEN 'merge' ELSE 'create' END AS action, CASE WHEN own IS NULL THEN first END AS target_id, archived FROM g""",
     "merge_fold": f"WITH {MEM} SELECT md5(text) AS digest, min(doc_id) AS first_id, max(importance) AS importance, count(*) AS mentions, max(ts) AS last_mentioned, string_agg(left(text, 100), ' | ' ORDER BY ts, doc_id) AS notes FROM mem GROUP BY md5(text) HAVING count(*) > 1",
     "consolidation_stats": f"WITH {MEM}, {LATEST} SELECT (SELECT count(*) FROM mem) AS total, count(*) AS active, (SELECT count(*) FROM mem) - count(*) AS archived FROM lw",
     "phrase_cleanup": f"WITH {SES} SELECT conv_id, seq, role FROM ses WHERE NOT (contains(lower(content), 'the th') OR contains(lower(content), 'tion'))",
     "copy_sessions": f"WITH {SES}, i AS (SELECT *, substr(sha256('s0:' || conv_id || ':' || role || ':' || content), 1, 32) AS mem_id FROM ses) SELECT DISTINCT mem_id FROM i WHERE mem_id NOT IN (SELECT mem_id FROM i WHERE conv_id % 3 = 0)",
-    "reingest": f"""{PRE}, {ENT}, b AS (SELECT doc_id, entity_type, entity_subtype FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, entity_type, entity_subtype) AS o FROM ent) WHERE o = 1),
-      j AS (SELECT mem.doc_id, mem.text, mem.ts, b.entity_type, b.entity_subtype FROM mem JOIN b USING (doc_id) WHERE length(text) >= 30)
-      SELECT doc_id, {case([(f"entity_type = {q(k)}", q(v)) for k, v in REINGEST_SOURCES.items()], "'enriched'")} AS new_source, entity_type IN ('MILESTONE', 'SHARED_THING') AS milestone, ts, md5({synthesized()}) AS digest FROM j""",
+    "conversation_pipeline": f"""{TURNS} SELECT doc_id, entity_type, entity_subtype, confidence, least(10, {rules(IMPORTANCE, 5)} + {BOOST}) AS importance, {rules(IMPACT, 'informational')} AS impact, md5({synthesized()}) AS digest FROM kept WHERE {SAID} >= 5""",
+    "reingest": f"""{TURNS} SELECT doc_id, entity_subtype, {case([(f"entity_type = {q(k)}", q(v)) for k, v in REINGEST_SOURCES.items()], "'enriched'")} AS new_source, entity_type IN ('MILESTONE', 'SHARED_THING') AS milestone, ts, md5({synthesized()}) AS digest
+      FROM kept WHERE length(text) >= 30 AND {SAID} >= 5""",
     "session_last_n": f"WITH {SES}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ts DESC, seq DESC) AS o FROM ses) WHERE o <= 10) SELECT conv_id, role, seq, row_number() OVER (PARTITION BY conv_id ORDER BY ts, seq) AS place FROM k",
     "raw_window_48h": f"WITH {SES} SELECT user_id, conv_id, seq, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC, conv_id DESC) AS place FROM ses WHERE role = 'user' AND ts >= {AS_OF} - INTERVAL 48 HOUR) WHERE place <= 6",
     "relative_age": f"SELECT id, {AGE.replace('{s}', 's')} AS label FROM {values(enumerate(X.AGES), 'id, s')}",
@@ -331,15 +342,29 @@ ORACLES = {
       round(CASE WHEN enriched = 0 THEN 'Infinity'::DOUBLE ELSE sessions / enriched::DOUBLE END, 3) AS ratio FROM cnt""",
     "precision_at_3": f"""{POOL}, {EXPECT}, h AS (SELECT r.qid, count(ex.doc_id) AS hits, count(*) AS found FROM ranked r LEFT JOIN ex ON ex.qid = r.qid AND ex.doc_id = r.doc_id WHERE rank <= 3 GROUP BY r.qid), w AS (SELECT qid, count(*) AS wanted FROM ex GROUP BY qid)
       SELECT qid, coalesce(hits, 0) AS hits, round(CASE WHEN coalesce(wanted, 0) = 0 THEN CASE WHEN coalesce(found, 0) = 0 THEN 1.0 ELSE 0.0 END ELSE coalesce(hits, 0)::DOUBLE / least(3, wanted) END, 6)::DOUBLE AS precision FROM h FULL JOIN w USING (qid)""",
-    "weight_grid": f"""{POOL}, {EXPECT}, z AS (SELECT name, qid, doc_id, source, knn_rank, round(ws::DOUBLE * round(greatest(0.0, 1 - distance / 2), 6) + wi::DOUBLE * (importance / 10::DOUBLE) + wr::DOUBLE * round(rec, 6), 6) AS w FROM ranked, {GRID} g),
-      t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, qid ORDER BY w DESC, knn_rank) AS o FROM z) WHERE o <= 3),
-      e AS (SELECT name, t.qid, count(ex.doc_id) AS hits, max((source = 'chat')::INT) AS bad FROM t LEFT JOIN ex ON ex.qid = t.qid AND ex.doc_id = t.doc_id GROUP BY name, t.qid),
-      f AS (SELECT name, avg(hits::DOUBLE / least(3, (SELECT count(*) FROM ex WHERE ex.qid = e.qid))) AS p, avg(bad) AS v FROM e GROUP BY name)
-      SELECT name, round(p, 6) AS precision, round(v, 6) AS violations, round(5 * p + 3 + 2 * (1 - v), 6) AS score FROM f""",
+    "weight_grid": f"""{POOL}, {EXPECT}, z AS (SELECT number, name, qid, doc_id, source, knn_rank, round(ws::DOUBLE * round(greatest(0.0, 1 - distance / 2), 6) + wi::DOUBLE * (importance / 10::DOUBLE) + wr::DOUBLE * round(rec, 6), 6) AS w FROM ranked, {GRID} g),
+      t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY number, qid ORDER BY w DESC, knn_rank) AS o FROM z) WHERE o <= 3), {LABELS},
+      f AS (SELECT number, name, {MEASURES} FROM {GRID} g CROSS JOIN (SELECT qid AS q FROM ask)
+        LEFT JOIN (SELECT number AS tn, qid AS tq, count(*) AS found, count(*) FILTER ((qid, doc_id) IN (SELECT qid, doc_id FROM ex)) AS hits, count(*) FILTER (doc_id = qid) AS kept, count(*) FILTER ((qid, doc_id) IN (SELECT qid, doc_id FROM xc)) AS bad FROM t GROUP BY number, qid) ON tn = number AND tq = q GROUP BY number, name),
+      r AS (SELECT *, round(greatest(0.0, 5 * p + 3 * mi + 2 * (1 - v)), 6) AS score FROM f)
+      SELECT name, round(p, 6) AS precision, round(mi, 6) AS include_rate, round(v, 6) AS violation_rate, score, row_number() OVER (ORDER BY score DESC, number) = 1 AS best FROM r""",
+    "retrieval_score": f"""{POOL}, {EXPECT}, {LABELS}, t AS (SELECT * FROM ranked WHERE rank <= 3),
+      f AS (SELECT {MEASURES} FROM (SELECT qid AS q FROM ask)
+        LEFT JOIN (SELECT qid AS tq, count(*) AS found, count(*) FILTER ((qid, doc_id) IN (SELECT qid, doc_id FROM ex)) AS hits, count(*) FILTER (doc_id = qid) AS kept, count(*) FILTER ((qid, doc_id) IN (SELECT qid, doc_id FROM xc)) AS bad FROM t GROUP BY qid) ON tq = q)
+      SELECT round(p, 6) AS precision, round(mi, 6) AS include_rate, round(1 - v, 6) AS exclude_rate, round(5 * p + 3 * mi + 2 * (1 - v), 6) AS score FROM f""",
+    "recommendations": f"""WITH s AS (SELECT * FROM {values(X.SCORES, 'name, s')} JOIN {values(ADVICE.items(), 'name, advice')} USING (name) WHERE s < 7) SELECT name, advice FROM s UNION ALL SELECT 'all', 'none' WHERE NOT EXISTS (SELECT 1 FROM s)""",
+    "text_to_id": f"""{POOL}, t AS (SELECT qid || ':' || rank AS result_id, text FROM ranked WHERE rank <= 3), g AS (SELECT doc_id, text FROM documents WHERE doc_id % 20 = 0)
+      SELECT result_id, min(g.doc_id) AS doc_id FROM t JOIN g ON (g.text <> '' AND contains(t.text, left(g.text, 50))) OR (t.text <> '' AND contains(g.text, left(t.text, 50))) GROUP BY result_id""",
+    "state_update": f"""WITH {EVENTS}, sd AS (SELECT *, ({listed(TAXONOMY)})[event_id % {len(TAXONOMY)} + 1] AS t, ({listed(v[0] for v in TAXONOMY.values())})[event_id % {len(TAXONOMY)} + 1] AS s FROM ev)
+      SELECT user_id, event_id, last_value(CASE WHEN t = 'EMOTION' THEN s END IGNORE NULLS) OVER w AS vibe, last_value(coalesce(topic, CASE WHEN t IN ('FACT', 'GOAL', 'DATE', 'MILESTONE') THEN t || ':' || s END) IGNORE NULLS) OVER w AS topic,
+      last_value(mood IGNORE NULLS) OVER w AS mood FROM sd WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
+    "state_round_trip": f"""WITH {EVENTS} SELECT user_id, xp, {LEVEL} AS level, messages, lmood AS mood, NULL::VARCHAR AS vibe, 0 AS n_concerns FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS o FROM pr) WHERE o = 1""",
+    "morning_message": f"""WITH {MEM}, m AS (SELECT user_id, bool_or(source = 'night_insight') AS has, first(md5(text) ORDER BY ts DESC, doc_id) AS d, CAST(substr(user_id, 2) AS INT) % 2 = 0 AS s FROM mem GROUP BY user_id)
+      SELECT user_id, CASE WHEN has AND NOT s THEN d END AS message, s OR has AS shown FROM m""",
     "mmr_sweep": f"""{POOL}, sweep AS (SELECT r.*, pen, pen || ':' || qid AS key FROM ranked r, (SELECT unnest({listed(X.PENALTIES)})::DOUBLE AS pen)), {mmr('sweep', 'a.pen', 3, 'key')}, ch AS ({picks(3, 'pen, qid, source')}),
       g AS (SELECT pen, qid, count(DISTINCT source) AS got FROM ch GROUP BY pen, qid), al AS (SELECT qid, count(DISTINCT source) AS n FROM ranked GROUP BY qid)
       SELECT pen AS penalty, round(avg(got::DOUBLE / least(3, n)), 6) AS diversity FROM g JOIN al USING (qid) GROUP BY pen""",
-    "calibration": """WITH p AS (SELECT a.label = b.label AS s, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id < 40),
+    "calibration": """WITH p AS (SELECT a.label = b.label AS s, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND (a.vec_id % 20 <> 0 OR a.vec_id < b.vec_id) WHERE b.vec_id % 20 = 0),
       c AS (SELECT round(avg(d) FILTER (s), 4) AS mean_similar, round(max(d) FILTER (s), 4) AS max_similar, round(avg(d) FILTER (NOT s), 4) AS mean_different, round(min(d) FILTER (NOT s), 4) AS min_different, count(*) FILTER (s AND d >= 0.25) AS over_old FROM p),
       g AS (SELECT *, round((max_similar + min_different) / 2, 3) AS suggested, round(min_different - max_similar, 4) AS gap FROM c)
       SELECT *, CASE WHEN gap > 0.15 THEN 'clear' WHEN gap < 0.05 THEN 'weak' ELSE 'fair' END AS band FROM g""",

@@ -201,19 +201,16 @@ def latest_wins(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.latest_wins(views.memories(spark, d, False)).select("doc_id", "user_id", "source", "entity_subtype")
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
-    """New memories (the queries' documents) against the user's stored ones."""
-    rows = views.memories(spark, d)
-    new = views.queries(spark, d)
-    found = search.knn(rows.where("doc_id >= 10"), new, 5)
-    own = rows.select(F.col("doc_id").alias("qid"), "entity_subtype")
-    near = found.join(own, "qid").select(F.col("qid").alias("doc_id"), "entity_subtype", F.col("doc_id").alias("other_id"), F.round(1 - F.col("distance") / 2, 6).alias("similarity"))
-    return near
-
-
 @query
 def consolidate_action(spark: SparkSession, d: str) -> DataFrame:
-    return consolidate.actions(_near(spark, d), 0.5)
+    """The query set's documents as new memories against their users' stored
+    ones, looked up as the best five of a pool of 25."""
+    rows = views.memories(spark, d)
+    pool = search.pooled(rows.where("doc_id % 20 <> 0"), views.queries(spark, d), 25, own_user=True)
+    near = search.reranked(pool, views.as_of()).where("rank <= 5")
+    near = near.select(F.col("qid").alias("doc_id"), F.col("doc_id").alias("other_id"), F.col("entity_subtype").alias("other_subtype"), F.round(1 - F.col("distance") / 2, 6).alias("similarity"), "rank")
+    new = views.queries(spark, d).select(F.col("qid").alias("doc_id")).join(views.memories(spark, d, False).select("doc_id", "entity_subtype"), "doc_id")
+    return consolidate.actions(new, near)
 
 
 @query
@@ -240,14 +237,28 @@ def copy_sessions(spark: SparkSession, d: str) -> DataFrame:
     return store.copy_missing(rows, rows.where("conv_id % 3 = 0"), "mem_id").select("mem_id")
 
 
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """User turns as messages, each with a vector of the table."""
+    vectors = views.table(spark, d, "embeddings").select("vec_id", "embedding")
+    own = views.session(spark, d).where("role = 'user'")
+    rows = own.select((F.col("conv_id") * 1000 + F.col("seq")).alias("doc_id"), F.col("content").alias("text"), "ts")
+    return rows.join(vectors, F.col("doc_id") % F.lit(vectors.count()) == F.col("vec_id")).drop("vec_id")
+
+
+@query
+def conversation_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    found = enrich.remembered(_turns(spark, d), _classes(spark, d), 0.3)
+    return found.select("doc_id", "entity_type", "entity_subtype", "confidence", "importance", "impact", F.md5("memory").alias("digest"))
+
+
 @query
 def reingest(spark: SparkSession, d: str) -> DataFrame:
-    best = enrich.top_per(_entities(spark, d), ["doc_id"], 1)
-    rows = views.memories(spark, d, False).where(F.length("text") >= 30).select("doc_id", "text", "ts").join(best, "doc_id")
+    """User turns of 30 characters and more, through the conversation pipeline."""
+    found = enrich.remembered(_turns(spark, d).where(F.length("text") >= 30), _classes(spark, d), 0.3)
     source = F.lit("enriched")
     for kind, name in REINGEST_SOURCES.items():
         source = F.when(F.col("entity_type") == kind, name).otherwise(source)
-    return rows.select("doc_id", source.alias("new_source"), F.col("entity_type").isin("MILESTONE", "SHARED_THING").alias("milestone"), "ts", F.md5(enrich.synthesized()).alias("digest"))
+    return found.select("doc_id", "entity_subtype", source.alias("new_source"), F.col("entity_type").isin("MILESTONE", "SHARED_THING").alias("milestone"), "ts", F.md5("memory").alias("digest"))
 
 
 @query
@@ -302,7 +313,20 @@ def _expected(spark: SparkSession, d: str) -> DataFrame:
     vectors = views.table(spark, d, "embeddings").select("vec_id", "label")
     n = vectors.count()
     docs = views.table(spark, d, "documents").select("doc_id").join(vectors, F.col("doc_id") % n == F.col("vec_id")).select("doc_id", "label")
-    return vectors.where("vec_id < 10").select(F.col("vec_id").alias("qid"), "label").join(docs, "label").select("qid", "doc_id")
+    return vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label").join(docs, "label").select("qid", "doc_id")
+
+
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Queries asked, expected rows, must-include rows (a query's own document)
+    and must-exclude rows (expected chat)."""
+    asked, expected = views.queries(spark, d).select("qid"), _expected(spark, d)
+    chat = views.memories(spark, d, False).where("source = 'chat'").select("doc_id")
+    return asked, expected, asked.select("qid", F.col("qid").alias("doc_id")), expected.join(chat, "doc_id", "left_semi")
+
+
+@query
+def retrieval_score(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.retrieval_score(_pool(spark, d), *_labelled(spark, d))
 
 
 @query
@@ -314,9 +338,21 @@ def precision_at_3(spark: SparkSession, d: str) -> DataFrame:
 def weight_grid(spark: SparkSession, d: str) -> DataFrame:
     pool = _pool(spark, d).select(
         "qid", "doc_id", "knn_rank", F.round(F.greatest(F.lit(0.0), 1 - F.col("distance") / 2), 6).alias("similarity"), (F.col("importance") / 10).alias("importance"),
-        F.round(search.recency(RankConfig(), views.as_of()), 6).alias("recency"), (F.col("source") == "chat").alias("off_limits"),
+        F.round(search.recency(RankConfig(), views.as_of()), 6).alias("recency"),
     )
-    return evaluate.weight_grid(pool, _expected(spark, d), list(X.GRID))
+    return evaluate.weight_grid(pool, *_labelled(spark, d), list(X.GRID))
+
+
+@query
+def recommendations(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.recommendations(spark.createDataFrame(list(X.SCORES), "name string, score double"))
+
+
+@query
+def text_to_id(spark: SparkSession, d: str) -> DataFrame:
+    """The first three results' texts back to documents of the query set."""
+    found = _pool(spark, d).where("rank <= 3").select(F.concat_ws(":", "qid", "rank").alias("result_id"), "text")
+    return search.resolved(found, views.table(spark, d, "documents").where("doc_id % 20 = 0").select("doc_id", "text"))
 
 
 @query
@@ -326,9 +362,9 @@ def mmr_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def calibration(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.table(spark, d, "embeddings").where("vec_id < 40")
-    a, b = rows.alias("a"), F.broadcast(rows.alias("b"))
-    pairs = a.join(b, F.expr("a.vec_id < b.vec_id")).select((F.col("a.label") == F.col("b.label")).alias("similar"), F.round(1 - cosine(F.col("a.embedding"), F.col("b.embedding")), 4).alias("distance"))
+    rows = views.table(spark, d, "embeddings")
+    a, b = rows.alias("a"), F.broadcast(rows.where("vec_id % 20 = 0").alias("b"))
+    pairs = a.join(b, F.expr("a.vec_id <> b.vec_id and (a.vec_id % 20 <> 0 or a.vec_id < b.vec_id)")).select((F.col("a.label") == F.col("b.label")).alias("similar"), F.round(1 - cosine(F.col("a.embedding"), F.col("b.embedding")), 4).alias("distance"))
     return evaluate.calibration(pairs)
 
 
@@ -379,6 +415,34 @@ def levels(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", "xp", state.level(F.col("xp")).alias("level"))
 
 
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*(F.struct(F.lit(k).alias("t"), F.lit(v[0]).alias("s")) for k, v in TAXONOMY.items()))
+    rows = views.state_events(spark, d).withColumn("e", kinds[(F.col("event_id") % len(TAXONOMY)).cast("int")])
+    return rows.select("user_id", "event_id", "ts", "mood", F.col("topic").alias("reply_topic"), F.col("e.t").alias("entity_type"), F.col("e.s").alias("entity_subtype"))
+
+
+@query
+def state_update(spark: SparkSession, d: str) -> DataFrame:
+    return state.updated(_said(spark, d))
+
+
+@query
+def state_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's last state as JSON lines and back, with a key too many."""
+    last = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    rows = state.progressed(views.state_events(spark, d)).withColumn("n", F.row_number().over(last)).where("n = 1")
+    lines = state.saved(rows.select("user_id", "xp", "level", "messages", "mood", F.lit(1).alias("unknown")))
+    return state.loaded(lines).select("user_id", "xp", "level", "messages", "mood", "vibe", F.size("concerns").alias("n_concerns"))
+
+
+@query
+def morning_message(spark: SparkSession, d: str) -> DataFrame:
+    newest = F.max(F.struct("ts", (-F.col("doc_id")).alias("o"), F.md5("text").alias("digest")))["digest"]
+    rows = views.memories(spark, d, False).groupBy("user_id").agg(F.max(F.when(F.col("source") == "night_insight", F.lit(1))).alias("some"), newest.alias("digest"))
+    states = rows.select("user_id", F.when(F.col("some") == 1, F.col("digest")).alias("message"), (F.substring("user_id", 2, 9).cast("int") % 2 == 0).alias("shown"))
+    return state.read_once(states)
+
+
 @query
 def concern_fifo(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([("u0", *x) for x in X.CONCERNS] + [("u1", 1, "a", "a")], "user_id string, seq int, added string, removed string")
@@ -472,14 +536,7 @@ def ascii_fold(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_xp(spark: SparkSession, d: str) -> DataFrame:
     """The stateful stream over the events table, run to its end."""
-    import uuid
-
     events = spark.readStream.schema(views.table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     k = F.get_json_object("props", "$.k").cast("bigint")
     rows = events.select("user_id", "event_id", "ts", F.floor("value").alias("words"), (k % 4).alias("entities"))
-    name = f"xp_{uuid.uuid4().hex}"
-    done = streams.progressed(rows).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(name)
-
-
+    return streams.run_to_table(streams.progressed(rows))

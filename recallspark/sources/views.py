@@ -47,12 +47,14 @@ def memories(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFram
     return out.join(found, F.col("doc_id") % F.lit(found.count()) == F.col("vec_id")).drop("vec_id")
 
 
-def queries(spark: SparkSession, sf_dir: str, count: int = 10) -> DataFrame:
-    """(qid, user_id, qtext, embedding): the feature is a fixed set of queries."""
-    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < count)
-    texts = table(spark, sf_dir, "documents").where(F.col("doc_id") < count).select("doc_id", F.left("text", F.lit(200)).alias("qtext"))
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, user_id, qtext, embedding): the stated query set, every vector whose
+    id is divisible by 20, with its document's whole text and user."""
+    vectors = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    texts = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select("doc_id", F.col("text").alias("qtext"))
     out = vectors.join(texts, F.col("vec_id") == F.col("doc_id"))
-    return out.select(F.col("vec_id").alias("qid"), F.concat(F.lit("u"), (F.col("vec_id") % 10).cast("string")).alias("user_id"), "qtext", "embedding")
+    user = F.concat(F.lit("u"), (F.floor(F.col("vec_id") / 20) % 10).cast("string"))
+    return out.select(F.col("vec_id").alias("qid"), user.alias("user_id"), "qtext", "embedding")
 
 
 def session(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,6 +53,22 @@ def upserting(stream: DataFrame, path: str, checkpoint: str, key: str = "mem_id"
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_to_table(stream: DataFrame) -> DataFrame:
+    """Runs a stream to its end into a Parquet table; table and checkpoint stand
+    in the folder that ``spark.checkpoint.dir`` names, or, where Spark runs in
+    one process and names none, in a temporary one."""
+    spark = stream.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="recallspark-")
+    path = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    done = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/table")
+    done.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+
+
 def windowed_counts(session: DataFrame, late: str = "2 hours", width: str = "24 hours") -> DataFrame:
     """User messages by user and window of time; late ones within ``late`` count."""
     own = session.where("role = 'user'").withWatermark("ts", late)
