@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import arrow_slices, free_name
+from .common import arrow_slices, free_name, tidy
 
 #: Pieces whose ids a task keeps, and those not kept; bytes encoded and rows decoded at a time.
 _CACHE_PIECES, _LONG_PIECE, _SLICE, _ROWS = 100_000, 64, 1 << 20, 200
@@ -173,7 +173,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep:
     rows, at = _with_text(df, keep, text_col)
     sent = df.sparkSession.sparkContext.broadcast(vocabulary.parts())
     kinds = [*rows.schema.fields[: len(keep)], *_IDS, *(_PLACES if offsets else [])]
-    return rows.mapInArrow(_encoder(sent, list(keep), at, offsets), StructType(kinds))
+    return rows.mapInArrow(tidy(_encoder(sent, list(keep), at, offsets)), StructType(kinds))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
@@ -192,7 +192,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str,
     rows, at = _with_text(docs, keep, "text")
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary.parts())
     there, back = _encoder(sent, list(keep), at, False), _decoder(sent, [*keep, "ids", "n_split"], len(keep))
-    done = rows.mapInArrow(lambda batches: back(there(batches)), StructType([*rows.schema.fields[: len(keep)], *_IDS, _DECODED]))
+    done = rows.mapInArrow(tidy(lambda batches: back(there(batches))), StructType([*rows.schema.fields[: len(keep)], *_IDS, _DECODED]))
     return done.select(
         *keep,
         F.size("ids").cast("long").alias("n_tokens"),

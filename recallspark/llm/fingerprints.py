@@ -2,18 +2,22 @@
 
 A k-mer of code points is an anchor when the least of its hashed inner s-mers
 is its first or last one: a choice that needs no context, so the same passage
-has the same anchors wherever it stands, at their positions. The fingerprint is
-the ``SKETCH`` least anchor hashes; two fingerprints give the share of anchors
-that their texts have in common.
-
-Documents and the next ones in descending doc_id meet by a range partitioning
-on doc_id: texts move once. What crosses a border is one row a partition, which
-also goes to the partition before it.
+has the same anchors wherever it stands. The fingerprint has every anchor in
+order, its distance from the one before and its hash. Two fingerprints are
+matched by position: equal anchors whose places differ by one shift, two or more
+of them, stand for a common passage; likeness is the share of all anchors that
+lie in such passages.
+
+Documents and the next ones in descending doc_id meet by a range partitioning on
+doc_id, the text's hash and the row: texts move once, and neither an id nor a
+repeated row is kept together. What crosses a border is one row a partition,
+which also goes to the partition before it.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-K, S, SKETCH, DIGITS = 20, 8, 64, 12
+from .common import arrow_slices
+
+K, S = 32, 8
+#: Rows of the sample for each border between partitions.
+SAMPLE = 50
 _P = np.uint64(0x9E3779B97F4A7C15)
 _LEAST = -(2**63)
 
@@ -33,46 +41,73 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def closed_syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of a text. A text of fewer than k
-    code points is one anchor; an empty one has none."""
+    """Positions and 32-bit hashes of the anchors of a text. A non-empty text
+    without any, as one of fewer than k code points, is one anchor as a whole;
+    an empty one has none."""
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    n = min(s, len(c))
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    small = np.full(len(c) - n + 1, len(c) if len(c) < k else k, np.uint64)
-    for i in range(n):
-        small = small * _P + c[i : len(c) - n + 1 + i]
-    small = _mix(small)
-    if len(c) < k:
-        whole = np.array([len(c)], np.uint64)
-        for x in small:
-            whole = _mix(whole * _P + x)
-        return np.zeros(1, np.int64), whole
-    span, least, wide = k - s + 1, small, 1
-    while wide * 2 <= span:
-        least, wide = np.minimum(least[:-wide], least[wide:]), wide * 2
-    least = np.minimum(least[: len(small) - span + 1], least[span - wide :][: len(small) - span + 1])
-    first, last = small[: len(least)], small[span - 1 :]
-    at = np.flatnonzero((least == first) | (least == last))
-    mid = small[np.minimum(at + s, at + span - 1)]
-    return at, _mix((first[at] * _P + mid) * _P + last[at])
-
-
-def sketch(text: str) -> np.ndarray:
-    """The least distinct anchor hashes, in order."""
-    h = np.unique(closed_syncmers(text)[1] >> np.uint64(64 - 4 * DIGITS))
-    return h[:SKETCH]
-
-
-def shown(h: np.ndarray) -> str:
-    return "".join(f"{x:0{DIGITS}x}" for x in h.tolist())
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common anchors, from the least hashes of both; two texts
-    without anchors are alike."""
-    both = np.unique(np.concatenate([a, b]))[:SKETCH]
-    return float((np.isin(both, a) & np.isin(both, b)).mean()) if len(both) else 1.0
+    if not len(c):
+        return np.empty(0, np.int64), np.empty(0, np.uint32)
+    at = np.empty(0, np.int64)
+    if len(c) >= k:
+        small = np.zeros(len(c) - s + 1, np.uint64)
+        for i in range(s):
+            small = small * _P + c[i : len(c) - s + 1 + i]
+        small = _mix(small)
+        span, least, wide = k - s + 1, small, 1
+        while wide * 2 <= span:
+            least, wide = np.minimum(least[:-wide], least[wide:]), wide * 2
+        n = len(small) - span + 1
+        least = np.minimum(least[:n], least[span - wide :][:n])
+        at = np.flatnonzero((least == small[:n]) | (least == small[span - 1 :]))
+    if not len(at):
+        whole = hashlib.blake2b(text.encode("utf-32-le"), digest_size=4).digest()
+        return np.zeros(1, np.int64), np.frombuffer(whole, np.uint32)
+    # The k-mer's hash, from its inner s-mers a step of s apart and its last.
+    h = np.zeros(len(at), np.uint64)
+    for i in (*range(0, k - s, s), k - s):
+        h = h * _P + small[at + i]
+    return at, (_mix(h) >> np.uint64(32)).astype(np.uint32)
+
+
+Anchors = tuple[np.ndarray, np.ndarray]
+
+
+def shown(anchors: Anchors) -> str:
+    """Ten hexadecimal digits an anchor: two of the distance from the one before
+    (at most k - s, as every window of so many k-mers has one; from 0 for the
+    first), eight of the hash."""
+    at, h = anchors
+    out = np.empty((len(at), 5), np.uint8)
+    out[:, 0] = np.minimum(np.diff(at, prepend=0), 255)
+    out[:, 1:] = h.astype(">u4").view(np.uint8).reshape(-1, 4)
+    return out.tobytes().hex()
+
+
+def read(fingerprint: str) -> Anchors:
+    """The anchors of a shown fingerprint."""
+    raw = np.frombuffer(bytes.fromhex(fingerprint), np.uint8).reshape(-1, 5)
+    return np.cumsum(raw[:, 0], dtype=np.int64), np.ascontiguousarray(raw[:, 1:]).view(">u4").ravel().astype(np.uint32)
+
+
+def _numbered(anchors: Anchors) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and occurrence of each anchor as one number, sorted, and positions."""
+    at, h = anchors
+    order = np.argsort(h, kind="stable")
+    sorted_h = h[order].astype(np.uint64)
+    starts = np.flatnonzero(np.diff(sorted_h, prepend=sorted_h[:1] + np.uint64(1)))
+    nth = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    return sorted_h << np.uint64(32) | nth.astype(np.uint64), at[order]
+
+
+def likeness(a: Anchors, b: Anchors) -> float:
+    """Share of all anchors of both that lie in common passages; the n-th of
+    equal anchors meets the n-th. Two texts without anchors are alike."""
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    (x, at_x), (y, at_y) = _numbered(a), _numbered(b)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shifts, n = np.unique(at_x[i] - at_y[j], return_counts=True)
+    return float(2 * n[n >= min(2, len(x), len(y))].sum() / (len(x) + len(y)))
 
 
 def edited(text: str, following: str) -> str:
@@ -82,28 +117,37 @@ def edited(text: str, following: str) -> str:
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
-    """Rows of (pid, guest, r, key, doc_id, text), dealt by ranges of descending
-    doc_id and sorted; a partition's last row is its guest, the next one's first."""
+    """Rows of (pid, guest, r, key, row, doc_id, text), dealt by ranges of
+    descending doc_id and sorted; a partition's last row is its guest, the next
+    one's first."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rank = F.bitwise_not(F.coalesce("doc_id", F.lit(_LEAST)))
-    rows = rows.withColumn("r", rank).withColumn("key", F.xxhash64("text"))
-    borders = sorted(set(map(int, rows.agg(F.expr(f"percentile_approx(r, array({', '.join(str(i / parts) for i in range(1, parts))}), 10000)")).first()[0] or []))) if parts > 1 else []
+    rows = rows.withColumns({"r": rank, "key": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    places = ["r", "key", "row"]
+    drawn = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.lit(min(1 << 30, int(SAMPLE * parts / max(rows.count(), 1) * 2**30)))
+    sample = sorted(map(tuple, rows.where(drawn).select(*places).collect())) if parts > 1 else []
+    borders = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
 
     @F.pandas_udf("int")
-    def part(r: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(borders, np.int64), r.to_numpy(np.int64), "left").astype(np.int32))
-
-    firsts = rows.select("r", "key", part("r").alias("pid")).groupBy("pid").agg(F.min(F.struct("r", "key")).alias("f")).collect()
-    found = sorted((x["pid"], x["f"]["r"], x["f"]["key"]) for x in firsts)
-    guests = [(r, key, found[i - 1][0]) for i, (_, r, key) in enumerate(found)]  # the first goes to the last partition
-    sent = F.broadcast(spark.createDataFrame(guests, "r long, key long, pid int"))
-    own = rows.withColumn("pid", part("r")).withColumn("guest", F.lit(0))
-    more = rows.join(sent, ["r", "key"]).withColumn("guest", F.lit(1))
-    names = ["pid", "guest", "r", "key", "doc_id", "text"]
+    def part(r: pd.Series, key: pd.Series, row: pd.Series) -> pd.Series:
+        first = np.array([x[0] for x in borders], np.int64)
+        at, after = (np.searchsorted(first, r.to_numpy(np.int64), side) for side in ("left", "right"))
+        for i in np.flatnonzero(at < after):  # rows whose id is a border's
+            at[i] = bisect_left(borders, (r[i], key[i], row[i]))
+        return pd.Series(at.astype(np.int32))
+
+    pid = part(*places)
+    firsts = rows.select(*places, pid.alias("pid")).groupBy("pid").agg(F.min(F.struct(*places)).alias("f")).collect()
+    found = sorted((x["pid"], *x["f"]) for x in firsts)
+    guests = [(*own, found[i - 1][0]) for i, (_, *own) in enumerate(found)]  # the first goes to the last partition
+    sent = F.broadcast(spark.createDataFrame(guests, "r long, key long, row long, pid int"))
+    own = rows.withColumn("pid", pid).withColumn("guest", F.lit(0))
+    more = rows.join(sent, places).withColumn("guest", F.lit(1))
+    names = ["pid", "guest", *places, "doc_id", "text"]
     dealt = own.select(*names).union(more.select(*names)).repartitionById(parts, F.col("pid"))
-    return dealt.sortWithinPartitions("pid", "guest", "r", "key")
+    return dealt.sortWithinPartitions("pid", "guest", *places)
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -111,14 +155,14 @@ def compared(docs: DataFrame) -> DataFrame:
     near_edited, near_next) for each row.
 
     A null text is an empty one. Documents follow each other by descending
-    doc_id, null ids last, rows of one id by a hash of the text; after the last
-    comes the first, so a single document follows itself. An empty table gives
+    doc_id, null ids last, rows of one id by a hash of the text and then as they
+    are read; after the last comes the first, so a single document follows itself. An empty table gives
     an empty result; columns other than doc_id and text are not read.
     """
 
-    def one(doc_id: int, text: str, own: np.ndarray, following: str, its: np.ndarray) -> tuple:
+    def one(doc_id: int, text: str, own: Anchors, following: str, its: Anchors) -> tuple:
         new = edited(text, following)
-        mine = sketch(new)
+        mine = closed_syncmers(new)
         return doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), shown(own), shown(mine), likeness(own, mine), likeness(own, its)
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -126,15 +170,15 @@ def compared(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, done = None, False
-        for batch in batches:
+        for batch in arrow_slices(batches, 6):
             out = []
-            for row in zip(*(batch.column(i) for i in (0, 1, 4, 5)), strict=True):
+            for row in zip(*(batch.column(i) for i in (0, 1, 5, 6)), strict=True):
                 pid, guest, doc_id, text = (x.as_py() for x in row)
                 if held is not None and held[0] != pid:
                     held, done = None, False
                 if done:
                     continue  # a copy of the guest
-                own = sketch(text)
+                own = closed_syncmers(text)
                 if held is not None:
                     out.append(one(held[1], held[2], held[3], text, own))
                 held, done = (pid, doc_id, text, own), bool(guest)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, stored
+from .common import arrow_slices, stored, tidy
 
 WORDS, CLASSES, STATES, ROUNDS = 65_536, 1024, 6, 3
 #: Bytes of a word's ending that give its class.
@@ -65,7 +65,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_class(word: bytes) -> int:
@@ -131,7 +131,7 @@ def encoded(docs: DataFrame, frequent: list[bytes]) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int64()), *none, pa.array([x[1]], lexicon)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    return rows.mapInArrow(run, _ENCODED)
+    return rows.mapInArrow(tidy(run), _ENCODED)
 
 
 class _Sequences:
@@ -285,7 +285,7 @@ def trained(table: DataFrame, share: np.ndarray, states: int = STATES, rounds: i
             both = np.concatenate([start[None], move, emit[used]])
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(both[:, k]) for k in range(states))], ["symbol", *names])
 
-        summed = rows.mapInArrow(count, ", ".join(["symbol int", *(f"{x} double" for x in names)])).groupBy("symbol").agg(*(F.sum(x).alias(x) for x in names)).collect()
+        summed = rows.mapInArrow(tidy(count), ", ".join(["symbol int", *(f"{x} double" for x in names)])).groupBy("symbol").agg(*(F.sum(x).alias(x) for x in names)).collect()
         got = {r[0]: np.array(r[1:]) for r in summed}
         emit = np.zeros_like(model.emit)
         for k, x in got.items():
@@ -360,7 +360,7 @@ def scored(docs: DataFrame, words: int = WORDS, states: int = STATES, rounds: in
             made += [pa.array([int(known[x].sum()) for x in seqs], pa.int64()), pa.array(base, pa.float64()), pa.array(like, pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.int64()), *made, pa.array([r[3] for r in own], pa.list_(pa.int32()))], ["chunk", *kinds_of, "rare"])
 
-    part = table.where("symbols is not null").select("chunk", "doc_id", "held_out", "symbols", "rare").mapInArrow(score, f"chunk long, {schema}, rare array<int>")
+    part = table.where("symbols is not null").select("chunk", "doc_id", "held_out", "symbols", "rare").mapInArrow(tidy(score), f"chunk long, {schema}, rare array<int>")
 
     # A chunk's counts of its rarer words come before its texts: one sort by one
     # number. A word's place and count are one number too, as most rows are these.
@@ -398,5 +398,5 @@ def scored(docs: DataFrame, words: int = WORDS, states: int = STATES, rounds: in
                 made = [*own[:3], pa.array(own[3].to_numpy() + found), *(pa.array(x.to_numpy() + more) for x in own[4:6])]
                 yield pa.RecordBatch.from_arrays(made, list(kinds_of))
 
-    done = both.mapInArrow(finish, schema)
+    done = both.mapInArrow(tidy(finish), schema)
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

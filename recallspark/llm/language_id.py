@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_slices, cut, free_name, held_out
+from .common import arrow_slices, cut, free_name, held_out, tidy
 
 #: Labelled documents a language that the fit reads, at most about.
 SAMPLE_DOCS = 600
@@ -253,7 +253,7 @@ def predict(docs: DataFrame, pieces: tuple[str, ...], model: tuple[list[str], np
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
     kinds = StructType([*rows.schema.fields[: len(keep)], StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return rows.mapInArrow(run, kinds)
+    return rows.mapInArrow(tidy(run), kinds)
 
 
 def identify(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc_id",), sample_docs: int = SAMPLE_DOCS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, decoded_id, free_name, id_label, stored
+from .common import connected_components, cut, decoded_id, free_name, id_label, stored, tidy
 
 HASHES, ROWS, LOW_BITS = 128, 4, 4
 BANDS = HASHES // ROWS
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node binary, bands array<long>, bits array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_key long, n_shingles long, node binary, bands array<long>, bits array<long>")
 
 
 def estimated_similarity(a: Column, b: Column) -> Column:
@@ -169,7 +169,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["lead", "node", "size", "linked", "delta"])
 
     dealt = leaders.union(members).repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", F.col("member").asc_nulls_first())
-    return dealt.mapInArrow(run, "lead binary, node binary, size long, linked boolean, delta array<long>")
+    return dealt.mapInArrow(tidy(run), "lead binary, node binary, size long, linked boolean, delta array<long>")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:

@@ -143,6 +143,17 @@ def test_licenses(spark, docs, empty, tmp_path):
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(docs).count() == 0
 
 
+def test_license_windows_retrieve_by_bands(spark, monkeypatch):
+    own = license_scan.stored(license_scan.templates(spark, license_scan.TEMPLATES))
+    mit = license_scan.TEMPLATES["MIT"].split()
+    rows = [(1, "permission is hereby granted free"), (2, " ".join(mit)), (3, " ".join([*mit[:20], "changed", *mit[21:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.license) for r in license_scan.candidates(license_scan.held_runs(df, own), own).collect()}
+    assert {(2, "MIT"), (3, "MIT")} <= found and 1 not in {d for d, _ in found}  # one shingle retrieves nothing
+    monkeypatch.setattr(license_scan, "_bands", lambda s, dense, sizes: F.array(F.lit(int(dense)).cast("long")))
+    assert license_scan.scan(df).count() == 0  # without bands nothing is found
+
+
 @pytest.fixture(scope="module")
 def sources(spark):
     rows = [(i, "w " * (1 + i % 7), "big" if i % 3 else f"s{i % 5}") for i in range(600)] + [(None, None, None), (7, "x", None), (7, "x", None)]

@@ -136,13 +136,53 @@ def test_fingerprints(docs, rows, empty):
     assert single.near_next == 1.0
 
 
-def test_syncmers_are_closed():
-    text = "".join(chr(97 + (i * i + i // 3) % 26) for i in range(400))
+def brute_anchors(text, k, s):
+    """Places of the k-mers whose least s-mer is their first or last, by plain loops."""
+    one = {}
+    for i in range(len(text) - s + 1):
+        h = np.uint64(0)
+        with np.errstate(over="ignore"):
+            for c in text[i : i + s]:
+                h = h * fingerprints._P + np.uint64(ord(c))
+            one[i] = int(fingerprints._mix(np.array([h]))[0])
+    inner = lambda i: [one[j] for j in range(i, i + k - s + 1)]
+    return [i for i in range(len(text) - k + 1) if min(inner(i)) in (one[i], one[i + k - s])]
+
+
+def test_syncmers_by_brute_force():
+    text = "".join(chr(97 + (i * i + i // 3) % 26) for i in range(400)) + "aaaa" * 20 + "naïve 漢字 😀 text" * 3
     at, h = fingerprints.closed_syncmers(text)
-    assert len(at) > 20
+    assert at.tolist() == brute_anchors(text, fingerprints.K, fingerprints.S) and np.diff(at).max() <= fingerprints.K - fingerprints.S
     again, g = fingerprints.closed_syncmers("prefix text " + text)
     shifted = dict(zip((again - 12).tolist(), g.tolist(), strict=True))
     assert all(shifted[int(i)] == int(x) for i, x in zip(at, h, strict=True))
+    assert all(np.array_equal(x, y) for x, y in zip(fingerprints.read(fingerprints.shown((at, h))), (at, h), strict=True))
+    for short in ("x", "y" * 31, "".join(chr(97 + i) for i in range(26))):
+        assert len(fingerprints.closed_syncmers(short)[0]) == 1
+
+
+def test_likeness_is_by_position():
+    import random
+
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    a, passage, b = text(4000), text(400), text(4000)
+    like = lambda x, y: fingerprints.likeness(fingerprints.closed_syncmers(x), fingerprints.closed_syncmers(y))
+    assert like(a, a) == 1.0 and like("", "") == 1.0 and like("", a) == 0.0 and like("abc", "abc") == 1.0 and like("abc", "abd") == 0.0
+    assert like(a, b) == 0.0 and 0.05 < like(a + passage, passage + b) < 0.12  # 400 of 4,400, at another place
+    parts = [a[i : i + 40] for i in range(0, 4000, 40)]
+    rng.shuffle(parts)
+    assert like(a, "".join(parts)) < 0.2  # the same pieces at as many shifts
+    assert abs(like(a, a[:2000] + b[:2000]) - 0.5) < 0.05
+
+
+def test_next_documents_of_one_id(spark):
+    """Rows of one id, and repeated rows, are dealt to many partitions."""
+    rows = [(5, f"text number {i} of many that share an id") for i in range(300)] + [(5, "one and the same text, again and again")] * 300 + [(9, "first"), (None, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert fingerprints._with_next(df).where("guest = 0").groupBy("pid").count().agg(F.max("count")).first()[0] < 300
+    got = fingerprints.compared(df.cache()).collect()
+    assert len(got) == len(rows) and sum(r.near_next == 1.0 for r in got) == 299
 
 
 def test_hmm(docs, rows, empty):
