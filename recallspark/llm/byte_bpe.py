@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import arrow_slices, free_name, tidy
+from .common import arrow_slices, free_name, give_back, tidy
 
 #: Pieces whose ids a task keeps, and those not kept; bytes encoded and rows decoded at a time.
-_CACHE_PIECES, _LONG_PIECE, _SLICE, _ROWS = 100_000, 64, 1 << 20, 200
+_CACHE_PIECES, _LONG_PIECE, _SLICE, _ROWS = 60_000, 64, 1 << 19, 100
 
 
 def byte_table() -> dict[int, str]:
@@ -113,6 +113,7 @@ def _encoder(sent: Broadcast, keep: list[str], at: int, offsets: bool) -> Callab
         model, tokens, pattern = sent.value
         width = np.array([len(p) for p in tokens], np.int64)
         find, pieces = regex.compile(pattern).findall, _Pieces(model)
+        give_back()  # reading the model takes twice what it holds
         for batch in arrow_slices(batches, at, _SLICE):
             ids, starts, ends, split = [], [], [], []
             for text in batch.column(at).to_pylist():

@@ -85,18 +85,27 @@ def arrow_slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 <
                 yield batch.slice(s, e - s)
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run``, after whose end the worker gives its free memory back: it stays
-    for later tasks, and its caches have gone."""
+def give_back() -> None:
+    """Hands this process's free memory back to the machine."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
-    def wrapped(batches: Iterator) -> Iterator:
-        yield from run(batches)
-        import ctypes
 
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+def tidy(run: Callable[[Iterator], Iterator], every: int = 8) -> Callable[[Iterator], Iterator]:
+    """``run``, whose worker gives its free memory back after each ``every``
+    batches and at the end, when its caches have gone: workers stay for later
+    tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        for i, batch in enumerate(run(batches)):
+            yield batch
+            if i % every == 0:
+                give_back()
+        give_back()
 
     return wrapped
 
