@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from .common import arrow_slices, free_name, give_back, tidy
 
 #: Pieces whose ids a task keeps, and those not kept; bytes encoded and rows decoded at a time.
-_CACHE_PIECES, _LONG_PIECE, _SLICE, _ROWS = 60_000, 64, 1 << 19, 100
+_CACHE_PIECES, _LONG_PIECE, _SLICE, _ROWS = 100_000, 64, 1 << 19, 100
 
 
 def byte_table() -> dict[int, str]:

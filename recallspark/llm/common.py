@@ -95,7 +95,7 @@ def give_back() -> None:
         trim(0)
 
 
-def tidy(run: Callable[[Iterator], Iterator], every: int = 8) -> Callable[[Iterator], Iterator]:
+def tidy(run: Callable[[Iterator], Iterator], every: int = 32) -> Callable[[Iterator], Iterator]:
     """``run``, whose worker gives its free memory back after each ``every``
     batches and at the end, when its caches have gone: workers stay for later
     tasks."""
