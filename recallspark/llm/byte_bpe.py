@@ -17,10 +17,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import arrow_slices, free_name, give_back, tidy
 
@@ -151,6 +152,28 @@ def _decoder(sent: Broadcast, names: list[str], at: int) -> Callable[[Iterator[p
     return run
 
 
+def _digester(sent: Broadcast, names: list[str], with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of the kept columns, ids, n_split and decoded to those with digests:
+    hashed where they are made, so that no decoded text goes back to Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
+        shown = [str(i) for i in range(len(sent.value[1]))]
+        for batch in batches:
+            *kept, ids, split, decoded = batch.columns
+            lists = (x.values.to_numpy().tolist() for x in ids)
+            made = [
+                pc.list_value_length(ids).cast(pa.int64()),
+                pa.array([sha256(",".join(map(shown.__getitem__, x)).encode()).hexdigest() for x in lists], pa.string()),
+                pa.array([sha256(x.as_buffer()).hexdigest() for x in decoded], pa.string()),
+                split,
+            ]
+            yield pa.RecordBatch.from_arrays([*kept, *made, *([ids] if with_ids else [])], names)
+
+    return run
+
+
 def _with_text(df: DataFrame, keep: tuple[str, ...], text_col: str) -> tuple[DataFrame, int]:
     """The kept columns and the text, once, and the text's place."""
     if text_col in keep:
@@ -161,6 +184,7 @@ def _with_text(df: DataFrame, keep: tuple[str, ...], text_col: str) -> tuple[Dat
 _IDS = [StructField("ids", ArrayType(IntegerType())), StructField("n_split", LongType())]
 _PLACES = [StructField(x, ArrayType(IntegerType())) for x in ("starts", "ends")]
 _DECODED = StructField("decoded", BinaryType())
+_DIGESTS = [StructField("n_tokens", LongType()), *(StructField(x, StringType()) for x in ("ids_sha256", "decoded_sha256")), _IDS[1]]
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = False) -> DataFrame:
@@ -192,13 +216,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str,
     encoding and decoding again, both in one task; with ``ids`` if asked."""
     rows, at = _with_text(docs, keep, "text")
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary.parts())
+    kinds = [*rows.schema.fields[: len(keep)], *_DIGESTS, *(_IDS[:1] if with_ids else [])]
     there, back = _encoder(sent, list(keep), at, False), _decoder(sent, [*keep, "ids", "n_split"], len(keep))
-    done = rows.mapInArrow(tidy(lambda batches: back(there(batches))), StructType([*rows.schema.fields[: len(keep)], *_IDS, _DECODED]))
-    return done.select(
-        *keep,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        "n_split",
-        *(["ids"] if with_ids else []),
-    )
+    digests = _digester(sent, [x.name for x in kinds], with_ids)
+    return rows.mapInArrow(tidy(lambda batches: digests(back(there(batches)))), StructType(kinds))
