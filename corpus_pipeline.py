@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm import byte_bpe, language_id, mixing, near_dedup, pii
-from recallspark.llm.common import free_name, stored
+from recallspark.llm.common import documents, free_name, small_batches, stored
 from recallspark.llm.queries import vocabulary
 
 #: A language is accepted from this posterior probability on.
@@ -27,6 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and letterless texts go; repeated rows and rows without an id
     are judged like others. Columns of any name pass unchanged."""
+    small_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     lang, score = (free_name(docs.columns, x) for x in ("lang_pred", "score"))
     found = language_id.identify(docs, model, keep=tuple(docs.columns), names=(lang, score))
@@ -37,6 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document of each group of near duplicates, by five words: the
     one of the least id. Texts without words, null or empty, all stay; of
     repeated rows one stays."""
+    small_batches(spark)
     return near_dedup.one_of_each(docs, width=5)
 
 
@@ -56,6 +58,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the round trip; a null text
     has no ids."""
+    small_batches(spark)
     return byte_bpe.round_trip_digests(docs, vocabulary(), keep=("doc_id", "lang", "source"), with_ids=True)
 
 
@@ -71,7 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
