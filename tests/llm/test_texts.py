@@ -37,6 +37,21 @@ def test_bpe_is_tiktoken(docs, rows, vocab, empty):
     assert byte_bpe.round_trip_digests(empty, vocab).count() == 0
 
 
+def test_bpe_digests(docs, vocab):
+    import hashlib
+
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=vocab.pattern, mergeable_ranks={p: i for i, p in enumerate(vocab.pieces)}, special_tokens={})
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for with_ids in (False, True):
+        got = byte_bpe.round_trip_digests(docs, vocab, keep=("doc_id", "text"), with_ids=with_ids)
+        for r in got.collect():
+            ids = enc.encode_ordinary(r.text or "")
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(",".join(map(str, ids))), digest(r.text or ""))
+            assert not with_ids or r.ids == ids
+
+
 def test_bpe_of_odd_strings(spark, vocab):
     import random
 
