@@ -40,5 +40,17 @@ c AS (SELECT *, unnest(range(floor(passes)::BIGINT + CASE WHEN spot < passes - f
 SELECT doc_id, source, tokens, pass, least(floor((pass + spot) / passes * {mixing.BLOCKS}), {mixing.BLOCKS - 1})::INT AS block FROM c"""
 
 
+HARD_NEGATIVES = """WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= 5"""
+
+_FLAT = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')"
+EXACT_DEDUP = f"""WITH d AS (SELECT doc_id, {_FLAT} AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_cover_tree": COVER_TREE, "op5_minhash_near_dedup": NEAR_DEDUP, "op6_license_scan": license_scan.oracle(), "op10_mixing": MIXING}
+    return {"op2_cover_tree": COVER_TREE, "op5_minhash_near_dedup": NEAR_DEDUP, "op6_license_scan": license_scan.oracle(), "op10_mixing": MIXING, "op12_hard_negatives": HARD_NEGATIVES, "op13_exact_dedup": EXACT_DEDUP}
