@@ -7,6 +7,10 @@ within a repetition limit. The weights are realised under a token budget: each
 source gets whole passes and part of a last pass over a hash permutation of its
 documents, and every copy a block, so that each block has about the mixture.
 
+A small source may have to repeat very often. Copies are dealt out in two steps, a
+root of their number of parts that move to other tasks and are taken apart there,
+so no task makes all copies of a document.
+
 Cumulative tokens of a source are taken in two steps, within ``BUCKETS`` hash
 ranges of its permutation and over the ranges, so that a source with a third of
 all rows is spread over as many tasks.
@@ -24,6 +28,8 @@ BUCKETS = 1024
 STEPS = 30
 #: Targets of the registered query: share of the greatest entropy, blocks.
 ENTROPY, BLOCKS = 0.9, 256
+#: Copies of a document that are made where it stands; more are dealt out.
+PART = 1000
 #: The least repetition limit for which the pipeline keeps every document.
 MAX_REPEATS = 2.0
 
@@ -101,6 +107,10 @@ def mixed(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | Non
     """The rows of ``docs``, once for each copy, with the columns of ``names``:
     tokens, pass (from 0) and block.
 
+    With ``entropy`` the rows are as many as the budget's tokens allow: a source
+    of one short document may come out as often as its weight times the corpus's
+    tokens. With ``repeats`` a document has at most that many copies, and one more.
+
     A copy in a whole pass is always there. In the last, partial pass a
     document is there if it begins before the budget in the source's hash
     order. A source with fewer tokens than its part of the budget repeats, one
@@ -128,8 +138,16 @@ def mixed(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | Non
     inside = Window.partitionBy("__s", "__b").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__own", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(plan, ["__s", "__b"])
     placed = placed.withColumn("__at", (F.col("__before") + F.col("__own")) / F.col("__all"))
-    whole = F.floor("passes").cast("int")
+    whole = F.floor("passes").cast("long")
     copies = whole + F.when(F.col("__at") < F.col("passes") - whole, 1).otherwise(0)
-    dealt = placed.withColumn("__copies", copies).where("__copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    dealt = placed.withColumn("__copies", copies).where("__copies > 0")
+    few = dealt.where(F.col("__copies") <= PART).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
+    size = F.greatest(F.lit(PART), F.ceil(F.sqrt("__copies"))).cast("long")
+    parts = dealt.where(F.col("__copies") > PART).withColumn("__size", size)
+    parts = parts.withColumn("__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1, F.col("__size"))))
+    parts = parts.repartition(F.col("__s"), F.col("__key"), F.col("__first"))
+    last = F.least(F.col("__first") + F.col("__size"), F.col("__copies")) - 1
+    many = parts.withColumn("pass", F.explode(F.sequence(F.col("__first"), last))).drop("__size", "__first")
+    dealt = few.unionByName(many)
     block = F.least(F.floor((F.col("pass") + F.col("__at")) / F.col("passes") * blocks), F.lit(blocks - 1)).cast("int")
     return dealt.select(*own.values(), "tokens", "pass", block.alias("block")).toDF(*kept, *names)
