@@ -9,7 +9,12 @@ of them holding term t, n(e) holding entity e, and n(e,t) holding both, wherever
 they stand, the disclosure is PMI(e;t) / IC(e) = 1 - ln(n(t)/n(e,t)) / ln(N/n(e)):
 0 for a term spread evenly, 1 for one found only in documents with e. A term that
 reaches ``DISCLOSURE`` for an entity, in at least ``SUPPORT`` different texts with
-it, is a span wherever it occurs, in documents without the entity too. Terms that
+it and more often than chance allows, is a span wherever it occurs, in documents
+without the entity too. Chance: were the term independent of the entity, the
+probability of so many common documents is at most exp(-n(t) KL(n(e,t)/n(t) ||
+n(e)/N)); this, times all pairs of a term and an entity that are tried, must stay
+under ``CHANCE``, so the bar rises with the vocabulary. Copies of a text count
+once as evidence. Terms that
 give a single value away with certainty are removed; others are generalised to
 the kind that they disclose most.
 
@@ -19,6 +24,8 @@ number. What is broadcast is counted first; beyond ``SMALL`` rows it is shuffled
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +46,8 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 #: Credentials: a run of this pattern with a letter, a digit and so many different characters.
 CODE, CODE_CHARACTERS = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}", 8
 DISCLOSURE, SUPPORT = 0.85, 3
+#: Expected number of terms that a corpus of independent words gives.
+CHANCE = 0.01
 #: Rows of terms that are broadcast at most.
 SMALL = 100_000
 TERM = r"\p{L}[\p{L}\p{N}]{2,}"
@@ -145,7 +154,16 @@ def _terms(text: Column, pattern: str = TERM) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
 
 
-def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def _evidence(total: int) -> Column:
+    """How much more often than by chance term and entity stand together: minus
+    the log of what bounds its probability, from n_t, n_et, n_e and the number
+    of different texts with both."""
+    p, q = F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0)), F.col("n_e") / F.lit(float(total))
+    rest = F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)
+    return F.when(q < 1, F.col("texts") / p * (p * F.log(p / q) + rest)).otherwise(0.0)
+
+
+def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, chance: float = CHANCE) -> DataFrame:
     """(term, kind, sure): the terms that disclose an entity, with the kind of
     the one disclosed most. ``sure`` marks those found in no document but a
     value's."""
@@ -167,13 +185,15 @@ def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = S
     pairs = stored(pairs.where(F.col("texts") >= support))
     found = stored(pairs.select("term").distinct())
     total = docs.count()
+    tried = max(1, entities.count() * held.select(F.explode("terms").alias("term")).distinct().count())
     every = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
     if found.count() <= SMALL:
         every, found = every.join(F.broadcast(found), "term", "left_semi"), None
     n_t = every.groupBy("term").agg(F.count("*").alias("n_t"))
     n_t = n_t if found is None else n_t.join(found, "term", "left_semi")
     score = F.when(F.lit(total) > F.col("n_e"), 1 - F.log(F.col("n_t") / F.col("n_et")) / F.log(F.lit(total) / F.col("n_e"))).otherwise(0.0)
-    risk = pairs.join(n_t, "term").join(entities, "entity").withColumn("score", score).where(F.col("score") >= disclosure)
+    risk = pairs.join(n_t, "term").join(entities, "entity").withColumn("score", score)
+    risk = risk.where((F.col("score") >= disclosure) & (_evidence(total) >= math.log(tried / chance)))
     best = F.max(F.struct("score", F.col("entity.level").alias("level"), F.col("entity.kind").alias("kind")))["kind"]
     return risk.groupBy("term").agg(best.alias("kind"), F.max((F.col("entity.level") == 2) & (F.col("n_t") == F.col("n_et"))).alias("sure"))
 

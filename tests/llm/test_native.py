@@ -47,7 +47,7 @@ def test_base_spans(spark, docs, rows):
         assert [got[i][f"n_{k}"] for k, _ in GIVEN] == [sum(x[0] == k for x in want) for k, _ in GIVEN]
 
 
-def brute_terms(texts, disclosure=pii.DISCLOSURE, support=pii.SUPPORT):
+def brute_terms(texts, disclosure=pii.DISCLOSURE, support=pii.SUPPORT, chance=pii.CHANCE):
     """Disclosing terms by plain loops over sets."""
     import math
 
@@ -70,11 +70,17 @@ def brute_terms(texts, disclosure=pii.DISCLOSURE, support=pii.SUPPORT):
         for t in every:
             t_docs.setdefault(t, set()).add(i)
     n, out = len(texts), {}
+    tested = sum(len({texts[i] for i in docs}) >= support for docs in e_docs.values())
+    bar = math.log(max(1, tested * len(set().union(*(t for _, t, e in own if e)))) / chance)
     for e, docs in e_docs.items():
         assert e[1] in kinds
         for t in set().union(*(own[i][1] for i in docs)):
             both = {i for i in docs if t in own[i][1]}
             if len({texts[i] for i in both}) >= support and len(docs) < n:
+                p, q = len(both) / len(t_docs[t]), len(docs) / n
+                kl = p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)
+                if len({texts[i] for i in both}) / p * kl < bar:
+                    continue
                 if 1 - math.log(len(t_docs[t]) / len(both)) / math.log(n / len(docs)) >= disclosure:
                     out[t] = out.get(t, False) or (e[0] == 2 and len(both) == len(t_docs[t]))
     return out
@@ -111,6 +117,29 @@ def test_disclosing_terms_by_brute_force(spark):
     assert clean[len(texts) - 1] == "ask the <email term> or the <code term>" and clean[1] == texts[1] and clean[406] is None
 
 
+@pytest.mark.parametrize("n", [4000, 20_000])
+def test_chance_discloses_nothing(spark, n):
+    """Random words beside phone numbers in a tenth of the documents: no term of
+    theirs, at any size; terms planted beside values of all kinds: each of them."""
+    rng = __import__("random").Random(n)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    texts = [" ".join(rng.choice(words) for _ in range(8)) + (f" +44 20 7946 {rng.randrange(10**6):06d}" if i % 10 == 0 else "") for i in range(n)]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert pii.disclosing(frame(texts)).count() == 0
+
+    def luhn(first):
+        return next(x for x in (f"{first}{d}" for d in range(10)) if passes("card", x))
+
+    for i in range(0, n, n // 40):
+        j = i + 1
+        texts[j] += f" mailto{chr(97 + i % 2)} user{i}@host.example"
+        texts[j + 1] += f" serverhost 10.0.{i % 200}.{i % 250}"
+        texts[j + 2] += f" cardholder {luhn(f'411111{i:09d}')}"
+        texts[j + 3] += f" ringme +1 415 {i:07d}"
+    got = {r.term: r.kind for r in pii.disclosing(frame(texts)).collect()}
+    assert got.items() >= {"serverhost": "ip", "cardholder": "card", "ringme": "phone"}.items() and set(got) - {"serverhost", "cardholder", "ringme"} <= {"mailtoa", "mailtob"} and "mailtoa" in got
+
+
 def test_terms_act_on_the_tables(spark):
     """The word before planted credentials gives them away."""
     got = {r.term for r in pii.disclosing(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
@@ -240,3 +269,17 @@ def test_pipeline_with_clashing_names_and_empty(spark, tmp_path, docs):
         assert (done.count() > 0) == bool(n)
         assert done.select(*odd.columns[5:]).distinct().collect() == [("kept",) * 10] * n
         assert (corpus_pipeline.STAGES[-1][1](spark, done, "").count() > 0) == bool(n)
+
+
+def test_mixing_deals_out_copies_of_a_tiny_source(spark):
+    rows = [(i, "some words of a document " * 8, "en", "large", 10) for i in range(600)] + [(-1, "word", "en", "tiny", 4)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(2))
+    tiny = got.where("source = 'tiny'")
+    n, passes, least, most = tiny.agg(F.count("*"), F.count_distinct("pass"), F.min("pass"), F.max("pass")).first()
+    assert n == passes == most + 1 > mixing.PART and least == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert tiny.groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tiny.agg(F.count_distinct("block")).first()[0] == mixing.BLOCKS
