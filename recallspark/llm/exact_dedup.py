@@ -207,7 +207,8 @@ def _differing(docs: DataFrame, members: DataFrame) -> DataFrame:
     to = F.when(F.col("leads"), F.sequence(F.lit(0), groups - 1)).otherwise(F.array(group))
     own = stored(own.select("mark", "leads", to.alias("to"), F.col("doc_id").alias("want"), F.col("raw").alias("key")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(own, F.col("doc_id").eqNullSafe(F.col("want")) & (F.xxhash64("text") == F.col("key")))
+    # Always by shuffle, so that what moves grows with the texts alone.
+    found = texts.join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("want")) & (F.xxhash64("text") == F.col("key")))
     found = found.select("mark", F.explode("to").alias("to"), "leads", "doc_id", F.col("key").alias("raw"), F.encode("text", "UTF-8").alias("text"))
     dealt = found.repartition("mark", "to").sortWithinPartitions("mark", "to", F.desc("leads"))
 
