@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LATEST_WINS, SUPERSEDES
+from ..sources.scratch import written
 
 
 def topic() -> F.Column:
@@ -24,7 +25,7 @@ def latest_wins(memories: DataFrame) -> DataFrame:
     return kept.unionByName(memories.where(~listed))
 
 
-def actions(new: DataFrame, near: DataFrame, merge_from: float = 0.85, archive_from: float = 0.70) -> DataFrame:
+def decided(new: DataFrame, near: DataFrame, merge_from: float = 0.85, archive_from: float = 0.70) -> DataFrame:
     """(doc_id, action, target_id, archived) of each new memory (doc_id,
     entity_subtype). ``near`` has the stored ones looked up for it (doc_id,
     other_id, other_subtype, similarity, rank), a bounded number each. One with
@@ -38,10 +39,56 @@ def actions(new: DataFrame, near: DataFrame, merge_from: float = 0.85, archive_f
     rows = new.select("doc_id", own.alias("topic")).join(near.withColumn("other_topic", theirs), "doc_id", "left")
     old = F.when((F.col("topic") == F.col("other_topic")) & (F.col("similarity") >= archive_from), F.col("other_id"))
     first = F.min(F.when(F.col("similarity") >= merge_from, F.struct("rank", "other_id")))["other_id"]
-    out = rows.groupBy("doc_id", "topic").agg(F.array_sort(F.collect_set(old)).alias("old"), first.alias("first"))
+    out = rows.groupBy("doc_id", "topic").agg(F.array_sort(F.collect_set(old)).alias("archived"), first.alias("first"))
     what = F.when(F.col("topic").isNotNull(), "supersede").when(F.col("first").isNotNull(), "merge").otherwise("create")
     target = F.when(F.col("topic").isNull(), F.col("first"))
-    return out.select("doc_id", what.alias("action"), target.alias("target_id"), F.array_join("old", ",").alias("archived"))
+    return out.select("doc_id", what.alias("action"), target.alias("target_id"), "archived")
+
+
+def roots(targets: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(doc_id, root_id) for each of ``targets`` (doc_id, target_id): where its
+    chain of merges ends. Each round doubles the step (pointer jumping), so the
+    rounds grow with the logarithm of the longest chain. Chains must not be
+    circles, as they are not where targets are older."""
+    at = targets.select("doc_id", F.col("target_id").alias("root_id"))
+    for _ in range(max_rounds):
+        further = at.select(F.col("doc_id").alias("root_id"), F.col("root_id").alias("next"))
+        if at.join(further, "root_id", "left_semi").isEmpty():
+            return at
+        at = written(at.join(further, "root_id", "left").select("doc_id", F.coalesce("next", "root_id").alias("root_id")))
+    raise ValueError("merge targets form a circle")
+
+
+def carried_out(stored: DataFrame, new: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The table after the decisions of :func:`decided` on ``new``: the columns of
+    ``stored`` (doc_id, importance, ts, ...; both tables have them) and mentions,
+    last_mentioned, is_active and note.
+
+    A merged memory is not stored: its root, stored or new, gets the greatest
+    importance, one more mention and the last time. Memories that a superseding
+    one archives are inactive, with the reason as a JSON note. Created and
+    superseding memories are stored. Sums are made in each task first, so a root
+    with very many mentions is no hot key."""
+    decisions = written(decisions)
+    ends = roots(decisions.where("action = 'merge'").select("doc_id", "target_id"))
+    kept = new.join(decisions.where("action <> 'merge'").select("doc_id"), "doc_id", "left_semi")
+    folded = new.select("doc_id", "importance", "ts").join(ends, "doc_id").groupBy("root_id").agg(F.max("importance").alias("__most"), F.count("*").alias("__more"), F.max("ts").alias("__last"))
+    gone = decisions.select(F.explode("archived").alias("doc_id"), F.col("doc_id").alias("__by")).groupBy("doc_id").agg(F.min("__by").alias("__by"))
+    rows = stored.unionByName(kept).join(folded.withColumnRenamed("root_id", "doc_id"), "doc_id", "left").join(gone, "doc_id", "left")
+    note = F.to_json(F.struct(F.lit("superseded").alias("archived_because"), F.col("__by").alias("by")))
+    rows = rows.withColumns({
+        "importance": F.greatest("importance", "__most"), "mentions": (F.coalesce("__more", F.lit(0)) + 1).cast("long"), "last_mentioned": F.greatest("ts", "__last"),
+        "is_active": F.col("__by").isNull(), "note": F.when(F.col("__by").isNotNull(), note),
+    })
+    return rows.drop("__most", "__more", "__last", "__by")
+
+
+def mention_notes(new: DataFrame, decisions: DataFrame, size: int = 100) -> DataFrame:
+    """(root_id, ts, doc_id, note): the first ``size`` characters of each merged
+    text, a row each, as one memory may have any number; in the order of (ts,
+    doc_id) they are its list."""
+    ends = roots(decisions.where("action = 'merge'").select("doc_id", "target_id"))
+    return new.join(ends, "doc_id").select("root_id", "ts", "doc_id", F.left("text", F.lit(size)).alias("note"))
 
 
 def merged(memories: DataFrame, key: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,29 +24,97 @@ def level(xp: Column) -> Column:
     return out
 
 
-def progressed(events: DataFrame) -> DataFrame:
-    """Each event with its XP, the running XP and level, and the last mood and
-    topic so far. One window a user: users bound its size."""
-    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.timestamp_diff("SECOND", F.lag("ts").over(own), F.col("ts")) / 3600
-    rows = events.withColumn("gained", gained_xp(gap))
-    rows = rows.withColumn("xp", F.sum("gained").over(so_far)).withColumn("messages", F.count("*").over(so_far))
-    rows = rows.withColumns({"mood": F.last("mood", True).over(so_far), "topic": F.last("topic", True).over(so_far)})
-    return rows.withColumn("level", level(F.col("xp")))
-
+#: Seconds of a bucket of the running state: a user's events are taken by the bucket.
+BUCKET = 3600
+#: The bucket of events without a time, which come first.
+_NO_TIME = -(2**62)
 
-def concerns(updates: DataFrame, most: int = 5) -> DataFrame:
-    """(user_id, concerns): appended if absent, the last ``most`` kept, then a
-    removal, in the order of ``seq``."""
 
-    def step(kept: Column, u: Column) -> Column:
-        new = F.when(u["added"].isNotNull() & ~F.array_contains(kept, F.coalesce(u["added"], F.lit(""))), F.array_append(kept, u["added"])).otherwise(kept)
-        new = F.slice(new, F.greatest(F.size(new) - most + 1, F.lit(1)), most)
-        return F.when(u["removed"].isNotNull(), F.filter(new, lambda c: c != u["removed"])).otherwise(new)
+def progressed(events: DataFrame, before: DataFrame | None = None, lasts: tuple[str, ...] = ("mood", "topic"), bonus: Column | None = None, bucket: int = BUCKET) -> DataFrame:
+    """Each event with its XP (``gained``), the user's running XP, level and number
+    of messages, and the last value so far of each column of ``lasts``, by (ts,
+    event_id). ``bonus`` is further XP of an event, beyond the cap.
 
-    listed = updates.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seq", "added", "removed"))).alias("l"))
-    return listed.select("user_id", F.aggregate("l", F.array().cast("array<string>"), step).alias("concerns"))
+    A prefix scan in two steps, as one user may have a third of all events: within
+    buckets of a user's time, and over the buckets, whose sums, last values and
+    boundary gap are carried to the next ones. ``before`` has states (user_id, xp,
+    messages, last_ts and ``lasts``) from which users go on. Users without a row
+    there begin anew; null times come first and have no gap."""
+    user, own = ["user_id", "__b"], Window.partitionBy("user_id", "__b").orderBy("ts", "event_id")
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("__b", F.coalesce(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket), F.lit(_NO_TIME)))
+    rows = rows.withColumns({"__n": F.row_number().over(own), "__gap": F.timestamp_diff("SECOND", F.lag("ts").over(own), F.col("ts")) / 3600})
+    more = F.coalesce(bonus.cast("long"), F.lit(0)) if bonus is not None else F.lit(0).cast("long")
+    rows = rows.withColumns({"gained": gained_xp(F.col("__gap")), "__more": more})
+    # Of each bucket: its first event, whose gap is not known yet, and what the others and the bonus add.
+    place = lambda x: F.when(F.col(x).isNotNull(), F.struct("ts", "event_id"))
+    blocks = rows.groupBy(*user).agg(
+        F.min_by(F.struct("ts", "words", "entities"), "__n").alias("f"), F.sum(F.when(F.col("__n") > 1, F.col("gained")).otherwise(0) + F.col("__more")).alias("rest"),
+        F.count("*").alias("c"), F.max("ts").alias("__end"), *(F.max_by(x, place(x)).alias(f"__last_{x}") for x in lasts),
+    )
+    along = Window.partitionBy("user_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    if before is not None:
+        kept = before.select("user_id", F.col("xp").alias("__xp0"), F.col("messages").alias("__m0"), F.col("last_ts").alias("__t0"), *(F.col(x).alias(f"__was_{x}") for x in lasts))
+        blocks = blocks.join(kept, "user_id", "left")
+    was = lambda x, kind: F.col(x) if before is not None else F.lit(None).cast(kind)
+    ended = F.coalesce(F.max("__end").over(along), was("__t0", "timestamp_ntz").cast(dict(events.dtypes)["ts"]))
+    blocks = blocks.select("*", ended.alias("__ended"), F.col("f.ts").alias("ts"), F.col("f.words").alias("words"), F.col("f.entities").alias("entities"))
+    blocks = blocks.withColumn("first", gained_xp(F.timestamp_diff("SECOND", F.col("__ended"), F.col("ts")) / 3600))
+    carried = blocks.select(
+        *user, F.col("first").alias("__first"),
+        (F.coalesce(F.sum(F.col("first") + F.col("rest")).over(along), F.lit(0)) + F.coalesce(was("__xp0", "long"), F.lit(0))).alias("__xp"),
+        (F.coalesce(F.sum("c").over(along), F.lit(0)) + F.coalesce(was("__m0", "long"), F.lit(0))).alias("__m"),
+        *(F.coalesce(F.last(f"__last_{x}", True).over(along), was(f"__was_{x}", "string")).alias(f"__then_{x}") for x in lasts),
+    )
+    rows = rows.join(carried, user)
+    gained = F.when(F.col("__n") == 1, F.col("__first")).otherwise(F.col("gained"))
+    rows = rows.withColumn("gained", gained)
+    rows = rows.withColumns(
+        {"xp": F.col("__xp") + F.sum(F.col("gained") + F.col("__more")).over(so_far), "messages": F.col("__m") + F.col("__n")}
+        | {x: F.coalesce(F.last(x, True).over(so_far), F.col(f"__then_{x}")) for x in lasts}
+    )
+    return rows.withColumn("level", level(F.col("xp"))).drop("__b", "__n", "__gap", "__more", "__first", "__xp", "__m", *(f"__then_{x}" for x in lasts))
+
+
+def with_concern(kept: list[str], added: str | None, removed: str | None, most: int = 5) -> list[str]:
+    """One change of a list of concerns: appended if absent, the last ``most``
+    kept, then a removal."""
+    if added is not None and added not in kept:
+        kept = [*kept, added]
+    kept = kept[-most:]
+    return [c for c in kept if c != removed] if removed is not None else kept
+
+
+def folded_concerns(updates: DataFrame, before: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """(user_id, concerns) after the changes (user_id, seq, added, removed) in the
+    order of ``seq``, from the concerns in ``before`` or none. Changes stream
+    past sorted, and a task keeps one user's few concerns, not the changes."""
+    kind = dict(updates.dtypes)["user_id"]
+    names = ["user_id", "seq", "added", "removed", "had"]
+    rows = updates.select("user_id", "seq", "added", "removed", F.lit(None).cast("array<string>").alias("had"))
+    if before is not None:
+        null = lambda c: F.lit(None).cast(dict(updates.dtypes)[c]).alias(c)
+        rows = before.select("user_id", null("seq"), null("added"), null("removed"), F.col("concerns").alias("had")).union(rows)
+    dealt = rows.repartition("user_id").sortWithinPartitions("user_id", F.col("seq").asc_nulls_first()).select(*(n for n in names if n != "seq"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept, some = None, [], False
+        users, lists = [], []
+        for batch in batches:
+            for user, added, removed, had in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if some and user != at:
+                    users.append(at)
+                    lists.append(kept)
+                if not some or user != at:
+                    at, kept, some = user, [], True
+                kept = list(had) if had is not None else with_concern(kept, added, removed, most)
+            if len(users) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(users, batch.schema.field(0).type), pa.array(lists, pa.list_(pa.string()))], ["user_id", "concerns"])
+                users, lists = [], []
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([*users, at], batch.schema.field(0).type), pa.array([*lists, kept], pa.list_(pa.string()))], ["user_id", "concerns"])
+
+    return dealt.mapInArrow(fold, f"user_id {kind}, concerns array<string>")
 
 
 def last_messages(session: DataFrame, n: int) -> DataFrame:
@@ -75,20 +146,46 @@ def insight_window(memories: DataFrame, as_of: Column, hours: int = 16, n: int =
 
 
 #: The companion's state as it is kept; keys that are not here are ignored.
-STATE = "user_id long, xp long, level int, messages long, mood string, vibe string, topic string, concerns array<string>"
+STATE = "user_id long, xp long, level int, messages long, mood string, mood_since timestamp_ntz, vibe string, topic string, last_ts timestamp_ntz, concerns array<string>"
+
+
+def _said(x: str) -> Column:
+    """A value of a reply; "null" counts as null."""
+    return F.when(F.col(x) != "null", F.col(x))
 
 
-def updated(events: DataFrame) -> DataFrame:
-    """(user_id, event_id, vibe, topic, mood) after each message: the subtype of
-    its last emotion, the topic a reply names or else its first entity gives
-    (facts, goals, dates and milestones do), and the last mood. Needs
-    entity_type, entity_subtype, reply_topic and mood; "null" counts as null."""
-    some = lambda x: F.when(F.col(x) != "null", F.col(x))
-    vibe = F.when(F.col("entity_type") == "EMOTION", F.col("entity_subtype"))
+def messages_with_state(messages: DataFrame) -> DataFrame:
+    """``messages`` with what each sets: ``vibe`` by an emotion, ``topic`` as the
+    reply names it or else its first entity gives (facts, goals, dates and
+    milestones do), ``mood`` and ``mood_since``, and ``bonus`` XP where the
+    reply's xp_delta is greater than 0. Needs entity_type, entity_subtype,
+    reply_topic, mood and xp_delta."""
     named = F.when(F.col("entity_type").isin("FACT", "GOAL", "DATE", "MILESTONE"), F.concat_ws(":", "entity_type", "entity_subtype"))
-    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda x: F.last(x, True).over(so_far)
-    return events.select("user_id", "event_id", last(vibe).alias("vibe"), last(F.coalesce(some("reply_topic"), named)).alias("topic"), last(some("mood")).alias("mood"))
+    return messages.withColumns({
+        "vibe": F.when(F.col("entity_type") == "EMOTION", F.col("entity_subtype")), "topic": F.coalesce(_said("reply_topic"), named), "mood": _said("mood"),
+        "mood_since": F.when(_said("mood").isNotNull(), F.col("ts")), "bonus": F.when(F.col("xp_delta") > 0, F.floor("xp_delta").cast("long")),
+    })
+
+
+KEPT = ("mood", "mood_since", "vibe", "topic")
+
+
+def updated(messages: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Each of ``messages`` (see :func:`messages_with_state`; and user_id, event_id,
+    ts, words, entities) with the user's whole state after it but for concerns:
+    gained, xp, level, messages, mood, mood_since, vibe, topic."""
+    return progressed(messages_with_state(messages), before, KEPT, F.col("bonus"))
+
+
+def final_states(messages: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The state of each user after all ``messages``, in the columns of ``STATE``.
+    Concerns go by the few messages that add or remove one."""
+    last = F.max_by(F.struct("xp", "level", "messages", *KEPT), F.struct("ts", "event_id"))
+    rows = updated(messages, before).groupBy("user_id").agg(last.alias("s"), F.max("ts").cast("timestamp_ntz").alias("last_ts"))
+    changes = messages.where(F.coalesce(_said("added"), _said("removed")).isNotNull())
+    listed = changes.select("user_id", F.struct("ts", "event_id").alias("seq"), _said("added").alias("added"), _said("removed").alias("removed"))
+    rows = rows.select("user_id", "s.*", "last_ts").join(folded_concerns(listed, before), "user_id", "left")
+    return rows.select("user_id", "xp", "level", "messages", "mood", F.col("mood_since").cast("timestamp_ntz").alias("mood_since"), "vibe", "topic", "last_ts", F.coalesce("concerns", F.array().cast("array<string>")).alias("concerns"))
 
 
 def saved(states: DataFrame) -> DataFrame:
@@ -100,7 +197,9 @@ def loaded(lines: DataFrame) -> DataFrame:
     """States of JSON lines (value): unknown keys are ignored, missing ones get
     a new state's values, and a broken line is left out."""
     rows = lines.select(F.from_json("value", STATE).alias("s")).where("s.user_id is not null").select("s.*")
-    return rows.select("user_id", F.coalesce("xp", F.lit(0)).alias("xp"), F.coalesce("level", F.lit(1)).alias("level"), F.coalesce("messages", F.lit(0)).alias("messages"), "mood", "vibe", "topic", F.coalesce("concerns", F.array().cast("array<string>")).alias("concerns"))
+    filled = {"xp": F.lit(0), "level": F.lit(1), "messages": F.lit(0), "concerns": F.array().cast("array<string>")}
+    names = [f.split()[0] for f in STATE.split(", ")]
+    return rows.select(*(F.coalesce(n, filled[n]).alias(n) if n in filled else F.col(n) for n in names))
 
 
 def reset(states: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def picks(n: int = 3, columns: str = "qid, doc_id, pick") -> str:
 CLASS = f"""proto AS (SELECT t.entity_type, t.subs[(e.vec_id % len(t.subs)) + 1] AS entity_subtype, e.embedding FROM embeddings e JOIN (
    SELECT * FROM (VALUES {", ".join(f"({i}, {q(k)}, {listed(v)})" for i, (k, v) in enumerate(TAXONOMY.items()))}) v(label, entity_type, subs)) t USING (label)),
 cparts AS (SELECT entity_type, entity_subtype, pos, avg(x::DOUBLE) AS value FROM (SELECT entity_type, entity_subtype, unnest(embedding) AS x, unnest(range(64)) AS pos FROM proto) GROUP BY ALL),
-class AS (SELECT entity_type, entity_subtype, list(value ORDER BY pos) AS centroid FROM cparts GROUP BY ALL)"""
+class AS MATERIALIZED (SELECT entity_type, entity_subtype, list(value ORDER BY pos) AS centroid FROM cparts GROUP BY ALL)"""
 
 
 def any_of(text: str, phrases) -> str:  # noqa: ANN001
@@ -138,7 +138,7 @@ LIMIT = case(
         ("entity_type = 'MILESTONE'", 0.40), ("entity_type = 'SHARED_THING'", 0.45),
     ], "0.3",
 )
-ENT = f"""{CLASS}, ent AS (SELECT doc_id, entity_type, entity_subtype, confidence FROM (
+ENT = f"""{CLASS}, ent AS MATERIALIZED (SELECT doc_id, entity_type, entity_subtype, confidence FROM (
   SELECT v.doc_id, v.text, c.entity_type, c.entity_subtype, round(list_cosine_similarity(v.embedding::DOUBLE[], c.centroid), 3) AS confidence FROM vec v, class c WHERE length(v.text) >= 5)
   WHERE confidence >= ({LIMIT}) AND NOT (entity_type = 'MILESTONE' AND {any_of('lower(text)', CORRECTION_PHRASES)}))"""
 
@@ -184,6 +184,16 @@ K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 EVENTS = f"""ev AS (SELECT event_id, ts, user_id, floor(value) AS words, {K} % 4 AS entities, CASE WHEN event_type = 'error' THEN 'm' || ({K} % 5) END AS mood, CASE WHEN event_type = 'view' THEN 't' || ({K} % 7) END AS topic FROM events),
 st AS (SELECT *, least(3, (words > 3)::INT + (words > 20)::INT + (entities >= 2)::INT + coalesce((date_diff('second', date_trunc('second', lag(ts) OVER u), date_trunc('second', ts)) / 3600.0 > 6)::INT, 0)) AS gained FROM ev WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
 pr AS (SELECT *, CAST(sum(gained) OVER w AS BIGINT) AS xp, count(*) OVER w AS messages, last_value(mood IGNORE NULLS) OVER w AS lmood, last_value(topic IGNORE NULLS) OVER w AS ltopic FROM st WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""
+#: Messages with an entity, concerns and further XP, and the whole state after each.
+MESSAGES = f"""ms AS (SELECT ev.*, gained, ({listed(TAXONOMY)})[event_id % {len(TAXONOMY)} + 1] AS t, ({listed(v[0] for v in TAXONOMY.values())})[event_id % {len(TAXONOMY)} + 1] AS sub,
+  CASE WHEN event_id % 3 = 0 THEN 'c' || ((event_id // 3) % 9) END AS added, CASE WHEN event_id % 7 = 0 THEN 'c' || ((event_id // 7) % 9) END AS removed, CASE WHEN event_id % 11 = 0 THEN 2 ELSE 0 END AS bonus FROM ev JOIN (SELECT event_id, gained FROM st) USING (event_id)),
+sx AS (SELECT user_id, event_id, ts, gained, CAST(sum(gained + bonus) OVER w AS BIGINT) AS xp, count(*) OVER w AS messages, last_value(mood IGNORE NULLS) OVER w AS mood, last_value(CASE WHEN mood IS NOT NULL THEN ts END IGNORE NULLS) OVER w AS mood_since,
+  last_value(CASE WHEN t = 'EMOTION' THEN sub END IGNORE NULLS) OVER w AS vibe, last_value(coalesce(topic, CASE WHEN t IN ('FACT', 'GOAL', 'DATE', 'MILESTONE') THEN t || ':' || sub END) IGNORE NULLS) OVER w AS topic
+  FROM ms WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""
+#: The fold of concerns over each user's changes, one change a step of the list.
+CONCERNS = """cl AS (SELECT user_id, list({'a': added, 'r': removed} ORDER BY ts, event_id) AS l FROM ms WHERE added IS NOT NULL OR removed IS NOT NULL GROUP BY user_id),
+cf AS (SELECT user_id, list_reduce(list_prepend([]::VARCHAR[], list_transform(l, lambda x: ['+' || coalesce(x.a, ''), '-' || coalesce(x.r, '')])), lambda k, x: list_filter(
+  (CASE WHEN x[1] = '+' OR list_contains(k, x[1][2:]) THEN k ELSE list_append(k, x[1][2:]) END)[-5:], lambda c: c <> x[2][2:])) AS concerns FROM cl)"""
 LEVEL = case([(f"xp >= {least}", n) for n, least in reversed(LEVELS)], "1")
 EXPECT = "ex AS (SELECT a.vec_id AS qid, d.doc_id FROM embeddings a JOIN embeddings b USING (label) JOIN documents d ON d.doc_id % (SELECT count(*) FROM embeddings) = b.vec_id WHERE a.vec_id % 20 = 0)"
 
@@ -279,14 +289,19 @@ LABELS = "xc AS (SELECT qid, ex.doc_id FROM ex JOIN mem USING (doc_id) WHERE sou
 MEASURES = """avg(CASE WHEN (SELECT count(*) FROM ex WHERE qid = q) = 0 THEN CASE WHEN coalesce(found, 0) = 0 THEN 1.0 ELSE 0.0 END ELSE coalesce(hits, 0)::DOUBLE / least(3, (SELECT count(*) FROM ex WHERE qid = q)) END) AS p,
   sum(coalesce(kept, 0))::DOUBLE / count(*) AS mi, CASE WHEN (SELECT count(*) FROM xc) = 0 THEN 0.0 ELSE sum(coalesce(bad, 0))::DOUBLE / (SELECT count(*) FROM xc) END AS v"""
 SAID = f"len(list_filter(string_split(trim(regexp_replace({synthesized()}, '\\s+', ' ', 'g')), ' '), lambda x: x <> ''))"
-TURNS = f"""WITH {SES}, turns AS (SELECT s.*, e.embedding FROM (SELECT conv_id * 1000 + seq AS doc_id, content AS text, ts FROM ses WHERE role = 'user') s JOIN embeddings e ON s.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id),
-vec AS (SELECT * FROM turns WHERE length(text) >= 10 AND len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) >= 4), {ENT},
+TURNS = f"""WITH {SES}, turns AS MATERIALIZED (SELECT s.*, e.embedding FROM (SELECT conv_id * 1000 + seq AS doc_id, content AS text, ts FROM ses WHERE role = 'user') s JOIN embeddings e ON s.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id),
+vec AS MATERIALIZED (SELECT * FROM turns WHERE length(text) >= 10 AND len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) >= 4), {ENT},
 kept AS (SELECT v.text, v.ts, e.* EXCLUDE (o) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type = 'MILESTONE' ORDER BY confidence DESC, entity_subtype) AS o FROM ent WHERE entity_type <> 'SHARED_THING' OR confidence >= 0.55) e
   JOIN vec v USING (doc_id) WHERE entity_type <> 'MILESTONE' OR o <= 2)"""
 COUNTS = f"""cnt AS (SELECT count(*) AS total, count(*) FILTER (length(text) < 50) AS short, count(*) FILTER (len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) < 5) AS noise,
  count(*) FILTER (importance <= 3 AND ts < {AS_OF} - INTERVAL 14 DAY) AS stale, count(*) FILTER (is_milestone) AS milestones, count(*) FILTER (source = 'chat') AS sessions, count(*) FILTER (source = 'enriched') AS enriched,
  CAST((SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM mem GROUP BY md5(text))) AS BIGINT) AS extra FROM mem)"""
 
+DECIDED = f"""{PRE}, {near('k', 25, 'v.user_id = quser AND v.doc_id % 20 <> 0')}, {ranked('kr', 'k', CFG)}, five AS (SELECT qid, doc_id AS other, rank, round(1 - distance / 2, 6) AS s, ({TOPIC}) AS their FROM kr WHERE rank <= 5),
+      n AS (SELECT doc_id, ({TOPIC}) AS own FROM mem WHERE doc_id IN (SELECT qid FROM ask)),
+      g AS (SELECT n.doc_id, own, min_by(other, rank) FILTER (s >= 0.85) AS first, coalesce(string_agg(other, ',' ORDER BY other) FILTER (s >= 0.70 AND their = own), '') AS archived FROM n LEFT JOIN five ON five.qid = n.doc_id GROUP BY n.doc_id, own),
+      dec AS MATERIALIZED (SELECT doc_id, CASE WHEN own IS NOT NULL THEN 'supersede' WHEN first IS NOT NULL THEN 'merge' ELSE 'create' END AS action, CASE WHEN own IS NULL THEN first END AS target_id, archived FROM g)"""
+
 ORACLES = {
     "knn_topk": f"{PRE}, {near('k', 6)} SELECT qid, doc_id, distance, knn_rank FROM k",
     "tenant_isolation": f"{PRE}, {near('k', 5, 'v.user_id = quser')} SELECT qid, doc_id, distance, knn_rank FROM k",
@@ -318,10 +333,11 @@ ORACLES = {
       SELECT mem_id, doc_id, importance, substr(sha256('s0:' || user_id), 1, 16) AS user_hash FROM (SELECT *, row_number() OVER (PARTITION BY mem_id ORDER BY doc_id DESC) AS o FROM w) WHERE o = 1""",
     "delete_superseded": f"WITH {MEM} SELECT source, count(*) AS n FROM mem WHERE NOT coalesce(entity_type = 'DATE' AND entity_subtype = 'deadline', false) GROUP BY source",
     "latest_wins": f"WITH {MEM}, {LATEST} SELECT doc_id, user_id, source, entity_subtype FROM lw",
-    "consolidate_action": f"""{PRE}, {near('k', 25, 'v.user_id = quser AND v.doc_id % 20 <> 0')}, {ranked('kr', 'k', CFG)}, five AS (SELECT qid, doc_id AS other, rank, round(1 - distance / 2, 6) AS s, ({TOPIC}) AS their FROM kr WHERE rank <= 5),
-      n AS (SELECT doc_id, ({TOPIC}) AS own FROM mem WHERE doc_id IN (SELECT qid FROM ask)),
-      g AS (SELECT n.doc_id, own, min_by(other, rank) FILTER (s >= 0.85) AS first, coalesce(string_agg(other, ',' ORDER BY other) FILTER (s >= 0.70 AND their = own), '') AS archived FROM n LEFT JOIN five ON five.qid = n.doc_id GROUP BY n.doc_id, own)
-      SELECT doc_id, CASE WHEN own IS NOT NULL THEN 'supersede' WHEN first IS NOT NULL THEN 'merge' ELSE 'create' END AS action, CASE WHEN own IS NULL THEN first END AS target_id, archived FROM g""",
+    "consolidate_action": f"{DECIDED} SELECT * FROM dec",
+    "consolidate_apply": f"""{DECIDED}, m AS (SELECT target_id AS doc_id, max(importance) AS imp, count(*) AS n, max(ts) AS t FROM dec JOIN mem USING (doc_id) WHERE action = 'merge' GROUP BY target_id),
+      a AS (SELECT old AS doc_id, min(new) AS newer FROM (SELECT CAST(unnest(string_split(archived, ',')) AS BIGINT) AS old, doc_id AS new FROM dec WHERE archived <> '') GROUP BY old)
+      SELECT mem.doc_id, greatest(importance, coalesce(imp, 0)) AS importance, coalesce(n, 0) + 1 AS mentions, greatest(ts, coalesce(t, ts)) AS last_mentioned, newer IS NULL AS is_active, CAST(newer AS VARCHAR) AS by
+      FROM mem LEFT JOIN m USING (doc_id) LEFT JOIN a USING (doc_id) WHERE mem.doc_id % 20 <> 0 OR mem.doc_id IN (SELECT doc_id FROM dec WHERE action <> 'merge')""",
     "merge_fold": f"WITH {MEM} SELECT md5(text) AS digest, min(doc_id) AS first_id, max(importance) AS importance, count(*) AS mentions, max(ts) AS last_mentioned, string_agg(left(text, 100), ' | ' ORDER BY ts, doc_id) AS notes FROM mem GROUP BY md5(text) HAVING count(*) > 1",
     "consolidation_stats": f"WITH {MEM}, {LATEST} SELECT (SELECT count(*) FROM mem) AS total, count(*) AS active, (SELECT count(*) FROM mem) - count(*) AS archived FROM lw",
     "phrase_cleanup": f"WITH {SES} SELECT conv_id, seq, role FROM ses WHERE NOT (contains(lower(content), 'the th') OR contains(lower(content), 'tion'))",
@@ -355,9 +371,10 @@ ORACLES = {
     "recommendations": f"""WITH s AS (SELECT * FROM {values(X.SCORES, 'name, s')} JOIN {values(ADVICE.items(), 'name, advice')} USING (name) WHERE s < 7) SELECT name, advice FROM s UNION ALL SELECT 'all', 'none' WHERE NOT EXISTS (SELECT 1 FROM s)""",
     "text_to_id": f"""{POOL}, t AS (SELECT qid || ':' || rank AS result_id, text FROM ranked WHERE rank <= 3), g AS (SELECT doc_id, text FROM documents WHERE doc_id % 20 = 0)
       SELECT result_id, min(g.doc_id) AS doc_id FROM t JOIN g ON (g.text <> '' AND contains(t.text, left(g.text, 50))) OR (t.text <> '' AND contains(g.text, left(t.text, 50))) GROUP BY result_id""",
-    "state_update": f"""WITH {EVENTS}, sd AS (SELECT *, ({listed(TAXONOMY)})[event_id % {len(TAXONOMY)} + 1] AS t, ({listed(v[0] for v in TAXONOMY.values())})[event_id % {len(TAXONOMY)} + 1] AS s FROM ev)
-      SELECT user_id, event_id, last_value(CASE WHEN t = 'EMOTION' THEN s END IGNORE NULLS) OVER w AS vibe, last_value(coalesce(topic, CASE WHEN t IN ('FACT', 'GOAL', 'DATE', 'MILESTONE') THEN t || ':' || s END) IGNORE NULLS) OVER w AS topic,
-      last_value(mood IGNORE NULLS) OVER w AS mood FROM sd WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
+    "state_update": f"WITH {EVENTS}, {MESSAGES} SELECT user_id, event_id, gained, xp, {LEVEL} AS level, messages, mood, mood_since, vibe, topic FROM sx",
+    "final_state": f"""WITH {EVENTS}, {MESSAGES}, {CONCERNS}, z AS (SELECT * FROM sx QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+      SELECT user_id, xp, {LEVEL} AS level, messages, mood, mood_since, vibe, topic, ts AS last_ts, coalesce(array_to_string(concerns, ','), '') AS concerns FROM z LEFT JOIN cf USING (user_id)""",
+    "concern_fifo": f"WITH {EVENTS}, {MESSAGES}, {CONCERNS} SELECT user_id, array_to_string(concerns, ',') AS concerns FROM cf",
     "state_round_trip": f"""WITH {EVENTS} SELECT user_id, xp, {LEVEL} AS level, messages, lmood AS mood, NULL::VARCHAR AS vibe, 0 AS n_concerns FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS o FROM pr) WHERE o = 1""",
     "morning_message": f"""WITH {MEM}, m AS (SELECT user_id, bool_or(source = 'night_insight') AS has, first(md5(text) ORDER BY ts DESC, doc_id) AS d, CAST(substr(user_id, 2) AS INT) % 2 = 0 AS s FROM mem GROUP BY user_id)
       SELECT user_id, CASE WHEN has AND NOT s THEN d END AS message, s OR has AS shown FROM m""",
@@ -376,6 +393,10 @@ ORACLES = {
     "context_build": f"{FIT} SELECT qid, n, length(c) AS chars, CASE WHEN length(c) = 0 THEN 0 ELSE length(c) // 4 + 1 END AS tokens, md5(c) AS digest FROM (SELECT qid, string_agg(text, chr(10) ORDER BY place) AS c, count(*) AS n FROM fit GROUP BY qid)",
     "xp_running": f"WITH {EVENTS} SELECT user_id, event_id, gained, xp, {LEVEL} AS level, messages FROM pr",
     "stream_xp": f"WITH {EVENTS} SELECT user_id, event_id, xp, {LEVEL} AS level FROM pr",
+    "stream_state": f"""WITH {EVENTS}, {MESSAGES}, o AS (SELECT user_id, event_id, ts, date_trunc('second', ts) AS s, CASE WHEN event_id % 5 = 0 THEN 'g' || (event_id % 13) END AS left_behind, {{'a': CASE WHEN added IS NOT NULL OR removed IS NOT NULL THEN coalesce(added, '') END, 'r': coalesce(removed, '')}} AS change FROM ms),
+      h AS (SELECT user_id, event_id, lag(left_behind) OVER w AS greeting, list(change) OVER (w ROWS UNBOUNDED PRECEDING) AS changes, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 172799999 PRECEDING AND CURRENT ROW) AS recent FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+      f AS (SELECT *, list_reduce(list_prepend([]::VARCHAR[], list_transform(list_filter(changes, lambda x: x.a IS NOT NULL), lambda x: [x.a, x.r])), lambda k, x: list_filter((CASE WHEN x[1] = '' OR list_contains(k, x[1]) THEN k ELSE list_append(k, x[1]) END)[-5:], lambda c: c <> x[2])) AS c FROM h)
+      SELECT user_id, event_id, gained, xp, {LEVEL} AS level, messages, mood, vibe, topic, array_to_string(c, ',') AS concerns, CAST(recent AS INTEGER) AS recent, greeting FROM sx JOIN f USING (user_id, event_id)""",
     "mood_last_value": f"WITH {EVENTS} SELECT user_id, event_id, lmood AS mood, ltopic AS topic FROM pr",
     "levels": f"WITH {EVENTS}, m AS (SELECT user_id, max(xp) AS xp FROM pr GROUP BY user_id) SELECT user_id, xp, {LEVEL} AS level FROM m",
     "nightly_window": f"""WITH {MEM} SELECT user_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, doc_id) AS place, count(*) OVER (PARTITION BY user_id) AS n FROM mem

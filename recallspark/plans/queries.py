@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.vectors import cosine
 from ..operators import audit, consolidate, enrich, evaluate, grounding, persons, search, state
 from ..sources import store, views
+from ..streaming import machine
 from ..streaming import state as streams
 from . import fixtures as X
 
@@ -201,16 +202,32 @@ def latest_wins(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.latest_wins(views.memories(spark, d, False)).select("doc_id", "user_id", "source", "entity_subtype")
 
 
-@query
-def consolidate_action(spark: SparkSession, d: str) -> DataFrame:
-    """The query set's documents as new memories against their users' stored
-    ones, looked up as the best five of a pool of 25."""
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions on the query set's documents as new memories against their
+    users' stored ones, looked up as the best five of a pool of 25."""
     rows = views.memories(spark, d)
     pool = search.pooled(rows.where("doc_id % 20 <> 0"), views.queries(spark, d), 25, own_user=True)
     near = search.reranked(pool, views.as_of()).where("rank <= 5")
     near = near.select(F.col("qid").alias("doc_id"), F.col("doc_id").alias("other_id"), F.col("entity_subtype").alias("other_subtype"), F.round(1 - F.col("distance") / 2, 6).alias("similarity"), "rank")
-    new = views.queries(spark, d).select(F.col("qid").alias("doc_id")).join(views.memories(spark, d, False).select("doc_id", "entity_subtype"), "doc_id")
-    return consolidate.actions(new, near)
+    return consolidate.decided(_new(spark, d).select("doc_id", "entity_subtype"), near)
+
+
+def _new(spark: SparkSession, d: str) -> DataFrame:
+    asked = views.queries(spark, d).select(F.col("qid").alias("doc_id"))
+    return views.memories(spark, d, False).join(asked, "doc_id", "left_semi")
+
+
+@query
+def consolidate_action(spark: SparkSession, d: str) -> DataFrame:
+    return _decisions(spark, d).withColumn("archived", F.array_join("archived", ","))
+
+
+@query
+def consolidate_apply(spark: SparkSession, d: str) -> DataFrame:
+    """The memory table after these decisions."""
+    stored = views.memories(spark, d, False).where("doc_id % 20 <> 0")
+    rows = consolidate.carried_out(stored, _new(spark, d), _decisions(spark, d))
+    return rows.select("doc_id", "importance", "mentions", "last_mentioned", "is_active", F.get_json_object("note", "$.by").alias("by"))
 
 
 @query
@@ -415,15 +432,17 @@ def levels(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", "xp", state.level(F.col("xp")).alias("level"))
 
 
-def _said(spark: SparkSession, d: str) -> DataFrame:
-    kinds = F.array(*(F.struct(F.lit(k).alias("t"), F.lit(v[0]).alias("s")) for k, v in TAXONOMY.items()))
-    rows = views.state_events(spark, d).withColumn("e", kinds[(F.col("event_id") % len(TAXONOMY)).cast("int")])
-    return rows.select("user_id", "event_id", "ts", "mood", F.col("topic").alias("reply_topic"), F.col("e.t").alias("entity_type"), F.col("e.s").alias("entity_subtype"))
+@query
+def state_update(spark: SparkSession, d: str) -> DataFrame:
+    rows = state.updated(views.state_messages(spark, d))
+    return rows.select("user_id", "event_id", "gained", "xp", "level", "messages", "mood", "mood_since", "vibe", "topic")
 
 
 @query
-def state_update(spark: SparkSession, d: str) -> DataFrame:
-    return state.updated(_said(spark, d))
+def final_state(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's whole state after all messages."""
+    rows = state.final_states(views.state_messages(spark, d))
+    return rows.select("user_id", "xp", "level", "messages", "mood", "mood_since", "vibe", "topic", "last_ts", F.array_join("concerns", ",").alias("concerns"))
 
 
 @query
@@ -445,8 +464,8 @@ def morning_message(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def concern_fifo(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("u0", *x) for x in X.CONCERNS] + [("u1", 1, "a", "a")], "user_id string, seq int, added string, removed string")
-    return state.concerns(rows).select("user_id", F.array_join("concerns", ",").alias("concerns"))
+    rows = views.state_messages(spark, d).where("added is not null or removed is not null")
+    return state.folded_concerns(rows.select("user_id", F.struct("ts", "event_id").alias("seq"), "added", "removed")).select("user_id", F.array_join("concerns", ",").alias("concerns"))
 
 
 @query
@@ -535,8 +554,12 @@ def ascii_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_xp(spark: SparkSession, d: str) -> DataFrame:
-    """The stateful stream over the events table, run to its end."""
-    events = spark.readStream.schema(views.table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    rows = events.select("user_id", "event_id", "ts", F.floor("value").alias("words"), (k % 4).alias("entities"))
-    return streams.run_to_table(streams.progressed(rows))
+    """Running XP over the stream of events, run to its end in micro-batches."""
+    return streams.run_progress(views.state_events(spark, d, stream=True))
+
+
+@query
+def stream_state(spark: SparkSession, d: str) -> DataFrame:
+    """The state machine over the stream of messages, run to its end."""
+    with machine.with_rocksdb(spark):
+        return streams.run_to_table(machine.companion_stream(views.state_messages(spark, d, stream=True)))

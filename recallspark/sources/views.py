@@ -66,11 +66,33 @@ def session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talk.select("conv_id", role.alias("role"), F.col("text").alias("content"), at.alias("ts"), F.col("turn").alias("seq"), user.alias("user_id"))
 
 
-def state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files, a few at a time."""
+    # A stream reads a folder or a glob of files, and the table is one file.
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 4).parquet(sf_dir)
+
+
+def state_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Events as messages of users: words, entities and a mood or topic."""
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return table(spark, sf_dir, "events").select(
+    rows = event_stream(spark, sf_dir) if stream else table(spark, sf_dir, "events")
+    return rows.select(
         "event_id", "ts", "user_id", F.floor("value").alias("words"), (k % 4).alias("entities"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("m"), (k % 5).cast("string"))).alias("mood"),
         F.when(F.col("event_type") == "view", F.concat(F.lit("t"), (k % 7).cast("string"))).alias("topic"),
     )
+
+
+def state_messages(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """Events as messages with an entity and what the reply to them says: mood,
+    topic, concerns added and removed, and further XP; some leave a greeting,
+    which the user's next message shows."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("t"), F.lit(v[0]).alias("s")) for k, v in TAXONOMY.items()))
+    rows = state_events(spark, sf_dir, stream).withColumn("e", kinds[(F.col("event_id") % len(TAXONOMY)).cast("int")])
+    concern = lambda n: F.concat(F.lit("c"), (F.floor(F.col("event_id") / n) % 9).cast("string"))
+    return rows.select(
+        "user_id", "event_id", "ts", "words", "entities", "mood", F.col("topic").alias("reply_topic"), F.col("e.t").alias("entity_type"), F.col("e.s").alias("entity_subtype"),
+        F.when(F.col("event_id") % 3 == 0, concern(3)).alias("added"), F.when(F.col("event_id") % 7 == 0, concern(7)).alias("removed"), F.when(F.col("event_id") % 11 == 0, F.lit(2.5)).alias("xp_delta"),
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("g"), (F.col("event_id") % 13).cast("string"))).alias("greeting"),
+    )

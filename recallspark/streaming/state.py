@@ -2,71 +2,72 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import LEVELS
-from ..sources.store import upserted
+from ..operators.state import progressed
+from ..sources import scratch
+from ..sources.table import Table, Versions
 
-OUT = "user_id long, event_id long, xp long, level int"
-STATE = "xp long, last timestamp"
+def progressing(stream: DataFrame, path: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]) -> StreamingQuery:
+    """Runs ``step(rows, states)`` on each micro-batch: it gives the rows to write,
+    below ``path``/rows, and the new states of the batch's users, which take the
+    place of theirs in ``path``/states. Both are written under the batch's number, so a
+    batch that runs again writes the same; two versions of the states are kept.
 
+    ``step`` is a batch plan, so a user with a third of a micro-batch's rows is
+    spread over tasks as in a batch."""
+    states = Versions(stream.sparkSession, f"{path}/states")
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """XP of a user's new messages on top of what the state holds. Messages of a
-    micro-batch are taken by (ts, event_id)."""
-    xp, last = state.get if state.exists else (0, None)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    out = []
-    for r in rows.itertuples():
-        gap = (r.ts - pd.Timestamp(last)).total_seconds() / 3600 if last is not None and not pd.isna(last) else 0
-        xp += min(3, int(r.words > 3) + int(r.words > 20) + int(r.entities >= 2) + int(gap > 6))
-        last = r.ts
-        out.append((key[0], r.event_id, xp, max(n for n, least in LEVELS if xp >= least)))
-    state.update((xp, last))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "xp", "level"])
+    def run(batch: DataFrame, number: int) -> None:
+        before = states.read(number - 1)
+        rows, new = step(batch, before)
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        states.write(number, new if before is None else before.join(new.select("user_id"), "user_id", "left_anti").unionByName(new))
 
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
 
-def progressed(events: DataFrame) -> DataFrame:
-    """A stream of events (user_id, event_id, ts, words, entities) as running XP
-    and level; the state of a user is two numbers."""
-    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "words", "entities")
-    return rows.groupBy("user_id").applyInPandasWithState(_fold, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
+def xp_step(rows: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Running XP of a micro-batch's events on top of the users' states."""
+    out = progressed(rows, before, lasts=())
+    last = F.max_by(F.struct("xp", "messages"), F.struct("ts", "event_id"))
+    new = out.groupBy("user_id").agg(last.alias("s"), F.max("ts").alias("last_ts")).select("user_id", "s.*", "last_ts")
+    if before is not None:  # rows without a later time leave the last one
+        was = before.select("user_id", F.col("last_ts").alias("was"))
+        new = new.join(was, "user_id", "left").withColumn("last_ts", F.greatest("last_ts", "was")).drop("was")
+    return out.select("user_id", "event_id", "xp", "level"), new
 
-def upserting(stream: DataFrame, path: str, checkpoint: str, key: str = "mem_id", order: str = "write_seq") -> StreamingQuery:
-    """Writes a stream into versions of a table: each micro-batch's rows replace
-    those of their keys. A batch that runs again writes the same version again."""
+
+def run_progress(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]] = xp_step) -> DataFrame:
+    """The rows of :func:`progressing`, run to the end of the stream's input."""
+    path = scratch.folder(stream.sparkSession, "stream")
+    progressing(stream, path, step).awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/rows").drop("batch")
+
+
+def upserting(stream: DataFrame, path: str, checkpoint: str, key: str = "mem_id", order: str = "write_seq", buckets: int = 16) -> StreamingQuery:
+    """Writes a stream into a bucketed table (see ``sources.table``): each
+    micro-batch's rows replace those of their keys, and only buckets that they
+    touch are written. A batch that runs again changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = batch if number == 0 else upserted(spark.read.parquet(f"{path}/v{number - 1}"), batch, key, order)
-        upserted(now.limit(0), now, key, order).write.mode("overwrite").parquet(f"{path}/v{number}")
+        table = Table.open(batch.sparkSession, path, key, buckets, batch.schema)
+        table.upsert(batch, order, done=f"{checkpoint}#{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_table(stream: DataFrame) -> DataFrame:
     """Runs a stream to its end into a Parquet table; table and checkpoint stand
-    in the folder that ``spark.checkpoint.dir`` names, or, where Spark runs in
-    one process and names none, in a temporary one."""
-    spark = stream.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="recallspark-")
-    path = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    in a folder that driver and executors share."""
+    path = scratch.folder(stream.sparkSession, "stream")
     done = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/table")
     done.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/table")
 
 
 def windowed_counts(session: DataFrame, late: str = "2 hours", width: str = "24 hours") -> DataFrame:
