@@ -2,73 +2,102 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..config import EXCLUDED_SOURCES, RankConfig
 from ..functions.text import overlap, overlap_tokens, query_tokens
 from ..functions.vectors import similarity
+from ..sources.index import matrix, smallest, squared, whole
+from ..sources.scratch import written
 
 #: Queries that one pass over the memories takes; more go in several passes.
 MAX_QUERIES = 4096
+#: Queries whose distances to a batch are looked at together.
+_CHUNK = 512
 
 
-def _nearest(memories: DataFrame, asked: list, k: int, own_user: bool) -> DataFrame:
-    """The ``k`` nearest of each task for each of the queries (qid, user_id, embedding)."""
-    sets: dict[tuple[int, str | None], list] = {}
-    for r in asked:
-        sets.setdefault((len(r["embedding"]), r["user_id"] if own_user else None), []).append(r)
-    groups = [(*key, np.array([r["qid"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], float)) for key, rows in sets.items()]
+@dataclass(frozen=True)
+class Channel:
+    """The ``k`` nearest of the memories for which ``where`` holds; with
+    ``own_user`` of the query's own user's."""
+
+    k: int
+    own_user: bool = False
+    where: Column | None = None
+
+
+def _nearest(memories: DataFrame, asked: list[Row], channels: list[Channel]) -> DataFrame:
+    """(channel, qid, doc_id, distance): each task's nearest of each channel for
+    each of the queries (qid, user_id, embedding), in one pass."""
+    sets: dict[tuple, list[Row]] = {}
+    for c, channel in enumerate(channels):
+        for r in asked:
+            sets.setdefault((c, len(r["embedding"]), r["user_id"] if channel.own_user else None), []).append(r)
+    groups = [(*key, channels[key[0]].k, channels[key[0]].own_user, np.array([r["qid"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], float)) for key, rows in sets.items()]
+    n_channels = len(channels)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held = [(np.full((len(g[5]), g[3]), np.inf), np.full((len(g[5]), g[3]), -1)) for g in groups]
         for batch in batches:
-            doc, vectors = batch.column(0).to_numpy(), batch.column(2)
+            ids, vectors = batch.column(0).to_numpy(), batch.column(2)
             size, user = np.diff(vectors.offsets.to_numpy()), np.array(batch.column(1).to_pylist(), object)
-            for dim, name, ids, points in groups:
-                own = np.flatnonzero((size == dim) & ((user == name) if own_user else True))
+            inside = [batch.column(3 + c).to_numpy(zero_copy_only=False) for c in range(n_channels)]
+            for (c, dim, name, k, own_user, _, points), (best, found) in zip(groups, held, strict=True):
+                own = np.flatnonzero((size == dim) & inside[c] & ((user == name) if own_user else True))
                 if not len(own):
                     continue
-                x = vectors.take(pa.array(own)).flatten().to_numpy().reshape(len(own), dim).astype(float)
-                d = (points**2).sum(axis=1)[:, None] - 2 * (points @ x.T) + (x**2).sum(axis=1)[None, :]
-                d = np.round(np.maximum(d, 0.0), 6)
-                last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(own) else np.full(len(ids), np.inf)
-                for i, q in enumerate(ids.tolist()):
-                    few = np.flatnonzero(d[i] <= last[i])
-                    at, n = d[i, few], doc[own[few]]
-                    if q in held:
-                        at, n = np.concatenate([held[q][0], at]), np.concatenate([held[q][1], n])
-                    best = np.lexsort((n, at))[:k]
-                    held[q] = at[best], n[best]
-        q = np.repeat(np.array(list(held), np.int64), [len(x[0]) for x in held.values()])
-        d, n = (np.concatenate([*(x[j] for x in held.values()), np.empty(0)]) for j in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(n.astype(np.int64)), pa.array(d)], ["qid", "doc_id", "distance"])
-
-    return memories.mapInArrow(near, "qid long, doc_id long, distance double")
+                x = matrix(vectors.take(pa.array(own)))
+                for i in range(0, len(points), _CHUNK):
+                    d, n = smallest(squared(points[i : i + _CHUNK], x), ids[own], k)
+                    d, n = np.concatenate([best[i : i + _CHUNK], d], axis=1), np.concatenate([found[i : i + _CHUNK], n], axis=1)
+                    best[i : i + _CHUNK], found[i : i + _CHUNK] = smallest(d, n, k)
+        for (c, *_, q, _), (best, found) in zip(groups, held, strict=True):
+            real = np.isfinite(best)
+            q = np.repeat(q, real.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), c, np.int32)), pa.array(q), pa.array(found[real]), pa.array(best[real])], ["channel", "qid", "doc_id", "distance"])
+
+    return memories.mapInArrow(near, "channel int, qid long, doc_id long, distance double")
+
+
+def nearest_of(memories: DataFrame, queries: DataFrame, channels: list[Channel]) -> DataFrame:
+    """(channel, qid, doc_id, distance, knn_rank): for each channel, by its place in
+    the list, the nearest memories of each query by squared distance (six
+    decimals), ties by doc_id.
+
+    Queries go to every task in blocks of ``MAX_QUERIES``, so the driver holds one
+    block at a time; further blocks are passes of their own, whose results are
+    written and put together. A task passes on its nearest of each query. Vectors
+    that are null, hold nulls, or have another length than the query's are no
+    neighbours; a query without a vector has none."""
+    inside = [F.coalesce(c.where, F.lit(False)) if c.where is not None else F.lit(True) for c in channels]
+    rows = memories.where(whole()).select("doc_id", "user_id", "embedding", *(x.alias(f"in{i}") for i, x in enumerate(inside)))
+    asked = queries.where(whole()).select("qid", "user_id", "embedding")
+    first = asked.limit(MAX_QUERIES + 1).collect()
+    if len(first) <= MAX_QUERIES:
+        found = _nearest(rows, first, channels)
+    else:
+        blocks = -(-2 * asked.count() // MAX_QUERIES)  # half full, so that no hash overfills one
+        asked = written(asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))))
+        found = None
+        for i in range(blocks):
+            some = written(_nearest(rows, asked.where(F.col("block") == i).collect(), channels))
+            found = some if found is None else found.union(some)
+    rank = F.row_number().over(Window.partitionBy("channel", "qid").orderBy("distance", "doc_id"))
+    most = F.element_at(F.array(*(F.lit(c.k) for c in channels)), F.col("channel") + 1)
+    # One limit for all channels lets Spark cut in each task; then each channel's own.
+    return found.withColumn("knn_rank", rank).where(F.col("knn_rank") <= max(c.k for c in channels)).where(F.col("knn_rank") <= most)
 
 
 def knn(memories: DataFrame, queries: DataFrame, k: int, own_user: bool = False) -> DataFrame:
-    """(qid, doc_id, distance, knn_rank): the ``k`` nearest memories of each query
-    by squared distance (six decimals), ties by doc_id; with ``own_user`` among
-    the user's own. Queries go to every task in sets of about ``MAX_QUERIES``,
-    one pass over the memories each; a task passes on its ``k`` best a query.
-    Vectors that are null, hold nulls, or have another length than the query's
-    are no neighbours; a query without a vector has none."""
-    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
-    rows = memories.where(whole).select("doc_id", "user_id", "embedding")
-    asked = queries.where(whole).select("qid", "user_id", "embedding")
-    passes = max(1, -(-asked.count() // MAX_QUERIES))
-    found = None
-    for i in range(passes):
-        own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i).collect()
-        some = _nearest(rows, own, k, own_user)
-        found = some if found is None else found.union(some)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "doc_id"))
-    return found.withColumn("knn_rank", rank).where(F.col("knn_rank") <= k)
+    """(qid, doc_id, distance, knn_rank): the ``k`` nearest memories of each query,
+    with ``own_user`` among the user's own; see :func:`nearest_of`."""
+    return nearest_of(memories, queries, [Channel(k, own_user)]).drop("channel")
 
 
 def age_seconds(as_of: Column) -> Column:
@@ -104,31 +133,31 @@ def within_cutoff(cfg: RankConfig, as_of: Column) -> Column:
 
 def not_echo() -> Column:
     """Channel 1's filters, which apply to the pool after it is drawn."""
-    return ~F.col("source").isin(*EXCLUDED_SOURCES) & ~((F.col("source") == "extracted_person") & (F.length("text") < 80))
+    return ~F.col("source").isin(*EXCLUDED_SOURCES) & ~((F.col("source") == "extracted_person") & (F.col("chars") < 80))
 
 
-def reranked(pool: DataFrame, as_of: Column, cfg: RankConfig = RankConfig()) -> DataFrame:  # noqa: B008
+def reranked(pool: DataFrame, as_of: Column, cfg: RankConfig = RankConfig(), keys: Sequence[str] = ("qid",)) -> DataFrame:  # noqa: B008
     """Adds the score's parts (three decimals), ``final_score`` (four) and ``rank``
-    by score and then by nearness. Needs distance, importance, source, ts,
-    is_milestone, text and qtext."""
+    of each of ``keys`` by score and then by nearness. Needs distance, importance, source, ts,
+    is_milestone and share, as a pool has them."""
     sim, rec = similarity(F.col("distance")), recency(cfg, as_of)
     imp = F.least(F.col("importance") / 10, F.lit(1.0))
-    kw = keyword_share(query_tokens(F.col("qtext")), F.col("text")) * cfg.keyword
+    kw = F.col("share") * cfg.keyword
     fresh = F.when(age_seconds(as_of) < cfg.fresh_hours * 3600, cfg.fresh).otherwise(0.0)
     score = F.least(F.lit(1.0), cfg.importance * imp + cfg.recency * rec + cfg.similarity * sim + kw + F.coalesce(fresh, F.lit(0.0)))
     score = score + F.when(F.col("is_milestone"), cfg.milestone).otherwise(0.0)
     out = pool.withColumns({
         "s_similarity": F.round(sim, 3), "s_importance": F.round(imp, 3), "s_recency": F.round(rec, 3), "s_keyword": F.round(kw, 3), "final_score": F.round(score, 4),
     })
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("final_score"), "knn_rank")))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("final_score"), "knn_rank")))
 
 
 def mmr(ranked: DataFrame, n: int, penalty: Column | float) -> DataFrame:
     """(qid, doc_id, pick): greedy choice of ``n`` rows a query, each the best by
     score less ``penalty`` times its greatest overlap with those chosen; the first
     in rank order wins ties. A query's pool is bounded by the search, so it is one
-    row's array and each choice an expression over it."""
-    item = F.struct("rank", "doc_id", "final_score", overlap_tokens(F.col("text")).alias("tokens"))
+    row's array and each choice an expression over it. Needs a pool's tokens."""
+    item = F.struct("rank", "doc_id", "final_score", "tokens")
     pools = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("pool"), F.max(F.lit(penalty) if isinstance(penalty, float) else penalty).alias("penalty"))
 
     def choose(chosen: Column) -> Column:
@@ -147,35 +176,49 @@ def mmr(ranked: DataFrame, n: int, penalty: Column | float) -> DataFrame:
     return out.select("qid", F.posexplode("chosen").alias("pick", "c")).select("qid", "c.doc_id", (F.col("pick") + 1).alias("pick"))
 
 
-def pooled(memories: DataFrame, queries: DataFrame, k: int, own_user: bool = False) -> DataFrame:
-    """The nearest ``k`` memories with their columns and the query's text."""
-    near = knn(memories, queries, k, own_user)
-    asked = queries.select("qid", "qtext")
-    return near.join(memories.drop("embedding", "ts_raw"), "doc_id").join(F.broadcast(asked), "qid")
+def drawn(memories: DataFrame, queries: DataFrame, channels: list[Channel], texts: bool = True) -> DataFrame:
+    """The nearest memories of each channel with their columns and ``chars``, the
+    text's length, ``tokens``, hashes of its words that can overlap, and ``share``, the share
+    of the query's words that it holds; without ``texts`` not the text itself.
+
+    The neighbours and the queries' words are written first, so that Spark knows
+    their sizes: as long as they are small, both go to where the memories are
+    read and no text moves; else rows meet by shuffle. All that is made of the
+    texts is made there."""
+    near = written(nearest_of(memories, queries, channels))
+    words = written(queries.select("qid", query_tokens(F.col("qtext")).alias("words")))
+    rows = memories.drop("embedding", "ts_raw").join(near, "doc_id").join(words, "qid")
+    rows = rows.withColumns({"chars": F.length("text"), "tokens": F.transform(overlap_tokens(F.col("text")), lambda w: F.xxhash64(w)), "share": keyword_share(F.col("words"), F.col("text"))}).drop("words")
+    return rows if texts else rows.drop("text")
+
+
+def pooled(memories: DataFrame, queries: DataFrame, k: int, own_user: bool = False, texts: bool = True) -> DataFrame:
+    """The nearest ``k`` memories of each query, as :func:`drawn` gives them."""
+    return drawn(memories, queries, [Channel(k, own_user)], texts).drop("channel")
 
 
 def three_channels(memories: DataFrame, queries: DataFrame, as_of: Column, cfg: RankConfig = RankConfig()) -> DataFrame:  # noqa: B008
     """(qid, doc_id, channel, final_score, rank): the user's own memories (diverse
     facts and top milestones), character core and imported knowledge; equal
-    80-character beginnings once, best ``limit`` by score."""
-    own = reranked(pooled(memories, queries, cfg.pool, True).where(not_echo()), as_of, cfg).where(within_cutoff(cfg, as_of))
-    columns = ["qid", "doc_id", "text", "final_score", "channel", "place"]
+    80-character beginnings once, best ``limit`` by score. One pass over the
+    memories serves all channels."""
+    wanted = [Channel(cfg.character_pool, where=F.col("source") == "character_core"), Channel(cfg.pool, True), Channel(cfg.knowledge_pool, where=F.col("source") == "md_import")]
+    pool = drawn(memories.withColumn("beginning", F.left("text", F.lit(80))), queries, wanted, texts=False)
+    gate = F.when(F.col("channel") == 1, not_echo()).otherwise(F.col("distance") < F.when(F.col("channel") == 0, cfg.character_gate).otherwise(cfg.knowledge_gate))
+    # Kept, as facts are read twice: to be chosen from and to be shown.
+    ranked = written(reranked(pool.where(gate), as_of, cfg, ["channel", "qid"]))
+    columns = ["qid", "doc_id", "beginning", "final_score", "channel", "place"]
+    own = ranked.where("channel = 1").where(within_cutoff(cfg, as_of))
     facts = own.where("not is_milestone")
     picked = facts.join(mmr(facts, cfg.facts, cfg.diversity), ["qid", "doc_id"])
-    picked = picked.withColumns({"channel": F.lit(1), "place": F.col("pick")}).select(*columns)
+    picked = picked.withColumn("place", F.col("pick")).select(*columns)
     top = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
     great = own.where("is_milestone").withColumn("n", top).where(F.col("n") <= cfg.milestones)
-    great = great.withColumns({"channel": F.lit(1), "place": F.lit(cfg.facts) + F.col("n")}).select(*columns)
-
-    def other(source: str, k: int, gate: float, limit: int, channel: int) -> DataFrame:
-        rows = reranked(pooled(memories.where(F.col("source") == source), queries, k).where(F.col("distance") < gate), as_of, cfg)
-        return rows.where(F.col("rank") <= limit).withColumns({"channel": F.lit(channel), "place": F.col("rank")}).select(*columns)
-
-    character = other("character_core", cfg.character_pool, cfg.character_gate, cfg.character_limit, 0)
-    knowledge = other("md_import", cfg.knowledge_pool, cfg.knowledge_gate, cfg.knowledge_limit, 2)
-    every = character.unionByName(picked).unionByName(great).unionByName(knowledge)
-    first = Window.partitionBy("qid", F.left("text", F.lit(80))).orderBy("channel", "place")
-    every = every.withColumn("n", F.row_number().over(first)).where("n = 1")
+    great = great.withColumn("place", F.lit(cfg.facts) + F.col("n")).select(*columns)
+    most = F.when(F.col("channel") == 0, cfg.character_limit).otherwise(cfg.knowledge_limit)
+    others = ranked.where(F.col("channel").isin(0, 2) & (F.col("rank") <= most)).withColumn("place", F.col("rank")).select(*columns)
+    first = Window.partitionBy("qid", "beginning").orderBy("channel", "place")
+    every = others.unionByName(picked).unionByName(great).withColumn("n", F.row_number().over(first)).where("n = 1")
     order = Window.partitionBy("qid").orderBy(F.desc("final_score"), "channel", "place")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.limit).select("qid", "doc_id", "channel", "final_score", "rank")
 

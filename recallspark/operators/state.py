@@ -145,6 +145,14 @@ def insight_window(memories: DataFrame, as_of: Column, hours: int = 16, n: int =
     return own.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
+def parsed_insights(rows: DataFrame, column: str, sure: float = 0.6, shortest: int = 10) -> DataFrame:
+    """The other columns of ``rows``, text, confidence and importance: a row for each
+    sure and long enough insight of a JSON array; broken JSON gives none."""
+    found = rows.select(*(c for c in rows.columns if c != column), F.inline(F.from_json(column, "array<struct<text:string,confidence:double,priority:string>>")))
+    importance = F.when(F.col("priority") == "high", 6).when(F.col("priority") == "medium", 5).otherwise(4)
+    return found.where((F.col("confidence") >= sure) & (F.length("text") >= shortest)).withColumn("importance", importance).drop("priority")
+
+
 #: The companion's state as it is kept; keys that are not here are ignored.
 STATE = "user_id long, xp long, level int, messages long, mood string, mood_since timestamp_ntz, vibe string, topic string, last_ts timestamp_ntz, concerns array<string>"
 

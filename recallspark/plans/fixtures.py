@@ -20,10 +20,12 @@ INSIGHTS = ('[{"text": "pierwszy dłuższy wniosek", "confidence": 0.8, "priorit
 CONCERNS = ((1, "a", None), (2, "b", None), (3, "a", None), (4, "c", None), (5, "d", None), (6, "e", None), (7, "f", "c"), (8, "g", None), (9, None, "b"))
 GROUNDING = ((1, ()), (2, (0.9, 1.1)), (3, (0.3, 0.4)), (4, (0.6, 0.65)), (5, (0.7,)), (6, (0.9,)))
 AGES = (10, 400, 4000, 90000, 3000000, 300, 3600, 86400, None)
-#: The weight sets that the evaluation compares, under names of our own.
-GRID = (("current", 0.60, 0.25, 0.15), ("similar", 0.80, 0.10, 0.10), ("weighty", 0.50, 0.35, 0.15), ("recent", 0.55, 0.25, 0.20), ("timeless", 0.70, 0.30, 0.00))
+#: The weight sets that the evaluation compares (similarity, importance, recency); the first is current.
+GRID = (("1", 0.60, 0.25, 0.15), ("2", 0.80, 0.10, 0.10), ("3", 0.50, 0.35, 0.15), ("4", 0.55, 0.25, 0.20), ("5", 0.70, 0.30, 0.00))
 SCORES = (("ingestion", 8.0), ("retrieval", 7.5), ("reranker", 9.0), ("mmr", 6.0), ("e2e", 7.0))
 PENALTIES = (0.0, 0.2, 0.4, 0.6, 0.8)
 PERSONS = ("Anna jest bardzo pomocna. Marek kłamie w pracy!", "Zwykłe zdanie o pogodzie.", "Rozmawiałem z nią o tym. Ewa przyszła później.")
+#: Negative and positive words, words of context, known names, and what is no name.
+JUDGING = (("nicht", "ne ", "never"), ("est ", "ist ", "good"), ("und ", "et "), (), ("die", "der", "les", "the", "user"))
 FOLDED = ("Zażółć GĘŚLĄ jaźń", "łóżko", "naïve café", "plain", "漢字 x")
 SECTIONS = (("pipeline", 0.9), ("recall", 0.8), ("grounding", 1.0))

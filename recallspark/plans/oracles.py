@@ -31,7 +31,6 @@ from ..config import (
     WEEKDAYS,
     RankConfig,
 )
-from ..operators.evaluate import ADVICE
 from ..sources.views import SOURCES
 from . import fixtures as X
 
@@ -233,7 +232,7 @@ f3 AS (SELECT *, min(CASE WHEN used > 9000 THEN place END) OVER (PARTITION BY qi
 f4 AS (SELECT *, {TRIM} AS short FROM f3),
 fit AS (SELECT qid, doc_id, place, CASE WHEN over_at IS NULL OR place < over_at THEN text ELSE short END AS text, NOT (over_at IS NULL OR place < over_at) AS trimmed FROM f4
   WHERE over_at IS NULL OR place < over_at OR (place = over_at AND target >= 50 AND length(short) >= 30))"""
-ID_TEXT = "id, text"
+DOC = "(SELECT doc_id AS id, text FROM documents)"
 
 
 def _dates() -> str:
@@ -259,7 +258,7 @@ def _dates() -> str:
         rolled(numbers[0], numbers[1]), rolled(named[0], f"({month})"),
         *(f"CASE WHEN contains({t}, {q(w)}) THEN CASE WHEN {ends} THEN DATE '2024-{m:02d}-{MONTH_DAYS[m - 1]}' WHEN {mids} THEN DATE '2024-{m:02d}-15' END END" for w, m in MONTHS.items()),
     ]
-    return f"SELECT id, strftime(coalesce({', '.join(parts)}), '%Y-%m-%d') AS date_value FROM {values(enumerate(X.DATES), ID_TEXT)}"
+    return f"SELECT id, strftime(coalesce({', '.join(parts)}), '%Y-%m-%d') AS date_value FROM {DOC}"
 
 
 CHANNELS = f"""{PRE}, {near('p1', 30, 'v.user_id = quser')}, {ranked('r1', 'p1', CFG, ECHO)}, own AS (SELECT * FROM r1 WHERE {YOUNG}), facts AS (SELECT * FROM own WHERE NOT is_milestone), {mmr('facts')},
@@ -278,7 +277,7 @@ def graded(asked: str, found: str) -> str:
       FROM (SELECT a.qid, count(f.distance) AS n, min(f.distance)::DOUBLE AS lo, avg(f.distance)::DOUBLE AS mean FROM {asked} a LEFT JOIN {found} f USING (qid) GROUP BY a.qid))"""
 
 
-HITS = f"""asked AS (SELECT qid, list_slice(list_sort({TOKENS}), 1, 4) AS kw FROM ask), tops AS (SELECT qid, lower(string_agg(text, ' ')) AS t, max(final_score) AS top_score FROM ranked WHERE rank <= 3 GROUP BY qid),
+HITS = f"""asked AS (SELECT qid, {TOKENS} AS kw FROM ask), tops AS (SELECT qid, lower(string_agg(text, ' ')) AS t, max(final_score) AS top_score FROM ranked WHERE rank <= 3 GROUP BY qid),
 hit AS (SELECT *, rate >= 0.5 AND top_score >= 0.4 AS passed FROM (SELECT qid, round(CASE WHEN len(kw) > 0 THEN len(list_filter(kw, lambda w: contains(coalesce(t, ''), w)))::DOUBLE / len(kw) ELSE 1.0 END, 6) AS rate, coalesce(top_score, 0.0)::DOUBLE AS top_score FROM asked LEFT JOIN tops USING (qid)))"""
 #: The label of an age in seconds, {s}.
 AGE = """CASE WHEN {s} IS NULL THEN '' WHEN {s} // 86400 > 30 THEN '[' || ({s} // 86400) // 30 || ' mies. temu] ' WHEN {s} // 86400 > 0 THEN '[' || {s} // 86400 || ' dni temu] ' WHEN {s} % 86400 > 3600 THEN '[' || ({s} % 86400) // 3600 || ' godz. temu] '
@@ -304,6 +303,8 @@ DECIDED = f"""{PRE}, {near('k', 25, 'v.user_id = quser AND v.doc_id % 20 <> 0')}
 
 ORACLES = {
     "knn_topk": f"{PRE}, {near('k', 6)} SELECT qid, doc_id, distance, knn_rank FROM k",
+    "knn_index": f"{PRE}, {near('k', 6)} SELECT qid, doc_id, distance, knn_rank FROM k",
+    "index_recall": "SELECT count(*) AS n, true AS enough FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 20 = 0",
     "tenant_isolation": f"{PRE}, {near('k', 5, 'v.user_id = quser')} SELECT qid, doc_id, distance, knn_rank FROM k",
     "rerank_scores": f"{POOL} SELECT {SCORES} FROM ranked WHERE rank <= 6",
     "rerank_legacy": f"{PRE}, {near('pool', 20)}, {ranked('ranked', 'pool', LEGACY, ECHO)} SELECT {SCORES} FROM ranked WHERE rank <= 5",
@@ -312,7 +313,7 @@ ORACLES = {
     "temporal_cutoff": f"WITH {MEM} SELECT source, count(*) AS n FROM mem WHERE {YOUNG} GROUP BY source",
     "mmr_select": f"{POOL}, {mmr('ranked')} {picks()}",
     "three_channel_search": CHANNELS,
-    "grounding_status": graded(values([(i,) for i, _ in X.GROUNDING], "qid"), values([(i, x) for i, xs in X.GROUNDING for x in xs], "qid, distance")),
+    "grounding_status": f"{PRE}, {near('k', 2, 'v.user_id = quser')} " + graded("(SELECT qid FROM ask)", "(SELECT qid, distance FROM k WHERE distance <= 1.2)"),
     "grounding_search": f"""{PRE}, {near('k', 6)}, g AS ({graded('ask', 'k')}) SELECT qid, n, status, confidence, avg_distance, CASE status WHEN 'NO_DATA' THEN '[STRICT] no evidence: do not answer from memory'
       WHEN 'LOW_CONFIDENCE' THEN '[LOW] check that the memories concern the question (confidence ' || CAST(round(confidence * 100) AS INT) || '%)' ELSE '[GROUNDED] quote only what the memories say (confidence ' || CAST(round(confidence * 100) AS INT) || '%)' END AS directive FROM g""",
     "centroids": f"WITH {CLASS} SELECT entity_type, entity_subtype, pos, round(value, 6) AS value FROM cparts",
@@ -326,8 +327,9 @@ ORACLES = {
     "enrich_rules": f"""WITH {MEM}, e AS (SELECT *, {rules(IMPORTANCE, 5)} AS base_importance, {BOOST} AS boost, {TAGS} AS tags FROM (SELECT doc_id, text, entity_type, entity_subtype FROM mem WHERE entity_type IS NOT NULL))
       SELECT doc_id, base_importance, boost, least(10, base_importance + boost) AS importance, {rules(IMPACT, 'informational')} AS impact, {rules(TEMPORAL, 'long_term')} AS temporal_type, {TOPIC} AS supersedes, tags,
       CASE WHEN list_contains(string_split(tags, ','), 'work') OR (entity_type = 'DATE' AND entity_subtype = 'deadline') THEN least(10, base_importance + boost) ELSE 0 END AS business_value FROM e""",
-    "importance_boost": f"SELECT id, {BOOST} AS boost, {TAGS} AS tags FROM (SELECT *, 'FACT' AS entity_type, 'health' AS entity_subtype FROM {values(enumerate(X.BOOSTS), ID_TEXT)})",
-    "strip_tags": f"SELECT id, clean, len(list_filter(string_split(trim(regexp_replace(clean, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS words FROM (SELECT id, trim(regexp_replace(text, '\\[MEMORY\\].*?\\[/MEMORY\\]', '', 'gs')) AS clean FROM {values(enumerate(X.TAGGED), ID_TEXT)})",
+    "importance_boost": f"SELECT id, {BOOST} AS boost, {TAGS} AS tags FROM (SELECT *, 'FACT' AS entity_type, 'health' AS entity_subtype FROM {DOC})",
+    "strip_tags": """SELECT id, md5(clean) AS clean, len(list_filter(string_split(trim(regexp_replace(clean, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS words
+      FROM (SELECT doc_id AS id, trim(text) AS clean FROM documents)""",
     "content_id_upsert": f"""WITH {MEM}, p AS (SELECT doc_id, user_id, importance, trim(regexp_replace(text, '\\[MEMORY\\].*?\\[/MEMORY\\]', '', 'gs')) AS text FROM mem WHERE length(trim(text)) >= 10),
       w AS (SELECT *, substr(sha256('s0:' || user_id || ':' || text), 1, 32) AS mem_id FROM p WHERE length(text) >= 10)
       SELECT mem_id, doc_id, importance, substr(sha256('s0:' || user_id), 1, 16) AS user_hash FROM (SELECT *, row_number() OVER (PARTITION BY mem_id ORDER BY doc_id DESC) AS o FROM w) WHERE o = 1""",
@@ -347,7 +349,7 @@ ORACLES = {
       FROM kept WHERE length(text) >= 30 AND {SAID} >= 5""",
     "session_last_n": f"WITH {SES}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ts DESC, seq DESC) AS o FROM ses) WHERE o <= 10) SELECT conv_id, role, seq, row_number() OVER (PARTITION BY conv_id ORDER BY ts, seq) AS place FROM k",
     "raw_window_48h": f"WITH {SES} SELECT user_id, conv_id, seq, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC, conv_id DESC) AS place FROM ses WHERE role = 'user' AND ts >= {AS_OF} - INTERVAL 48 HOUR) WHERE place <= 6",
-    "relative_age": f"SELECT id, {AGE.replace('{s}', 's')} AS label FROM {values(enumerate(X.AGES), 'id, s')}",
+    "relative_age": f"SELECT event_id, {AGE.replace('{s}', 's')} AS label FROM (SELECT event_id, CAST(floor(epoch(TIMESTAMP '2024-02-01' - ts)) AS BIGINT) AS s FROM events)",
     "newest_five": f"WITH {MEM} SELECT doc_id, ts, left(text, 80) AS beginning FROM mem WHERE source <> 'chat' ORDER BY ts DESC, doc_id LIMIT 5",
     "source_distribution": f"WITH {MEM} SELECT source, count(*) AS n, round(100 * count(*)::DOUBLE / (SELECT count(*) FROM mem), 2) AS pct FROM mem GROUP BY source",
     "importance_histogram": f"WITH {MEM} SELECT i AS importance, (SELECT count(*) FROM mem WHERE importance = i) AS n FROM range(1, 11) r(i)",
@@ -368,7 +370,7 @@ ORACLES = {
       f AS (SELECT {MEASURES} FROM (SELECT qid AS q FROM ask)
         LEFT JOIN (SELECT qid AS tq, count(*) AS found, count(*) FILTER ((qid, doc_id) IN (SELECT qid, doc_id FROM ex)) AS hits, count(*) FILTER (doc_id = qid) AS kept, count(*) FILTER ((qid, doc_id) IN (SELECT qid, doc_id FROM xc)) AS bad FROM t GROUP BY qid) ON tq = q)
       SELECT round(p, 6) AS precision, round(mi, 6) AS include_rate, round(1 - v, 6) AS exclude_rate, round(5 * p + 3 * mi + 2 * (1 - v), 6) AS score FROM f""",
-    "recommendations": f"""WITH s AS (SELECT * FROM {values(X.SCORES, 'name, s')} JOIN {values(ADVICE.items(), 'name, advice')} USING (name) WHERE s < 7) SELECT name, advice FROM s UNION ALL SELECT 'all', 'none' WHERE NOT EXISTS (SELECT 1 FROM s)""",
+    "recommendations": "@",
     "text_to_id": f"""{POOL}, t AS (SELECT qid || ':' || rank AS result_id, text FROM ranked WHERE rank <= 3), g AS (SELECT doc_id, text FROM documents WHERE doc_id % 20 = 0)
       SELECT result_id, min(g.doc_id) AS doc_id FROM t JOIN g ON (g.text <> '' AND contains(t.text, left(g.text, 50))) OR (t.text <> '' AND contains(g.text, left(t.text, 50))) GROUP BY result_id""",
     "state_update": f"WITH {EVENTS}, {MESSAGES} SELECT user_id, event_id, gained, xp, {LEVEL} AS level, messages, mood, mood_since, vibe, topic FROM sx",
@@ -385,10 +387,9 @@ ORACLES = {
       c AS (SELECT round(avg(d) FILTER (s), 4) AS mean_similar, round(max(d) FILTER (s), 4) AS max_similar, round(avg(d) FILTER (NOT s), 4) AS mean_different, round(min(d) FILTER (NOT s), 4) AS min_different, count(*) FILTER (s AND d >= 0.25) AS over_old FROM p),
       g AS (SELECT *, round((max_similar + min_different) / 2, 3) AS suggested, round(min_different - max_similar, 4) AS gap FROM c)
       SELECT *, CASE WHEN gap > 0.15 THEN 'clear' WHEN gap < 0.05 THEN 'weak' ELSE 'fair' END AS band FROM g""",
-    "overall_score": f"""SELECT score, CASE WHEN score >= 8 THEN 'EXCELLENT' WHEN score >= 7 THEN 'GOOD' WHEN score >= 6 THEN 'ACCEPTABLE' WHEN score >= 4 THEN 'NEEDS WORK' ELSE 'CRITICAL' END AS grade FROM (
-      SELECT round(sum(s * w) / sum(w), 2)::DOUBLE AS score FROM {values(X.SCORES, 'name, s')} JOIN (VALUES ('ingestion', 0.20), ('retrieval', 0.30), ('reranker', 0.15), ('mmr', 0.10), ('e2e', 0.25)) v(name, w) USING (name))""",
-    "content_type": f"SELECT id, {KIND} AS kind, round({DENSITY}, 6)::DOUBLE AS density, {EST} AS tokens FROM {values(enumerate(X.CONTENT), ID_TEXT)}",
-    "trim": f"SELECT id, target, {TRIM} AS short FROM {values(enumerate(X.CONTENT), ID_TEXT)}, (SELECT unnest([20, 40, 60, 200]) AS target)",
+    "overall_score": "@",
+    "content_type": f"SELECT id, {KIND} AS kind, round({DENSITY}, 6)::DOUBLE AS density, {EST} AS tokens FROM {DOC}",
+    "trim": f"SELECT id, target, md5({TRIM}) AS short FROM {DOC}, (SELECT unnest([40, 200, 1000]) AS target)",
     "budget_fit": f"{FIT} SELECT qid, doc_id, place, trimmed, length(text) AS chars, md5(text) AS digest FROM fit",
     "context_build": f"{FIT} SELECT qid, n, length(c) AS chars, CASE WHEN length(c) = 0 THEN 0 ELSE length(c) // 4 + 1 END AS tokens, md5(c) AS digest FROM (SELECT qid, string_agg(text, chr(10) ORDER BY place) AS c, count(*) AS n FROM fit GROUP BY qid)",
     "xp_running": f"WITH {EVENTS} SELECT user_id, event_id, gained, xp, {LEVEL} AS level, messages FROM pr",
@@ -401,13 +402,14 @@ ORACLES = {
     "levels": f"WITH {EVENTS}, m AS (SELECT user_id, max(xp) AS xp FROM pr GROUP BY user_id) SELECT user_id, xp, {LEVEL} AS level FROM m",
     "nightly_window": f"""WITH {MEM} SELECT user_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, doc_id) AS place, count(*) OVER (PARTITION BY user_id) AS n FROM mem
       WHERE source NOT IN {inside((*EXCLUDED_SOURCES, 'night_insight', 'project_knowledge'))} AND ts >= {AS_OF} - INTERVAL 7 DAY) WHERE n >= 3 AND place <= 50""",
-    "insight_parse": f"""SELECT id, r.text, r.confidence, CASE r.priority WHEN 'high' THEN 6 WHEN 'medium' THEN 5 ELSE 4 END AS importance FROM (SELECT id, unnest(from_json(text, '[{{"text": "VARCHAR", "confidence": "DOUBLE", "priority": "VARCHAR"}}]')) AS r
-      FROM {values(enumerate(X.INSIGHTS), ID_TEXT)}) WHERE r.confidence >= 0.6 AND length(r.text) >= 10""",
+    "insight_parse": """SELECT doc_id // 3 AS id, left(text, 40) AS text, (doc_id % 10) / 10.0::DOUBLE AS confidence, 6 - doc_id % 3 AS importance FROM documents WHERE doc_id % 10 >= 6 AND length(left(text, 40)) >= 10""",
+    "llm_json_parse": """SELECT id, md5(CASE WHEN id % 4 = 3 OR trim(text) = '' THEN '…' ELSE trim(text) END) AS response, CASE WHEN id % 4 < 2 THEN 'a thought' ELSE '' END AS thought, '' AS hint, CASE WHEN id % 4 < 2 THEN role END AS mood, NULL::VARCHAR AS topic, id % 4 = 0 AS safe_haven
+      FROM (SELECT conv_id * 1000 + turn AS id, role, text FROM conversations)""",
     "keyword_hit_rate": f"{POOL}, {HITS} SELECT * FROM hit",
     "sanity_score": f"{POOL}, {HITS} SELECT passed, total, round(10 * passed::DOUBLE / greatest(total, 1), 2) AS score FROM (SELECT count(*) FILTER (top_score >= 0.5 AND rate >= 0.4) AS passed, count(*) AS total FROM hit)",
     "ingestion_rule": f"""{PRE}, {ENT} SELECT doc_id, EXISTS (SELECT 1 FROM ent e WHERE e.doc_id = m.doc_id AND e.entity_type IN (m.entity_type, 'GOAL')) AND EXISTS (SELECT 1 FROM ent e WHERE e.doc_id = m.doc_id AND e.entity_subtype IN (m.entity_subtype, 'project', 'career'))
       AND coalesce((SELECT max(confidence) FROM ent e WHERE e.doc_id = m.doc_id) >= 0.35, false) AS passed FROM mem m WHERE entity_type IS NOT NULL""",
-    "readiness": f"SELECT score, CASE WHEN score >= 0.85 THEN 'ready' WHEN score >= 0.65 THEN 'nearly' ELSE 'not ready' END AS band FROM (SELECT round(avg(s), 4)::DOUBLE AS score FROM {values(X.SECTIONS, 'name, s')})",
+    "readiness": "@",
     "memory_block": f"""{POOL} SELECT qid, md5(string_agg('- [' || source || ', type:' || coalesce(entity_type, '') || ', importance:' || importance || '] ' || {AGE.replace('{s}', f"date_diff('second', ts, {AS_OF})")} || text || ' (relevance: ' || printf('%.2f', round(final_score, 2)) || ')', chr(10) ORDER BY rank)) AS digest
       FROM ranked WHERE rank <= 6 GROUP BY qid""",
     "since_label": f"""WITH {SES} SELECT user_id, CASE WHEN h > 48 THEN 'Ostatnia rozmowa: ' || CAST(floor(h / 24) AS BIGINT) || ' dni temu' WHEN h > 1 THEN 'Ostatnia rozmowa: ' || CAST(floor(h) AS BIGINT) || ' godzin temu' ELSE 'Ostatnia rozmowa: w tej sesji' END AS label
@@ -415,5 +417,28 @@ ORACLES = {
     "insight_window": f"WITH {MEM} SELECT user_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, doc_id) AS place FROM mem WHERE source = 'night_insight' AND ts >= {AS_OF} - INTERVAL 480 HOUR) WHERE place <= 3",
     "soft_archive": f"WITH {MEM}, {LATEST} SELECT doc_id, doc_id IN (SELECT doc_id FROM lw) AS is_active, CASE WHEN doc_id NOT IN (SELECT doc_id FROM lw) THEN 'newer' END AS reason FROM mem",
     "insert_if_absent": f"WITH {MEM} SELECT mem_id, min(user_id) AS user_id FROM mem GROUP BY mem_id",
-    "ascii_fold": "SELECT * FROM (VALUES (0, 'zazoc gesla jazn'), (1, 'ozko'), (2, 'naive cafe'), (3, 'plain'), (4, ' x')) v(id, folded)",
+    "ascii_fold": """SELECT doc_id AS id, md5(regexp_replace(translate(lower(text), 'ąáàâäãåćçčęéèêëíìîïńñóòôöõśšúùûüýÿźżž', 'aaaaaaaccceeeeeiiiinnooooossuuuuyyzzz'), '[^\\x00-\\x7F]', '', 'g')) AS folded FROM documents""",
 }
+
+
+def _measured() -> str:
+    """The five measures (name, score), from the queries that give them."""
+    share = "SELECT {} AS name, round(10.0 * count(*) FILTER (passed) / greatest(count(*), 1), 6)::DOUBLE AS score FROM ({})"
+    return f"""{share.format("'ingestion'", ORACLES['ingestion_rule'])} UNION ALL SELECT 'retrieval', score FROM ({ORACLES['retrieval_score']}) UNION ALL SELECT 'reranker', max(score) FROM ({ORACLES['weight_grid']})
+      UNION ALL SELECT 'mmr', round(10 * max(diversity), 6) FROM ({ORACLES['mmr_sweep']}) UNION ALL {share.format("'e2e'", ORACLES['keyword_hit_rate'])}"""
+
+
+ORACLES["overall_score"] = f"""SELECT score, CASE WHEN score >= 8 THEN 'EXCELLENT' WHEN score >= 7 THEN 'GOOD' WHEN score >= 6 THEN 'ACCEPTABLE' WHEN score >= 4 THEN 'NEEDS WORK' ELSE 'CRITICAL' END AS grade
+  FROM (SELECT round(sum(score * CASE name WHEN 'ingestion' THEN 0.20 WHEN 'retrieval' THEN 0.30 WHEN 'reranker' THEN 0.15 WHEN 'mmr' THEN 0.10 ELSE 0.25 END), 2)::DOUBLE AS score FROM ({_measured()}))"""
+ORACLES["recommendations"] = f"""WITH sc AS MATERIALIZED ({_measured()}), wg AS ({ORACLES['weight_grid']}), ms AS ({ORACLES['mmr_sweep']}), au AS ({ORACLES['audit_counts']}),
+f(subject, measure, value, advice) AS (
+  SELECT name, name, score, CASE name WHEN 'ingestion' THEN 'look at labels and thresholds of the extraction' WHEN 'retrieval' THEN 'try a greater keyword boost or pool, or a reranker' ELSE 'look for the gap in extraction or ranking' END FROM sc WHERE name IN ('ingestion', 'retrieval', 'e2e') AND score < 7
+  UNION ALL SELECT 'reranker', 'weights_gain', max(score) - max(score) FILTER (name = '1'), 'take the best weight set' FROM wg HAVING max(score) > max(score) FILTER (name = '1')
+  UNION ALL SELECT 'mmr', 'penalty_gain', max(diversity) - max(diversity) FILTER (penalty = 0.8), 'take the best diversity penalty' FROM ms HAVING max(diversity) > max(diversity) FILTER (penalty = 0.8)
+  UNION ALL SELECT 'audit', 'duplicates', extra, 'remove exact duplicates' FROM au WHERE extra > 10
+  UNION ALL SELECT 'audit', 'short_share', short::DOUBLE / total, 'drop very short memories' FROM au WHERE short::DOUBLE / total > 0.1
+  UNION ALL SELECT 'audit', 'stale_share', stale::DOUBLE / total, 'archive old unimportant memories' FROM au WHERE stale::DOUBLE / total > 0.3
+  UNION ALL SELECT 'audit', 'session_ratio', sessions::DOUBLE / enriched, 'enrich more of the sessions' FROM au WHERE sessions > 5 * enriched)
+SELECT subject, measure, round(value, 6)::DOUBLE AS value, advice FROM f UNION ALL SELECT 'all', 'none', NULL, 'none' WHERE NOT EXISTS (SELECT 1 FROM f)"""
+ORACLES["readiness"] = f"""SELECT score, CASE WHEN score >= 0.85 THEN 'ready' WHEN score >= 0.65 THEN 'nearly' ELSE 'not ready' END AS band FROM (SELECT round((
+  (SELECT avg(passed::INT) FROM ({ORACLES['ingestion_rule']})) + (SELECT avg(precision) FROM ({ORACLES['precision_at_3']})) + (SELECT avg((status <> 'NO_DATA')::INT) FROM ({ORACLES['grounding_search']}))) / 3, 4)::DOUBLE AS score)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from ..config import EXCLUDED_SOURCES, INTENTS, LEGACY, REINGEST_SOURCES, TAXONO
 from ..functions import text as T
 from ..functions.vectors import cosine
 from ..operators import audit, consolidate, enrich, evaluate, grounding, persons, search, state
-from ..sources import store, views
+from ..sources import index, scratch, store, views
 from ..streaming import machine
 from ..streaming import state as streams
 from . import fixtures as X
@@ -24,12 +25,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def _rows(spark: SparkSession, texts: tuple[str, ...]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as (id, text)."""
+    return views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def _pool(spark: SparkSession, d: str, cfg: RankConfig = RankConfig()) -> DataFrame:  # noqa: B008
-    found = search.pooled(views.memories(spark, d), views.queries(spark, d), cfg.pool)
+def _pool(spark: SparkSession, d: str, cfg: RankConfig = RankConfig(), texts: bool = False) -> DataFrame:  # noqa: B008
+    found = search.pooled(views.memories(spark, d), views.queries(spark, d), cfg.pool, texts=texts)
     return search.reranked(found.where(search.not_echo()), views.as_of(), cfg)
 
 
@@ -47,6 +49,23 @@ def tenant_isolation(spark: SparkSession, d: str) -> DataFrame:
     return search.knn(views.memories(spark, d), views.queries(spark, d), 5, own_user=True)
 
 
+@query
+def knn_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same neighbours through a stored index, exact by the cells' radii."""
+    memories = views.memories(spark, d)
+    found = index.Index.build(memories, scratch.folder(spark, "index"))
+    return found.search(views.queries(spark, d), 6)
+
+
+@query
+def index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the index's nearest half of the cells, over all queries."""
+    memories, asked = views.memories(spark, d), views.queries(spark, d)
+    found = index.Index.build(memories, scratch.folder(spark, "index"))
+    some = found.search(asked, 10, max(1, len(found.sizes) // 2), exact=False)
+    return index.recall(some, search.knn(memories, asked, 10)).agg(F.count("*").alias("n"), (F.avg("recall") >= 0.9).alias("enough"))
+
+
 @query
 def rerank_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scores(_pool(spark, d).where("rank <= 6"))
@@ -59,8 +78,8 @@ def rerank_legacy(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def keyword_boost(spark: SparkSession, d: str) -> DataFrame:
-    pool = search.pooled(views.memories(spark, d), views.queries(spark, d), 30)
-    return pool.select("qid", "doc_id", F.round(search.keyword_share(T.query_tokens(F.col("qtext")), F.col("text")) * 0.15, 6).alias("boost"))
+    pool = search.pooled(views.memories(spark, d), views.queries(spark, d), 30, texts=False)
+    return pool.select("qid", "doc_id", F.round(F.col("share") * 0.15, 6).alias("boost"))
 
 
 @query
@@ -85,9 +104,10 @@ def three_channel_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def grounding_status(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(q,) for q, _ in X.GROUNDING], "qid int")
-    found = spark.createDataFrame([(q, float(x)) for q, ds in X.GROUNDING for x in ds], "qid int, distance double")
-    return grounding.graded(asked, found)
+    """Grades of a user's own two nearest memories within a distance of 1.2, so
+    some queries have one or none."""
+    asked = views.queries(spark, d)
+    return grounding.graded(asked, search.knn(views.memories(spark, d), asked, 2, own_user=True).where("distance <= 1.2"))
 
 
 @query
@@ -158,13 +178,14 @@ def synthesize_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def date_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, X.DATES).select("id", T.date_value(F.col("text"), F.lit("2024-01-31").cast("date")).alias("date_value"))
+    return _rows(spark, d).select("id", T.date_value(F.col("text"), F.lit("2024-01-31").cast("date")).alias("date_value"))
 
 
 @query
 def person_extract(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, X.PERSONS).select(F.col("id").alias("doc_id"), "text")
-    return persons.persons(rows, ("kłamie", "oszust"), ("pomocna", "uczciwy"), ("rozmawiałem z",), (), ("rozmawiałem", "zwykłe"))
+    """Over whole conversations; the judging words are of the tables' language."""
+    rows = views.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return persons.persons(rows, *X.JUDGING)
 
 
 @query
@@ -175,13 +196,17 @@ def enrich_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def importance_boost(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, X.BOOSTS).withColumns({"entity_type": F.lit("FACT"), "entity_subtype": F.lit("health")})
+    rows = _rows(spark, d).withColumns({"entity_type": F.lit("FACT"), "entity_subtype": F.lit("health")})
     return rows.select("id", enrich.keyword_boost(F.col("text")).alias("boost"), F.array_join(enrich.tags(F.col("text")), ",").alias("tags"))
 
 
 @query
 def strip_tags(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, X.TAGGED).select("id", T.strip_tags(F.col("text")).alias("clean"), T.word_count(T.strip_tags(F.col("text"))).alias("words"))
+    """Documents, a third of them with an echo in the middle of the text."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    echoed = F.concat(F.left("text", half), F.lit("[MEMORY]an\necho[/MEMORY]"), F.substr("text", half + 1))
+    clean = T.strip_tags(F.when(F.col("id") % 3 == 0, echoed).otherwise(F.col("text")))
+    return _rows(spark, d).select("id", F.md5(clean).alias("clean"), T.word_count(clean).alias("words"))
 
 
 @query
@@ -206,7 +231,7 @@ def _decisions(spark: SparkSession, d: str) -> DataFrame:
     """Decisions on the query set's documents as new memories against their
     users' stored ones, looked up as the best five of a pool of 25."""
     rows = views.memories(spark, d)
-    pool = search.pooled(rows.where("doc_id % 20 <> 0"), views.queries(spark, d), 25, own_user=True)
+    pool = search.pooled(rows.where("doc_id % 20 <> 0"), views.queries(spark, d), 25, own_user=True, texts=False)
     near = search.reranked(pool, views.as_of()).where("rank <= 5")
     near = near.select(F.col("qid").alias("doc_id"), F.col("doc_id").alias("other_id"), F.col("entity_subtype").alias("other_subtype"), F.round(1 - F.col("distance") / 2, 6).alias("similarity"), "rank")
     return consolidate.decided(_new(spark, d).select("doc_id", "entity_subtype"), near)
@@ -290,9 +315,9 @@ def raw_window_48h(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def relative_age(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(X.AGES)), "id int, s int")
-    ts = views.as_of() - F.make_dt_interval(secs=F.col("s").cast("decimal(18,6)"))
-    return rows.select("id", T.relative_age(ts, views.as_of()).alias("label"))
+    """The ages of events of all users, to the second, a day after their last."""
+    end = F.lit("2024-02-01").cast("timestamp_ntz")
+    return views.table(spark, d, "events").select("event_id", T.relative_age(F.col("ts").cast("timestamp_ntz"), end).alias("label"))
 
 
 @query
@@ -351,30 +376,63 @@ def precision_at_3(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.precision_at(_pool(spark, d), _expected(spark, d))
 
 
-@query
-def weight_grid(spark: SparkSession, d: str) -> DataFrame:
-    pool = _pool(spark, d).select(
+def _grid(pool: DataFrame, labels: tuple[DataFrame, ...]) -> DataFrame:
+    rows = pool.select(
         "qid", "doc_id", "knn_rank", F.round(F.greatest(F.lit(0.0), 1 - F.col("distance") / 2), 6).alias("similarity"), (F.col("importance") / 10).alias("importance"),
         F.round(search.recency(RankConfig(), views.as_of()), 6).alias("recency"),
     )
-    return evaluate.weight_grid(pool, *_labelled(spark, d), list(X.GRID))
+    return evaluate.weight_grid(rows, *labels, list(X.GRID))
+
+
+@query
+def weight_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(_pool(spark, d), _labelled(spark, d))
+
+
+def _scores_of(spark: SparkSession, d: str) -> DataFrame:
+    """(name, score): the five measures of the evaluation, out of 10."""
+    pool = scratch.written(_pool(spark, d, texts=True))
+    of = lambda df, name, score: df.select(F.lit(name).alias("name"), F.round(score, 6).alias("score"))
+    share = lambda df: df.agg((10 * F.count_if("passed") / F.greatest(F.count("*"), F.lit(1))).alias("s"))
+    labels = _labelled(spark, d)
+    parts = [
+        of(share(_ingestion(spark, d)), "ingestion", F.col("s")),
+        of(evaluate.retrieval_score(pool, *labels), "retrieval", F.col("score")),
+        of(_grid(pool, labels).where("best"), "reranker", F.col("score")),
+        of(_sweep(pool).agg(F.max("diversity").alias("s")), "mmr", 10 * F.col("s")),
+        of(share(evaluate.keyword_hits(pool, _wanted(spark, d))), "e2e", F.col("s")),
+    ]
+    return functools.reduce(DataFrame.union, parts)
 
 
 @query
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.recommendations(spark.createDataFrame(list(X.SCORES), "name string, score double"))
+    """What the measured results of the evaluation and the audit ask for."""
+    pool, labels = scratch.written(_pool(spark, d, texts=True)), _labelled(spark, d)
+    c, of = audit.counts(views.memories(spark, d, False), views.as_of()), F.greatest(F.col("total"), F.lit(1))
+    ratio = F.when(F.col("enriched") == 0, F.lit(float("inf"))).otherwise(F.col("sessions") / F.col("enriched"))
+    audited = {"duplicates": F.col("extra").cast("double"), "short_share": F.col("short") / of, "stale_share": F.col("stale") / of, "session_ratio": ratio}
+    listed = F.array(*(F.struct(F.lit(k).alias("measure"), x.alias("value")) for k, x in audited.items()))
+    measured = _scores_of(spark, d).select(F.col("name").alias("measure"), F.col("score").alias("value"))
+    measured = measured.union(evaluate.gain_over(_grid(pool, labels), "weights_gain", "score", F.col("name") == X.GRID[0][0]))
+    measured = measured.union(evaluate.gain_over(_sweep(pool), "penalty_gain", "diversity", F.col("penalty") == RankConfig().diversity))
+    return evaluate.recommendations(measured.union(c.select(F.inline(listed))))
 
 
 @query
 def text_to_id(spark: SparkSession, d: str) -> DataFrame:
     """The first three results' texts back to documents of the query set."""
-    found = _pool(spark, d).where("rank <= 3").select(F.concat_ws(":", "qid", "rank").alias("result_id"), "text")
+    found = _pool(spark, d, texts=True).where("rank <= 3").select(F.concat_ws(":", "qid", "rank").alias("result_id"), "text")
     return search.resolved(found, views.table(spark, d, "documents").where("doc_id % 20 = 0").select("doc_id", "text"))
 
 
+def _sweep(pool: DataFrame) -> DataFrame:
+    return evaluate.diversity_sweep(pool.withColumn("cluster", F.col("source")), list(X.PENALTIES))
+
+
 @query
 def mmr_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.diversity_sweep(_pool(spark, d).withColumn("cluster", F.col("source")), list(X.PENALTIES))
+    return _sweep(_pool(spark, d))
 
 
 @query
@@ -387,23 +445,23 @@ def calibration(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def overall_score(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.overall(spark.createDataFrame(list(X.SCORES), "name string, score double"))
+    return evaluate.overall(_scores_of(spark, d))
 
 
 @query
 def content_type(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return _rows(spark, X.CONTENT).select("id", T.content_type(t).alias("kind"), T.content_density(t).alias("density"), T.estimated_tokens(t).alias("tokens"))
+    return _rows(spark, d).select("id", T.content_type(t).alias("kind"), T.content_density(t).alias("density"), T.estimated_tokens(t).alias("tokens"))
 
 
 @query
 def trim(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, X.CONTENT).withColumn("target", F.explode(F.array(F.lit(20), F.lit(40), F.lit(60), F.lit(200))))
-    return rows.select("id", "target", T.trimmed(F.col("text"), F.col("target")).alias("short"))
+    rows = _rows(spark, d).withColumn("target", F.explode(F.array(F.lit(40), F.lit(200), F.lit(1000))))
+    return rows.select("id", "target", F.md5(T.trimmed(F.col("text"), F.col("target"))).alias("short"))
 
 
 def _fitted(spark: SparkSession, d: str) -> DataFrame:
-    return grounding.fitted(_pool(spark, d).where("rank <= 6"), 12000, 3000)
+    return grounding.fitted(_pool(spark, d, texts=True).where("rank <= 6"), 12000, 3000)
 
 
 @query
@@ -479,19 +537,22 @@ def nightly_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def insight_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, X.INSIGHTS).select("id", F.inline(F.from_json("text", "array<struct<text:string,confidence:double,priority:string>>")))
-    importance = F.when(F.col("priority") == "high", 6).when(F.col("priority") == "medium", 5).otherwise(4)
-    return rows.where((F.col("confidence") >= 0.6) & (F.length("text") >= 10)).select("id", "text", "confidence", importance.alias("importance"))
+    return state.parsed_insights(views.insights(spark, d), "raw").select("id", "text", "confidence", "importance")
 
 
 @query
 def llm_json_parse(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, X.REPLIES).select("id", T.parsed_reply(F.col("text")).alias("r")).select("id", "r.response", "r.thought", "r.hint", "r.mood", "r.topic", "r.safe_haven")
+    rows = views.replies(spark, d).select("id", T.parsed_reply(F.col("raw")).alias("r"))
+    return rows.select("id", F.md5("r.response").alias("response"), "r.thought", "r.hint", "r.mood", "r.topic", "r.safe_haven")
+
+
+def _wanted(spark: SparkSession, d: str) -> DataFrame:
+    """All words of each query as its keywords."""
+    return views.queries(spark, d).select("qid", T.query_tokens(F.col("qtext")).alias("keywords"))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    wanted = views.queries(spark, d).select("qid", F.slice(F.array_sort(T.query_tokens(F.col("qtext"))), 1, 4).alias("keywords"))
-    return evaluate.keyword_hits(_pool(spark, d), wanted)
+    return evaluate.keyword_hits(_pool(spark, d, texts=True), _wanted(spark, d))
 
 
 @query
@@ -504,21 +565,32 @@ def sanity_score(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.sanity_score(_hits(spark, d), 0.5)
 
 
-@query
-def ingestion_rule(spark: SparkSession, d: str) -> DataFrame:
+def _ingestion(spark: SparkSession, d: str) -> DataFrame:
     rows = views.memories(spark, d, False).where("entity_type is not null")
     cases = rows.select("doc_id", F.array("entity_type", F.lit("GOAL")).alias("types"), F.array("entity_subtype", F.lit("project"), F.lit("career")).alias("subtypes"), F.lit(0.35).alias("least"))
     return evaluate.ingestion(cases, _entities(spark, d))
 
 
+@query
+def ingestion_rule(spark: SparkSession, d: str) -> DataFrame:
+    return _ingestion(spark, d)
+
+
 @query
 def readiness(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.readiness(spark.createDataFrame(list(X.SECTIONS), "name string, score double"))
+    """The mean of what is ingested, recalled and grounded."""
+    graded = grounding.graded(views.queries(spark, d), search.knn(views.memories(spark, d), views.queries(spark, d), 6))
+    mean = lambda df, name, x: df.agg(F.avg(x).alias("score")).select(F.lit(name).alias("name"), "score")
+    parts = [
+        mean(_ingestion(spark, d), "pipeline", F.col("passed").cast("double")), mean(evaluate.precision_at(_pool(spark, d), _expected(spark, d)), "recall", F.col("precision")),
+        mean(graded, "grounding", (F.col("status") != "NO_DATA").cast("double")),
+    ]
+    return evaluate.readiness(functools.reduce(DataFrame.union, parts))
 
 
 @query
 def memory_block(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pool(spark, d).where("rank <= 6").withColumn("line", T.memory_line(F.col("ts"), views.as_of()))
+    rows = _pool(spark, d, texts=True).where("rank <= 6").withColumn("line", T.memory_line(F.col("ts"), views.as_of()))
     out = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
     return out.select("qid", F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("digest"))
 
@@ -549,7 +621,7 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ascii_fold(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, X.FOLDED).select("id", T.ascii_folded(F.col("text")).alias("folded"))
+    return _rows(spark, d).select("id", F.md5(T.ascii_folded(F.col("text"))).alias("folded"))
 
 
 @query

@@ -96,3 +96,22 @@ def state_messages(spark: SparkSession, sf_dir: str, stream: bool = False) -> Da
         F.when(F.col("event_id") % 3 == 0, concern(3)).alias("added"), F.when(F.col("event_id") % 7 == 0, concern(7)).alias("removed"), F.when(F.col("event_id") % 11 == 0, F.lit(2.5)).alias("xp_delta"),
         F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("g"), (F.col("event_id") % 13).cast("string"))).alias("greeting"),
     )
+
+
+def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, raw): a model's insights on three documents each, as a JSON array."""
+    level = F.element_at(F.array(*map(F.lit, ("high", "medium", "low"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    one = F.struct(F.left("text", F.lit(40)).alias("text"), (F.col("doc_id") % 10 / 10).alias("confidence"), level.alias("priority"))
+    rows = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 3).alias("id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", one.alias("x")))).alias("l"))
+    return rows.select("id", F.to_json(F.transform("l", lambda e: e["x"])).alias("raw"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, raw): conversation turns as a model's replies: JSON, fenced JSON, JSON
+    that breaks off after its response, and plain text."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.col("text").alias("said"))
+    body = F.to_json(F.struct(F.col("said").alias("response"), F.lit("a thought").alias("thought"), F.col("role").alias("mood"), (F.col("id") % 2 == 0).alias("safe_haven")))
+    kind = F.col("id") % 4
+    fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+    broken = F.substring_index(body, ',"thought"', 1)
+    return rows.select("id", F.when(kind == 0, body).when(kind == 1, fenced).when(kind == 2, broken).otherwise(F.col("said")).alias("raw"))

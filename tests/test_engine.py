@@ -1,13 +1,14 @@
 """Properties and small cases of the memory engine."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from recallspark.config import RankConfig
 from recallspark.functions import text as T
-from recallspark.operators import grounding, persons, search, state
+from recallspark.operators import enrich, evaluate, grounding, persons, search, state
 from recallspark.plans import fixtures as X
 from recallspark.plans.queries import REGISTRY
 from recallspark.sources import store, views
@@ -23,7 +24,7 @@ def test_no_diversity_is_rank_order(spark):
 
 
 def test_mmr_of_short_pools(spark):
-    rows = spark.createDataFrame([(1, 7, "a b", 0.5, 1)], "qid long, doc_id long, text string, final_score double, rank int")
+    rows = spark.createDataFrame([(1, 7, [1, 2], 0.5, 1)], "qid long, doc_id long, tokens array<long>, final_score double, rank int")
     assert [(r.doc_id, r.pick) for r in search.mmr(rows, 3, 0.8).collect()] == [(7, 1)]
 
 
@@ -46,10 +47,58 @@ def test_upsert_is_idempotent(spark):
 
 
 def test_grounding_cases(spark):
-    got = {r.qid: r.status for r in REGISTRY["grounding_status"](spark, DATA).collect()}
+    asked = spark.createDataFrame([(q,) for q, _ in X.GROUNDING], "qid int")
+    found = spark.createDataFrame([(q, float(x)) for q, ds in X.GROUNDING for x in ds], "qid int, distance double")
+    got = {r.qid: r.status for r in grounding.graded(asked, found).collect()}
     assert got == {1: "NO_DATA", 2: "NO_DATA", 3: "GROUNDED", 4: "LOW_CONFIDENCE", 5: "LOW_CONFIDENCE", 6: "NO_DATA"}
 
 
+def texts(spark, rows):
+    return spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+
+
+def test_dates(spark):
+    got = [r.d for r in texts(spark, X.DATES).select("id", T.date_value(F.col("text"), F.lit("2024-01-31").cast("date")).alias("d")).orderBy("id").collect()]
+    assert got == [
+        "2024-02-03", "2024-02-14", "2024-03-01", "2024-02-07", "2024-03-01", "2024-02-01", "2024-02-02", "2024-01-31", "2024-02-01", "2024-02-07", "2024-03-15", None,
+        "2025-01-05", "2024-05-12", None, "2025-01-07", "2024-03-31", "2024-06-15", "2024-02-28", None,
+    ]
+
+
+def test_tags_and_boosts(spark):
+    got = [r.c for r in texts(spark, X.TAGGED).select("id", T.strip_tags(F.col("text")).alias("c")).orderBy("id").collect()]
+    assert got == ["witaj  świecie", "bez znacznika", "", "x [MEMORY] otwarty"]
+    assert [r.b for r in texts(spark, X.BOOSTS).select("id", enrich.keyword_boost(F.col("text")).alias("b")).orderBy("id").collect()] == [3, 1, 2, 0, 2, 2]
+    assert [r.f for r in texts(spark, X.FOLDED).select("id", T.ascii_folded(F.col("text")).alias("f")).orderBy("id").collect()] == ["zazoc gesla jazn", "ozko", "naive cafe", "plain", " x"]
+
+
+def test_trims_and_ages(spark):
+    kinds = [r.k for r in texts(spark, X.CONTENT).select("id", T.content_type(F.col("text")).alias("k")).orderBy("id").collect()]
+    assert kinds == ["CODE", "INSTRUCTION", "FACT", "EMOTIONAL", "GENERAL", "GENERAL", "CODE", "INSTRUCTION"]
+    short = texts(spark, X.CONTENT).select("id", T.trimmed(F.col("text"), F.lit(40)).alias("t")).orderBy("id").collect()
+    assert short[1].t == "Najpierw otwórz plik." and short[0].t == X.CONTENT[0] and short[4].t.endswith("...") and len(short[4].t) <= 40
+    end = F.lit("2024-02-01").cast("timestamp_ntz")
+    ages = spark.createDataFrame(list(enumerate(X.AGES)), "id int, s int").select("id", T.relative_age(end - F.make_dt_interval(secs=F.col("s").cast("decimal(18,6)")), end).alias("l"))
+    assert [r.l for r in ages.orderBy("id").collect()] == ["[przed chwilą] ", "[6 min temu] ", "[1 godz. temu] ", "[1 dni temu] ", "[1 mies. temu] ", "[przed chwilą] ", "[60 min temu] ", "[1 dni temu] ", ""]
+
+
+def test_insights(spark):
+    got = [tuple(r) for r in state.parsed_insights(texts(spark, (*X.INSIGHTS, "broken [", None)), "text").collect()]
+    assert got == [(0, "pierwszy dłuższy wniosek", 0.8, 6), (1, "drugi dłuższy wniosek", 0.6, 5)]
+
+
+def test_measures_of_fixed_scores(spark):
+    scores = spark.createDataFrame(list(X.SCORES), "name string, score double")
+    assert tuple(evaluate.overall(scores).first()) == (7.55, "GOOD")
+    assert tuple(evaluate.readiness(spark.createDataFrame(list(X.SECTIONS), "name string, score double")).first()) == (0.9, "ready")
+    fine = spark.createDataFrame([("ingestion", 9.0), ("duplicates", 3.0), ("unknown", 0.0)], "measure string, value double")
+    assert [tuple(r) for r in evaluate.recommendations(fine).collect()] == [("all", "none", None, "none")]
+    bad = spark.createDataFrame([("ingestion", 6.9), ("retrieval", 7.0), ("duplicates", 11.0)], "measure string, value double")
+    assert sorted((r.subject, r.value) for r in evaluate.recommendations(bad).collect()) == [("audit", 11.0), ("ingestion", 6.9)]
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.5)], "name string, score double")
+    assert evaluate.gain_over(rows, "g", "score", F.col("name") == "a").first().value == 1.5
+
+
 def test_concerns_fold(spark):
     def fold(updates):
         kept = []
@@ -60,7 +109,9 @@ def test_concerns_fold(spark):
         return kept
 
     rows = spark.createDataFrame(list(X.CONCERNS), "seq int, added string, removed string").withColumn("user_id", F.lit("u"))
-    assert state.concerns(rows).first().concerns == fold(X.CONCERNS)
+    assert state.folded_concerns(rows.repartition(3)).first().concerns == fold(X.CONCERNS)
+    one = spark.createDataFrame([("u1", 1, "a", "a")], "user_id string, seq int, added string, removed string")
+    assert state.folded_concerns(one).first().concerns == []
 
 
 def test_replies(spark):
@@ -69,11 +120,43 @@ def test_replies(spark):
     assert got[0].safe_haven and got[0].mood == "calm" and got[1].hint == "h"
 
 
-def test_persons(spark):
-    rows = {(r.doc_id, r["name"]): r.subtype for r in REGISTRY["person_extract"](spark, DATA).collect()}
-    assert rows[0, "Marek"] == "negative_person" and rows[2, "Ewa"] == "positive_person" and not any(d == 1 for d, _ in rows)
-    only = persons.persons(spark.createDataFrame([(1, "nic tu nie ma")], "doc_id int, text string"), ("zły",), ("dobry",))
-    assert only.count() == 0
+def plain_persons(text, negative, positive, context, known, excluded):
+    """(name, subtype, text) of a message, by plain loops."""
+    low = text.lower()
+    names = {}
+    for n in [m.group(1) for m in re.finditer(persons.NAME.replace(r"[\p{L}\p{N}_]", r"\w"), text)] + [k.capitalize() for k in known if k in low]:
+        names.setdefault(n.lower(), n)
+    out = []
+    for key, name in names.items():
+        if key in excluded:
+            continue
+        at = low.find(key)
+        window = low[max(0, at - 100) : at + 500]
+        near = {s: [w for w in ws if w in window] for s, ws in (("bad", negative), ("good", positive))}
+        found = near if near["bad"] or near["good"] else {s: [w for w in ws if w in low] for s, ws in (("bad", negative), ("good", positive))}
+        other = [w for w in context if w in low]
+        if not (found["bad"] or found["good"] or other or key in known):
+            continue
+        words = found["bad"] or found["good"] or other or [key]
+        parts = [p for p in re.split(r"(?<=[.!?\n])", text) if key in p.lower() or any(w in p.lower() for w in words)]
+        parts = [p.strip(" ").lstrip("user: ").lstrip("model: ") for p in parts]  # noqa: B005
+        parts = [p for p in parts if len(p) > 5][:4]
+        body = " ".join(parts) if parts else window.strip(" ")[:300]
+        said = f"{name}: {body}"[:400]
+        if len(said) >= len(name) + 10:
+            out.append((name, "negative_person" if found["bad"] else "positive_person", said))
+    return out
+
+
+def test_persons_by_plain_loops(spark):
+    rows = [(i, t) for i, t in enumerate(X.PERSONS)] + [(10, None), (11, ""), (12, "Marek. Marek Nowak kłamie? marek MAREK Ewa"), (13, "x" * 700 + " Ewa " + "y" * 700 + " oszust"), (14, "user: Ola i Ula są razem. model: tak")]
+    own = (("kłamie", "oszust"), ("pomocna", "uczciwy"), ("rozmawiałem z", "razem"), ("ula",), ("rozmawiałem", "zwykłe"))
+    got = sorted((r.doc_id, r["name"], r.subtype, r.text) for r in persons.persons(spark.createDataFrame(rows, "doc_id int, text string"), *own).collect())
+    assert got == sorted((i, *x) for i, t in rows if t for x in plain_persons(t, *own))
+    assert (0, "Marek", "negative_person") in {r[:3] for r in got} and (2, "Ewa", "positive_person") in {r[:3] for r in got}
+    talk = spark.read.parquet(f"{DATA}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text").collect()
+    got = sorted((r.doc_id, r["name"], r.subtype, r.text) for r in REGISTRY["person_extract"](spark, DATA).collect())
+    assert len(got) > 50 and got == sorted((r.doc_id, *x) for r in talk if r.text for x in plain_persons(r.text, *X.JUDGING))
 
 
 def test_stream_matches_batch(spark):
@@ -82,14 +165,15 @@ def test_stream_matches_batch(spark):
 
 
 def test_upserting_stream(spark, tmp_path):
+    from recallspark.sources.table import Table
     from recallspark.streaming.state import upserting
 
     kinds = "mem_id string, text string, write_seq long"
-    for i, rows in enumerate(([("a", "x", 1), ("b", "y", 2)], [("a", "z", 3)])):
+    for rows in ([("a", "x", 1), ("b", "y", 2)], [("a", "z", 3)]):
         spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         upserting(spark.readStream.schema(kinds).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-        last = {r.mem_id: r.text for r in spark.read.parquet(str(tmp_path / f"out/v{i}")).collect()}
-    assert last == {"a": "z", "b": "y"}
+    table = Table.open(spark, str(tmp_path / "out"), "mem_id", 4, spark.createDataFrame([], kinds).schema)
+    assert {r.mem_id: r.text for r in table.read().collect()} == {"a": "z", "b": "y"} and table.manifest["version"] == 2
 
 
 def test_windowed_counts(spark, tmp_path):
@@ -111,6 +195,37 @@ def test_tables_and_knowledge(spark, tmp_path):
     assert back.count() == views.memories(spark, DATA, False).where("source = 'chat'").count()
 
 
+def test_many_queries_go_in_blocks(spark, monkeypatch):
+    memories, queries = views.memories(spark, DATA), views.queries(spark, DATA)
+    want = sorted(map(tuple, search.knn(memories, queries, 4).collect()))
+    monkeypatch.setattr(search, "MAX_QUERIES", 3)
+    assert sorted(map(tuple, search.knn(memories, queries, 4).collect())) == want
+
+
+def test_channels_are_searches_of_their_own(spark):
+    memories, queries = views.memories(spark, DATA), views.queries(spark, DATA)
+    goal = F.col("source") == "chat"
+    got = search.nearest_of(memories, queries, [search.Channel(3, where=goal), search.Channel(5, True)]).collect()
+    for i, alone in enumerate((search.knn(memories.where(goal), queries, 3), search.knn(memories, queries, 5, True))):
+        assert sorted(tuple(r)[1:] for r in got if r.channel == i) == sorted(map(tuple, alone.collect()))
+
+
+def test_vectors_with_nulls_and_ties(spark):
+    kinds = "doc_id long, user_id string, embedding array<float>"
+    memories = spark.createDataFrame([(3, "u", [1.0, 0.0]), (1, "u", [1.0, 0.0]), (2, None, [1.0, 0.0]), (4, "u", None), (5, "u", [None, 1.0]), (6, "u", [1.0]), (7, "u", [0.0, 1.0])], kinds)
+    queries = spark.createDataFrame([(1, "u", [1.0, 0.0]), (2, "u", None)], kinds.replace("doc_id", "qid"))
+    assert [(r.doc_id, r.knn_rank) for r in search.knn(memories, queries, 3).orderBy("knn_rank").collect()] == [(1, 1), (2, 2), (3, 3)]
+    assert [r.doc_id for r in search.knn(memories, queries, 9, True).orderBy("knn_rank").collect()] == [1, 3, 7]
+
+
+def test_no_text_is_shuffled_to_be_scored(spark):
+    ranked = search.reranked(search.pooled(views.memories(spark, DATA), views.queries(spark, DATA), 30, texts=False), views.as_of())
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan.split("Window")[0] and "text" not in ranked.columns
+    physical = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in physical and physical.count("BroadcastHashJoin") >= 2
+
+
 def test_scan_reads_few_columns(spark):
     plan = REGISTRY["source_distribution"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<source:string>" in plan
