@@ -51,3 +51,39 @@ def health(memories: DataFrame, as_of: Column) -> DataFrame:
         + F.when(of("stale") > 0.3, 1).otherwise(0)
     )
     return c.select(F.greatest(F.lit(0), 10 - penalty).alias("score"), F.round(ratio, 3).alias("ratio"))
+
+
+#: What is counted of each day, source and importance.
+_SUMS = ("n", "short", "noise", "milestones")
+
+
+def daily(memories: DataFrame) -> DataFrame:
+    """(day, source, importance, n, short, noise, milestones, texts): aggregates that
+    merge, of memories (text, source, importance, is_milestone, ts). ``texts`` is a
+    sketch of the distinct texts, of 2**12 places: its estimate is within 5 % of
+    the number in 99 of 100 cases."""
+    rows = memories.groupBy(F.to_date("ts").alias("day"), "source", "importance")
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(F.length("text") < 50).alias("short"), F.count_if(word_count(F.col("text")) < 5).alias("noise"), F.count_if("is_milestone").alias("milestones"),
+        F.hll_sketch_agg(F.coalesce("text", F.lit("")), 12).alias("texts"),
+    )
+
+
+def brought_up(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The aggregates of :func:`daily` of old and new memories, from those stored and
+    those of the new ones alone: no old memory is read."""
+    both = stored.unionByName(new).groupBy("day", "source", "importance")
+    return both.agg(*(F.sum(c).alias(c) for c in _SUMS), F.hll_union_agg("texts").alias("texts"))
+
+
+def counts_of_days(days: DataFrame, as_of: Column) -> DataFrame:
+    """One row from stored aggregates: the columns of :func:`counts` but for extra,
+    exact (stale ones where ``as_of`` is a midnight), and ``distinct_texts``, an
+    estimate."""
+    stale = (F.col("importance") <= 3) & (F.col("day") < F.to_date(as_of - F.make_dt_interval(days=F.lit(14))))
+    of = lambda rows: F.coalesce(F.sum(F.when(rows, F.col("n"))), F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return days.agg(
+        total("n").alias("total"), total("short").alias("short"), total("noise").alias("noise"), of(stale).alias("stale"), total("milestones").alias("milestones"),
+        of(F.col("source") == "chat").alias("sessions"), of(F.col("source") == "enriched").alias("enriched"), F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("texts")), F.lit(0)).alias("distinct_texts"),
+    )

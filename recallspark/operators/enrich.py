@@ -41,10 +41,12 @@ def cosines(messages: DataFrame, centroids: list[list[float]], least: float | No
     """(the other columns of ``messages``, pos, cosine): the cosine of each
     message's embedding and each centroid, one matrix product a batch; with
     ``least`` only from there on. Centroids are a small fixed table. Null
-    vectors and vectors of another length have no rows."""
+    vectors, vectors of another length, zero ones and those with null or NaN
+    components have no rows."""
     points = np.array(centroids, float).reshape(len(centroids), -1)
     points = points / np.linalg.norm(points, axis=1, keepdims=True)
-    rows = messages.where(F.size("embedding") == points.shape[1])
+    whole = (F.size("embedding") == points.shape[1]) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
+    rows = messages.where(F.coalesce(whole, F.lit(False)))
     others = [f for f in rows.schema.fields if f.name != "embedding"]
     rows = rows.select(*(f.name for f in others), "embedding")
 

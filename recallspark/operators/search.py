@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import functools
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,6 +66,18 @@ def _nearest(memories: DataFrame, asked: list[Row], channels: list[Channel]) ->
     return memories.mapInArrow(near, "channel int, qid long, doc_id long, distance double")
 
 
+def in_blocks(asked: DataFrame, run: Callable[[list[Row]], DataFrame]) -> DataFrame:
+    """The rows of ``run`` for all of ``asked`` (qid, ...), which it gets as lists of
+    at most ``MAX_QUERIES``: the driver holds one of them at a time, and where
+    there are several, what each gives is written before the next."""
+    first = asked.limit(MAX_QUERIES + 1).collect()
+    if len(first) <= MAX_QUERIES:
+        return run(first)
+    blocks = -(-2 * asked.count() // MAX_QUERIES)  # half full, so that no hash overfills one
+    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))))
+    return functools.reduce(DataFrame.union, (written(run(asked.where(F.col("block") == i).collect())) for i in range(blocks)))
+
+
 def nearest_of(memories: DataFrame, queries: DataFrame, channels: list[Channel]) -> DataFrame:
     """(channel, qid, doc_id, distance, knn_rank): for each channel, by its place in
     the list, the nearest memories of each query by squared distance (six
@@ -78,16 +91,7 @@ def nearest_of(memories: DataFrame, queries: DataFrame, channels: list[Channel])
     inside = [F.coalesce(c.where, F.lit(False)) if c.where is not None else F.lit(True) for c in channels]
     rows = memories.where(whole()).select("doc_id", "user_id", "embedding", *(x.alias(f"in{i}") for i, x in enumerate(inside)))
     asked = queries.where(whole()).select("qid", "user_id", "embedding")
-    first = asked.limit(MAX_QUERIES + 1).collect()
-    if len(first) <= MAX_QUERIES:
-        found = _nearest(rows, first, channels)
-    else:
-        blocks = -(-2 * asked.count() // MAX_QUERIES)  # half full, so that no hash overfills one
-        asked = written(asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))))
-        found = None
-        for i in range(blocks):
-            some = written(_nearest(rows, asked.where(F.col("block") == i).collect(), channels))
-            found = some if found is None else found.union(some)
+    found = in_blocks(asked, lambda own: _nearest(rows, own, channels))
     rank = F.row_number().over(Window.partitionBy("channel", "qid").orderBy("distance", "doc_id"))
     most = F.element_at(F.array(*(F.lit(c.k) for c in channels)), F.col("channel") + 1)
     # One limit for all channels lets Spark cut in each task; then each channel's own.
@@ -223,20 +227,90 @@ def three_channels(memories: DataFrame, queries: DataFrame, as_of: Column, cfg:
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.limit).select("qid", "doc_id", "channel", "final_score", "rank")
 
 
-def resolved(results: DataFrame, documents: DataFrame, size: int = 50) -> DataFrame:
-    """(result_id, doc_id): for each of ``results`` (result_id, text) the first
-    of ``documents`` (doc_id, text) whose beginning of ``size`` characters it
-    holds, or which holds its beginning. A beginning meets the places where it
-    can stand by a hash of as many characters, and is then compared."""
+#: Characters of the pieces by which beginnings are found in texts.
+_PIECE = 32
+#: Hashes of beginnings that are sent to where texts are read, at most.
+_FEW = 1 << 18
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
-    def holding(texts: DataFrame, beginnings: DataFrame) -> DataFrame:
-        short = F.left("text", F.lit(size))
-        own = beginnings.where(F.length("text") > 0).select(F.col("id").alias("b_id"), short.alias("b"), F.length(short).alias("n"))
-        sizes = F.broadcast(own.select("n").distinct())  # at most ``size`` numbers
-        places = texts.select(F.col("id").alias("t_id"), "text").join(sizes, F.length("text") >= F.col("n"))
-        places = places.select("t_id", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substr("text", i, F.col("n"))))).alias("b"))
-        return places.join(own, ["n", "b"]).select("t_id", "b_id")
 
+def chosen_pieces(text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the pieces that stand for the windows of ``width``
+    characters of a text: of each window's pieces the one of the least hash, the
+    first among equals. A window has the same piece wherever it stands."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = min(_PIECE, width)
+    if len(c) < width or not width:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    h = np.full(len(c) - size + 1, width, np.uint64)
+    for i in range(size):
+        h = (h * _PRIME) + c[i : len(c) - size + 1 + i]
+    h = (h ^ (h >> np.uint64(31))) * _PRIME
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, width - size + 1).argmin(axis=1) + np.arange(len(c) - width + 1))
+    return at, (h[at] >> np.uint64(1)).astype(np.int64)
+
+
+def _pieces(texts: DataFrame, widths: list[int], among: np.ndarray | None = None) -> DataFrame:
+    """(id, width, hash, place) of the chosen pieces of each text (id, text), for
+    each of the widths; with ``among``, sorted hashes, only those of them."""
+    sent = texts.sparkSession.sparkContext.broadcast(among)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, width, hashes, places, n = [], [], [], [], 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for w in widths:
+                    at, h = chosen_pieces(text, w)
+                    if sent.value is not None and len(h):
+                        own = sent.value[np.minimum(np.searchsorted(sent.value, h), len(sent.value) - 1)] == h
+                        at, h = at[own], h[own]
+                    row.append(np.full(len(at), i))
+                    width.append(np.full(len(at), w, np.int32))
+                    hashes.append(h)
+                    places.append(at)
+                    n += len(at)
+                if n > 100_000 or i + 1 == len(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(row))), *(pa.array(np.concatenate(x)) for x in (width, hashes, places))], ["id", "width", "hash", "place"])
+                    row, width, hashes, places, n = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+
+    kind = dict(texts.dtypes)["id"]
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, width int, hash long, place long")
+
+
+def _holding(texts: DataFrame, beginnings: DataFrame, size: int) -> DataFrame:
+    """(id, b): the texts (id, text) that hold each of ``beginnings`` (b), distinct
+    strings of up to ``size`` characters. A beginning is sought by its first 1, 2,
+    4 ... or ``size`` characters, as many as it has; a text's chosen pieces meet
+    those of these by hash, and where they do, the text is looked at. No place is
+    missed."""
+    widths = [*(w for w in (1, 2, 4, 8, 16, 32) if w < size), size]
+    width = F.lit(None).cast("int")
+    for w in widths:
+        width = F.when(F.length("b") >= w, w).otherwise(width)
+    asked = written(beginnings.select("b", width.alias("w")))
+    used = sorted(r[0] for r in asked.select("w").distinct().collect())  # seven numbers at most
+    key = asked.select(F.struct("b", "w").alias("id"), F.expr("left(b, w)").alias("text"))
+    key = _pieces(key.select(F.to_json("id").alias("id"), "text"), used).withColumn("k", F.from_json("id", "b string, w int")).where(F.col("k.w") == F.col("width"))
+    key = key.select(F.col("k.b").alias("b"), "width", "hash", F.col("place").alias("offset"))
+    # As long as there are few, what the beginnings need is known where texts are read.
+    key = written(key)
+    few = np.array([r[0] for r in key.select("hash").distinct().limit(_FEW + 1).collect()], np.int64)
+    among = np.sort(few) if 0 < len(few) <= _FEW else None
+    met = _pieces(texts, used, among).join(key, ["width", "hash"]).select("id", "b", (F.col("place") - F.col("offset")).alias("at")).where("at >= 0").distinct()
+    near = written(met)
+    return texts.join(near, "id").where(F.substr("text", (F.col("at") + 1).cast("int"), F.length("b")) == F.col("b")).select("id", "b").distinct()
+
+
+def resolved(results: DataFrame, documents: DataFrame, size: int = 50) -> DataFrame:
+    """(result_id, doc_id): for each of ``results`` (result_id, text) the least id
+    of ``documents`` (doc_id, text) whose beginning of ``size`` characters it
+    holds, or which holds its beginning; shorter texts are their own beginnings,
+    and empty ones begin nothing. Equal beginnings are one. Results without a
+    document have no row."""
     found, own = results.select(F.col("result_id").alias("id"), "text"), documents.select(F.col("doc_id").alias("id"), "text")
-    both = holding(found, own).select(F.col("t_id").alias("result_id"), F.col("b_id").alias("doc_id")).union(holding(own, found).select("b_id", "t_id"))
+    begin = lambda df: df.where(F.length("text") > 0).select("id", F.left("text", F.lit(size)).alias("b"))
+    of_docs, of_results = begin(own).groupBy("b").agg(F.min("id").alias("doc_id")), begin(found)
+    held = _holding(found.where(F.length("text") > 0), of_docs.select("b"), size).join(of_docs, "b").select(F.col("id").alias("result_id"), "doc_id")
+    holds = _holding(own.where(F.length("text") > 0), of_results.select("b").distinct(), size).groupBy("b").agg(F.min("id").alias("doc_id"))
+    both = held.union(of_results.join(holds, "b").select(F.col("id").alias("result_id"), "doc_id"))
     return both.groupBy("result_id").agg(F.min("doc_id").alias("doc_id"))

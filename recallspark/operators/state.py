@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +32,13 @@ BUCKET = 3600
 _NO_TIME = -(2**62)
 
 
+def _met(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what is carried to their bucket; a null user is one too."""
+    own = carried.withColumnsRenamed({k: f"__own_{k}" for k in keys})
+    same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"__own_{k}")) for k in keys))
+    return rows.join(own, same).drop(*(f"__own_{k}" for k in keys))
+
+
 def progressed(events: DataFrame, before: DataFrame | None = None, lasts: tuple[str, ...] = ("mood", "topic"), bonus: Column | None = None, bucket: int = BUCKET) -> DataFrame:
     """Each event with its XP (``gained``), the user's running XP, level and number
     of messages, and the last value so far of each column of ``lasts``, by (ts,
@@ -66,7 +75,7 @@ def progressed(events: DataFrame, before: DataFrame | None = None, lasts: tuple[
         (F.coalesce(F.sum("c").over(along), F.lit(0)) + F.coalesce(was("__m0", "long"), F.lit(0))).alias("__m"),
         *(F.coalesce(F.last(f"__last_{x}", True).over(along), was(f"__was_{x}", "string")).alias(f"__then_{x}") for x in lasts),
     )
-    rows = rows.join(carried, user)
+    rows = _met(rows, carried, user)
     gained = F.when(F.col("__n") == 1, F.col("__first")).otherwise(F.col("gained"))
     rows = rows.withColumn("gained", gained)
     rows = rows.withColumns(
@@ -131,6 +140,45 @@ def recent_window(session: DataFrame, as_of: Column, hours: int = 48, n: int = 6
     return own.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n)
 
 
+def state_at(messages: DataFrame, states: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``messages`` (user_id, ts, ...) with ``state``, the last row of ``states``
+    (user_id, ts, event_id, ...) of their user at or before their time, as a
+    struct; null before the first, and for a null time.
+
+    An as-of join without a join of pairs: both are put together, and each
+    message takes the last state before it, within a bucket of the user's time
+    and from the buckets before, so a hot user is many tasks."""
+    last = F.struct(*(c for c in states.columns if c != "user_id"))
+    when = lambda df: F.coalesce(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket), F.lit(_NO_TIME))
+    old = states.where("ts is not null").select("user_id", "ts", when(states).alias("__b"), F.lit(0).alias("__kind"), "event_id", last.alias("__s"), F.lit(None).alias("__m"))
+    new = messages.select("user_id", "ts", when(messages).alias("__b"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("event_id"), F.lit(None).alias("__s"), F.struct("*").alias("__m"))
+    both, user = old.union(new), ["user_id", "__b"]
+    inside = Window.partitionBy(*user).orderBy("ts", "__kind", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy("user_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = old.groupBy(*user).agg(F.max_by("__s", F.struct("ts", "event_id")).alias("__end"))
+    # A bucket of messages alone takes what the ones before left, so it needs a row too.
+    every = ends.unionByName(new.select(*user).distinct(), allowMissingColumns=True).groupBy(*user).agg(F.first("__end", True).alias("__end"))
+    carried = every.select(*user, F.last("__end", True).over(along).alias("__before"))
+    rows = both.withColumn("__own", F.last("__s", True).over(inside)).where("__kind = 1")
+    rows = _met(rows, carried, user)
+    state = F.when(F.col("ts").isNotNull(), F.coalesce("__own", "__before"))
+    return rows.select("__m.*", state.alias("state"))
+
+
+def nightly_lines(memories: DataFrame, as_of: Column, skipped: tuple[str, ...], days: int = 7, least: int = 3, most: int = 50) -> DataFrame:
+    """(user_id, doc_id, place, line): what a night's analysis reads of each user,
+    newest first, from memories (user_id, doc_id, source, text, at) of the last
+    ``days``; ``at`` is a time as text. A time that can't be read counts as new
+    and is shown as [?], after the others. Users of fewer than ``least`` have none."""
+    ts = F.try_to_timestamp(F.replace("at", F.lit("Z"), F.lit(""))).cast("timestamp_ntz")
+    rows = memories.withColumn("__ts", ts).where(~F.col("source").isin(*skipped) & (F.col("__ts").isNull() | (F.col("__ts") >= as_of - F.make_dt_interval(days=F.lit(days)))))
+    order = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("__ts"), "doc_id")
+    enough = rows.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("user_id")
+    rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).join(enough, "user_id", "left_semi")
+    shown = F.coalesce(F.date_format("__ts", "yyyy-MM-dd HH:mm"), F.lit("?"))
+    return rows.select("user_id", "doc_id", "place", F.concat(F.lit("["), shown, F.lit("] ("), F.col("source"), F.lit(") "), F.left("text", F.lit(200))).alias("line"))
+
+
 def since_label(ts: Column, as_of: Column) -> Column:
     """How long ago a user was last seen, as a line of the state block."""
     hours = F.timestamp_diff("SECOND", ts, as_of) / 3600

@@ -371,7 +371,7 @@ ORACLES = {
         LEFT JOIN (SELECT qid AS tq, count(*) AS found, count(*) FILTER ((qid, doc_id) IN (SELECT qid, doc_id FROM ex)) AS hits, count(*) FILTER (doc_id = qid) AS kept, count(*) FILTER ((qid, doc_id) IN (SELECT qid, doc_id FROM xc)) AS bad FROM t GROUP BY qid) ON tq = q)
       SELECT round(p, 6) AS precision, round(mi, 6) AS include_rate, round(1 - v, 6) AS exclude_rate, round(5 * p + 3 * mi + 2 * (1 - v), 6) AS score FROM f""",
     "recommendations": "@",
-    "text_to_id": f"""{POOL}, t AS (SELECT qid || ':' || rank AS result_id, text FROM ranked WHERE rank <= 3), g AS (SELECT doc_id, text FROM documents WHERE doc_id % 20 = 0)
+    "text_to_id": f"""{POOL}, t AS (SELECT qid || ':' || rank AS result_id, text FROM ranked WHERE rank <= 3), g AS (SELECT doc_id, text FROM documents)
       SELECT result_id, min(g.doc_id) AS doc_id FROM t JOIN g ON (g.text <> '' AND contains(t.text, left(g.text, 50))) OR (t.text <> '' AND contains(g.text, left(t.text, 50))) GROUP BY result_id""",
     "state_update": f"WITH {EVENTS}, {MESSAGES} SELECT user_id, event_id, gained, xp, {LEVEL} AS level, messages, mood, mood_since, vibe, topic FROM sx",
     "final_state": f"""WITH {EVENTS}, {MESSAGES}, {CONCERNS}, z AS (SELECT * FROM sx QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
@@ -400,8 +400,12 @@ ORACLES = {
       SELECT user_id, event_id, gained, xp, {LEVEL} AS level, messages, mood, vibe, topic, array_to_string(c, ',') AS concerns, CAST(recent AS INTEGER) AS recent, greeting FROM sx JOIN f USING (user_id, event_id)""",
     "mood_last_value": f"WITH {EVENTS} SELECT user_id, event_id, lmood AS mood, ltopic AS topic FROM pr",
     "levels": f"WITH {EVENTS}, m AS (SELECT user_id, max(xp) AS xp FROM pr GROUP BY user_id) SELECT user_id, xp, {LEVEL} AS level FROM m",
-    "nightly_window": f"""WITH {MEM} SELECT user_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, doc_id) AS place, count(*) OVER (PARTITION BY user_id) AS n FROM mem
-      WHERE source NOT IN {inside((*EXCLUDED_SOURCES, 'night_insight', 'project_knowledge'))} AND ts >= {AS_OF} - INTERVAL 7 DAY) WHERE n >= 3 AND place <= 50""",
+    "nightly_window": f"""WITH {MEM}, t AS (SELECT *, CASE WHEN doc_id % 13 <> 0 THEN ts END AS told FROM mem), w AS (SELECT user_id, doc_id, told, source, text, row_number() OVER (PARTITION BY user_id ORDER BY told DESC NULLS LAST, doc_id) AS place, count(*) OVER (PARTITION BY user_id) AS n FROM t
+      WHERE source NOT IN {inside((*EXCLUDED_SOURCES, 'night_insight', 'project_knowledge'))} AND (told IS NULL OR told >= {AS_OF} - INTERVAL 7 DAY))
+      SELECT user_id, doc_id, place, md5('[' || coalesce(strftime(told, '%Y-%m-%d %H:%M'), '?') || '] (' || source || ') ' || left(text, 200)) AS line FROM w WHERE n >= 3 AND place <= 50""",
+    "state_at_message": f"""WITH {EVENTS}, {SES}, u AS (SELECT conv_id % 10 AS user_id, ts, conv_id, seq FROM ses), z AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
+      SELECT conv_id, seq, event_id, xp, lmood AS mood FROM u ASOF LEFT JOIN z ON u.user_id = z.user_id AND u.ts >= z.ts""",
+    "audit_incremental": f"WITH {MEM}, {COUNTS} SELECT total, short, noise, stale, milestones, sessions, enriched, true AS close FROM cnt",
     "insight_parse": """SELECT doc_id // 3 AS id, left(text, 40) AS text, (doc_id % 10) / 10.0::DOUBLE AS confidence, 6 - doc_id % 3 AS importance FROM documents WHERE doc_id % 10 >= 6 AND length(left(text, 40)) >= 10""",
     "llm_json_parse": """SELECT id, md5(CASE WHEN id % 4 = 3 OR trim(text) = '' THEN '…' ELSE trim(text) END) AS response, CASE WHEN id % 4 < 2 THEN 'a thought' ELSE '' END AS thought, '' AS hint, CASE WHEN id % 4 < 2 THEN role END AS mood, NULL::VARCHAR AS topic, id % 4 = 0 AS safe_haven
       FROM (SELECT conv_id * 1000 + turn AS id, role, text FROM conversations)""",
@@ -414,7 +418,7 @@ ORACLES = {
       FROM ranked WHERE rank <= 6 GROUP BY qid""",
     "since_label": f"""WITH {SES} SELECT user_id, CASE WHEN h > 48 THEN 'Ostatnia rozmowa: ' || CAST(floor(h / 24) AS BIGINT) || ' dni temu' WHEN h > 1 THEN 'Ostatnia rozmowa: ' || CAST(floor(h) AS BIGINT) || ' godzin temu' ELSE 'Ostatnia rozmowa: w tej sesji' END AS label
       FROM (SELECT user_id, date_diff('second', max(ts), {AS_OF}) / 3600.0 AS h FROM ses GROUP BY user_id)""",
-    "insight_window": f"WITH {MEM} SELECT user_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, doc_id) AS place FROM mem WHERE source = 'night_insight' AND ts >= {AS_OF} - INTERVAL 480 HOUR) WHERE place <= 3",
+    "insight_window": f"WITH {MEM} SELECT user_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, doc_id) AS place FROM mem WHERE source = 'night_insight' AND ts >= {AS_OF} - INTERVAL 16 HOUR) WHERE place <= 3",
     "soft_archive": f"WITH {MEM}, {LATEST} SELECT doc_id, doc_id IN (SELECT doc_id FROM lw) AS is_active, CASE WHEN doc_id NOT IN (SELECT doc_id FROM lw) THEN 'newer' END AS reason FROM mem",
     "insert_if_absent": f"WITH {MEM} SELECT mem_id, min(user_id) AS user_id FROM mem GROUP BY mem_id",
     "ascii_fold": """SELECT doc_id AS id, md5(regexp_replace(translate(lower(text), 'ąáàâäãåćçčęéèêëíìîïńñóòôöõśšúùûüýÿźżž', 'aaaaaaaccceeeeeiiiinnooooossuuuuyyzzz'), '[^\\x00-\\x7F]', '', 'g')) AS folded FROM documents""",

@@ -421,9 +421,9 @@ def recommendations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def text_to_id(spark: SparkSession, d: str) -> DataFrame:
-    """The first three results' texts back to documents of the query set."""
+    """The first three results' texts back to all documents."""
     found = _pool(spark, d, texts=True).where("rank <= 3").select(F.concat_ws(":", "qid", "rank").alias("result_id"), "text")
-    return search.resolved(found, views.table(spark, d, "documents").where("doc_id % 20 = 0").select("doc_id", "text"))
+    return search.resolved(scratch.written(found), views.table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _sweep(pool: DataFrame) -> DataFrame:
@@ -437,10 +437,8 @@ def mmr_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def calibration(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.table(spark, d, "embeddings")
-    a, b = rows.alias("a"), F.broadcast(rows.where("vec_id % 20 = 0").alias("b"))
-    pairs = a.join(b, F.expr("a.vec_id <> b.vec_id and (a.vec_id % 20 <> 0 or a.vec_id < b.vec_id)")).select((F.col("a.label") == F.col("b.label")).alias("similar"), F.round(1 - cosine(F.col("a.embedding"), F.col("b.embedding")), 4).alias("distance"))
-    return evaluate.calibration(pairs)
+    rows = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "label", "embedding")
+    return evaluate.calibration(rows, F.col("qid") % 20 == 0)
 
 
 @query
@@ -528,11 +526,29 @@ def concern_fifo(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def nightly_window(spark: SparkSession, d: str) -> DataFrame:
-    skipped = (*EXCLUDED_SOURCES, "night_insight", "project_knowledge")
-    rows = views.memories(spark, d, False).where(~F.col("source").isin(*skipped) & (F.col("ts") >= views.as_of() - F.make_dt_interval(days=F.lit(7))))
-    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), "doc_id")
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
-    return rows.where("n >= 3 and place <= 50").select("user_id", "doc_id", "place")
+    """What the nightly analysis reads; a thirteenth of the times can't be read."""
+    rows = views.memories(spark, d, False)
+    at = F.when(F.col("doc_id") % 13 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    lines = state.nightly_lines(rows.withColumn("at", at), views.as_of(), (*EXCLUDED_SOURCES, "night_insight", "project_knowledge"))
+    return lines.withColumn("line", F.md5("line"))
+
+
+@query
+def state_at_message(spark: SparkSession, d: str) -> DataFrame:
+    """The state that each session message met: that of its user's last event."""
+    said = views.session(spark, d).select((F.col("conv_id") % 10).alias("user_id"), "ts", "conv_id", "seq")
+    states = state.progressed(views.state_events(spark, d)).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "xp", "mood")
+    return state.state_at(said, states).select("conv_id", "seq", "state.event_id", "state.xp", "state.mood")
+
+
+@query
+def audit_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The audit from stored daily aggregates and those of new memories alone."""
+    rows = views.memories(spark, d, False)
+    stored = scratch.written(audit.daily(rows.where("doc_id % 4 <> 0")))
+    out = audit.counts_of_days(audit.brought_up(stored, audit.daily(rows.where("doc_id % 4 = 0"))), views.as_of())
+    exact = rows.agg(F.count_distinct(F.coalesce("text", F.lit(""))).alias("texts"))
+    return out.join(F.broadcast(exact)).withColumn("close", F.abs(F.col("distinct_texts") / F.col("texts") - 1) < 0.05).drop("distinct_texts", "texts")
 
 
 @query
@@ -603,7 +619,7 @@ def since_label(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def insight_window(spark: SparkSession, d: str) -> DataFrame:
-    return state.insight_window(views.memories(spark, d, False), views.as_of(), 480).select("user_id", "doc_id", "place")
+    return state.insight_window(views.memories(spark, d, False), views.as_of()).select("user_id", "doc_id", "place")
 
 
 @query

@@ -1,6 +1,7 @@
 """Properties and small cases of the memory engine."""
 
 import json
+import random
 import re
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recallspark.config import RankConfig
 from recallspark.functions import text as T
-from recallspark.operators import enrich, evaluate, grounding, persons, search, state
+from recallspark.operators import audit, enrich, evaluate, grounding, persons, search, state
 from recallspark.plans import fixtures as X
 from recallspark.plans.queries import REGISTRY
 from recallspark.sources import store, views
@@ -226,6 +227,56 @@ def test_no_text_is_shuffled_to_be_scored(spark):
     assert "SortMergeJoin" not in physical and physical.count("BroadcastHashJoin") >= 2
 
 
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_texts_to_ids_by_plain_search(spark, monkeypatch, few):
+    """Every place of every beginning, also of short and repeated ones."""
+    monkeypatch.setattr(search, "_FEW", few)
+    rng = random.Random(few)
+    word = lambda: "".join(rng.choice("abż😀 ") for _ in range(rng.choice([1, 3, 7, 20, 33, 49, 50, 51, 90])))
+    docs = [(i, word()) for i in range(60)] + [(60, None), (61, ""), (62, "a" * 300)]
+    docs += [(70 + i, word() + docs[rng.randrange(60)][1] + word()) for i in range(40)]
+    results = [(f"r{i}", word() + docs[rng.randrange(60)][1][:60] + word()) for i in range(30)] + [("r98", "a" * 120), ("r99", None), ("r100", "zzz")]
+    got = {r.result_id: r.doc_id for r in search.resolved(spark.createDataFrame(results, "result_id string, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {}
+    for r, t in results:
+        hits = [i for i, x in docs if t and x and (x[:50] in t or t[:50] in x)]
+        if hits:
+            want[r] = min(hits)
+    assert got == want and len(want) > 20
+
+
+def test_calibration_in_blocks(spark, monkeypatch):
+    rows = views.table(spark, DATA, "embeddings").select(F.col("vec_id").alias("qid"), "label", "embedding")
+    rows = rows.union(spark.createDataFrame([(900, 1, None), (920, 1, [None, 1.0])], rows.schema))
+    want = evaluate.calibration(rows, F.col("qid") % 20 == 0).first()
+    monkeypatch.setattr(search, "MAX_QUERIES", 4)
+    assert evaluate.calibration(rows, F.col("qid") % 20 == 0).first() == want
+    assert evaluate.calibration(rows, F.lit(False)).first().mean_similar is None
+
+
+def test_aggregates_by_day_merge(spark):
+    rows = views.memories(spark, DATA, False).withColumn("text", F.when(F.col("doc_id") % 9 == 0, None).otherwise(F.col("text")))
+    whole = audit.counts_of_days(audit.daily(rows), views.as_of()).first()
+    parts = [audit.daily(rows.where(F.col("doc_id") % 3 == i)) for i in range(3)]
+    assert audit.counts_of_days(audit.brought_up(audit.brought_up(parts[0], parts[1]), parts[2]), views.as_of()).first() == whole
+    assert audit.counts_of_days(audit.daily(rows.where("false")), views.as_of()).first().total == 0
+
+
+def test_state_at_messages(spark):
+    states = spark.createDataFrame([(1, "2024-01-01 10:00:00", 5, 50), (1, "2024-01-01 10:00:00", 4, 40), (1, "2024-01-03 00:00:00", 6, 60), (2, "2024-01-02 00:00:00", 7, 70)], "user_id int, ts string, event_id long, xp int")
+    said = spark.createDataFrame([(1, 1, "2024-01-01 09:59:59"), (2, 1, "2024-01-01 10:00:00"), (3, 1, "2024-01-02 23:00:00"), (4, 1, "2024-02-01 00:00:00"), (5, 2, "2024-01-01 00:00:00"), (6, 3, "2024-01-01 00:00:00"), (7, 1, None), (8, None, "2024-01-05 00:00:00")], "id int, user_id int, ts string")
+    timed = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for bucket in (60, 3600, 10**9):
+        got = {r.id: r.state and r.state.xp for r in state.state_at(timed(said), timed(states), bucket).collect()}
+        assert got == {1: None, 2: 50, 3: 50, 4: 60, 5: None, 6: None, 7: None, 8: None}
+
+
+def test_night_lines_keep_unreadable_times(spark):
+    rows = [(1, i, "chat", f"text {i}", at) for i, at in enumerate(["2024-01-30T10:00:00Z", "2024-01-29T10:00:00.5", "soon", None, "2023-12-01T00:00:00"])] + [(2, 9, "chat", "alone", "soon"), (1, 10, "md_import", "skipped", "soon")]
+    got = state.nightly_lines(spark.createDataFrame(rows, "user_id int, doc_id long, source string, text string, at string"), views.as_of(), ("md_import",)).orderBy("place").collect()
+    assert [(r.doc_id, r.line) for r in got] == [(0, "[2024-01-30 10:00] (chat) text 0"), (1, "[2024-01-29 10:00] (chat) text 1"), (2, "[?] (chat) text 2"), (3, "[?] (chat) text 3")]
+
+
 def test_scan_reads_few_columns(spark):
     plan = REGISTRY["source_distribution"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<source:string>" in plan

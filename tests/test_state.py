@@ -159,5 +159,5 @@ def test_stateful_stream_from_a_batch_table(spark, tmp_path):
 def test_null_times_and_empty_tables(spark):
     rows = [(1, 1, None, 5.0, 0, *[None] * 8), (1, 2, dt.datetime(2024, 1, 1), 5.0, 0, *[None] * 8), (1, 3, dt.datetime(2024, 1, 2), 30.0, 3, *[None] * 8), (None, 4, None, 1.0, 0, *[None] * 8)]
     got = {r.event_id: (r.gained, r.xp) for r in state.updated(frame(spark, rows)).collect()}
-    assert got[1] == (1, 1) and got[2] == (1, 2) and got[3] == (3, 5)
+    assert got[1] == (1, 1) and got[2] == (1, 2) and got[3] == (3, 5) and got[4] == (0, 0)
     assert state.final_states(frame(spark, [])).count() == 0
