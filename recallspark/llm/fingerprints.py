@@ -9,9 +9,11 @@ of them, stand for a common passage; likeness is the share of all anchors that
 lie in such passages.
 
 Documents and the next ones in descending doc_id meet by a range partitioning on
-doc_id, the text's hash and the row: texts move once, and neither an id nor a
-repeated row is kept together. What crosses a border is one row a partition,
-which also goes to the partition before it.
+doc_id and the text's hash: texts move once, and documents of one id are not kept
+together. What crosses a border is one row a partition, which also goes to the
+partition before it. Repeated rows, of one id and text, are interchangeable and
+stay in one partition, where they stream past: nothing hangs on the order in which
+a table is read, which may change when a lost task runs again.
 """
 
 from __future__ import annotations
@@ -117,34 +119,34 @@ def edited(text: str, following: str) -> str:
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
-    """Rows of (pid, guest, r, key, row, doc_id, text), dealt by ranges of
-    descending doc_id and sorted; a partition's last row is its guest, the next
-    one's first."""
+    """Rows of (pid, guest, r, key, doc_id, text), dealt by ranges of descending
+    doc_id and sorted; a partition's last row is its guest, the next one's first."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rank = F.bitwise_not(F.coalesce("doc_id", F.lit(_LEAST)))
-    rows = rows.withColumns({"r": rank, "key": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    places = ["r", "key", "row"]
-    drawn = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.lit(min(1 << 30, int(SAMPLE * parts / max(rows.count(), 1) * 2**30)))
-    sample = sorted(map(tuple, rows.where(drawn).select(*places).collect())) if parts > 1 else []
+    rows = rows.withColumns({"r": rank, "key": F.xxhash64("text")})
+    places = ["r", "key"]
+    drawn = F.pmod(F.xxhash64(*places), F.lit(1 << 30)) < F.lit(min(1 << 30, int(SAMPLE * parts / max(rows.count(), 1) * 2**30)))
+    sample = sorted(map(tuple, rows.where(drawn).select(*places).distinct().collect())) if parts > 1 else []
     borders = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
 
     @F.pandas_udf("int")
-    def part(r: pd.Series, key: pd.Series, row: pd.Series) -> pd.Series:
+    def part(r: pd.Series, key: pd.Series) -> pd.Series:
         first = np.array([x[0] for x in borders], np.int64)
         at, after = (np.searchsorted(first, r.to_numpy(np.int64), side) for side in ("left", "right"))
         for i in np.flatnonzero(at < after):  # rows whose id is a border's
-            at[i] = bisect_left(borders, (r[i], key[i], row[i]))
+            at[i] = bisect_left(borders, (r[i], key[i]))
         return pd.Series(at.astype(np.int32))
 
     pid = part(*places)
     firsts = rows.select(*places, pid.alias("pid")).groupBy("pid").agg(F.min(F.struct(*places)).alias("f")).collect()
     found = sorted((x["pid"], *x["f"]) for x in firsts)
     guests = [(*own, found[i - 1][0]) for i, (_, *own) in enumerate(found)]  # the first goes to the last partition
-    sent = F.broadcast(spark.createDataFrame(guests, "r long, key long, row long, pid int"))
+    sent = F.broadcast(spark.createDataFrame(guests, "r long, key long, pid int"))
     own = rows.withColumn("pid", pid).withColumn("guest", F.lit(0))
-    more = rows.join(sent, places).withColumn("guest", F.lit(1))
+    # Of repeated rows that are a guest any one will do.
+    more = rows.join(sent, places).groupBy("pid", *places, "doc_id").agg(F.first("text").alias("text")).withColumn("guest", F.lit(1))
     names = ["pid", "guest", *places, "doc_id", "text"]
     dealt = own.select(*names).union(more.select(*names)).repartitionById(parts, F.col("pid"))
     return dealt.sortWithinPartitions("pid", "guest", *places)
@@ -155,9 +157,8 @@ def compared(docs: DataFrame) -> DataFrame:
     near_edited, near_next) for each row.
 
     A null text is an empty one. Documents follow each other by descending
-    doc_id, null ids last, rows of one id by a hash of the text and then as they
-    are read; after the last comes the first, so a single document follows itself. An empty table gives
-    an empty result; columns other than doc_id and text are not read.
+    doc_id, null ids last, rows of one id by a hash of the text; after the last comes the first, so a
+    single document follows itself. An empty table gives an empty result; columns other than doc_id and text are not read.
     """
 
     def one(doc_id: int, text: str, own: Anchors, following: str, its: Anchors) -> tuple:
@@ -169,19 +170,17 @@ def compared(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, done = None, False
-        for batch in arrow_slices(batches, 6):
+        held = None
+        for batch in arrow_slices(batches, 5):
             out = []
-            for row in zip(*(batch.column(i) for i in (0, 1, 5, 6)), strict=True):
+            for row in zip(*(batch.column(i) for i in (0, 1, 4, 5)), strict=True):
                 pid, guest, doc_id, text = (x.as_py() for x in row)
                 if held is not None and held[0] != pid:
-                    held, done = None, False
-                if done:
-                    continue  # a copy of the guest
+                    held = None
                 own = closed_syncmers(text)
                 if held is not None:
                     out.append(one(held[1], held[2], held[3], text, own))
-                held, done = (pid, doc_id, text, own), bool(guest)
+                held = (pid, doc_id, text, own)
             columns = zip(*out, strict=True) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 

@@ -310,3 +310,42 @@ def test_hmm_gains_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", held_out(7, 2))
     gain = hmm.scored(docs).where("held_out").agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()[0]
     assert gain > 0.1
+
+
+def brute_likeness(a, b):
+    """Share of anchors in common passages by plain loops; an anchor is the text it stands for."""
+    def anchors(text):
+        at = brute_anchors(text, fingerprints.K, fingerprints.S)
+        found = [(i, text[i : i + fingerprints.K]) for i in at] or ([(0, text)] if text else [])
+        seen = Counter()
+        out = {}
+        for i, x in found:
+            out[x, seen[x]] = i
+            seen[x] += 1
+        return out
+
+    x, y = anchors(a), anchors(b)
+    if not x or not y:
+        return float(len(x) == len(y))
+    shifts = Counter(x[k] - y[k] for k in x.keys() & y.keys())
+    return 2 * sum(n for n in shifts.values() if n >= min(2, len(x), len(y))) / (len(x) + len(y))
+
+
+def test_fingerprints_of_a_table_by_plain_loops(spark, rows):
+    """Likeness, edits and fingerprints, whatever the order in which rows are read."""
+    texts = {i: t or "" for i, t, *_ in rows if i is not None and len(t or "") < 6000}
+    texts |= {100 + i: texts[1][i * 7 :] + texts[9] * (i % 3) for i in range(12)}
+    order = sorted(texts, reverse=True)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    twice = df.union(df.where("doc_id in (1, 12)")).repartition(5).orderBy(F.rand())
+    for own, repeats in ((df, 0), (df.repartition(7), 0), (twice, 2)):
+        got = fingerprints.compared(own).collect()
+        assert len(got) == len(texts) + repeats
+        for r in got:
+            if repeats and r.doc_id in (1, 12) and r.near_next == 1.0:
+                continue  # followed by its copy
+            follows = texts[order[(order.index(r.doc_id) + 1) % len(order)]]
+            new = fingerprints.edited(texts[r.doc_id], follows)
+            assert r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+            assert math.isclose(r.near_edited, brute_likeness(texts[r.doc_id], new)) and math.isclose(r.near_next, brute_likeness(texts[r.doc_id], follows))
+            assert r.fingerprint == fingerprints.shown(fingerprints.closed_syncmers(texts[r.doc_id])) and r.edited_fingerprint == fingerprints.shown(fingerprints.closed_syncmers(new))
