@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +50,13 @@ def contains_any(lowered: Column, phrases: tuple[str, ...]) -> Column:
     return out
 
 
+def phrases_in(text: Column, phrases: Sequence[str]) -> Column:
+    """Those of the lower-case phrases that the text holds, whatever its case, as an
+    array. The text is lower-cased once, not once a phrase."""
+    listed = F.array(*map(F.lit, phrases)).cast("array<string>")
+    return F.transform(F.array(F.lower(text)), lambda t: F.filter(listed, lambda p: F.contains(t, p)))[0]
+
+
 def estimated_tokens(text: Column) -> Column:
     return F.when(F.length(text) == 0, 0).otherwise(F.floor(F.length(text) / 4) + 1).cast("int")
 
@@ -65,24 +76,40 @@ def relative_age(ts: Column, as_of: Column) -> Column:
     )
 
 
-def _hits(text: Column, kind: str) -> Column:
-    lowered = F.lower(text)
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once, however often it is read."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _hits(lowered: Column, kind: str) -> Column:
     return sum((lowered.rlike(p).cast("int") for p in CONTENT_TYPES[kind][2]), F.lit(0))
 
 
 def content_type(text: Column) -> Column:
-    out = None
-    for kind in CONTENT_TYPES:
-        out = F.when(_hits(text, kind) > 0, kind) if out is None else out.when(_hits(text, kind) > 0, kind)
-    return out.otherwise("GENERAL")
+    """The first type of which the text has a pattern."""
+
+    def first(t: Column) -> Column:
+        out = F.lit("GENERAL")
+        for kind, (_, _, patterns) in reversed(CONTENT_TYPES.items()):
+            out = F.when(functools.reduce(operator.or_, (t.rlike(p) for p in patterns)), kind).otherwise(out)
+        return out
+
+    return once(F.lower(text), first)
 
 
 def content_density(text: Column) -> Column:
-    out = None
-    for kind, (_, least, _) in CONTENT_TYPES.items():
-        value = F.least(F.lit(1.0), F.lit(least) + _hits(text, kind) * F.lit(0.1))
-        out = F.when(_hits(text, kind) > 0, value) if out is None else out.when(_hits(text, kind) > 0, value)
-    return F.round(out.otherwise(0.3), 6)
+    """How dense the text's first type is in it, from its number of patterns."""
+
+    def or_else(n: Column, least: float, other: Column) -> Column:
+        return once(n, lambda n: F.when(n > 0, F.least(F.lit(1.0), F.lit(least) + n * F.lit(0.1))).otherwise(other))
+
+    def dense(t: Column) -> Column:
+        out = F.lit(0.3)
+        for kind, (_, least, _) in reversed(CONTENT_TYPES.items()):
+            out = or_else(_hits(t, kind), least, out)
+        return out
+
+    return F.round(once(F.lower(text), dense), 6)
 
 
 def type_priority(kind: Column) -> Column:
@@ -108,20 +135,26 @@ def trimmed(text: Column, target: Column) -> Column:
         lambda a, s: F.when(a["go"] & fits(a, s), F.struct(F.concat(a["t"], F.lit(" "), s, F.lit(".")).alias("t"), F.lit(True).alias("go"))).otherwise(F.struct(a["t"].alias("t"), F.lit(False).alias("go"))),
         lambda a: a["t"],
     )
-    kind = content_type(text)
-    return (
-        F.when(F.length(text) <= target, text)
-        .when(kind == "CODE", F.concat(F.lit("[CODE TRUNCATED - "), estimated_tokens(text).cast("string"), F.lit(" tokens]")))
-        .when(kind == "INSTRUCTION", core)
-        .when(kind == "FACT", F.when(F.length(plain) <= target, F.trim(plain)).otherwise(dots(plain)))
-        .when(kind == "EMOTIONAL", F.when(F.length(calm) <= target, calm).otherwise(dots(calm)))
-        .otherwise(dots(text))
-    )
+    short = lambda x: once(x, lambda t: F.when(F.length(t) <= target, F.trim(t)).otherwise(dots(t)))
+
+    def by_kind(kind: Column) -> Column:
+        return (
+            F.when(kind == "CODE", F.concat(F.lit("[CODE TRUNCATED - "), estimated_tokens(text).cast("string"), F.lit(" tokens]")))
+            .when(kind == "INSTRUCTION", core)
+            .when(kind == "FACT", short(plain))
+            .when(kind == "EMOTIONAL", short(calm))
+            .otherwise(dots(text))
+        )
+
+    return F.when(F.length(text) <= target, text).otherwise(once(content_type(text), by_kind))
 
 
 def date_value(text: Column, today: Column) -> Column:
     """The date that a phrase names, by ordered rules; the first that holds counts."""
-    t = F.lower(text)
+    return once(F.lower(text), lambda t: _date_in(t, today))
+
+
+def _date_in(t: Column, today: Column) -> Column:
     number = F.try_to_number(F.regexp_extract(t, r"za (\d+)\s*(dni|dnia|dniu|tygodnie|tygodni|tyg|miesięcy|miesiąca|miesiące)", 1), F.lit("999999")).cast("int")
     unit = F.regexp_extract(t, r"za (\d+)\s*(dni|dnia|dniu|tygodnie|tygodni|tyg|miesięcy|miesiąca|miesiące)", 2)
     out = [

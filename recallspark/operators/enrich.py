@@ -23,7 +23,7 @@ from ..config import (
     TEMPORAL,
     TYPE_THRESHOLDS,
 )
-from ..functions.text import contains_any, word_count
+from ..functions.text import phrases_in, word_count
 
 
 def centroids(prototypes: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,9 +65,11 @@ def classified(messages: DataFrame, classes: DataFrame, least: float = 0.5) -> D
     """(doc_id, entity_type, entity_subtype, confidence) of all classes that reach
     their threshold. What the text decides is decided once a message."""
     own = classes.orderBy("entity_type", "entity_subtype").collect()
-    lowered = F.lower("text")
-    words = [F.when(contains_any(lowered, found), F.lit(subtype)) for subtype, found in MILESTONE_KEYWORDS.items()]
-    said = messages.where(F.length("text") >= 5).select("doc_id", contains_any(lowered, CORRECTION_PHRASES).alias("vetoed"), F.array_compact(F.array(*words)).alias("said"), "embedding")
+    every = sorted({w for found in MILESTONE_KEYWORDS.values() for w in found} | set(CORRECTION_PHRASES))
+    held = messages.where(F.length("text") >= 5).withColumn("held", phrases_in(F.col("text"), every))
+    some = lambda found: F.arrays_overlap("held", F.array(*map(F.lit, found)))
+    words = [F.when(some(found), F.lit(subtype)) for subtype, found in MILESTONE_KEYWORDS.items()]
+    said = held.select("doc_id", some(CORRECTION_PHRASES).alias("vetoed"), F.array_compact(F.array(*words)).alias("said"), "embedding")
     lowest = min(least, MILESTONE_KEYWORD_THRESHOLD, *TYPE_THRESHOLDS.values())
     found = cosines(said, [r["centroid"] for r in own], lowest - 0.001)
     names = F.array(*(F.struct(F.lit(r["entity_type"]).alias("t"), F.lit(r["entity_subtype"]).alias("s")) for r in own))[F.col("pos")]
@@ -108,16 +110,16 @@ def looked_up(rules: dict, default: str | int) -> Column:
 
 
 def keyword_boost(text: Column) -> Column:
-    lowered = F.lower(text)
-    total = sum((F.when(F.contains(lowered, F.lit(w)), v).otherwise(0) for w, v in IMPORTANCE_BOOSTERS.items()), F.lit(0))
-    return F.least(F.lit(3), total)
+    """The sum of the weights of the words that the text holds, 3 at most."""
+    weights = F.create_map(*(F.lit(x) for kv in IMPORTANCE_BOOSTERS.items() for x in kv))
+    return F.least(F.lit(3), F.aggregate(phrases_in(text, tuple(IMPORTANCE_BOOSTERS)), F.lit(0), lambda a, w: a + F.element_at(weights, w)))
 
 
 def tags(text: Column) -> Column:
     """Sorted distinct tags."""
-    lowered = F.lower(text)
-    more = [F.when(contains_any(lowered, found), F.lit(tag)) for tag, found in TAG_WORDS.items()]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(F.lower("entity_type"), F.col("entity_subtype"), *more))))
+    tag_of = F.create_map(*(F.lit(x) for tag, found in TAG_WORDS.items() for w in found for x in (w, tag)))
+    more = F.transform(phrases_in(text, [w for found in TAG_WORDS.values() for w in found]), lambda w: F.element_at(tag_of, w))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(F.lower("entity_type"), F.col("entity_subtype")), more))))
 
 
 def enriched(entities: DataFrame) -> DataFrame:
