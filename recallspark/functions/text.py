@@ -219,3 +219,11 @@ def memory_line(ts: Column, as_of: Column) -> Column:
     """One line of a prompt's memories, from source, entity_type, importance, text and final_score."""
     head = F.concat(F.lit("- ["), F.col("source"), F.lit(", type:"), F.coalesce("entity_type", F.lit("")), F.lit(", importance:"), F.col("importance").cast("string"), F.lit("] "))
     return F.concat(head, relative_age(ts, as_of), F.col("text"), F.lit(" (relevance: "), F.format_string("%.2f", F.round("final_score", 2)), F.lit(")"))
+
+
+def hours_label(ts: Column, as_of: Column) -> Column:
+    """How long ago a message of the last days was said, by hours and then days;
+    empty if ``ts`` is null."""
+    s = F.timestamp_diff("SECOND", ts, as_of)
+    ago = lambda n, unit: F.concat(F.lit("["), F.floor(n).cast("string"), F.lit(f"{unit} temu] "))
+    return F.when(ts.isNull(), "").when(s < 3600, "[przed chwilą] ").when(s < 86400, ago(s / 3600, "h")).otherwise(ago(s / 86400, "d"))

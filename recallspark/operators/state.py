@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LEVELS
+from ..functions.text import hours_label
 
 
 def gained_xp(gap_hours: Column) -> Column:
@@ -186,6 +187,28 @@ def since_label(ts: Column, as_of: Column) -> Column:
     return F.when(ts.isNull(), "").when(hours > 48, line(hours / 24, "dni")).when(hours > 1, line(hours, "godzin")).otherwise("Ostatnia rozmowa: w tej sesji")
 
 
+def state_block(states: DataFrame, as_of: Column) -> DataFrame:
+    """(user_id, block): each state (in the columns of ``STATE``) as the lines that a
+    prompt shows: level, XP, mood, topic, messages, when the user was last seen,
+    and concerns, one a line."""
+    none = F.lit("(brak)")
+    since = since_label(F.col("last_ts"), as_of)
+    concerns = F.when(F.size("concerns") > 0, F.array_join(F.transform("concerns", lambda c: F.concat(F.lit("  - "), c)), "\n")).otherwise(F.concat(F.lit("  "), none))
+    lines = [
+        F.concat(F.lit("Level: "), F.col("level").cast("string")), F.concat(F.lit("XP: "), F.col("xp").cast("string")), F.concat(F.lit("Mood: "), F.coalesce("mood", none)),
+        F.concat(F.lit("Temat: "), F.coalesce("topic", none)), F.concat(F.lit("Wiadomości: "), F.col("messages").cast("string")), F.when(since != "", since), F.lit("Aktywne sprawy:"), concerns,
+    ]
+    return states.select("user_id", F.concat_ws("\n", F.lit("[STAN]"), *lines, F.lit("[/STAN]")).alias("block"))
+
+
+def recent_block(window: DataFrame, as_of: Column) -> DataFrame:
+    """(user_id, block): the messages of :func:`recent_window`, oldest first, a line
+    each with how long ago they were said; a few a user, as the window has."""
+    line = F.concat(F.lit("• "), hours_label(F.col("ts"), as_of), F.left("content", F.lit(200)))
+    rows = window.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("place")).alias("o"), line.alias("line")))).alias("l"))
+    return rows.select("user_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("block"))
+
+
 def insight_window(memories: DataFrame, as_of: Column, hours: int = 16, n: int = 3) -> DataFrame:
     """A user's newest ``n`` night insights of the last ``hours``; without a time none."""
     own = memories.where((F.col("source") == "night_insight") & (F.col("ts") >= as_of - F.make_dt_interval(hours=F.lit(hours))))

@@ -345,8 +345,12 @@ ORACLES = {
     "phrase_cleanup": f"WITH {SES} SELECT conv_id, seq, role FROM ses WHERE NOT (contains(lower(content), 'the th') OR contains(lower(content), 'tion'))",
     "copy_sessions": f"WITH {SES}, i AS (SELECT *, substr(sha256('s0:' || conv_id || ':' || role || ':' || content), 1, 32) AS mem_id FROM ses) SELECT DISTINCT mem_id FROM i WHERE mem_id NOT IN (SELECT mem_id FROM i WHERE conv_id % 3 = 0)",
     "conversation_pipeline": f"""{TURNS} SELECT doc_id, entity_type, entity_subtype, confidence, least(10, {rules(IMPORTANCE, 5)} + {BOOST}) AS importance, {rules(IMPACT, 'informational')} AS impact, md5({synthesized()}) AS digest FROM kept WHERE {SAID} >= 5""",
-    "reingest": f"""{TURNS} SELECT doc_id, entity_subtype, {case([(f"entity_type = {q(k)}", q(v)) for k, v in REINGEST_SOURCES.items()], "'enriched'")} AS new_source, entity_type IN ('MILESTONE', 'SHARED_THING') AS milestone, ts, md5({synthesized()}) AS digest
-      FROM kept WHERE length(text) >= 30 AND {SAID} >= 5""",
+    "reingest": f"""{TURNS}, rw AS (SELECT 'u' || ((doc_id // 1000) % 10) AS user_id, {synthesized()} AS memory, {case([(f"entity_type = {q(k)}", q(v)) for k, v in REINGEST_SOURCES.items()], "'enriched'")} AS source, entity_type IN ('MILESTONE', 'SHARED_THING') AS milestone,
+      least(10, {rules(IMPORTANCE, 5)} + {BOOST}) AS importance, entity_type, entity_subtype, ts, doc_id FROM kept WHERE length(text) >= 30 AND {SAID} >= 5),
+      ids AS (SELECT *, substr(sha256('s0:' || user_id || ':' || trim(memory)), 1, 32) AS mem_id FROM rw WHERE length(trim(memory)) >= 10)
+      SELECT mem_id, source, milestone, CASE WHEN milestone THEN 10 ELSE importance END AS importance, entity_subtype, ts FROM ids QUALIFY row_number() OVER (PARTITION BY mem_id ORDER BY doc_id DESC, entity_type DESC) = 1""",
+    "session_upsert": f"""WITH {SES}, c AS (SELECT conv_id, role, trim(content) AS content, length(content) AS n, seq FROM ses WHERE trim(content) <> ''),
+      k AS (SELECT *, substr(sha256('s0:' || conv_id || ':' || role || ':' || content), 1, 32) AS mem_id FROM c) SELECT mem_id, conv_id, role, 3 AS importance, least(n, 500) AS thought_chars, least(n, 200) AS hint_chars FROM k QUALIFY row_number() OVER (PARTITION BY mem_id ORDER BY seq DESC) = 1""",
     "session_last_n": f"WITH {SES}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ts DESC, seq DESC) AS o FROM ses) WHERE o <= 10) SELECT conv_id, role, seq, row_number() OVER (PARTITION BY conv_id ORDER BY ts, seq) AS place FROM k",
     "raw_window_48h": f"WITH {SES} SELECT user_id, conv_id, seq, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC, conv_id DESC) AS place FROM ses WHERE role = 'user' AND ts >= {AS_OF} - INTERVAL 48 HOUR) WHERE place <= 6",
     "relative_age": f"SELECT event_id, {AGE.replace('{s}', 's')} AS label FROM (SELECT event_id, CAST(floor(epoch(TIMESTAMP '2024-02-01' - ts)) AS BIGINT) AS s FROM events)",
@@ -416,6 +420,12 @@ ORACLES = {
     "readiness": "@",
     "memory_block": f"""{POOL} SELECT qid, md5(string_agg('- [' || source || ', type:' || coalesce(entity_type, '') || ', importance:' || importance || '] ' || {AGE.replace('{s}', f"date_diff('second', ts, {AS_OF})")} || text || ' (relevance: ' || printf('%.2f', round(final_score, 2)) || ')', chr(10) ORDER BY rank)) AS digest
       FROM ranked WHERE rank <= 6 GROUP BY qid""",
+    "state_block": f"""WITH {EVENTS}, {MESSAGES}, {CONCERNS}, z AS (SELECT * FROM sx QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1), h AS (SELECT *, date_diff('second', date_trunc('second', ts), {AS_OF}) / 3600.0 AS h, coalesce(concerns, []) AS c FROM z LEFT JOIN cf USING (user_id))
+      SELECT user_id, md5('[STAN]' || chr(10) || 'Level: ' || ({LEVEL}) || chr(10) || 'XP: ' || xp || chr(10) || 'Mood: ' || coalesce(mood, '(brak)') || chr(10) || 'Temat: ' || coalesce(topic, '(brak)') || chr(10) || 'Wiadomości: ' || messages || chr(10) ||
+        CASE WHEN h > 48 THEN 'Ostatnia rozmowa: ' || CAST(floor(h / 24) AS BIGINT) || ' dni temu' WHEN h > 1 THEN 'Ostatnia rozmowa: ' || CAST(floor(h) AS BIGINT) || ' godzin temu' ELSE 'Ostatnia rozmowa: w tej sesji' END || chr(10) ||
+        'Aktywne sprawy:' || chr(10) || CASE WHEN len(c) = 0 THEN '  (brak)' ELSE array_to_string(list_transform(c, lambda x: '  - ' || x), chr(10)) END || chr(10) || '[/STAN]') AS block FROM h""",
+    "raw_block": f"""WITH {SES}, w AS (SELECT user_id, content, date_diff('second', ts, {AS_OF}) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC, conv_id DESC) AS place FROM ses WHERE role = 'user' AND ts >= {AS_OF} - INTERVAL 48 HOUR)
+      SELECT user_id, md5(string_agg('• ' || CASE WHEN s < 3600 THEN '[przed chwilą] ' WHEN s < 86400 THEN '[' || (s // 3600) || 'h temu] ' ELSE '[' || (s // 86400) || 'd temu] ' END || left(content, 200), chr(10) ORDER BY place DESC)) AS block FROM w WHERE place <= 6 GROUP BY user_id""",
     "since_label": f"""WITH {SES} SELECT user_id, CASE WHEN h > 48 THEN 'Ostatnia rozmowa: ' || CAST(floor(h / 24) AS BIGINT) || ' dni temu' WHEN h > 1 THEN 'Ostatnia rozmowa: ' || CAST(floor(h) AS BIGINT) || ' godzin temu' ELSE 'Ostatnia rozmowa: w tej sesji' END AS label
       FROM (SELECT user_id, date_diff('second', max(ts), {AS_OF}) / 3600.0 AS h FROM ses GROUP BY user_id)""",
     "insight_window": f"WITH {MEM} SELECT user_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, doc_id) AS place FROM mem WHERE source = 'night_insight' AND ts >= {AS_OF} - INTERVAL 16 HOUR) WHERE place <= 3",

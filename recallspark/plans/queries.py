@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..functions.vectors import cosine
 from ..operators import audit, consolidate, enrich, evaluate, grounding, persons, search, state
 from ..sources import index, scratch, store, views
+from ..sources.table import Table
 from ..streaming import machine
 from ..streaming import state as streams
 from . import fixtures as X
@@ -279,6 +280,18 @@ def copy_sessions(spark: SparkSession, d: str) -> DataFrame:
     return store.copy_missing(rows, rows.where("conv_id % 3 = 0"), "mem_id").select("mem_id")
 
 
+@query
+def session_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations put into a bucketed table in two writes, some of them twice."""
+    echoed = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("[MEMORY]an echo[/MEMORY] "), "content")).otherwise(F.col("content"))
+    rows = views.session(spark, d).select("conv_id", "role", echoed.alias("content"), "ts", F.col("seq").cast("long").alias("write_seq"), F.col("content").alias("thought"), F.col("content").alias("hint"))
+    rows = scratch.written(store.prepared_messages(rows))
+    table = Table.open(spark, scratch.folder(spark, "sessions"), "mem_id", 8, rows.schema)
+    table.upsert(rows.where("conv_id % 2 = 0"), "write_seq")
+    table.upsert(rows.where("conv_id % 2 = 1 or conv_id % 4 = 0"), "write_seq")
+    return table.read().select("mem_id", "conv_id", "role", "importance", F.length("thought").alias("thought_chars"), F.length("hint").alias("hint_chars"))
+
+
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     """User turns as messages, each with a vector of the table."""
     vectors = views.table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -295,12 +308,20 @@ def conversation_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def reingest(spark: SparkSession, d: str) -> DataFrame:
-    """User turns of 30 characters and more, through the conversation pipeline."""
-    found = enrich.remembered(_turns(spark, d).where(F.length("text") >= 30), _classes(spark, d), 0.3)
+    """User turns of 30 characters and more, through the conversation pipeline
+    and into a bucketed table of memories."""
+    turns = _turns(spark, d).where(F.length("text") >= 30).withColumn("user_id", F.concat(F.lit("u"), (F.floor(F.col("doc_id") / 1000) % 10).cast("string")))
+    found = enrich.remembered(turns, _classes(spark, d), 0.3)
     source = F.lit("enriched")
     for kind, name in REINGEST_SOURCES.items():
         source = F.when(F.col("entity_type") == kind, name).otherwise(source)
-    return found.select("doc_id", "entity_subtype", source.alias("new_source"), F.col("entity_type").isin("MILESTONE", "SHARED_THING").alias("milestone"), "ts", F.md5("memory").alias("digest"))
+    great = F.col("entity_type").isin("MILESTONE", "SHARED_THING")
+    rows = found.select("user_id", F.col("memory").alias("text"), source.alias("source"), great.alias("is_milestone"), "importance", "entity_subtype", "ts", F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), "entity_type").alias("write_seq"))
+    rows = scratch.written(store.prepared(rows))
+    table = Table.open(spark, scratch.folder(spark, "memories"), "mem_id", 8, rows.schema)
+    table.upsert(rows, "write_seq")
+    table.upsert(rows, "write_seq")  # a rerun changes nothing
+    return table.read().select("mem_id", "source", F.col("is_milestone").alias("milestone"), "importance", "entity_subtype", "ts")
 
 
 @query
@@ -617,6 +638,18 @@ def since_label(spark: SparkSession, d: str) -> DataFrame:
     return last.select("user_id", state.since_label(F.col("ts"), views.as_of()).alias("label"))
 
 
+@query
+def state_block(spark: SparkSession, d: str) -> DataFrame:
+    blocks = state.state_block(state.final_states(views.state_messages(spark, d)), views.as_of())
+    return blocks.withColumn("block", F.md5("block"))
+
+
+@query
+def raw_block(spark: SparkSession, d: str) -> DataFrame:
+    blocks = state.recent_block(state.recent_window(views.session(spark, d), views.as_of()), views.as_of())
+    return blocks.withColumn("block", F.md5("block"))
+
+
 @query
 def insight_window(spark: SparkSession, d: str) -> DataFrame:
     return state.insight_window(views.memories(spark, d, False), views.as_of()).select("user_id", "doc_id", "place")

@@ -27,6 +27,15 @@ def prepared(rows: DataFrame, salt: str = "s0") -> DataFrame:
     return rows.withColumn("importance", raised).withColumn("mem_id", content_id(salt, "user_id", "text"))
 
 
+def prepared_messages(rows: DataFrame, salt: str = "s0") -> DataFrame:
+    """Session messages (conv_id, role, content, thought, hint, ...) ready to be
+    stored: echo tags gone, empty ones dropped, thoughts and hints cut to 500 and
+    200 characters, importance 3, ids from conversation, role and content."""
+    rows = rows.withColumn("content", strip_tags(F.col("content"))).where(F.length("content") > 0)
+    cut = {"thought": F.left("thought", F.lit(500)), "hint": F.left("hint", F.lit(200)), "importance": F.lit(3)}
+    return rows.withColumns(cut).withColumn("mem_id", content_id(salt, F.col("conv_id").cast("string"), "role", "content"))
+
+
 def upserted(stored: DataFrame, new: DataFrame, key: str = "mem_id", order: str = "write_seq") -> DataFrame:
     """Both tables' rows with the last write of each key: one shuffle by key."""
     last = Window.partitionBy(key).orderBy(F.desc(order))
