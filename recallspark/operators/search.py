@@ -145,7 +145,7 @@ def reranked(pool: DataFrame, as_of: Column, cfg: RankConfig = RankConfig(), key
     of each of ``keys`` by score and then by nearness. Needs distance, importance, source, ts,
     is_milestone and share, as a pool has them."""
     sim, rec = similarity(F.col("distance")), recency(cfg, as_of)
-    imp = F.least(F.col("importance") / 10, F.lit(1.0))
+    imp = F.least(F.coalesce("importance", F.lit(5)) / 10, F.lit(1.0))  # as stored memories have by default
     kw = F.col("share") * cfg.keyword
     fresh = F.when(age_seconds(as_of) < cfg.fresh_hours * 3600, cfg.fresh).otherwise(0.0)
     score = F.least(F.lit(1.0), cfg.importance * imp + cfg.recency * rec + cfg.similarity * sim + kw + F.coalesce(fresh, F.lit(0.0)))
