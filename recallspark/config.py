@@ -150,10 +150,16 @@ class RankConfig:
     knowledge_pool: int = 10
     knowledge_gate: float = 1.3
     knowledge_limit: int = 1
+    #: Sources that the user's own pool leaves out, and whether short mentions of persons go too.
+    excluded: tuple[str, ...] = EXCLUDED_SOURCES
+    short_persons: bool = False
+    #: Whether milestones have places of their own beside diverse facts.
+    slots: bool = True
 
 
 #: The earlier parameters, for comparisons.
 LEGACY = RankConfig(
     similarity=0.65, importance=0.20, recency=0.15, keyword=0.10, fresh=0.0, milestone=1.0, half_life={}, default_half_life=30,
     milestone_half_life=30, cutoff_hours={}, diversity=0.4, pool=20, limit=5, character_limit=1,
+    excluded=("user_message_raw", "md_import"), short_persons=True, slots=False,
 )

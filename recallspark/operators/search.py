@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..config import EXCLUDED_SOURCES, RankConfig
+from ..config import RankConfig
 from ..functions.text import overlap, overlap_tokens, query_tokens
 from ..functions.vectors import similarity
 from ..sources.index import matrix, smallest, squared, whole
@@ -135,9 +135,10 @@ def within_cutoff(cfg: RankConfig, as_of: Column) -> Column:
     return limit.isNull() | F.col("ts").isNull() | (age_seconds(as_of) / 3600 <= limit)
 
 
-def not_echo() -> Column:
+def not_echo(cfg: RankConfig = RankConfig()) -> Column:  # noqa: B008
     """Channel 1's filters, which apply to the pool after it is drawn."""
-    return ~F.col("source").isin(*EXCLUDED_SOURCES) & ~((F.col("source") == "extracted_person") & (F.col("chars") < 80))
+    known = ~F.col("source").isin(*cfg.excluded)
+    return known if cfg.short_persons else known & ~((F.col("source") == "extracted_person") & (F.col("chars") < 80))
 
 
 def reranked(pool: DataFrame, as_of: Column, cfg: RankConfig = RankConfig(), keys: Sequence[str] = ("qid",)) -> DataFrame:  # noqa: B008
@@ -203,22 +204,22 @@ def pooled(memories: DataFrame, queries: DataFrame, k: int, own_user: bool = Fal
 
 def three_channels(memories: DataFrame, queries: DataFrame, as_of: Column, cfg: RankConfig = RankConfig()) -> DataFrame:  # noqa: B008
     """(qid, doc_id, channel, final_score, rank): the user's own memories (diverse
-    facts and top milestones), character core and imported knowledge; equal
+    facts and, where ``cfg`` has slots for them, top milestones), character core and imported knowledge; equal
     80-character beginnings once, best ``limit`` by score. One pass over the
     memories serves all channels."""
     wanted = [Channel(cfg.character_pool, where=F.col("source") == "character_core"), Channel(cfg.pool, True), Channel(cfg.knowledge_pool, where=F.col("source") == "md_import")]
     pool = drawn(memories.withColumn("beginning", F.left("text", F.lit(80))), queries, wanted, texts=False)
-    gate = F.when(F.col("channel") == 1, not_echo()).otherwise(F.col("distance") < F.when(F.col("channel") == 0, cfg.character_gate).otherwise(cfg.knowledge_gate))
+    gate = F.when(F.col("channel") == 1, not_echo(cfg)).otherwise(F.col("distance") < F.when(F.col("channel") == 0, cfg.character_gate).otherwise(cfg.knowledge_gate))
     # Kept, as facts are read twice: to be chosen from and to be shown.
     ranked = written(reranked(pool.where(gate), as_of, cfg, ["channel", "qid"]))
     columns = ["qid", "doc_id", "beginning", "final_score", "channel", "place"]
     own = ranked.where("channel = 1").where(within_cutoff(cfg, as_of))
-    facts = own.where("not is_milestone")
+    facts = own.where("not is_milestone") if cfg.slots else own
     picked = facts.join(mmr(facts, cfg.facts, cfg.diversity), ["qid", "doc_id"])
     picked = picked.withColumn("place", F.col("pick")).select(*columns)
     top = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
     great = own.where("is_milestone").withColumn("n", top).where(F.col("n") <= cfg.milestones)
-    great = great.withColumn("place", F.lit(cfg.facts) + F.col("n")).select(*columns)
+    great = great.where(F.lit(cfg.slots)).withColumn("place", F.lit(cfg.facts) + F.col("n")).select(*columns)
     most = F.when(F.col("channel") == 0, cfg.character_limit).otherwise(cfg.knowledge_limit)
     others = ranked.where(F.col("channel").isin(0, 2) & (F.col("rank") <= most)).withColumn("place", F.col("rank")).select(*columns)
     first = Window.partitionBy("qid", "beginning").orderBy("channel", "place")

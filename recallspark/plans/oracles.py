@@ -270,6 +270,13 @@ once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, left(text
 SELECT qid, doc_id, channel, final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, channel, place) AS rank FROM once) WHERE rank <= 6"""
 
 
+LEGACY_CHANNELS = f"""{PRE}, {near('p1', 20, 'v.user_id = quser')}, {ranked('own', 'p1', LEGACY, "source NOT IN ('user_message_raw', 'md_import')")}, {mmr('own', '0.4')},
+{near('p0', 5, "source = 'character_core'")}, {ranked('r0', 'p0', LEGACY, 'distance < 1.0')}, {near('p2', 10, "source = 'md_import'")}, {ranked('r2', 'p2', LEGACY, 'distance < 1.3')},
+every AS ({picks(3, 'qid, doc_id, text, final_score, 1 AS channel, pick AS place')} UNION ALL SELECT qid, doc_id, text, final_score, 0, rank FROM r0 WHERE rank <= 1 UNION ALL SELECT qid, doc_id, text, final_score, 2, rank FROM r2 WHERE rank <= 1),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, left(text, 80) ORDER BY channel, place) AS d FROM every) WHERE d = 1)
+SELECT qid, doc_id, channel, final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, channel, place) AS rank FROM once) WHERE rank <= 5"""
+
+
 def graded(asked: str, found: str) -> str:
     return f"""SELECT qid, n, status, confidence, avg_distance, status = 'NO_DATA' AS refuse_strict, confidence < 0.1 AS refuse_soft FROM (SELECT qid, n,
       CASE WHEN n = 0 THEN 'NO_DATA' WHEN n = 1 THEN CASE WHEN lo > 0.80 THEN 'NO_DATA' ELSE 'LOW_CONFIDENCE' END WHEN lo < 0.55 THEN 'GROUNDED' WHEN lo < 0.80 THEN 'LOW_CONFIDENCE' ELSE 'NO_DATA' END AS status,
@@ -313,6 +320,7 @@ ORACLES = {
     "temporal_cutoff": f"WITH {MEM} SELECT source, count(*) AS n FROM mem WHERE {YOUNG} GROUP BY source",
     "mmr_select": f"{POOL}, {mmr('ranked')} {picks()}",
     "three_channel_search": CHANNELS,
+    "legacy_search": LEGACY_CHANNELS,
     "grounding_status": f"{PRE}, {near('k', 2, 'v.user_id = quser')} " + graded("(SELECT qid FROM ask)", "(SELECT qid, distance FROM k WHERE distance <= 1.2)"),
     "grounding_search": f"""{PRE}, {near('k', 6)}, g AS ({graded('ask', 'k')}) SELECT qid, n, status, confidence, avg_distance, CASE status WHEN 'NO_DATA' THEN '[STRICT] no evidence: do not answer from memory'
       WHEN 'LOW_CONFIDENCE' THEN '[LOW] check that the memories concern the question (confidence ' || CAST(round(confidence * 100) AS INT) || '%)' ELSE '[GROUNDED] quote only what the memories say (confidence ' || CAST(round(confidence * 100) AS INT) || '%)' END AS directive FROM g""",

@@ -103,6 +103,11 @@ def three_channel_search(spark: SparkSession, d: str) -> DataFrame:
     return search.three_channels(views.memories(spark, d), views.queries(spark, d), views.as_of())
 
 
+@query
+def legacy_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.three_channels(views.memories(spark, d), views.queries(spark, d), views.as_of(), LEGACY)
+
+
 @query
 def grounding_status(spark: SparkSession, d: str) -> DataFrame:
     """Grades of a user's own two nearest memories within a distance of 1.2, so
