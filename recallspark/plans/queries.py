@@ -60,10 +60,11 @@ def knn_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def index_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of the index's nearest half of the cells, over all queries."""
+    """Recall of the nearest four fifths of the cells, over all queries: the vectors
+    have little structure, so neighbours lie in many cells."""
     memories, asked = views.memories(spark, d), views.queries(spark, d)
     found = index.Index.build(memories, scratch.folder(spark, "index"))
-    some = found.search(asked, 10, max(1, len(found.sizes) // 2), exact=False)
+    some = found.search(asked, 10, -(-4 * len(found.sizes) // 5), exact=False)
     return index.recall(some, search.knn(memories, asked, 10)).agg(F.count("*").alias("n"), (F.avg("recall") >= 0.9).alias("enough"))
 
 
