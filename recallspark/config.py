@@ -117,6 +117,16 @@ MONTHS = {
     "pazdziernika": 10, "pazdziernik": 10, "październik": 10, "pazdzierniku": 10, "listopada": 11, "listopad": 11, "listopadzie": 11,
     "grudnia": 12, "grudzien": 12, "grudzień": 12, "grudniu": 12,
 }
+#: Patterns of dates: so many days, weeks or months ahead; day and month as numbers; a day and a month's name.
+DATE_AHEAD = r"za (\d+)\s*(dni|dnia|dniu|tygodnie|tygodni|tyg|miesięcy|miesiąca|miesiące)"
+DATE_NUMBERS, DATE_NAMED = r"([0-9]{1,2})[./]([0-9]{1,2})", r"([0-9]{1,2})\s+([a-ząćęłńóśźż]+)"
+IN_A_WEEK, IN_A_MONTH, TOMORROW, IN_TWO_DAYS, TODAY = "za tydzień", "za miesiąc", "jutro", "pojutrze", ("dzisiaj", "dziś", "today")
+MONTH_END, MONTH_MIDDLE = ("koniec", "końca", "końc"), ("połow", "środek")
+#: Patterns of what trimming drops or divides: brackets, inserted clauses, ends of sentences.
+BRACKETED, INSERTED, SENTENCE_END = r"\([^)]*\)", r",\s*[^,]*,", r"[.!?]\s+"
+#: Patterns of echoes, and of a model's reply: its code fence and the response in broken JSON.
+ECHO = r"(?s)\[MEMORY\].*?\[/MEMORY\]"
+FENCE, RESPONSE = r"(?m)^```json\s*|\s*```$", r'(?s)"response"\s*:\s*"((?:[^"\\]|\\.)*)"'
 MONTH_DAYS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
 LEVELS = ((1, 0), (2, 50), (3, 150), (4, 400), (5, 1000), (6, 2500))
 #: Grounding borders.

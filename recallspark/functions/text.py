@@ -9,12 +9,36 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import CONTENT_TYPES, FILLER_WORDS, MONTH_DAYS, MONTHS, OVERLAP_STOPWORDS, QUERY_STOPWORDS, WEEKDAYS
+from ..config import (
+    BRACKETED,
+    CONTENT_TYPES,
+    DATE_AHEAD,
+    DATE_NAMED,
+    DATE_NUMBERS,
+    ECHO,
+    FENCE,
+    FILLER_WORDS,
+    IN_A_MONTH,
+    IN_A_WEEK,
+    IN_TWO_DAYS,
+    INSERTED,
+    MONTH_DAYS,
+    MONTH_END,
+    MONTH_MIDDLE,
+    MONTHS,
+    OVERLAP_STOPWORDS,
+    QUERY_STOPWORDS,
+    RESPONSE,
+    SENTENCE_END,
+    TODAY,
+    TOMORROW,
+    WEEKDAYS,
+)
 
 
 def strip_tags(text: Column) -> Column:
     """Without [MEMORY]…[/MEMORY] echoes, trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?s)\[MEMORY\].*?\[/MEMORY\]", ""))
+    return F.trim(F.regexp_replace(text, ECHO, ""))
 
 
 def words(text: Column) -> Column:
@@ -122,12 +146,12 @@ def type_priority(kind: Column) -> Column:
 def trimmed(text: Column, target: Column) -> Column:
     """The text cut to about ``target`` characters by its content type's rule."""
     dots = lambda x: F.concat(F.trim(F.substr(x, F.lit(1), F.greatest(target - 3, F.lit(0)))), F.lit("..."))
-    plain = F.regexp_replace(F.regexp_replace(text, r"\([^)]*\)", ""), r",\s*[^,]*,", ",")
+    plain = F.regexp_replace(F.regexp_replace(text, BRACKETED, ""), INSERTED, ",")
     calm = text
     for w in FILLER_WORDS:
         calm = F.regexp_replace(calm, rf"(?i)\b{w}\b\s*", "")
     calm = F.trim(F.regexp_replace(calm, r"\s+", " "))
-    parts = F.split(text, r"[.!?]\s+")
+    parts = F.split(text, SENTENCE_END)
     fits = lambda a, s: F.length(a["t"]) + F.length(s) + 2 <= target
     start = F.struct(F.concat(parts[0], F.lit(".")).alias("t"), F.lit(True).alias("go"))
     core = F.aggregate(
@@ -155,15 +179,15 @@ def date_value(text: Column, today: Column) -> Column:
 
 
 def _date_in(t: Column, today: Column) -> Column:
-    number = F.try_to_number(F.regexp_extract(t, r"za (\d+)\s*(dni|dnia|dniu|tygodnie|tygodni|tyg|miesięcy|miesiąca|miesiące)", 1), F.lit("999999")).cast("int")
-    unit = F.regexp_extract(t, r"za (\d+)\s*(dni|dnia|dniu|tygodnie|tygodni|tyg|miesięcy|miesiąca|miesiące)", 2)
+    number = F.try_to_number(F.regexp_extract(t, DATE_AHEAD, 1), F.lit("999999")).cast("int")
+    unit = F.regexp_extract(t, DATE_AHEAD, 2)
     out = [
         F.when(unit != "", F.date_add(today, number * F.when(F.contains(unit, F.lit("tyg")), 7).when(F.contains(unit, F.lit("mies")), 30).otherwise(1))),
-        F.when(F.contains(t, F.lit("za tydzień")), F.date_add(today, 7)),
-        F.when(F.contains(t, F.lit("za miesiąc")), F.date_add(today, 30)),
-        F.when(F.contains(t, F.lit("jutro")), F.date_add(today, 1)),
-        F.when(F.contains(t, F.lit("pojutrze")), F.date_add(today, 2)),
-        F.when(F.contains(t, F.lit("dzisiaj")) | F.contains(t, F.lit("dziś")) | F.contains(t, F.lit("today")), today),
+        F.when(F.contains(t, F.lit(IN_A_WEEK)), F.date_add(today, 7)),
+        F.when(F.contains(t, F.lit(IN_A_MONTH)), F.date_add(today, 30)),
+        F.when(F.contains(t, F.lit(TOMORROW)), F.date_add(today, 1)),
+        F.when(F.contains(t, F.lit(IN_TWO_DAYS)), F.date_add(today, 2)),
+        F.when(contains_any(t, TODAY), today),
     ]
     for word, day in WEEKDAYS.items():
         ahead = F.pmod(F.lit(day) - F.weekday(today), F.lit(7))
@@ -175,13 +199,12 @@ def _date_in(t: Column, today: Column) -> Column:
         return F.when(this < today, made(F.year(today) + 1)).otherwise(this)
 
     part = lambda pattern, i: F.when(F.regexp_extract(t, pattern, i) != "", F.regexp_extract(t, pattern, i).cast("int"))
-    out.append(rolled(part(r"([0-9]{1,2})[./]([0-9]{1,2})", 1), part(r"([0-9]{1,2})[./]([0-9]{1,2})", 2)))
+    out.append(rolled(part(DATE_NUMBERS, 1), part(DATE_NUMBERS, 2)))
     months = F.create_map(*(F.lit(x) for kv in MONTHS.items() for x in kv))
-    named = r"([0-9]{1,2})\s+([a-ząćęłńóśźż]+)"
-    out.append(rolled(part(named, 1), F.try_element_at(months, F.regexp_extract(t, named, 2))))
+    out.append(rolled(part(DATE_NAMED, 1), F.try_element_at(months, F.regexp_extract(t, DATE_NAMED, 2))))
     for word, month in MONTHS.items():
-        end = contains_any(t, ("koniec", "końca", "końc"))
-        mid = contains_any(t, ("połow", "środek"))
+        end = contains_any(t, MONTH_END)
+        mid = contains_any(t, MONTH_MIDDLE)
         day = F.when(end, MONTH_DAYS[month - 1]).when(mid, 15)
         out.append(F.when(F.contains(t, F.lit(word)), F.try_to_date(F.format_string("%04d-%02d-%02d", F.year(today), F.lit(month), day))))
     return F.date_format(F.coalesce(*out), "yyyy-MM-dd")
@@ -193,9 +216,9 @@ REPLY = "thought string, hint string, response string, mood string, new_concern
 def parsed_reply(raw: Column) -> Column:
     """A struct of a model's JSON reply: fenced or broken JSON still gives the
     response, and an empty one gives a placeholder."""
-    clean = F.trim(F.regexp_replace(F.trim(raw), r"(?m)^```json\s*|\s*```$", ""))
+    clean = F.trim(F.regexp_replace(F.trim(raw), FENCE, ""))
     data = F.from_json(clean, REPLY)
-    found = F.regexp_extract(raw, r'(?s)"response"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
+    found = F.regexp_extract(raw, RESPONSE, 1)
     for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\\\", "\\"), ("\\t", "\t")):
         found = F.replace(found, F.lit(a), F.lit(b))
     some = lambda x: F.when(F.trim(x) != "", F.trim(x))

@@ -68,9 +68,12 @@ def session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, a few at a time."""
-    # A stream reads a folder or a glob of files, and the table is one file.
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 4).parquet(sf_dir)
+    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir}/events.parquet")
+    # A stream reads a folder, and this table is one file in it.
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def state_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:

@@ -9,7 +9,6 @@ form; both give the same rows.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -129,8 +128,3 @@ class with_rocksdb:  # noqa: N801
 
     def __exit__(self, *_: object) -> None:
         self.spark.conf.unset(PROVIDER[0]) if self.old is None else self.spark.conf.set(PROVIDER[0], self.old)
-
-
-def recent_before(ts: dt.datetime, others: list[dt.datetime], hours: int = 48) -> int:
-    """How many of the times are recent at ``ts``, itself included; for checks."""
-    return sum(ts - dt.timedelta(hours=hours) < t <= ts for t in others)
