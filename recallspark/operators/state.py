@@ -20,6 +20,13 @@ def gained_xp(gap_hours: Column) -> Column:
     return F.least(F.lit(3), points + F.coalesce((gap_hours > 6).cast("int"), F.lit(0)))
 
 
+def gap_hours(before: Column, ts: Column) -> Column:
+    """Hours between two times, each cut to its second first: what is counted are
+    the seconds of the clock, not the whole ones of the time between."""
+    second = lambda x: F.unix_seconds(x.cast("timestamp"))
+    return (second(ts) - second(before)) / 3600
+
+
 def level(xp: Column) -> Column:
     out = F.lit(LEVELS[0][0])
     for number, least in LEVELS:
@@ -53,7 +60,7 @@ def progressed(events: DataFrame, before: DataFrame | None = None, lasts: tuple[
     user, own = ["user_id", "__b"], Window.partitionBy("user_id", "__b").orderBy("ts", "event_id")
     so_far = own.rowsBetween(Window.unboundedPreceding, 0)
     rows = events.withColumn("__b", F.coalesce(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket), F.lit(_NO_TIME)))
-    rows = rows.withColumns({"__n": F.row_number().over(own), "__gap": F.timestamp_diff("SECOND", F.lag("ts").over(own), F.col("ts")) / 3600})
+    rows = rows.withColumns({"__n": F.row_number().over(own), "__gap": gap_hours(F.lag("ts").over(own), F.col("ts"))})
     more = F.coalesce(bonus.cast("long"), F.lit(0)) if bonus is not None else F.lit(0).cast("long")
     rows = rows.withColumns({"gained": gained_xp(F.col("__gap")), "__more": more})
     # Of each bucket: its first event, whose gap is not known yet, and what the others and the bonus add.
@@ -69,7 +76,7 @@ def progressed(events: DataFrame, before: DataFrame | None = None, lasts: tuple[
     was = lambda x, kind: F.col(x) if before is not None else F.lit(None).cast(kind)
     ended = F.coalesce(F.max("__end").over(along), was("__t0", "timestamp_ntz").cast(dict(events.dtypes)["ts"]))
     blocks = blocks.select("*", ended.alias("__ended"), F.col("f.ts").alias("ts"), F.col("f.words").alias("words"), F.col("f.entities").alias("entities"))
-    blocks = blocks.withColumn("first", gained_xp(F.timestamp_diff("SECOND", F.col("__ended"), F.col("ts")) / 3600))
+    blocks = blocks.withColumn("first", gained_xp(gap_hours(F.col("__ended"), F.col("ts"))))
     carried = blocks.select(
         *user, F.col("first").alias("__first"),
         (F.coalesce(F.sum(F.col("first") + F.col("rest")).over(along), F.lit(0)) + F.coalesce(was("__xp0", "long"), F.lit(0))).alias("__xp"),
@@ -182,7 +189,7 @@ def nightly_lines(memories: DataFrame, as_of: Column, skipped: tuple[str, ...],
 
 def since_label(ts: Column, as_of: Column) -> Column:
     """How long ago a user was last seen, as a line of the state block."""
-    hours = F.timestamp_diff("SECOND", ts, as_of) / 3600
+    hours = gap_hours(ts, as_of)
     line = lambda n, unit: F.concat(F.lit("Ostatnia rozmowa: "), F.floor(n).cast("string"), F.lit(f" {unit} temu"))
     return F.when(ts.isNull(), "").when(hours > 48, line(hours / 24, "dni")).when(hours > 1, line(hours, "godzin")).otherwise("Ostatnia rozmowa: w tej sesji")
 

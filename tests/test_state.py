@@ -161,3 +161,16 @@ def test_null_times_and_empty_tables(spark):
     got = {r.event_id: (r.gained, r.xp) for r in state.updated(frame(spark, rows)).collect()}
     assert got[1] == (1, 1) and got[2] == (1, 2) and got[3] == (3, 5) and got[4] == (0, 0)
     assert state.final_states(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [3600, 10**9])
+def test_gaps_count_seconds_of_the_clock(spark, bucket):
+    """00:00:00.9 and 06:00:01.1 are 6 h and a second apart by the clock, as the stream
+    and the SQL count; 00:00:00.1 and 06:00:00.9 are 6 h."""
+    at = lambda h, s, m: dt.datetime(2024, 1, 1, h, 0, s, m)
+    rows = [(1, 1, at(0, 0, 900_000)), (1, 2, at(6, 1, 100_000)), (2, 3, at(0, 0, 100_000)), (2, 4, at(6, 0, 900_000))]
+    events = spark.createDataFrame([(*r, 1.0, 0) for r in rows], "user_id long, event_id long, ts timestamp_ntz, words double, entities long")
+    got = {r.event_id: r.xp for r in state.progressed(events, None, (), bucket=bucket).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+    seen = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 0, 900_000),)], "ts timestamp_ntz")
+    assert seen.select(state.since_label(F.col("ts"), F.lit("2024-01-01 02:00:00").cast("timestamp_ntz"))).first()[0] == "Ostatnia rozmowa: 2 godzin temu"
