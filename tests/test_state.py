@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recallspark.config import LEVELS
 from recallspark.operators import state
+from recallspark.plans.queries import REGISTRY
 from recallspark.sources import scratch
 from recallspark.streaming import machine
 from recallspark.streaming import state as streams
@@ -174,3 +175,8 @@ def test_gaps_count_seconds_of_the_clock(spark, bucket):
     assert got == {1: 0, 2: 1, 3: 0, 4: 0}
     seen = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 0, 900_000),)], "ts timestamp_ntz")
     assert seen.select(state.since_label(F.col("ts"), F.lit("2024-01-01 02:00:00").cast("timestamp_ntz"))).first()[0] == "Ostatnia rozmowa: 2 godzin temu"
+
+
+def test_insight_window_has_rows(spark):
+    """The query's window is wide enough for the tables' insights."""
+    assert REGISTRY["insight_window"](spark, "/root/testdata/sf0.01").count() > 0
