@@ -285,3 +285,19 @@ def test_scan_reads_few_columns(spark):
 def test_config_is_a_parameter(spark):
     ranked = search.reranked(search.pooled(views.memories(spark, DATA), views.queries(spark, DATA), 5), views.as_of(), RankConfig(milestone=0.0, fresh=0.0))
     assert ranked.agg(F.max("final_score")).first()[0] <= 1.0
+
+
+def test_labels_by_class_are_their_pairs(spark):
+    """Labels that are never expanded measure as their table of pairs does."""
+    rng = random.Random(5)
+    asked = spark.createDataFrame([(q,) for q in range(6)], "qid long")
+    queries = spark.createDataFrame([(q, q % 3) for q in range(5)] + [(5, 9)], "qid long, label long")
+    docs = spark.createDataFrame([(i, i % 4) for i in range(40)], "doc_id long, label long")
+    chat = docs.where("doc_id % 5 = 0")
+    ranked = spark.createDataFrame([(q, i, r + 1) for q in range(6) for r, i in enumerate(rng.sample(range(40), q))], "qid long, doc_id long, rank int")
+    pairs = lambda d: queries.join(d, "label").select("qid", "doc_id")
+    mine = asked.select("qid", F.col("qid").alias("doc_id"))
+    got = evaluate.retrieval_score(ranked, asked, evaluate.ByLabel(queries, docs), mine, evaluate.ByLabel(queries, chat)).first()
+    assert got == evaluate.retrieval_score(ranked, asked, pairs(docs), mine, pairs(chat)).first()
+    got = evaluate.precision_at(ranked, evaluate.ByLabel(queries, docs))
+    assert sorted(got.collect()) == sorted(evaluate.precision_at(ranked, pairs(docs)).collect())
