@@ -106,3 +106,18 @@ def test_huge_and_tiny_components(spark):
     rows = [(1, [1e200, 1e200]), (2, [1e-300, 1e-300]), (3, [1.0, -1.0]), (None, [3.0, 3.0])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in C.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), None: (2, 1)}
+
+
+def test_number_of_blocks_is_bounded(spark):
+    """A vector is sent to no more blocks as the table grows, and singles stay singles."""
+    n = [10_000, 200_000, 600_000, 1_500_000]
+    assert [C.block_size(x, 64) for x in n[:2]] == [4096, 4167]
+    assert max(-(-x // C.block_size(x, 64)) for x in n) <= C.BLOCKS
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[1::3] = x[::3] + np.float32(0.05) * rng.normal(size=(100, 8)).astype(np.float32)
+    singles, doubles = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{k}>") for k in ("float", "double"))
+    got = sorted(map(tuple, C.near_duplicates(singles, block=64).collect()))
+    assert got == sorted(map(tuple, C.near_duplicates(doubles, block=64).collect()))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert [r[1] for r in got] == ((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()
