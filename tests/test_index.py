@@ -1,6 +1,7 @@
 """The stored index: exact search, measured recall, and the files that are read."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,12 @@ def test_smallest_breaks_ties_by_id():
     values, ids = I.smallest(d, np.arange(20)[::-1], 6)
     assert values[0].tolist() == [0.0] * 4 + [1.0] * 2 and ids[0].tolist() == [3, 8, 13, 18, 1, 2]
     assert np.isinf(values[1]).all()
+
+
+def test_batches_are_compared_in_slices():
+    """What a task compares at a time is bounded, and no row or vector shifts."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array([[float(i), 1.0] for i in range(10)])], ["id", "v"])
+    parts = list(I.sliced(iter([batch]), 4))
+    assert [len(p) for p in parts] == [4, 4, 2]
+    assert np.concatenate([I.matrix(p.column(1)) for p in parts])[:, 0].tolist() == list(range(10))
+    assert [np.diff(p.column(1).offsets.to_numpy()).tolist() for p in parts] == [[2] * 4, [2] * 4, [2] * 2]
