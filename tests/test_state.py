@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from recallspark.config import LEVELS
@@ -180,3 +181,49 @@ def test_gaps_count_seconds_of_the_clock(spark, bucket):
 def test_insight_window_has_rows(spark):
     """The query's window is wide enough for the tables' insights."""
     assert REGISTRY["insight_window"](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_states_are_moved_once_a_micro_batch():
+    """A user's thousand messages cost the stream no more calls of its state store
+    than one does, and the messages are counted as recent to the millisecond."""
+    calls = []
+
+    class Kept:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value if self.value is not None else getattr(self, "none", None)
+
+        def put(self, value):
+            calls.append("put")
+            self.value = value
+
+        update = put
+
+        def clear(self):
+            self.put(None)
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Kept()
+
+        def getListState(self, name, schema):
+            kept = Kept()
+            kept.none = []
+            return kept
+
+        getMapState = getListState
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    fields = ("user_id", "event_id", "ts", "second", "milli", "micro", "points", "mood", "mood_since", "vibe", "topic", "added", "removed", "bonus", "greeting")
+    at = [1_704_067_211_029_000 + i * 480_000_000 for i in range(1000)]
+    rows = [Row(**dict(zip(fields, (1, i, None, t // 10**6, t // 1000, t, 1, None, None, None, None, "c", None, 0, None), strict=True))) for i, t in enumerate(at)]
+    companion = machine.Companion(48)
+    companion.init(Handle())
+    out = list(companion.handleInputRows((1,), iter(rows[::-1]), None))
+    assert len(calls) < 10 and calls[-1] == at[-1] // 1000 + 48 * 3_600_000
+    assert [r.recent for r in out] == [min(i + 1, 360) for i in range(1000)]
+    assert len(companion.recent.value) == 360 and out[-1].xp == 1000
