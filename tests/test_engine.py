@@ -245,6 +245,26 @@ def test_texts_to_ids_by_plain_search(spark, monkeypatch, few):
     assert got == want and len(want) > 20
 
 
+def test_pieces_come_once_a_text(spark):
+    """A piece that a text has at 5,000 places is one row, and windows have their text's pieces."""
+    texts = spark.createDataFrame([(1, "a" * 5000), (2, None), (3, "")], "id long, text string").where("text is not null")
+    assert sorted(map(tuple, search._pieces(texts, [1, 50], {}).select("id", "width").collect())) == [(1, 1), (1, 50)]
+    rng, widths = random.Random(7), [1, 2, 4, 8, 16, 32, 50]
+    text = "".join(rng.choice("ab ż") for _ in range(700))
+    whole = {w: set(h.tolist()) for w, h in search.chosen_pieces(text, widths)}
+    for i in range(650):
+        for w in widths:
+            ((_, h),) = search.chosen_pieces(text[i : i + w], [w])
+            assert len(h) == 1 and h[0] in whole[w]
+
+
+def test_least_holder_after_many_that_do_not(spark):
+    """The 40th candidate by rank is the first that holds."""
+    pairs = spark.createDataFrame([("x", i) for i in range(100)] + [("y", 5)], "b string, doc_id long")
+    got = search._least(pairs, "b", "doc_id", lambda df: df.where("b = 'x' and doc_id >= 40")).collect()
+    assert [tuple(r) for r in got] == [("x", 40)]
+
+
 def test_calibration_in_blocks(spark, monkeypatch):
     rows = views.table(spark, DATA, "embeddings").select(F.col("vec_id").alias("qid"), "label", "embedding")
     rows = rows.union(spark.createDataFrame([(900, 1, None), (920, 1, [None, 1.0])], rows.schema))
