@@ -67,3 +67,49 @@ def test_estimate(spark):
     bits = [N.packed_bits(N.minima(np.unique(np.concatenate([common, x])))).tolist() for x in (a, b)]
     got = spark.createDataFrame([bits], "x array<long>, y array<long>").select(N.estimated_similarity(F.col("x"), F.col("y"))).first()[0]
     assert abs(got - 0.8) < 0.15
+
+
+def test_links_of_members_in_parts(spark, monkeypatch):
+    """Against all pairs, where a leader's members apart are held in many parts."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for lead in (b"l", b"m"):
+        for n in range(60):
+            size, delta = rng.randint(20, 30), sorted(rng.sample(range(-30, 30), rng.randint(8, 14)))
+            rows.append((lead, b"%d" % n, size, delta, b"%d" % (n % 7), b"0"))
+            if n % 3 == 0:  # one more that differs by little
+                rows.append((lead, b"%d'" % n, size, sorted({*delta[1:], 40 + n}), b"%d" % ((n + 3) % 7), b"0"))
+    where = spark.createDataFrame(rows, "lead binary, node binary, size long, delta array<long>, component binary, main binary")
+    monkeypatch.setattr(N, "HELD", 100)
+    got = {(bytes(r.lead), bytes(r.node)) for r in N._links_of_members(where, 80).collect()}
+    component = {(k, x): c for k, x, _, _, c, _ in rows}
+    every = set()
+    for k, x, sx, dx, cx, main in rows:
+        for j, y, sy, dy, cy, _ in rows:
+            apart = len({*dx} ^ {*dy})
+            if k == j and cx != main and cx != cy and 100 * (sx + sy - apart) >= 80 * (sx + sy + apart):
+                every.add((k, x, y))
+    assert len(every) > 20 and got <= {(x, y) for _, x, y in every}
+    assert {(component[k, x], y) for k, x, y in every} == {(component[k, x], y) for k, x, y in every if (x, y) in got}
+
+
+def test_a_large_group_apart_from_its_leader(spark):
+    """Members that link with no other cost no exact comparison by pairs: these took minutes."""
+    import random
+    import time
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(130)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, 4001):
+        own = list(base)
+        for k in range(5):
+            own[26 * k + rng.randrange(26)] = f"e{n % 3000}_{k}"
+        rows.append((n, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).cache()
+    df.count()
+    began = time.time()
+    got = N.near_duplicates(df).select("component_id").distinct().count()
+    assert time.time() - began < 45 and got > 3000
