@@ -208,6 +208,14 @@ def test_mixing_keeps_all_within_the_limit(sources):
     assert got.agg(F.min("block"), F.max("block")).first() == (0, 7)
 
 
+def test_mixing_within_a_limit_sorts_once(sources, monkeypatch):
+    """With a limit no document is dealt out in parts: one window over the rows, and the same rows."""
+    once = mixing.mixed(sources, repeats=2.0, blocks=8)
+    assert "Union" not in once._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(mixing, "PART", 1)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, mixing.mixed(sources, repeats=2.0, blocks=8).collect()))
+
+
 def test_shards(spark, docs, empty):
     rows = [(i, "same text" if i % 3 == 0 else f"text {i} " * (i % 40)) for i in range(3000)] + [(None, None), (5, ""), (5, "")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, shard string")

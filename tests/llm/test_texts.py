@@ -52,6 +52,27 @@ def test_bpe_digests(docs, vocab):
             assert not with_ids or r.ids == ids
 
 
+def test_bpe_works_copies_out_once(spark, vocab):
+    """Equal rows that stand together; null and equal texts of other ids are rows of their own."""
+    import pyarrow as pa
+
+    seen = []
+
+    def run(batches):
+        for batch in batches:
+            seen.append(len(batch))
+            yield from (batch.slice(i, 2) for i in range(0, len(batch), 2))
+
+    rows = [(1, "a b"), (1, "a b"), (1, "a b"), (2, "a b"), (None, "c"), (None, "c"), (3, None), (3, None), (4, ""), (4, ""), (1, "a b")]
+    batches = [pa.RecordBatch.from_pylist([{"i": i, "t": t} for i, t in part], pa.schema([("i", pa.int64()), ("t", pa.string())])) for part in (rows, [], rows[:1], rows[:3])]
+    got = [(r["i"], r["t"]) for b in byte_bpe._once(run)(iter(batches)) for r in b.to_pylist()]
+    assert got == rows + rows[:1] + rows[:3] and seen == [8, 0, 1, 1]
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").coalesce(1)
+    found = byte_bpe.round_trip_digests(df, vocab, with_ids=True).collect()
+    alone = {t: byte_bpe.round_trip_digests(df.where(df.text.eqNullSafe(t)), vocab, with_ids=True).first()[1:] for t in ("a b", "c", "", None)}
+    assert [(r.doc_id, r[1:]) for r in found] == [(i, alone[t]) for i, t in rows]
+
+
 def test_bpe_of_odd_strings(spark, vocab):
     import random
 
